@@ -22,9 +22,58 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    from winnowlane.llm import mixing
+
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after all documents came, words were counted anew, and documents without words went."""
+    from pyspark.sql import functions as F
+
+    from winnowlane.llm import rollup
+    from winnowlane.llm._scratch import fresh_path
+
+    docs, text = table(spark, sf_dir, "documents"), F.col("text")
+    old, new, size = rollup.word_tokens(text), rollup.letter_tokens(text), rollup.byte_tokens(text)
+    state = rollup.TokenRollup(spark, fresh_path(spark, "token-rollup"))
+    state.commit("1-arrivals", rollup.inserts(docs, {"words-1": old, "bytes-1": size}))
+    for _ in range(2):  # the second is a retry and changes nothing
+        state.commit("2-recount", rollup.revisions(docs, {"words-1": old}, {"words-2": new}))
+    empty = docs.where(old == 0)
+    state.commit("3-empty", rollup.deletes(empty, {"words-2": new, "bytes-1": size}))
+    return state.totals()
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every whole document by a grammar fitted on the labelled rows that are not held out."""
+    from pyspark.sql import functions as F
+
+    from winnowlane.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_bpe,)}
+    found = (op4_mixing, op8_token_counts, op9_bpe, op10_toxicity)
+    return {f.__name__: f for f in found}
+
+
+OP8 = r"""
+WITH counted AS (
+  SELECT source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words,
+         coalesce(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')), 0) AS fine, coalesce(strlen(text), 0) AS bytes
+  FROM documents)
+SELECT source, lang, 'words-2' AS tokenizer_version, count(*) AS n_docs, CAST(sum(fine) AS BIGINT) AS n_tokens
+FROM counted WHERE words > 0 GROUP BY ALL
+UNION ALL
+SELECT source, lang, 'bytes-1', count(*), CAST(sum(bytes) AS BIGINT) FROM counted WHERE words > 0 GROUP BY ALL
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_token_counts": OP8}
