@@ -22,6 +22,20 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole document and its edited text."""
+    from winnowlane.llm import imatch
+
+    return imatch.fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op3_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that stay of every whole document once repeats of 35 words are gone."""
+    from winnowlane.llm import anchors
+
+    return anchors.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     from winnowlane.llm import mixing
@@ -59,7 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_mixing, op8_token_counts, op9_bpe, op10_toxicity)
+    found = (op2_imatch, op3_anchors, op4_mixing, op8_token_counts, op9_bpe, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
