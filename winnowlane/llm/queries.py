@@ -43,6 +43,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that stay of every whole document once repeats of 50 bytes are gone from all but the first."""
+    from winnowlane.llm import suffix
+
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after all documents came, words were counted anew, and documents without words went."""
     from pyspark.sql import functions as F
@@ -73,7 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_imatch, op3_anchors, op4_mixing, op8_token_counts, op9_bpe, op10_toxicity)
+    found = (op2_imatch, op3_anchors, op4_mixing, op7_suffix, op8_token_counts, op9_bpe, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
