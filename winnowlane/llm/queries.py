@@ -22,6 +22,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    from winnowlane.llm import embedding_dedup
+
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole document and its edited text."""
     from winnowlane.llm import imatch
@@ -43,6 +50,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    from winnowlane.llm import ngram_join
+
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that stay of every whole document once repeats of 50 bytes are gone from all but the first."""
     from winnowlane.llm import suffix
@@ -80,7 +94,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_imatch, op3_anchors, op4_mixing, op7_suffix, op8_token_counts, op9_bpe, op10_toxicity)
+    found = (op1_embedding_dedup, op2_imatch, op3_anchors, op4_mixing, op5_ngram_join, op7_suffix, op8_token_counts, op9_bpe, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
