@@ -57,6 +57,13 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"))
 
 
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and what discloses it in every whole document."""
+    from winnowlane.llm import disclosure
+
+    return disclosure.report(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that stay of every whole document once repeats of 50 bytes are gone from all but the first."""
     from winnowlane.llm import suffix
@@ -94,7 +101,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_embedding_dedup, op2_imatch, op3_anchors, op4_mixing, op5_ngram_join, op7_suffix, op8_token_counts, op9_bpe, op10_toxicity)
+    found = (op1_embedding_dedup, op2_imatch, op3_anchors, op4_mixing, op5_ngram_join, op6_disclosure, op7_suffix, op8_token_counts, op9_bpe, op10_toxicity)
     return {f.__name__: f for f in found}
 
 
