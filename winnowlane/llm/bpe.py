@@ -186,6 +186,15 @@ class Codec:
 
     def digests(self, texts) -> tuple[np.ndarray, list[str], list[str]]:
         """Number of ids, SHA-256 of the ids and of the decoded text, for each text."""
+        counts, parts = self.coded(texts)
+        hexes: tuple[list[str], list[str]] = ([], [])
+        for ids, said in parts:
+            hexes[0].append(hashlib.sha256(ids).hexdigest())
+            hexes[1].append(hashlib.sha256(said).hexdigest())
+        return counts, *hexes
+
+    def coded(self, texts) -> tuple[np.ndarray, Iterator[tuple[bytes, bytes]]]:
+        """Number of ids of each text; then its ids as little-endian 32-bit integers, and UTF-8 of the decoded text."""
         data, offsets = B.text_buffer(texts)
         starts, ends, first = B.word_bounds(data, offsets)
         which, inverse = B.distinct(B.FIRST.words(data, starts, ends), B.SECOND.words(data, starts, ends)) if len(starts) else (starts, starts)
@@ -201,14 +210,16 @@ class Codec:
         coded[:], said[:] = [r[1] for r in rows], [r[2] for r in rows]
         here = counts[inverse]
         total = np.r_[0, np.cumsum(here)]
-        hexes: tuple[list[str], list[str]] = ([], [])
-        for a, b in zip(first[:-1], first[1:]):
-            own = inverse[a:b]
-            hexes[0].append(hashlib.sha256(b"".join(coded[own].tolist())).hexdigest())
-            if not (some := here[a:b] > 0).all():
-                own = own[some]
-            hexes[1].append(hashlib.sha256(b" ".join(said[own].tolist())).hexdigest())
-        return total[first[1:]] - total[first[:-1]], *hexes
+
+        def each() -> Iterator[tuple[bytes, bytes]]:
+            for a, b in zip(first[:-1], first[1:]):
+                own = inverse[a:b]
+                ids = b"".join(coded[own].tolist())
+                if not (some := here[a:b] > 0).all():
+                    own = own[some]
+                yield ids, b" ".join(said[own].tolist())
+
+        return total[first[1:]] - total[first[:-1]], each()
 
 
 @lru_cache(maxsize=4)
@@ -247,21 +258,27 @@ def encode_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, path: str, out: str = "token_ids", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
-    """All columns of docs and an array<int> column of ids; a null text gives an empty array."""
+def encode(docs: DataFrame, path: str, text_col: str = "text", leaf: int = LEAF) -> DataFrame:
+    """All columns of docs, and token_ids (array of int), n_tokens and decoded.
+
+    A null text has no ids and decodes to an empty string. The new names must be free.
+    """
     from pyspark.sql import types as T
 
-    if out in docs.columns:
-        raise ValueError(f"column {out} exists already")
+    new = [T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())]
+    if clash := {f.name for f in new} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} exist already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, leaf)
         for batch in text_batches(batches, text_col):
-            ids, bounds = c.encode_column(batch.column(text_col))
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out])
+            n, parts = c.coded(batch.column(text_col))
+            ids, said = zip(*parts)
+            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(n, pa.int64()), pa.array([x.decode() for x in said], pa.string())], [*batch.schema.names, *(f.name for f in new)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *new]))
 
 
 def decode(frame: DataFrame, path: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
