@@ -373,7 +373,7 @@ def scope_semi(spark, d):
     return files.in_scope(c, table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id")))
 
 
-@query("WITH m AS (SELECT d.source AS class, l.quality FROM documents d JOIN labels l USING (doc_id)) SELECT class, count(*) AS entered, count_if(quality = 1) AS kept, round(count_if(quality = 1) / count(*), 6) AS rate FROM m GROUP BY 1 HAVING count(*) >= 5")
+@query("WITH m AS (SELECT d.source AS class, l.quality FROM documents d JOIN labels l USING (doc_id)) SELECT class, count(*) AS entered, CAST(count_if(quality = 1) AS BIGINT) AS kept, round(count_if(quality = 1) / count(*), 6) AS rate FROM m GROUP BY 1 HAVING count(*) >= 5")
 def keep_rate(spark, d):
     m = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id")
     return stats.keep_rate(m, F.col("source"), F.col("quality") == 1).withColumn("rate", F.round("rate", 6))
