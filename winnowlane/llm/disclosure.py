@@ -34,7 +34,8 @@ _NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20
 SUPPORT = 3
 #: The share of an entity's information from which a term discloses it.
 DISCLOSURE = 0.8
-WORD = r"[^\x20\x09-\x0D]+"
+#: Bins of the filter by hash that keeps terms nobody asks for out of the shuffle.
+BINS = 1 << 20
 MASK = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>", "number": "<NUMBER>"}
 
 
@@ -119,9 +120,11 @@ def disclosing(held: DataFrame, docs: DataFrame, total: int, support: int = SUPP
     both = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= support)
     both = materialize(both, "co-occurrence")
     # only terms that stand with an entity often enough are counted in the whole corpus
-    asked = both.select("term").distinct()
-    every = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    told = both.join(every.join(asked, "term", "left_semi"), "term")
+    bin_ = F.pmod(F.xxhash64("term"), F.lit(BINS))
+    # a filter by hash keeps the rest out of the shuffle: at most BINS numbers are broadcast, whatever the corpus' size
+    bins = F.broadcast(both.select(bin_.alias("bin")).distinct())
+    every = docs.select(F.explode(_terms(F.col("text"))).alias("term")).withColumn("bin", bin_).join(bins, "bin", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    told = both.join(every, "term")
     gained = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     content = F.log(F.lit(float(total)) / F.col("n_entity"))
     return told.where((content > 0) & (gained >= threshold * content)).select("entity", "term")
