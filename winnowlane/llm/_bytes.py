@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+#: Bytes hashed at once.
+BLOCK = 1 << 19
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -57,17 +59,32 @@ class Family:
         self.p_inverse, self.q_inverse = Powers(pow(p, -1, 2**64)), Powers(pow(q, -1, 2**64))
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of the given byte ranges; equal bytes have equal hashes wherever they stand."""
-        if not len(starts):
-            return np.zeros(0, dtype=np.uint64)
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        term = self.table[data]
-        term *= self.p(len(data))
-        np.cumsum(term, out=total[1:])
-        out = total[ends] - total[starts]
-        out *= self.p_inverse(len(data))[starts]
-        out += (ends - starts).astype(np.uint64) * U(0x9E3779B97F4A7C15)
-        return mix(out)
+        """Hashes of the given byte ranges; equal bytes have equal hashes wherever they stand.
+
+        Ranges are taken a block of bytes at a time, so the arrays of 64-bit values stay small.
+        """
+        if len(starts) > 1 and (starts[1:] < starts[:-1]).any():
+            order = np.argsort(starts, kind="stable")
+            out = np.empty(len(starts), dtype=np.uint64)
+            out[order] = self.words(data, starts[order], ends[order])
+            return out
+        out = np.empty(len(starts), dtype=np.uint64)
+        at = 0
+        while at < len(starts):
+            low = int(starts[at])
+            to = max(at + 1, int(np.searchsorted(starts, low + BLOCK)))
+            n = int(ends[at:to].max()) - low
+            term = self.table[data[low : low + n]]
+            term *= self.p(n)
+            total = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(term, out=total[1:])
+            begin, end = starts[at:to] - low, ends[at:to] - low
+            hashed = total[end] - total[begin]
+            hashed *= self.p_inverse(max(n, 1))[np.minimum(begin, max(n - 1, 0))]
+            hashed += (end - begin).astype(np.uint64) * U(0x9E3779B97F4A7C15)
+            out[at:to] = mix(hashed)
+            at = to
+        return out
 
     def windows(self, items: np.ndarray, width: int) -> np.ndarray:
         """Hashes of all runs of ``width`` consecutive items; there are len(items) - width + 1."""

@@ -9,7 +9,7 @@ appears twice in the plan and is one exchange that Spark reuses.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,33 @@ def chunk_count(frame: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
 
 def chunked(frame: DataFrame, chunks: int, *keys: str) -> DataFrame:
     """Add a column ``chunk`` and deal the rows by it."""
-    n = parts(frame.sparkSession)
-    return frame.withColumn("chunk", F.pmod(F.xxhash64(*keys), F.lit(chunks)).cast("int")).repartition(n, "chunk")
+    return deal(frame.withColumn("chunk", F.pmod(F.xxhash64(*keys), F.lit(chunks)).cast("int")))
+
+
+def deal(frame: DataFrame) -> DataFrame:
+    """Deal rows by their column ``chunk``, packed: a row for each chunk and batch, holding compressed rows."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("chunk").to_numpy()
+            order = np.argsort(at, kind="stable")
+            table = pa.Table.from_batches([batch]).take(pa.array(order))
+            which, first = np.unique(at[order], return_index=True)
+            packed = []
+            for x, y in zip(first, np.r_[first[1:], len(order)]):
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(table.slice(x, y - x))
+                packed.append(out.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(which.astype(np.int32)), "packed": pa.array(packed, pa.binary())})
+
+    return frame.mapInArrow(pack, "chunk int, packed binary").repartition(parts(frame.sparkSession), "chunk")
+
+
+def unpack(table: pa.Table) -> pa.Table:
+    """The rows of one chunk as they were dealt; of none, a table without columns."""
+    found = [pa.ipc.open_stream(b).read_all() for b in table.column("packed").to_pylist()]
+    return pa.concat_tables(found).combine_chunks() if found else pa.table({})
 
 
 def buckets(frame: DataFrame) -> int:
@@ -40,11 +65,18 @@ def buckets(frame: DataFrame) -> int:
 
 
 def exchange(dealt: DataFrame, ask: Callable, answer: Callable, finish: Callable, schema: str, reply: str = REPLY, asked: str = ASK) -> DataFrame:
-    """ask(chunk's table) gives ASK rows; answer(bucket's table) gives REPLY rows; finish(chunk's table, its replies) gives rows of ``schema``."""
+    """Of a frame made by deal(): ask(chunk's table) gives ASK rows; answer(bucket's table) gives REPLY rows; finish(chunk's table, its replies) gives rows of ``schema``."""
     n = parts(dealt.sparkSession)
-    asks = dealt.groupBy("chunk").applyInArrow(ask, asked).repartition(n, "bucket")
+
+    def ask_packed(table: pa.Table) -> pa.Table:
+        return ask(unpack(table))
+
+    def finish_packed(table: pa.Table, replies: pa.Table) -> pa.Table:
+        return finish(unpack(table), replies)
+
+    asks = dealt.groupBy("chunk").applyInArrow(ask_packed, asked).repartition(n, "bucket")
     answers = asks.groupBy("bucket").applyInArrow(answer, reply).repartition(n, "chunk")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish_packed, schema)
 
 
 def chunk_of(table: pa.Table) -> int:
