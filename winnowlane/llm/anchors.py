@@ -128,7 +128,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
     mid_names = ["doc_id", "n_words", "n_removed", "kept_sha256", "chunk", "text", "marks"]
     mid_types = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind], pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.binary()]
     mid = materialize(X.exchange(dealt, ask, answer, anchor, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, chunk int, text string, marks binary"), "anchors")
-    open_ = mid.where("marks IS NOT NULL").repartition(X.parts(docs.sparkSession), "chunk")
+    open_ = X.deal(mid.where("marks IS NOT NULL").select("doc_id", "chunk", "text", "marks"))
 
     def wide(table: pa.Table) -> tuple[_Words, np.ndarray, np.ndarray, np.ndarray]:
         """Marked windows: positions; distinct 96-bit keys by bucket; the key of each."""
