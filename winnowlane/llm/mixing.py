@@ -79,7 +79,8 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
         )
         state = state.drop("left", "prefix", "tokens").join(crossed, "skey", "left").select(*keep, F.coalesce("edge.left", F.lit(0.0)).alias("left"), F.coalesce("edge.bin", F.lit(1 << (BITS * (level + 1)))).alias("prefix"), F.coalesce("edge.tokens", F.lit(0)).alias("tokens"))
         state = materialize(state, "mix-edge")
-    return state.select(*keep, F.col("prefix").alias("cut"), ((F.col("tokens") > 0) & (2 * F.col("left") >= F.col("tokens"))).alias("at_cut"))
+    some = F.col("target") > F.col("whole") * F.col("source_size")
+    return state.select(*keep, F.when(some, F.col("prefix")).otherwise(0).alias("cut"), (some & (F.col("tokens") > 0) & (2 * F.col("left") >= F.col("tokens"))).alias("at_cut"))
 
 
 def _with_sources(rows: DataFrame, by_source: DataFrame, counted: DataFrame) -> DataFrame:
