@@ -30,9 +30,9 @@ from winnowlane.llm import _bytes as B
 #: Characters of a pre-token up to which it is encoded at once.
 LEAF = 256
 #: Bytes of text handled at once.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_500_000
 #: Words and pre-tokens whose ids a worker keeps; beyond it, it starts anew.
-KNOWN = 250_000
+KNOWN = 120_000
 #: Precomposed Latin text, which NFC leaves alone and whose lower case is of one character each.
 PLAIN = re.compile("[\\x21-\\x7e\u00a1-\u012f\u0131-\u017f]+")
 #: The printable character that stands for each byte in a byte-level vocabulary: printable Latin-1
@@ -46,7 +46,7 @@ class Codec:
 
     def __init__(self, path: str, leaf: int = LEAF, threads: int = 1):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer
 
         self.whole, self.leaf, self.threads = Tokenizer.from_file(path), max(2, leaf), threads
         self.whole.no_truncation()
@@ -56,12 +56,9 @@ class Codec:
         model = spec["model"]
         if model["type"] != "BPE" or spec.get("decoder") is not None or spec.get("post_processor") is not None:
             raise ValueError("the file must hold a BPE model without decoder and post-processor")
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        kept = {"unk_token": model.get("unk_token"), "continuing_subword_prefix": model.get("continuing_subword_prefix"), "fuse_unk": model.get("fuse_unk") or False}
-        kept = {k: v for k, v in kept.items() if v is not None}
-        self.suffix = suffix = model.get("end_of_word_suffix")
-        self.inner = models.BPE(model["vocab"], merges, **kept)
-        self.last = models.BPE(model["vocab"], merges, end_of_word_suffix=suffix, **kept) if suffix else self.inner
+        self.suffix, self.path, self._inner = model.get("end_of_word_suffix"), path, None
+        #: Merges of a text that ends a pre-token; inner() is for text that does not.
+        self.last = self.whole.model
         special = sorted((a["content"] for a in spec["added_tokens"]), key=len, reverse=True)
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
@@ -69,10 +66,22 @@ class Codec:
         self.known: dict[str, tuple[int, ...]] = {}
         self.seen: dict[str, tuple[int, bytes, bytes]] = {}
         shape = (spec.get("normalizer"), spec.get("pre_tokenizer"))
+        del spec["model"]
         found = re.search(r"'s\|.*\+", json.dumps(shape[1])) and shape[1]["pretokenizers"][0]["pattern"]["Regex"]
         self.plain = PLAIN if found and [n["type"] for n in shape[0]["normalizers"]] == ["NFC", "Replace", "Lowercase"] else None
         self.split = regex.compile(found) if found else None
 
+    def inner(self):
+        """The model without the mark of a word's end, made when the first long pre-token comes."""
+        if self._inner is None:
+            from tokenizers import models
+
+            with open(self.path, encoding="utf-8") as f:
+                model = json.load(f)["model"]
+            kept = {k: v for k in ("unk_token", "continuing_subword_prefix", "fuse_unk") if (v := model.get(k))}
+            self._inner = models.BPE(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], **kept) if self.suffix else self.last
+        return self._inner
+
     def pieces(self, text: str) -> list[tuple[int | None, str]]:
         """Special tokens' ids and pre-tokens, in order."""
         out: list[tuple[int | None, str]] = []
@@ -87,7 +96,7 @@ class Codec:
 
     def _merge(self, text: str, final: bool) -> list[tuple[int, int]]:
         """(id, characters) of each token of a fragment; ``final``: it ends the pre-token."""
-        out = [(t.id, len(t.value)) for t in (self.last if final else self.inner).tokenize(text)]
+        out = [(t.id, len(t.value)) for t in (self.last if final else self.inner()).tokenize(text)]
         if final and self.suffix and out:
             out[-1] = (out[-1][0], out[-1][1] - len(self.suffix))
         return out
