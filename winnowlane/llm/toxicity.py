@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnowlane.llm._scratch import materialize
 from winnowlane.llm.bpe import text_batches
 
 # The grammar's own words.
@@ -42,7 +43,7 @@ REACH = 3
 O, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 KINDS = ("insult", "aimed insult", "negated insult", "reported insult", "threat", "aimed threat")
 #: Log-odds of a document with such a clause before labels are seen.
-PRIOR = {"insult": 1.5, "aimed insult": 2.5, "negated insult": 0.5, "reported insult": 0.5, "threat": -1.0, "aimed threat": 0.5}
+PRIOR = {"insult": 1.5, "aimed insult": 2.5, "negated insult": 0.5, "reported insult": 0.5, "threat": -4.0, "aimed threat": -2.5}
 
 
 class Transducer:
@@ -94,7 +95,8 @@ class Grammar:
     bias: float = -3.0
 
     def __post_init__(self):
-        self.symbols = {w: (s, 0.0) for words, s in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT)) for w in words}
+        self.symbols = {w: (s, 0.0) for words, s in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)) for w in words}
+        self.symbols |= {w: (THREAT, LEAST) for w in THREATS}
         self.symbols |= {w: (INSULT, x) for w, x in self.insults.items()}
         self.machine = Product([_seen(INSULT), _seen(THREAT), _once(TARGET), _reach(NEGATION, REACH), _reach(REPORT, REACH)])
         words = sorted({*self.insults, *THREATS})
@@ -122,7 +124,7 @@ class Grammar:
             if insult:
                 held.append(("negated insult" if negated else "reported insult" if reported else "insult", weight))
             elif threat:
-                held.append(("threat", 0.0))
+                held.append(("threat", weight))
 
     def best(self, text: str | None) -> dict[str, float]:
         """The largest lexicon weight of each kind of clause in a text."""
@@ -160,6 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Grammar:
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(29)), "doc_id").limit(rows)
     # ``rows`` bounds the broadcast and what the sample holds
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    sample = materialize(sample, "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -171,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Grammar:
         yield pa.RecordBatch.from_pydict({"f": pa.array(names, pa.string()), "neg": pa.array([seen[0][n] for n in names], pa.int64()), "pos": pa.array([seen[1][n] for n in names], pa.int64())})
 
     counted = sample.mapInArrow(count, "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    own = {w: 2.0 for w in INSULTS}
+    counted = materialize(counted, "features")
+    own = {w: LEAST for w in INSULTS}
     totals = counted.where("f = ''").collect()
     if not totals or not totals[0].neg or not totals[0].pos:
         return Grammar(own, {})
