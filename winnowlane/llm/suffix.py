@@ -4,9 +4,10 @@ A Burrows-Wheeler transform of a shard of text is extended backward breadth firs
 the rows whose common prefix with the row above is of l bytes, from the boundaries known after
 step l - 1, and it stops at the length that counts. Rows without a boundary between them then share
 at least that many bytes. Shards hold all that can match: every string of 50 bytes has a minimal
-16-byte gram (leftmost of the least hashes), equal strings have the same one, and the pieces of
+28-byte gram (leftmost of the least hashes), equal strings have the same one, and the pieces of
 text around a gram go to its shard. Grams of one document alone are sorted out before, by packed
-keys of chunks; a piece that is alone with its gram needs no transform.
+keys of chunks; a piece that is alone with its gram needs no transform. Documents that equal one
+of a smaller id go first, by their digests.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from winnowlane.llm import _exchange as X
 from winnowlane.llm._scratch import materialize
 
 #: Bytes of a repeat that count, and of the gram that stands for it.
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 28
+#: Bytes of stored documents for each chunk: a chunk's work takes some hundred bytes of memory for each of text.
+CHUNK_BYTES = 1_000_000
 NO_ID = 2**63 - 1
 U = np.uint64
 HEAD = np.dtype([("size", "<u2"), ("at", "<u2"), ("least", "<i8")])
@@ -69,7 +72,7 @@ def expand(symbols: np.ndarray, unique_from: int, length: int) -> tuple[np.ndarr
 
 def minima(grams: np.ndarray, width: int) -> np.ndarray:
     """For each run of ``width`` grams, the position of the leftmost least."""
-    value, at, have = grams, np.arange(len(grams)), 1
+    value, at, have = grams, np.arange(len(grams), dtype=np.int32), 1
     while have < width:
         step = min(have, width - have)
         later = value[step:] < value[: len(value) - step]
@@ -104,6 +107,30 @@ class _Bytes:
         self.key, self.owner = grams[self.gram_at], self.doc[starts].astype(np.int64)
 
 
+def _copies(docs: DataFrame, length: int) -> DataFrame:
+    """A marker (no text) for each document that equals one of a smaller id, and so goes as a whole.
+
+    Only digests and ids are dealt for this, the least id of each digest found by map-side sums.
+    """
+    ids = docs.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).select("doc_id", F.sha2("text", 256).alias("digest"), F.xxhash64("text").alias("print"))
+    least = ids.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("most > least").select("digest", "least")
+    found = ids.join(least, "digest").where("doc_id > least").select("doc_id", F.lit(None).cast("string").alias("text"), "print").distinct()
+    return found.withColumn("copy", F.lit(True))
+
+
+def _parted(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """A chunk's documents without those that markers name; and those."""
+    if not table.num_rows:
+        return table, table
+    marker = table.column("copy").to_numpy()
+    named = set(zip(table.column("doc_id").filter(pa.array(marker)).to_pylist(), table.column("print").filter(pa.array(marker)).to_pylist()))
+    docs = table.filter(pa.array(~marker))
+    if not named:
+        return docs, docs.slice(0, 0)
+    gone = np.array([p in named for p in zip(docs.column("doc_id").to_pylist(), docs.column("print").to_pylist())], bool)
+    return docs.filter(pa.array(~gone)), docs.filter(pa.array(gone))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts in a document with a smaller doc_id.
 
@@ -112,8 +139,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     Rows that repeat an id are documents of the same id, none smaller; null ids are larger than
     all others and equal to each other. Other columns are not looked at; an empty table gives no rows.
     """
-    n_buckets, chunks = X.buckets(docs), X.chunk_count(docs)
-    dealt = X.chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chunks, "doc_id", "text")
+    n_buckets, chunks = X.buckets(docs), X.chunk_count(docs, CHUNK_BYTES)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = X.chunked(plain.withColumn("print", F.xxhash64("text")).withColumn("copy", F.lit(False)).unionByName(_copies(plain, length)), chunks, "doc_id")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     done = names + (["kept_text"] if with_text else [])
     mid_schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, chunk int, text string, marks binary"
@@ -124,7 +152,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         return table.column("doc_id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def ask(table: pa.Table) -> pa.Table:
-        return X.ask_rows(X.chunk_of(table), np.unique(X.place(_Bytes(table.column("text"), length).key, n_buckets)))
+        return X.ask_rows(X.chunk_of(table), np.unique(X.place(_Bytes(_parted(table)[0].column("text"), length).key, n_buckets)))
 
     def answer(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()]
@@ -157,6 +185,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         """Documents without a gram that another document has are done."""
         if not table.num_rows:
             return empty(list(mid))
+        table, copies = _parted(table)
+        whole = _Bytes(copies.column("text"), length)
+        whole_rows = rows(copies, whole, np.ones(len(whole.data), bool), None, None, with_text)
         b = _Bytes(table.column("text"), length)
         every, which = np.unique(X.place(b.key, n_buckets), return_inverse=True)
         low, high = np.full(len(every), 2**62), np.full(len(every), -1)
@@ -166,10 +197,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         first = np.searchsorted(b.owner, np.arange(len(b.offsets)))
         texts = table.column("text").to_pylist()
         marks = [np.packbits(mark[x:y]).tobytes() if mark[x:y].any() else None for x, y in zip(first[:-1], first[1:])]
-        return rows(table, b, np.zeros(len(b.data), bool), [None if m is None else t for t, m in zip(texts, marks)], marks, with_text)
+        return pa.concat_tables([rows(table, b, np.zeros(len(b.data), bool), [None if m is None else t for t, m in zip(texts, marks)], marks, with_text), whole_rows])
 
     stored = materialize(X.exchange(dealt, ask, answer, sift, mid_schema), "grams")
-    open_ = stored.where("marks IS NOT NULL").repartition(X.parts(docs.sparkSession), "chunk")
+    open_ = X.deal(stored.where("marks IS NOT NULL").select("doc_id", "chunk", "text", "marks"))
 
     def pieces(table: pa.Table):
         """Marked pieces; of each distinct one (by shard): index, least id, and the number of each marked piece's."""
