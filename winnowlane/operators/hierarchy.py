@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winnowlane.scratch import materialize
+
 LOOSE = "__loose__"
 
 
@@ -43,7 +45,7 @@ def tree(rows: DataFrame, folder: str = "dir") -> tuple[DataFrame, DataFrame]:
     synthetic = loose.select(below.alias("path"))
     moved = placed.join(loose.select(F.col("path").alias("node"), F.lit(True).alias("_moves")), "node", "left")
     target = F.when(F.col("_moves"), F.when(F.col("node") == "", F.lit(LOOSE)).otherwise(F.concat("node", F.lit(f"/{LOOSE}")))).otherwise(F.col("node"))
-    held = moved.withColumn("node", target).drop("_moves").persist()
+    held = moved.withColumn("node", target).drop("_moves")
     counts = held.groupBy(F.col("node").alias("path")).agg(F.count("*").alias("own_count"))
     paths = every.withColumn("synthetic", F.lit(False)).unionByName(synthetic.withColumn("synthetic", F.lit(True)))
     nodes = paths.join(counts, "path", "left").select("path", parent_of(F.col("path")).alias("parent_path"), depth_of(F.col("path")).alias("depth"), F.coalesce("own_count", F.lit(0)).alias("own_count"), "synthetic")
@@ -96,19 +98,20 @@ def resolve(nodes: DataFrame, quotas: DataFrame) -> DataFrame:
     out; percentages are of the folder's own subtree.
     """
     asked = quotas.select("path", parse_quota(F.col("raw")).alias("q")).select("path", "q.*")
-    # folders are few beside rows, and each step below asks about them several times: so they are kept
-    n = nodes.join(asked, "path", "left").withColumn("mode", F.coalesce("mode", F.lit("pooled"))).persist()
+    # folders are few beside rows, and each step below asks about them several times: so they are stored in between,
+    # which also keeps plans from growing with every step
+    n = materialize(nodes.join(asked, "path", "left").withColumn("mode", F.coalesce("mode", F.lit("pooled"))), "nodes")
     up = n.select("path", "own_count", F.explode(prefixes(F.col("path"))).alias("above"))
     shut = n.where("mode = 'excluded'").select(F.col("path").alias("above"), F.lit(True).alias("shut"))
     closed = up.join(shut, "above").select("path").distinct().withColumn("excluded", F.lit(True))
-    n = n.join(closed, "path", "left").withColumn("excluded", F.coalesce("excluded", F.lit(False))).persist()
+    n = materialize(n.join(closed, "path", "left").withColumn("excluded", F.coalesce("excluded", F.lit(False))), "nodes")
     live = n.where("NOT excluded").select("path", "own_count", F.explode(prefixes(F.col("path"))).alias("above"))
     totals = live.groupBy(F.col("above").alias("path")).agg(F.sum("own_count").alias("subtree_count"))
     n = n.join(totals, "path", "left").withColumn("subtree_count", F.when(F.col("excluded"), 0).otherwise(F.coalesce("subtree_count", F.lit(0))))
     is_percent = F.col("mode") == "percent"
     n = n.withColumn("eff_mode", F.when(is_percent, "fixed").otherwise(F.col("mode"))).withColumn("eff_value", F.when(is_percent, percent_count(F.col("value"), F.col("subtree_count"))).otherwise(F.col("value")).cast("long"))
     kids = n.where("NOT excluded AND parent_path IS NOT NULL").groupBy(F.col("parent_path").alias("path")).agg(F.count("*").alias("kids"))
-    n = n.join(kids, "path", "left").withColumn("is_leaf", F.col("kids").isNull()).persist()
+    n = materialize(n.join(kids, "path", "left").withColumn("is_leaf", F.col("kids").isNull()), "nodes")
     fixed = F.col("eff_mode") == "fixed"
     target = F.when(F.col("excluded"), F.lit(0)).when(fixed & F.col("is_leaf"), F.least("eff_value", "subtree_count")).when(fixed, F.col("eff_value")).cast("long")
     n = n.withColumn("target", target)
@@ -122,7 +125,8 @@ def resolve(nodes: DataFrame, quotas: DataFrame) -> DataFrame:
     )
     n = n.join(sums, "path", "left")
     splits = ~F.col("excluded") & ~F.col("is_leaf") & mode("fixed") & (F.col("fixed_sum") <= F.col("eff_value"))
-    return n.withColumn("remainder", F.when(splits, F.col("eff_value") - F.col("fixed_sum"))).withColumn("share", F.when(F.col("remainder").isNotNull(), F.least("remainder", "pool_count"))).persist()
+    out = n.withColumn("remainder", F.when(splits, F.col("eff_value") - F.col("fixed_sum"))).withColumn("share", F.when(F.col("remainder").isNotNull(), F.least("remainder", "pool_count")))
+    return materialize(out, "nodes")
 
 
 def units(resolved: DataFrame) -> DataFrame:
