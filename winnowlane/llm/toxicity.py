@@ -36,7 +36,10 @@ FIT_ROWS, LEXICON = 20_000, 4_000
 STEMS = range(4, 8)
 #: The least support and log-odds of a learned entry.
 SUPPORT, LEAST = 4, 3.0
+LETTERS = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
+#: Words whose symbols a worker remembers.
+MEMO = 150_000
 #: How many words a negation or a verb of reporting reaches.
 REACH = 3
 
@@ -99,15 +102,18 @@ class Grammar:
         self.symbols |= {w: (THREAT, LEAST) for w in THREATS}
         self.symbols |= {w: (INSULT, x) for w, x in self.insults.items()}
         self.machine = Product([_seen(INSULT), _seen(THREAT), _once(TARGET), _reach(NEGATION, REACH), _reach(REPORT, REACH)])
-        words = sorted({*self.insults, *THREATS})
-        starts = sorted({w for w in words} | set(self.stems))
-        self.maybe = re.compile("|".join(map(re.escape, starts))) if starts else None
+        self.memo: dict[str, tuple[int, float]] = {}
 
     def symbol(self, word: str) -> tuple[int, float]:
-        if (got := self.symbols.get(word)) is not None:
-            return got
-        best = max((self.stems.get(word[:k], 0.0) for k in STEMS if len(word) > k), default=0.0)
-        return (INSULT, best) if best else (O, 0.0)
+        """A word's symbol and weight; a worker remembers those of MEMO words."""
+        if (got := self.memo.get(word)) is None:
+            if (got := self.symbols.get(word)) is None:
+                best = max((self.stems.get(word[:k], 0.0) for k in STEMS if len(word) > k), default=0.0)
+                got = (INSULT, best) if best else (O, 0.0)
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[word] = got
+        return got
 
     def clauses(self, text: str) -> Iterator[tuple[str, float]]:
         """Kind and lexicon weight of each insult or threat, read clause by clause."""
@@ -129,7 +135,7 @@ class Grammar:
     def best(self, text: str | None) -> dict[str, float]:
         """The largest lexicon weight of each kind of clause in a text."""
         out: dict[str, float] = {}
-        if text and self.maybe and self.maybe.search(text.lower()):
+        if text and any(self.symbol(w)[0] in (INSULT, THREAT) for w in set(LETTERS.findall(text.lower()))):
             for kind, weight in self.clauses(text):
                 out[kind] = max(out.get(kind, -9.0), weight)
         return out
