@@ -1,10 +1,10 @@
 """Personal data by patterns, and information-theoretic sanitisation of what reveals it.
 
-Patterns find e-mail addresses, IP addresses, payment cards and telephone numbers. Those that occur
-in several documents are protected entities. The corpus shows how strongly a term reveals one:
-its pointwise mutual information with the entity, against the entity's own information content. A
-term whose share of it reaches the disclosure threshold is removed, or generalised to a wider
-class, wherever it stands with the entity. DataFrame functions only.
+Patterns find e-mail addresses, IP addresses, payment cards and telephone numbers. Each is a
+protected entity, those of a single document too. The corpus shows how strongly a term reveals one:
+its pointwise mutual information with the entity, from a smoothed estimate, against the entity's own
+information content. A term whose share of it reaches the disclosure threshold is removed, or generalised
+to a wider class, wherever it stands with the entity. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -30,12 +30,12 @@ _SEARCHED = {
 }
 #: What a text must contain before it is searched.
 _NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: An entity is protected if at least so many documents have it; a term must be with it in as many.
-SUPPORT = 3
+#: An entity is protected if at least so many documents have it: all are.
+SUPPORT = 1
+#: The estimate of how often a term's documents have the entity counts so many more, which have it as often as the corpus.
+PRIOR_DOCS = 1.0
 #: The share of an entity's information from which a term discloses it.
 DISCLOSURE = 0.8
-#: Bins of the filter by hash that keeps terms nobody asks for out of the shuffle.
-BINS = 1 << 20
 MASK = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>", "number": "<NUMBER>"}
 
 
@@ -110,24 +110,19 @@ def disclosing(held: DataFrame, docs: DataFrame, total: int, support: int = SUPP
     """entity and term for each term that reveals an entity.
 
     ``held``: text and entities of documents that have any. With N documents, n(e) of them with the
-    entity, n(t) with the term and n(e,t) with both, a term reveals log(N n(e,t) / (n(e) n(t))) of the
-    log(N / n(e)) of an entity. At least ``support`` documents must have both.
+    entity, n(t) with the term and n(e,t) with both, p(e) is n(e) / N and p(e|t) is smoothed:
+    (n(e,t) + a p(e)) / (n(t) + a) for a = PRIOR_DOCS. A term reveals log(p(e|t) / p(e)) of the
+    -log p(e) of an entity. Entities in fewer than ``support`` documents are not protected.
     """
-    seen = held.select("row", F.explode(F.array_distinct("entities")).alias("entity"))
+    seen = held.select(F.explode(F.array_distinct("entities")).alias("entity"), "text")
     protected = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
-    near = seen.join(protected, "entity").join(held.select("row", "text"), "row")
-    near = near.select("entity", "n_entity", F.explode(_terms(F.col("text"))).alias("term"))
-    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= support)
-    both = materialize(both, "co-occurrence")
-    # only terms that stand with an entity often enough are counted in the whole corpus
-    bin_ = F.pmod(F.xxhash64("term"), F.lit(BINS))
-    # a filter by hash keeps the rest out of the shuffle: at most BINS numbers are broadcast, whatever the corpus' size
-    bins = F.broadcast(both.select(bin_.alias("bin")).distinct())
-    every = docs.select(F.explode(_terms(F.col("text"))).alias("term")).withColumn("bin", bin_).join(bins, "bin", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    told = both.join(every, "term")
-    gained = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    content = F.log(F.lit(float(total)) / F.col("n_entity"))
-    return told.where((content > 0) & (gained >= threshold * content)).select("entity", "term")
+    both = seen.select("entity", F.explode(_terms(F.col("text"))).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    every = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    told = both.join(protected, "entity").join(every, "term")
+    rate = F.col("n_entity") / F.lit(float(total))
+    given = (F.col("n_both") + PRIOR_DOCS * rate) / (F.col("n_term") + PRIOR_DOCS)
+    content = -F.log(rate)
+    return told.where((content > 0) & (F.log(given / rate) >= threshold * content)).select("entity", "term")
 
 
 def find(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
@@ -146,8 +141,9 @@ def find(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE)
     entities = F.concat(*map(_entities, PATTERNS))
     held = materialize(found.where(any_).select(row.alias("row"), "text", entities.alias("entities")), "entities")
     pairs = disclosing(held, docs, docs.count(), support, threshold)
-    # the terms of each document with an entity: bounded by its own words
-    mine = held.select("row", F.explode(F.array_distinct("entities")).alias("entity")).distinct().join(pairs, "entity")
+    # the terms of each document with an entity: bounded by its own words, however many an entity has elsewhere
+    mine = held.select("row", "text", F.explode(F.array_distinct("entities")).alias("entity")).select("row", "entity", F.explode(_terms(F.col("text"))).alias("term"))
+    mine = mine.join(pairs, ["entity", "term"])
     mine = mine.groupBy("row").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
     mine = materialize(mine, "terms").withColumnRenamed("row", "_row")
     base = F.concat(*[_kinded(F.col(f"_{k}"), k) for k in PATTERNS])
