@@ -38,3 +38,15 @@ def test_disclosure_of_rare_entities(spark):
         want = {w for e in x for w in words[i] if tells(e, w)} - {"once", "twice", "mail", "example"}
         assert got[i] == want, i
     assert "brixelon" in got[0] and "tandorre" in got[1] and "tandorre" in got[2]
+
+
+def test_disclosure_by_short_terms(spark):
+    from winnowlane.llm import disclosure
+
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abcdef") for _ in range(6)) for _ in range(100)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(20)) for _ in range(100)]
+    texts += [" ".join(rng.choice(vocab) for _ in range(20)) + f" {x} writes from z@x.example" for x in ("Bo", "李明", "Q") for _ in range(3)]
+    out = {r.doc_id: r.spans for r in disclosure.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, x in ((100, "bo"), (103, "李明"), (106, "q")):
+        assert x in marked(texts[i], out[i]), x

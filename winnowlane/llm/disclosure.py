@@ -103,7 +103,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def _terms(text: Column) -> Column:
     """Distinct lower-case words of letters and digits."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 2))
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
 def disclosing(held: DataFrame, docs: DataFrame, total: int, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
