@@ -50,3 +50,14 @@ def test_disclosure_by_short_terms(spark):
     out = {r.doc_id: r.spans for r in disclosure.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     for i, x in ((100, "bo"), (103, "李明"), (106, "q")):
         assert x in marked(texts[i], out[i]), x
+
+
+def test_imatch_asks_for_every_term(spark):
+    from winnowlane.llm import imatch
+
+    # of each text only the word it shares with its neighbour lies in the band
+    rows = [(i, f"common pair{i // 2} single{i}") for i in range(80)]
+    out = {r.doc_id: r for r in imatch.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(0, 80, 2):
+        assert out[i].fingerprint == out[i + 1].fingerprint and out[i].near_next == 1, i
+    assert len({r.fingerprint for r in out.values()}) == 40

@@ -2,9 +2,9 @@
 
 Terms whose inverse document frequency lies in a band are kept, the distinct ones sorted, and
 hashed under several randomised lexicons. Each draw nests its lexicons, every one half of the one
-before; a text is hashed over the smallest that still holds a term of it. All draw
-from one random half of the vocabulary, whose document frequencies alone are asked for. So each draw depends on
-few terms, whatever the text's length, and the share of equal draws tells how alike two texts are.
+before; a text is hashed over the smallest that still holds a term of it. All draw from the whole
+band: the document frequency of every term is asked for. So each draw depends on few
+terms, whatever the text's length, and the share of equal draws tells how alike two texts are.
 """
 
 from __future__ import annotations
@@ -101,11 +101,10 @@ class _Chunk:
         self.texts = len(offsets) - 1
         w0, w1, begin = B.word_bounds(both, offsets)
         if not len(w0):
-            self.terms, self.text, self.term, self.drawn = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self.terms, self.text, self.term = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
         h = B.FIRST.words(both, w0, w1)
         self.terms, number = np.unique(h, return_inverse=True)
-        self.drawn = np.flatnonzero((B.mix(self.terms ^ U(0xB5B5B5B5)) & U(1)) == 0)
         owner = np.repeat(np.arange(self.texts, dtype=np.uint64), np.diff(begin))
         pair = np.unique((owner << U(32)) | number.astype(np.uint64))
         self.text, self.term = (pair >> U(32)).astype(np.int64), (pair & U(0xFFFFFFFF)).astype(np.int64)
@@ -132,8 +131,8 @@ def fingerprint(docs: DataFrame, draws: int = DRAWS, least_docs: int = LEAST_DOC
         c = _Chunk(table)
         if not c.n:
             return X.ask_rows(X.chunk_of(table), np.zeros(0, U))
-        keys, which = np.unique(X.place(c.terms[c.drawn], n_buckets), return_inverse=True)
-        seen = np.bincount(which, weights=c.counts()[c.drawn], minlength=len(keys))
+        keys, which = np.unique(X.place(c.terms, n_buckets), return_inverse=True)
+        seen = np.bincount(which, weights=c.counts(), minlength=len(keys))
         seen = seen.astype(np.uint8 if not len(seen) or seen.max() < 256 else np.uint32)
         _, at = X.split_keys(keys)
         return X.ask_rows(X.chunk_of(table), keys, [seen[a:b].tobytes() for a, b in zip(at[:-1], at[1:])])
@@ -151,9 +150,8 @@ def fingerprint(docs: DataFrame, draws: int = DRAWS, least_docs: int = LEAST_DOC
         if not table.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in out})
         c = _Chunk(table)
-        keys, which = np.unique(X.place(c.terms[c.drawn], n_buckets), return_inverse=True)
-        inside = np.zeros(len(c.terms), bool)
-        inside[c.drawn] = X.read_bits(replies, keys)[which] if len(keys) else False
+        keys, which = np.unique(X.place(c.terms, n_buckets), return_inverse=True)
+        inside = X.read_bits(replies, keys)[which] if len(keys) else np.zeros(0, bool)
         good = inside[c.term]
         some = np.zeros(c.texts, bool)
         some[c.text[good]] = True
