@@ -61,3 +61,15 @@ def test_imatch_asks_for_every_term(spark):
     for i in range(0, 80, 2):
         assert out[i].fingerprint == out[i + 1].fingerprint and out[i].near_next == 1, i
     assert len({r.fingerprint for r in out.values()}) == 40
+
+
+def test_toxicity_keeps_every_significant_word(spark):
+    from winnowlane.llm import toxicity
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    learned = [f"zx{a}{b}{c}" for a in letters for b in letters for c in letters[:8]]
+    bad = " ".join(learned)
+    rows = [(i, bad if i % 12 == 0 else "plain words of prose", int(i % 12 == 0)) for i in range(360)]
+    f = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar = toxicity.fit(f.select("doc_id", "text"), f.select("doc_id", "toxic"))
+    assert len(learned) > 5000 and set(learned) <= set(grammar.insults)

@@ -30,8 +30,8 @@ TARGETS = ("you", "your", "yours", "yourself", "they", "them", "he", "she", "du"
 NEGATIONS = ("not", "no", "never", "isn", "aren", "don", "didn", "nicht", "kein", "keine", "pas", "jamais", "nunca", "ni")
 REPORTS = ("said", "says", "called", "calls", "quoted", "wrote", "claimed", "reported", "sagte", "dit", "dijo")
 
-#: At most so many labelled rows are fitted on, chosen by a hash of the id; and so many learned entries kept.
-FIT_ROWS, LEXICON = 20_000, 4_000
+#: At most so many labelled rows are fitted on, chosen by a hash of the id. They bound the learned entries.
+FIT_ROWS = 20_000
 #: Lengths of learned stems; a stem also stands for the words that begin with it.
 STEMS = range(4, 8)
 #: The least support and log-odds of a learned entry.
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Grammar:
     surprise = n * (rate * F.log(rate / base) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - base))).otherwise(0.0))
     tried = counted.where(f"pos + neg >= {SUPPORT}").count()
     found = counted.where(F.col("f") != "").where(F.col("pos") >= SUPPORT).withColumn("w", weight).where(F.col("w") >= LEAST).where(surprise > math.log(max(tried, 2)))
-    kept = found.orderBy(F.desc("w"), "f").limit(LEXICON).collect()
+    kept = found.orderBy(F.desc("w"), "f").collect()  # bounded by the sample
     insults = own | {r.f: r.w for r in kept if not r.f.endswith("*")}
     stems = {r.f[:-1]: r.w for r in kept if r.f.endswith("*")}
     # a learned word with a learned stem weighs as the better supported of both
