@@ -6,7 +6,7 @@ characters is encoded by tree concatenation: leaves first, then pairs of neighbo
 re-encoding a growing window around the join until its first and last token are those that both
 sides already had. A sequence in which every neighbouring pair of tokens re-encodes to itself is
 the BPE encoding, and pairs outside the window have not changed; so the join is exact. Leaves and
-windows of one level go to a thread pool; the library's merge loop runs outside Python.
+windows of one level go to a thread pool, of one thread unless Codec is given more.
 """
 
 from __future__ import annotations
