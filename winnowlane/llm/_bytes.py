@@ -1,19 +1,23 @@
 """Vectorised text handling over Arrow string buffers.
 
-A word is a maximal run of ``[^\\x20\\x09-\\x0D]`` and never crosses a document. Hashes are
-sums of table entries times powers of an odd multiplier modulo 2**64, mixed at the end, so that
-every window hash of a block of documents costs a constant number of array passes.
+A word is a maximal run of ``[^\\x20\\x09-\\x0D]`` and never crosses a document. Words of up to 16
+bytes are two blocks that a permutation of 128 bits mixes, so different words never agree in both
+families; longer ones take 128 bits of BLAKE2b. Windows of words or bytes are sums of their items
+times powers of an odd multiplier modulo 2**64, mixed at the end, so that every window hash of a block
+of documents costs a constant number of array passes; they are for windows of up to 64 items.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-#: Bytes hashed at once.
-BLOCK = 1 << 19
+#: Bytes hashed at once, and most bytes of a piece.
+BLOCK, PIECE = 1 << 19, 512
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -50,8 +54,8 @@ class Powers:
 class Family:
     """One of several independent hash families."""
 
-    def __init__(self, seed: int):
-        draw = stream(seed, 258)
+    def __init__(self, seed: int, half: int):
+        self.half, draw = half, stream(seed, 258)
         self.table = draw[:256].copy()
         p = (int(draw[256]) & ~7) | 5  # 5 modulo 8: the multiplicative order is as long as can be
         q = (int(draw[257]) & ~7) | 5
@@ -59,14 +63,21 @@ class Family:
         self.p_inverse, self.q_inverse = Powers(pow(p, -1, 2**64)), Powers(pow(q, -1, 2**64))
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of the given byte ranges; equal bytes have equal hashes wherever they stand.
+        """Hashes of the given byte ranges; equal bytes have equal hashes wherever they stand."""
+        return word_pairs(data, starts, ends)[self.half]
+
+    def pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges of at most PIECE bytes each, from running sums.
 
-        Ranges are taken a block of bytes at a time, so the arrays of 64-bit values stay small.
+        As all polynomials modulo a power of two, these have collisions by construction among ranges
+        of 1,024 bytes and more; ranges that long are refused.
         """
+        if len(starts) and int((ends - starts).max()) > PIECE:
+            raise ValueError(f"a piece has at most {PIECE} bytes")
         if len(starts) > 1 and (starts[1:] < starts[:-1]).any():
             order = np.argsort(starts, kind="stable")
             out = np.empty(len(starts), dtype=np.uint64)
-            out[order] = self.words(data, starts[order], ends[order])
+            out[order] = self.pieces(data, starts[order], ends[order])
             return out
         out = np.empty(len(starts), dtype=np.uint64)
         at = 0
@@ -102,7 +113,61 @@ class Family:
 
 
 #: Two families: together they identify a window by 128 bits.
-FIRST, SECOND = Family(0x5EED1), Family(0x5EED2)
+FIRST, SECOND = Family(0x5EED1, 0), Family(0x5EED2, 1)
+
+#: Keys of the rounds of the permutation, and of the digest of longer words.
+ROUNDS, LONG = stream(0xF0E1D2C3, 6), b"words of more than 16 bytes"
+TAILS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], dtype=np.uint64)
+
+
+def word_pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each byte range. Ranges of up to 16 bytes that differ never have equal pairs, but for ones that end in NUL."""
+    n = len(starts)
+    if not n:
+        return np.zeros(0, U), np.zeros(0, U)
+    size = (ends - starts).astype(np.int64)
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    block = np.ndarray((len(data) + 9,), "<u8", padded.data, 0, (1,))
+    left = block[starts] & TAILS[np.minimum(size, 8)]
+    more = np.clip(size - 8, 0, 8)
+    right = np.where(more > 0, block[np.minimum(starts + 8, len(data))] & TAILS[more], U(0))
+    left ^= np.minimum(size, 17).astype(np.uint64) * U(0xD6E8FEB86659FD93)
+    for key in ROUNDS:
+        left, right = right, left ^ mix(right + key)
+    long_ = np.flatnonzero(size > 16)
+    if len(long_):
+        raw = memoryview(np.ascontiguousarray(data))
+        digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=16, key=LONG).digest() for a, b in zip(starts[long_].tolist(), ends[long_].tolist())])
+        both = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        left[long_], right[long_] = both[:, 0], both[:, 1]
+    return left, right
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, one: np.ndarray, number: np.ndarray) -> bool:
+    """Whether every range has the bytes of range ``one[number]``; a chunk of ranges at a time."""
+    size = ends - starts
+    if (size != size[one][number]).any():
+        return False
+    done = np.cumsum(size)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + BLOCK, "right")))
+        like = starts[one[number[at:to]]]
+        if (data[ragged(starts[at:to], size[at:to])] != data[ragged(like, size[at:to])]).any():
+            return False
+        at = to
+    return True
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of one range of each distinct content, and for each range the number of its content: by hash, and proved by comparing bytes."""
+    one, number = distinct(*word_pairs(data, starts, ends))
+    if same_bytes(data, starts, ends, one, number):
+        return one, number
+    known: dict[bytes, int] = {}
+    raw = data.tobytes()
+    number = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist())], dtype=np.int32)
+    return np.unique(number, return_index=True)[1], number
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:

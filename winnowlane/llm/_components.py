@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from winnowlane.llm._scratch import materialize
 
 
+#: Shares of the edges of one node, joined apart.
+SALT = 8
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the least around u; those of a node with very many are no single task's load."""
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(copies, ["u", "salt"]).drop("salt")
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """Hang each node's smaller neighbours, and itself, on the least of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    hung = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hung = _with_least(edges, least).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select("u", F.col("m").alias("v")))
 
 
@@ -33,6 +43,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         around = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         # large star: neighbours larger than the node hang on the least around it
-        large = around.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(around.where("v > u"), least).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         now = materialize(_star(large).distinct(), "edges")
     raise RuntimeError(f"no forest of stars after {rounds} rounds")

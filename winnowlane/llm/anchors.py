@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from winnowlane.llm import _bytes as B
 from winnowlane.llm import _exchange as X
@@ -37,10 +38,12 @@ class _Words:
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
         at = np.arange(n)
         self.index, self.left = at - self.first[:-1][self.doc], self.first[1:][self.doc] - at
-        self.width, self.block = width, (width + 1) // 2
+        self.width, self.block, self._pairs = width, (width + 1) // 2, None
 
     def hashes(self, family: B.Family) -> np.ndarray:
-        return family.words(self.data, self.starts, self.ends)
+        if self._pairs is None:
+            self._pairs = B.word_pairs(self.data, self.starts, self.ends)
+        return self._pairs[family.half]
 
     def windows(self, words: np.ndarray, family: B.Family, width: int) -> np.ndarray:
         """A hash for each word; it holds only where ``left`` >= width."""
@@ -74,7 +77,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
     Returns doc_id, n_words, n_removed, kept_sha256 (and kept_text). A null text has no words; so has
     an empty one. Texts shorter than the width keep all words. Overlapping windows within one
     document repeat each other as windows of different documents do. Rows that repeat an id are
-    documents of their own; other columns are not looked at; an empty table gives no rows.
+    documents of their own; other columns are not looked at; an empty table gives no rows. An id may be
+    of any atomic type.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     n_buckets, chunks = X.buckets(docs), X.chunk_count(docs)
@@ -126,7 +130,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = False)
         return rows(table, w, np.zeros(n, bool), [t if s or with_text else None for t, s in zip(texts, some)], marks)
 
     mid_names = ["doc_id", "n_words", "n_removed", "kept_sha256", "chunk", "text", "marks"]
-    mid_types = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind], pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.binary()]
+    mid_types = [to_arrow_type(docs.schema["doc_id"].dataType), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.binary()]
     mid = materialize(X.exchange(dealt, ask, answer, anchor, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, chunk int, text string, marks binary"), "anchors")
     open_ = X.deal(mid.where("marks IS NOT NULL").select("doc_id", "chunk", "text", "marks"))
 

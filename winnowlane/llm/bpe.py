@@ -178,7 +178,7 @@ class Codec:
         starts, ends, first = B.word_bounds(data, offsets)
         if not len(starts):
             return [], np.zeros(0, np.int32), first
-        which, inverse = B.distinct(B.FIRST.words(data, starts, ends), B.SECOND.words(data, starts, ends))
+        which, inverse = B.distinct_words(data, starts, ends)
         return self.encode_words(B.slices(data, starts[which], ends[which]).to_pylist()), inverse, first
 
     def encode_column(self, texts) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +206,7 @@ class Codec:
         """Number of ids of each text; then its ids as little-endian 32-bit integers, and UTF-8 of the decoded text."""
         data, offsets = B.text_buffer(texts)
         starts, ends, first = B.word_bounds(data, offsets)
-        which, inverse = B.distinct(B.FIRST.words(data, starts, ends), B.SECOND.words(data, starts, ends)) if len(starts) else (starts, starts)
+        which, inverse = B.distinct_words(data, starts, ends) if len(starts) else (starts, starts)
         words = B.slices(data, starts[which], ends[which]).to_pylist()
         seen = self.seen
         if len(seen) > KNOWN:

@@ -28,6 +28,7 @@ LENGTH, GRAM = 50, 28
 #: Bytes of stored documents for each chunk: a chunk's work takes some hundred bytes of memory for each of text.
 CHUNK_BYTES = 1_000_000
 NO_ID = 2**63 - 1
+SALT = 16
 U = np.uint64
 HEAD = np.dtype([("size", "<u2"), ("at", "<u2"), ("least", "<i8")])
 
@@ -114,7 +115,9 @@ def _copies(docs: DataFrame, length: int) -> DataFrame:
     """
     ids = docs.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).select("doc_id", F.sha2("text", 256).alias("digest"), F.xxhash64("text").alias("print"))
     least = ids.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("most > least").select("digest", "least")
-    found = ids.join(least, "digest").where("doc_id > least").select("doc_id", F.lit(None).cast("string").alias("text"), "print").distinct()
+    # a digest that very many documents have is shared among tasks
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    found = ids.withColumn("salt", F.pmod("doc_id", F.lit(SALT)).cast("int")).join(least, ["digest", "salt"]).where("doc_id > least").select("doc_id", F.lit(None).cast("string").alias("text"), "print").distinct()
     return found.withColumn("copy", F.lit(True))
 
 
@@ -210,7 +213,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         at = np.flatnonzero(np.concatenate(bits))
         start, stop = b.start[at], b.stop[at]
         offset = (b.gram_at[at] - start).astype(np.uint64)
-        one, number = B.distinct(B.FIRST.words(b.data, start, stop) + B.mix(offset), B.SECOND.words(b.data, start, stop))
+        one, number = B.distinct(B.FIRST.pieces(b.data, start, stop) + B.mix(offset), B.SECOND.pieces(b.data, start, stop))
         least = np.full(len(one), NO_ID)
         ids = ids_of(table)
         np.minimum.at(least, number, ids[b.owner[at]])
@@ -238,12 +241,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         data = np.frombuffer(b"".join(table.column("extra").to_pylist()), np.uint8)
         size = head["size"].astype(np.int64)
         start = np.cumsum(size) - size
-        one, number = B.distinct(B.FIRST.words(data, start, start + size) + B.mix(head["at"].astype(np.uint64)), B.SECOND.words(data, start, start + size))
+        one, number = B.distinct(B.FIRST.pieces(data, start, start + size) + B.mix(head["at"].astype(np.uint64)), B.SECOND.pieces(data, start, start + size))
         least = np.full(len(one), NO_ID)
         np.minimum.at(least, number, head["least"])
         gram = start[one] + head["at"][one]
         width = min(GRAM, length)
-        _, kind, times = np.unique(B.SECOND.words(data, gram, gram + width), return_inverse=True, return_counts=True)
+        _, kind, times = np.unique(B.SECOND.pieces(data, gram, gram + width), return_inverse=True, return_counts=True)
         mixed = np.flatnonzero(times[kind] > 1)  # distinct pieces around one gram: some of their windows may be equal
         windows = size[one] - length + 1
         begin = np.cumsum(windows) - windows
