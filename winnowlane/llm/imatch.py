@@ -1,10 +1,11 @@
 """Document fingerprints by I-Match.
 
-Terms whose inverse document frequency lies in a band are kept, the distinct ones sorted, and
-hashed under several randomised lexicons. Each draw nests its lexicons, every one half of the one
-before; a text is hashed over the smallest that still holds a term of it. All draw from the whole
-band: the document frequency of every term is asked for. So each draw depends on few
-terms, whatever the text's length, and the share of equal draws tells how alike two texts are.
+Terms whose inverse document frequency lies in a band are the lexicon; the document frequency of every
+term is asked for. Each of DRAWS randomised lexicons is a random subset of it, at a rate from a quarter down
+to 1 / 2**12, LEVELS rates in turn. The sorted distinct terms of a text that a randomised lexicon holds are hashed, all of
+them; where it holds none of a text's, the whole lexicon stands in for it. So texts that differ in a few terms
+agree under the lexicons that hold none of those, whatever their length, and the share of equal
+hashes tells how alike two texts are.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from winnowlane.llm import _bytes as B
 from winnowlane.llm import _exchange as X
 
-DRAWS = 32
+DRAWS, LEVELS = 66, 11
 #: A term is kept if at least LEAST_DOCS documents and at most this share of all documents have it.
 LEAST_DOCS, MOST_SHARE = 2, 0.1
 #: Bytes of stored documents for each chunk; the edited texts double them.
@@ -35,23 +36,28 @@ def _code_points(data: np.ndarray) -> np.ndarray:
     return (data & 0xC0) != 0x80
 
 
+def rate_bits(draw: int) -> int:
+    """The lexicon of a draw holds a term of the band with probability 2**-rate_bits."""
+    return 2 + draw % LEVELS
+
+
 def _fingerprints(text: np.ndarray, term: np.ndarray, n: int, draws: int) -> np.ndarray:
     """Hashes (n, draws) of n texts from distinct (text, term) pairs sorted by text and term; 0: no term."""
     out = np.zeros((n, draws), dtype=np.uint64)
     if not len(text):
         return out
     at = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-    lens = np.diff(np.r_[at, len(text)])
     own = B.mix(term ^ U(0xA5A5A5A5))
+    whole = np.add.reduceat(own, at)
     for k, odd in enumerate(B.stream(0x1A7C4, draws) | U(1)):
-        place = term * odd
-        least = np.minimum.reduceat(place, at)
-        # the lexicon of level l holds terms whose place begins with l zero bits; take the deepest that is not empty
-        ceiling = least.copy()
-        for s in (1, 2, 4, 8, 16, 32):
-            ceiling |= ceiling >> U(s)
-        inside = place <= np.repeat(ceiling, lens)
-        out[text[at], k] = B.mix(np.add.reduceat(np.where(inside, own, U(0)), at)) | U(1)
+        # the lexicon of a draw: terms whose place under its multiplier begins with so many zero bits
+        inside = np.flatnonzero(term * odd < U(1 << (64 - rate_bits(k))))
+        summed = whole.copy()
+        if len(inside):
+            owner = text[inside]
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            summed[np.searchsorted(text[at], owner[first])] = np.add.reduceat(own[inside], first)
+        out[text[at], k] = B.mix(summed) | U(1)
     return (out >> U(32)) | (out & U(1))
 
 
@@ -121,8 +127,14 @@ def fingerprint(docs: DataFrame, draws: int = DRAWS, least_docs: int = LEAST_DOC
     null text counts as empty. An empty text or one without words has an empty fingerprint, which is
     alike (1) to an empty one only. A text without any term in the band is hashed over all its
     terms. Documents follow each other by doc_id, equal ids by text, null ids last; a single
-    document follows itself. Document frequencies count every document.
+    document follows itself. Document frequencies count every document. Rows that repeat an id are
+    documents of their own; ids are integral, others are refused; other columns are not looked at; an
+    empty table gives no rows.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    types = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
+    if kind not in types:
+        raise TypeError(f"doc_id must be integral, not {kind}")
     dealt = _dealt(docs)
     n_buckets, total = X.buckets(docs), docs.count()
     most = max(least_docs, math.floor(total * most_share))
@@ -165,8 +177,6 @@ def fingerprint(docs: DataFrame, draws: int = DRAWS, least_docs: int = LEAST_DOC
             pa.array(texts[: c.n], pa.string()), pa.array(texts[offset:], pa.string()), pa.array((own == edited).mean(axis=1)), pa.array((own == after).mean(axis=1)),
         ], schema=out)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    types = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
     out = pa.schema([("doc_id", types[kind]), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
     return X.exchange(dealt, ask, answer, finish, schema)
