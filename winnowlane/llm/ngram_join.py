@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnowlane.llm import _blocks
@@ -73,15 +73,8 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int = ROWS) -> np.ndarr
     return out
 
 
-def link(docs: DataFrame, jaccard: float = JACCARD, width: int = WORDS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links and kept of each document.
-
-    Documents whose sets of shingles have a Jaccard similarity of at least ``jaccard`` are linked;
-    n_links counts the other documents linked directly, class_id is the smallest doc_id reachable by
-    links, kept marks the document of that id. Documents without words (null, empty) link with
-    nothing; those with fewer than ``width`` words have one shingle of them all. Rows that repeat an id count
-    as documents of their own and are one node. Rows without an id link with nothing.
-    """
+def _classed(docs: DataFrame, jaccard: float = JACCARD, width: int = WORDS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """doc_id, print (a hash of the text), node (of the row's class), class_id and n_links of each row."""
     bands = bands_for(jaccard, ROWS, miss)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,17 +87,18 @@ def link(docs: DataFrame, jaccard: float = JACCARD, width: int = WORDS, miss: fl
                 for i, c in zip(some, signatures([sets[i] for i in some], bands).view(np.int64)):
                     codes[i] = c.tolist()
             none = np.array([c is None for c in codes])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "k1": pa.array(k1, mask=none), "k2": pa.array(k2, mask=none), "codes": pa.array(codes, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "print": batch.column("print"), "k1": pa.array(k1, mask=none), "k2": pa.array(k2, mask=none), "codes": pa.array(codes, pa.list_(pa.int64()))})
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = materialize(plain.mapInArrow(sketch, "doc_id long, k1 long, k2 long, codes array<long>"), "sketches")
+    base = materialize(plain.withColumn("print", F.xxhash64("text")).mapInArrow(sketch, "doc_id long, print long, k1 long, k2 long, codes array<long>"), "sketches")
     sound = base.where("k1 IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(sound.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min("codes").alias("codes")), "classes")
-    held = classes.select("rep", F.explode("codes").alias("band"))
+    classes = materialize(sound.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min("codes").alias("codes")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    # nodes are classes of equal sets, not ids: two texts under one id are two nodes
+    held = classes.select(F.col("node").alias("rep"), F.explode("codes").alias("band"))
     hubs = held.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("band", "hub")
     met = held.join(hubs, "band").where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     near = components(met)
-    members = near.withColumnRenamed("node", "doc_id").join(classes.select(F.col("rep").alias("doc_id"), "n", "k1", "k2"), "doc_id")
+    members = near.join(classes.select("node", F.col("rep").alias("doc_id"), "n", "k1", "k2"), "node")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text"):
@@ -112,19 +106,19 @@ def link(docs: DataFrame, jaccard: float = JACCARD, width: int = WORDS, miss: fl
             k1, k2 = _set_keys(sets)
             # of rows that repeat an id, the one whose set is meant
             right = np.flatnonzero((k1 == batch.column("k1").to_numpy()) & (k2 == batch.column("k2").to_numpy()))
-            keep = batch.select(["doc_id", "component", "n", "k1"]).take(pa.array(right))
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array([sets[i].tobytes() for i in right], pa.binary())], ["doc_id", "component", "n", "k1", "shingles"])
+            keep = batch.select(["node", "component", "n"]).take(pa.array(right))
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array([sets[i].tobytes() for i in right], pa.binary())], ["node", "component", "n", "shingles"])
 
-    texts = plain.join(members, "doc_id").mapInArrow(gather, "doc_id long, component long, n long, k1 long, shingles binary")
+    texts = plain.join(members, "doc_id").mapInArrow(gather, "node long, component long, n long, shingles binary")
 
     def work(table: pa.Table, bounds: np.ndarray) -> pa.Table:
-        ids, n = table.column("doc_id").to_numpy(), table.column("n").to_numpy().astype(np.float64)
-        own, i, j, k1 = (table.column(c).to_numpy() for c in ("own", "i", "j", "k1"))
+        ids, n = table.column("node").to_numpy(), table.column("n").to_numpy().astype(np.float64)
+        own, i, j = (table.column(c).to_numpy() for c in ("own", "i", "j"))
         packed = table.column("shingles").to_pylist()
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for x, y in zip(bounds[:-1], bounds[1:]):
             # rows that repeat an id and a text appear once
-            _, here = np.unique(np.stack([ids[x:y], k1[x:y]]), axis=1, return_index=True)
+            _, here = np.unique(ids[x:y], return_index=True)
             here = np.sort(here) + x
             a, b = _similar([np.frombuffer(packed[r], U) for r in here], jaccard)
             a, b = here[a], here[b]
@@ -133,13 +127,27 @@ def link(docs: DataFrame, jaccard: float = JACCARD, width: int = WORDS, miss: fl
         a, b = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, np.int64) for s in (0, 1))
         return _blocks.rows(ids, n, a, b)
 
-    checked = materialize(_blocks.compare(_blocks.paired(texts, "component", "doc_id", block), "component", work), "links")
+    checked = materialize(_blocks.compare(_blocks.paired(texts, "component", "node", block), "component", work), "links")
     linked = checked.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     grouped = components(checked.where("b IS NOT NULL").select("a", "b"))
-    of_class = classes.select("k1", "k2", "rep", "n").join(linked.withColumnRenamed("a", "rep"), "rep", "left").join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
-    out = base.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("k1")).alias("k1"), "k2").join(of_class, ["k1", "k2"], "left")
-    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    joined = classes.select("k1", "k2", "node", "rep", "n").join(linked.withColumnRenamed("a", "node"), "node", "left").join(grouped, "node", "left")
+    joined = joined.select("k1", "k2", F.coalesce("component", "node").alias("node"), "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    least = joined.groupBy("node").agg(F.min("rep").alias("class_id"))
+    of_class = joined.drop("rep").join(least, "node")
+    return base.select("doc_id", "print", F.when(F.col("doc_id").isNotNull(), F.col("k1")).alias("k1"), "k2").join(of_class, ["k1", "k2"], "left")
+
+
+def link(docs: DataFrame, **params) -> DataFrame:
+    """doc_id, class_id, n_links and kept of each row; parameters: jaccard, width, miss, block.
+
+    Documents whose sets of shingles have a Jaccard similarity of at least ``jaccard`` are linked;
+    n_links counts the other documents linked directly, class_id is the smallest doc_id reachable by
+    links, kept marks the document of that id. Documents without words (null, empty) link with
+    nothing; those with fewer than ``width`` words have one shingle of them all. Rows that repeat an id are
+    documents of their own. Rows without an id link with nothing. Other columns are not looked at; an empty
+    table gives no rows.
+    """
+    out = _classed(docs, **params).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
@@ -169,8 +177,19 @@ def _similar(sets: list[np.ndarray], jaccard: float) -> tuple[np.ndarray, np.nda
 def keep_one(docs: DataFrame, **params) -> DataFrame:
     """The rows of docs, all columns, of one document for each class: that of the smallest doc_id.
 
-    Rows that repeat an id are one document; one of them stays. Rows without an id all stay.
+    Of rows of that id in one class the text of the least hash stays, and of rows equal in id and text the
+    one whose other columns have the least hash (columns of maps are not looked at for this). Two texts under
+    one id that are not alike both stay. Rows without an id and those without words all stay.
     """
-    kept = link(docs, **params).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    stay = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    classed = _classed(docs, **params)
+    winner = classed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "print")).alias("w"))
+    # the same id and text is one class, so each winner is of one class only
+    winners = winner.select(F.col("w.doc_id").alias("_id"), F.col("w.print").alias("_print"))
+    silent = classed.where("node IS NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct()
+    marked = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_print", F.xxhash64("text"))
+    every = winners.withColumn("_one", F.lit(True)).unionByName(silent.withColumn("_one", F.lit(False)))
+    stay = marked.where("doc_id IS NOT NULL").join(every, ["_id", "_print"])
+    rest = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    nth = F.row_number().over(Window.partitionBy("_id", "_print").orderBy(F.xxhash64(*rest)))
+    stay = stay.withColumn("_n", nth).where("_n = 1 OR NOT _one")
     return stay.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
