@@ -36,6 +36,8 @@ SUPPORT = 1
 PRIOR_DOCS = 1.0
 #: The share of an entity's information from which a term discloses it.
 DISCLOSURE = 0.8
+#: In documents without the entity a term goes that more likely than not points to it.
+ELSEWHERE = 0.5
 MASK = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>", "number": "<NUMBER>"}
 
 
@@ -59,22 +61,49 @@ def _valid(kind: str, found: Column) -> Column:
 
 
 _SPAN = "array<struct<start:bigint,stop:bigint,found:string>>"
+#: Spans that a fold gathers before it hands them on: appending to an array copies it.
+RUN = 128
+#: Shares of the rows of one (entity, term) or term, joined apart.
+SALT = 16
+#: Terms marked in documents without the entity are broadcast up to so many; beyond it they are joined salted.
+BROADCAST_TERMS = 200_000
+
+
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _folded(items: Column, state: Column, kind: str, step) -> Column:
+    """What a fold over an array puts out, RUN items at a time. step(state, item): the next state and one thing put out."""
+
+    def inner(acc: Column, x: Column) -> Column:
+        return _let(step(acc["state"], x), lambda got: F.struct(got["state"].alias("state"), F.concat(acc["out"], F.array(got["out"])).cast(f"array<{kind}>").alias("out")))
+
+    def outer(acc: Column, run: Column) -> Column:
+        one = F.aggregate(run, F.struct(acc["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out")), inner)
+        return _let(one, lambda got: F.struct(got["state"].alias("state"), F.concat(acc["out"], F.array(got["out"])).cast(f"array<array<{kind}>>").alias("out")))
+
+    def whole(all_: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda i: F.slice(all_, i * RUN + 1, F.lit(RUN)))
+        start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.when(F.size(all_) > 0, F.flatten(F.aggregate(runs, start, outer, lambda acc: acc["out"]))).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return _let(items, whole)
 
 
 def _positions(text: Column, pattern: Column | str) -> Column:
     """All leftmost matches with their code points: gaps and matches alternate, so their lengths add up."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("spans"))
+    pairs = _let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        stop = begin + F.length(x["hit"])
-        return F.struct(stop.cast("bigint").alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"), x["hit"].alias("found")))).cast(_SPAN).alias("spans"))
+    def step(at: Column, x: Column) -> Column:
+        begin = (at + x["gap"]).cast("bigint")
+        stop = (begin + F.length(x["hit"])).cast("bigint")
+        return F.struct(stop.alias("state"), F.struct(begin.alias("start"), stop.alias("stop"), x["hit"].alias("found")).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+    return _folded(pairs, F.lit(0).cast("bigint"), "struct<start:bigint,stop:bigint,found:string>", step)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -112,7 +141,8 @@ def disclosing(held: DataFrame, docs: DataFrame, total: int, support: int = SUPP
     ``held``: text and entities of documents that have any. With N documents, n(e) of them with the
     entity, n(t) with the term and n(e,t) with both, p(e) is n(e) / N and p(e|t) is smoothed:
     (n(e,t) + a p(e)) / (n(t) + a) for a = PRIOR_DOCS. A term reveals log(p(e|t) / p(e)) of the
-    -log p(e) of an entity. Entities in fewer than ``support`` documents are not protected.
+    -log p(e) of an entity. Entities in fewer than ``support`` documents are not protected. Each row counts
+    once, also where rows repeat. Column ``given`` is p(e|t).
     """
     seen = held.select(F.explode(F.array_distinct("entities")).alias("entity"), "text")
     protected = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
@@ -122,17 +152,32 @@ def disclosing(held: DataFrame, docs: DataFrame, total: int, support: int = SUPP
     rate = F.col("n_entity") / F.lit(float(total))
     given = (F.col("n_both") + PRIOR_DOCS * rate) / (F.col("n_term") + PRIOR_DOCS)
     content = -F.log(rate)
-    return told.where((content > 0) & (F.log(given / rate) >= threshold * content)).select("entity", "term")
+    return told.where((content > 0) & (F.log(given / rate) >= threshold * content)).select("entity", "term", given.alias("given"))
+
+
+def _salted(rows: DataFrame, by: str, few: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join with unique keys, the rows of one key shared among SALT tasks."""
+    few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_salt", F.pmod(F.col(by), F.lit(SALT)).cast("int")).join(few, [*on, "_salt"]).drop("_salt")
+
+
+def _pointing(docs: DataFrame, pairs: DataFrame, elsewhere: float, broadcast: int = BROADCAST_TERMS) -> DataFrame:
+    """row and term of each document that holds a term whose documents have its entity with probability ``elsewhere`` or more."""
+    telling = pairs.where(F.col("given") >= elsewhere).select("term").distinct()
+    held = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.explode(_terms(F.col("text"))).alias("term"))
+    return held.join(F.broadcast(telling), "term") if telling.count() <= broadcast else _salted(held, "row", telling, ["term"])
 
 
-def find(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
+def find(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE, elsewhere: float | None = None, broadcast: int = BROADCAST_TERMS) -> DataFrame:
     """All columns of docs, and ``_base`` and ``_all``: arrays of (kind, start, stop), in order of kind and start.
 
-    A null text is empty and has no spans. Texts that hold no protected entity get base spans only.
-    Terms within a base span are not marked again. Rows that repeat an id are documents of
-    their own; clashing names (_base, _all) are refused; an empty table gives no rows.
+    Disclosing terms are marked in the documents that hold the entity; with ``elsewhere`` those whose
+    documents have the entity with that probability or more are marked in every document that holds them. A null
+    text is empty and has no spans. Terms that overlap a base span are not marked again. Rows that repeat an
+    id are documents of their own; clashing names (_base, _all) are refused; an empty table gives no
+    rows.
     """
-    clash = {"_base", "_all", "_row", *(f"_{k}" for k in PATTERNS)} & set(docs.columns)
+    clash = {"_base", "_all", "_row", "_salt", "_terms", *(f"_{k}" for k in PATTERNS)} & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist already")
     row = F.xxhash64("doc_id", "text")
@@ -140,23 +185,25 @@ def find(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE)
     any_ = " + ".join(f"size(_{k})" for k in PATTERNS) + " > 0"
     entities = F.concat(*map(_entities, PATTERNS))
     held = materialize(found.where(any_).select(row.alias("row"), "text", entities.alias("entities")), "entities")
-    pairs = disclosing(held, docs, docs.count(), support, threshold)
+    pairs = materialize(disclosing(held, docs, docs.count(), support, threshold), "disclosing")
     # the terms of each document with an entity: bounded by its own words, however many an entity has elsewhere
     mine = held.select("row", "text", F.explode(F.array_distinct("entities")).alias("entity")).select("row", "entity", F.explode(_terms(F.col("text"))).alias("term"))
-    mine = mine.join(pairs, ["entity", "term"])
+    mine = _salted(mine, "row", pairs.select("entity", "term"), ["entity", "term"]).select("row", "term")
+    if elsewhere is not None:
+        mine = mine.unionByName(_pointing(docs, pairs, elsewhere, broadcast).select("row", "term"))
     mine = mine.groupBy("row").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
     mine = materialize(mine, "terms").withColumnRenamed("row", "_row")
     base = F.concat(*[_kinded(F.col(f"_{k}"), k) for k in PATTERNS])
     out = detect(docs).withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_base", base)
     plain = out.drop(*[f"_{k}" for k in PATTERNS])
-    quiet = plain.where(F.size("_base") == 0).withColumn("_all", F.col("_base")).drop("_row")
-    loud = plain.where(F.size("_base") > 0).join(mine, "_row", "left")
+    quiet = plain.where(F.size("_base") == 0).withColumn("_all", F.col("_base")).drop("_row") if elsewhere is None else None
+    loud = (plain if elsewhere is not None else plain.where(F.size("_base") > 0)).join(mine, "_row", "left")
     # whole words only; the pattern of a text lists its own terms
     words = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.col("_terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     marked = _kinded(_positions(F.col("text"), words), "term")
     free = F.filter(marked, lambda t: ~F.exists(F.col("_base"), lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
     loud = loud.withColumn("_all", F.when(F.col("_terms").isNull(), F.col("_base")).otherwise(F.concat("_base", free))).drop("_row", "_terms")
-    return quiet.unionByName(loud)
+    return loud if quiet is None else quiet.unionByName(loud)
 
 
 def _joined(spans: Column) -> Column:
@@ -184,19 +231,20 @@ def sanitise(docs: DataFrame, **params) -> DataFrame:
     found = find(docs, **params)
     # base spans of different kinds may overlap: one that begins within another is covered by it
     ordered = F.array_sort(F.transform("_all", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("stop"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
+    def step(at: Column, s: Column) -> Column:
         stop = -s["stop"]
         own = F.substr(F.col("text"), (s["start"] + 1).cast("int"), (stop - s["start"]).cast("int"))
         name = F.when(s["kind"] == "term", F.when(own.rlike("^[0-9]+$"), F.lit(MASK["number"])).otherwise(F.lit(MASK["term"])))
         for k in PATTERNS:
             name = name.when(s["kind"] == k, F.lit(MASK[k]))
-        gap = F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - acc["at"]).cast("int"))
-        new = F.concat(acc["out"], gap, F.when(s["start"] >= acc["at"], name).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], stop).cast("bigint").alias("at"), new.alias("out"))
+        gap = F.substr(F.col("text"), (at + 1).cast("int"), F.greatest(F.lit(0), s["start"] - at).cast("int"))
+        piece = F.concat(gap, F.when(s["start"] >= at, name).otherwise(F.lit("")))
+        return F.struct(F.greatest(at, stop).cast("bigint").alias("state"), piece.alias("out"))
 
-    text = F.aggregate(ordered, begin, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    last = F.aggregate("_all", F.lit(0).cast("bigint"), lambda acc, s: F.greatest(acc, s["stop"]))
+    tail = F.substr(F.col("text"), (last + 1).cast("int"), F.length("text"))
+    text = F.concat(F.array_join(_folded(ordered, F.lit(0).cast("bigint"), "string", step), ""), tail)
     clean = F.when(F.size("_all") > 0, text).otherwise(F.col("text"))
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
