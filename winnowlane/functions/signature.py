@@ -36,11 +36,16 @@ def hamming(hi1: Column, lo1: Column, hi2: Column, lo2: Column) -> Column:
 
 def from_vector(v: Column) -> Column:
     """Signature of 64 numbers: bit i is set if number i is above the median of numbers 1 to 63; bit 0 never."""
-    rest = F.array_sort(F.slice(v, 2, 63))
-    middle = F.element_at(rest, 32)
-    bit = lambda i: F.when(F.element_at(v, i + 1) > middle, F.lit(1 << (31 - i % 32)).cast("long")).otherwise(F.lit(0).cast("long"))
-    add = lambda lo, hi: sum((bit(i) for i in range(lo + 1, hi)), bit(lo) if lo else F.lit(0).cast("long"))
-    return F.when(F.size(v) == 64, F.struct(add(0, 32).alias("hi"), add(32, 64).alias("lo")))
+    zero = F.lit(0).cast("long")
+
+    def packed(middle: Column) -> Column:
+        bits = F.transform(v, lambda x, i: F.when((i > 0) & (x > middle), 1).otherwise(0).cast("long"))
+        half = lambda at: F.aggregate(F.slice(bits, at, 32), zero, lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+        return F.struct(half(1).alias("hi"), half(33).alias("lo"))
+
+    # the median is bound once, not worked out again for every bit
+    middle = F.array(F.element_at(F.sort_array(F.slice(v, 2, 63)), 32))
+    return F.when(F.size(v) == 64, F.get(F.transform(middle, packed), F.lit(0)))
 
 
 @pandas_udf(T.LongType())
@@ -89,6 +94,47 @@ def gradient_hash(grey: np.ndarray) -> str:
     return _hex(g[:, :-1] > g[:, 1:])
 
 
+def ingest_hash(grey: np.ndarray) -> str:
+    """Signs of horizontal steps of a grid of 8 rows and 9 columns sampled between pixels; set where it brightens to the right.
+
+    A family of its own: neither its sampling nor its sense is gradient_hash()'s.
+    """
+    h, w = grey.shape
+    g = grey.astype(float)
+
+    def sample(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = (np.arange(n) + 0.5) * size / n - 0.5
+        low = np.floor(at).astype(int)
+        return np.clip(low, 0, size - 1), np.clip(low + 1, 0, size - 1), at - low
+
+    y0, y1, ty = sample(8, h)
+    x0, x1, tx = sample(9, w)
+    upper = g[np.ix_(y0, x0)] * (1 - tx) + g[np.ix_(y0, x1)] * tx
+    lower = g[np.ix_(y1, x0)] * (1 - tx) + g[np.ix_(y1, x1)] * tx
+    small = upper * (1 - ty)[:, None] + lower * ty[:, None]
+    return _hex(small[:, :-1] < small[:, 1:])
+
+
+def raw_sharpness(grey: np.ndarray) -> float:
+    """Variance of the Laplacian as it is, to two decimals; 0 of images under three pixels."""
+    if min(grey.shape) < 3:
+        return 0.0
+    g = grey.astype(float)
+    lap = g[1:-1, :-2] + g[1:-1, 2:] + g[:-2, 1:-1] + g[2:, 1:-1] - 4 * g[1:-1, 1:-1]
+    return float(np.floor(lap.var() * 100 + 0.5) / 100)
+
+
+def fitted(w: int, h: int, longest: int) -> tuple[int, int]:
+    """Width and height brought down so that the longer side is at most so many pixels; never up."""
+    scale = min(1.0, longest / max(w, h))
+    return max(1, int(np.floor(w * scale + 0.5))), max(1, int(np.floor(h * scale + 0.5)))
+
+
+def turned(grey: np.ndarray, quarter_turns: int, mirrored: bool) -> np.ndarray:
+    """An image mirrored left to right, if it is to be, and then turned clockwise."""
+    return np.rot90(grey[:, ::-1] if mirrored else grey, -quarter_turns)
+
+
 @lru_cache(maxsize=1)
 def _cosines() -> np.ndarray:
     n = np.arange(GRID)
@@ -115,6 +161,26 @@ def sharpness(grey: np.ndarray) -> float:
     return max(0.0, float(lap.var() / max(g.var(), 1e-6)))
 
 
+#: Longest edges of the images derived from each.
+PREVIEW, THUMB = 1600, 320
+
+
+@pandas_udf(T.StructType([T.StructField("w", T.IntegerType()), T.StructField("h", T.IntegerType()), T.StructField("preview_w", T.IntegerType()), T.StructField("preview_h", T.IntegerType()), T.StructField("thumb_w", T.IntegerType()), T.StructField("thumb_h", T.IntegerType()), T.StructField("thumb", T.BinaryType()), T.StructField("hash", T.StringType()), T.StructField("sharp", T.DoubleType()), T.StructField("err", T.StringType())]))
+def derivatives(grey: pd.Series, w: pd.Series, h: pd.Series, turns: pd.Series, mirrored: pd.Series) -> pd.DataFrame:
+    """From decoded grey images in one pass: upright sides, sides of the preview, the thumbnail's grey bytes, its hash of ingest and sharpness; failures go to err."""
+    out = []
+    for pixels, width, height, r, f in zip(grey, w, h, turns, mirrored):
+        try:
+            g = turned(np.asarray(pixels, float).reshape(int(height), int(width)), int(r), bool(f))
+            uh, uw = g.shape
+            (pw, ph), (tw, th) = fitted(uw, uh, PREVIEW), fitted(uw, uh, THUMB)
+            small = shrink(g, th, tw) if (tw, th) != (uw, uh) else g
+            out.append((uw, uh, pw, ph, tw, th, np.clip(np.floor(small + 0.5), 0, 255).astype(np.uint8).tobytes(), ingest_hash(small), raw_sharpness(small), None))
+        except Exception as e:  # one bad row must not end the job
+            out.append((*[None] * 9, str(e)[:200]))
+    return pd.DataFrame(out, columns=["w", "h", "preview_w", "preview_h", "thumb_w", "thumb_h", "thumb", "hash", "sharp", "err"])
+
+
 @pandas_udf(T.StructType([T.StructField("dhash", T.StringType()), T.StructField("phash", T.StringType()), T.StructField("sharp", T.DoubleType()), T.StructField("err", T.StringType())]))
 def image_features(grey: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
     """Hashes and sharpness of decoded grey images (array of numbers, row by row); failures go to err.

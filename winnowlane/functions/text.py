@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Names that some file systems keep for devices.
+# Names that some file systems keep for devices, and units of size.
 DEVICE = r"(?i)^(con|prn|aux|nul|com[0-9]|lpt[0-9])(\..*)?$"
+SIZE_UNITS = ("B", "KB", "MB", "GB", "TB")
+_SPACES = r"(?U)\s+"
 
 
 def path_segment(s: Column) -> Column:
     """One safe path segment: separators and controls become hyphens, at most 80 characters, never empty."""
-    x = F.regexp_replace(F.coalesce(s.cast("string"), F.lit("")), r'[/\\:*?"<>|\x00-\x1F\x7F]', "-")
-    x = F.trim(F.regexp_replace(x, r"\s+", " "))
+    x = F.regexp_replace(F.coalesce(s.cast("string"), F.lit("")), r'[/\\:*?"<>|\x00-\x1F]', "-")
+    x = F.trim(F.regexp_replace(x, _SPACES, " "))
     x = F.regexp_replace(x, r"^\.+", "")
     x = F.regexp_replace(F.left(x, F.lit(80)), r"[. ]+$", "")
     return F.when(x.rlike(DEVICE), F.concat(x, F.lit("_"))).when(x == "", F.lit("_")).otherwise(x)
 
 
 def file_safe(s: Column) -> Column:
-    """Runs of unsafe characters and white space become one underscore."""
-    return F.regexp_replace(s, r'[/\\:*?"<>|\x00-\x1F\s]+', "_")
+    """Runs of unsafe characters and white space become one underscore, no dot or space at the end, never empty."""
+    x = F.regexp_replace(F.regexp_replace(s, r'(?U)[/\\:*?"<>|\x00-\x1F\s]+', "_"), r"[. ]+$", "")
+    return F.when(x == "", F.lit("_")).otherwise(x)
 
 
 def slug(s: Column) -> Column:
@@ -30,19 +33,20 @@ def slug(s: Column) -> Column:
 
 
 def output_name(name: Column, ordinal: Column | None = None, label: Column | None = None) -> Column:
-    """[ordinal]_[slug]_name; parts that are null or empty are left out."""
-    parts = [ordinal if ordinal is not None else F.lit(None).cast("string"), F.nullif(slug(label), F.lit("")) if label is not None else F.lit(None).cast("string"), file_safe(name)]
+    """[ordinal]_[slug]_name; parts that are null or empty are left out, and the original name stays as it is."""
+    parts = [ordinal if ordinal is not None else F.lit(None).cast("string"), F.nullif(slug(label), F.lit("")) if label is not None else F.lit(None).cast("string"), name]
     return F.concat_ws("_", *parts)
 
 
 def tag_name(s: Column) -> Column:
-    """A tag's name: single spaces, trimmed, at most 32 characters."""
-    return F.trim(F.left(F.trim(F.regexp_replace(s, r"\s+", " ")), F.lit(32)))
+    """A tag's name: slashes and controls become spaces, single spaces, trimmed, at most 32 characters; null becomes empty."""
+    x = F.regexp_replace(F.coalesce(s, F.lit("")), r"[\x00-\x1F/\\]", " ")
+    return F.left(F.trim(F.regexp_replace(x, _SPACES, " ")), F.lit(32))
 
 
 def clean_text(s: Column) -> Column:
-    """Metadata text without controls, trimmed, at most 96 characters; null if nothing is left."""
-    x = F.trim(F.regexp_replace(F.regexp_replace(s, r"[\x00-\x1F\x7F]+", " "), r"\s+", " "))
+    """Metadata text without controls and replacement marks, trimmed, at most 96 characters; null if nothing is left."""
+    x = F.trim(F.regexp_replace(F.regexp_replace(s, "[\\x00-\\x1F\\x7F�]", ""), _SPACES, " "))
     return F.nullif(F.left(x, F.lit(96)), F.lit(""))
 
 
@@ -63,18 +67,30 @@ def csv_number(x: Column) -> Column:
     return F.when(d.isNull() | F.isnan(d) | (F.abs(d) == float("inf")), F.lit("")).otherwise(x.cast("string"))
 
 
-def natural_key(s: Column, width: int = 12) -> Column:
-    """A sort key under which img2 precedes img10: runs of digits are padded with zeros.
+def number_text(x: Column) -> Column:
+    """A number without a fraction that is zero: 50, 6.8."""
+    d = x.cast("double")
+    return F.when(d == F.floor(d), d.cast("long").cast("string")).otherwise(d.cast("string"))
+
+
+def natural_key(s: Column) -> Column:
+    """A sort key under which img2 precedes img10: runs of digits, however long, are preceded by their length.
 
-    Digits and all else are compared by code point in lower case; locale rules are not.
+    Digits and all else are compared by code point in lower case; locale rules are not. Texts that differ
+    in leading zeros or case only have equal keys.
     """
-    parts = F.regexp_extract_all(F.lower(s), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, width, "0")).otherwise(p)), "")
+    parts = F.regexp_extract_all(F.lower(s), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+
+    def part(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=[0-9])", "")
+        return F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(p)
+
+    return F.array_join(F.transform(parts, part), "")
 
 
 def extension(name: Column) -> Column:
-    """Lower-case text after the last dot; empty without one."""
-    return F.lower(F.regexp_extract(name, r"\.([^./\\]*)$", 1))
+    """Lower-case letters and digits after the last dot; empty without any."""
+    return F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
 
 
 def ordinal(rank: Column, total: Column) -> Column:
@@ -88,13 +104,13 @@ def round_half_up(x: Column) -> Column:
 
 
 def bytes_text(n: Column) -> Column:
-    """Size in B, KB, MB or GB."""
-    return (
-        F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
-        .when(n < 1024**2, F.concat(F.format_string("%.0f", n / 1024.0), F.lit(" KB")))
-        .when(n < 1024**3, F.concat(F.format_string("%.1f", n / 1024.0**2), F.lit(" MB")))
-        .otherwise(F.concat(F.format_string("%.2f", n / 1024.0**3), F.lit(" GB")))
-    )
+    """Size in the largest unit of 1 or more, up to TB: one decimal below ten, none from there; 0 B of nothing or null."""
+    out = F.when(F.coalesce(n, F.lit(0)) == 0, F.lit("0 B")).when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
+    for k in range(1, len(SIZE_UNITS)):
+        x = n.cast("double") / 1024.0**k
+        shown = F.concat(F.when(x < 10, F.format_string("%.1f", x)).otherwise(F.format_string("%.0f", x)), F.lit(f" {SIZE_UNITS[k]}"))
+        out = out.when(x < 1024, shown) if k < len(SIZE_UNITS) - 1 else out.otherwise(shown)
+    return out
 
 
 def percent_text(part: Column, whole: Column) -> Column:
@@ -102,11 +118,7 @@ def percent_text(part: Column, whole: Column) -> Column:
     return F.concat(F.when(whole > 0, round_half_up(100.0 * part / whole)).otherwise(F.lit(0)).cast("long").cast("string"), F.lit("%"))
 
 
-def duration_text(seconds: Column) -> Column:
-    """Seconds, minutes and seconds, or hours and minutes."""
-    s = round_half_up(seconds).cast("long")
-    return (
-        F.when(s < 60, F.concat(s.cast("string"), F.lit("s")))
-        .when(s < 3600, F.concat(F.floor(s / 60).cast("string"), F.lit("m "), (s % 60).cast("string"), F.lit("s")))
-        .otherwise(F.concat(F.floor(s / 3600).cast("string"), F.lit("h "), F.floor(s % 3600 / 60).cast("string"), F.lit("m")))
-    )
+def duration_text(milliseconds: Column) -> Column:
+    """Seconds below a minute, else minutes and seconds, however many."""
+    s = round_half_up(milliseconds / 1000.0).cast("long")
+    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).otherwise(F.concat(F.floor(s / 60).cast("string"), F.lit("m "), (s % 60).cast("string"), F.lit("s")))

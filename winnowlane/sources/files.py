@@ -10,9 +10,11 @@ from winnowlane.functions.text import extension
 DEEPEST = 32
 # Folders that the library itself writes, and what extensions stand for.
 OWN_OUTPUT = r"^_(finalists|sidecars|tagged)"
-IMAGES = {"jpg": "jpeg", "jpeg": "jpeg", "png": "png", "webp": "webp", "gif": "gif", "heic": "heic", "heif": "heic", "avif": "avif"}
-VIDEOS = ("mp4", "mov", "avi", "mkv", "m4v", "webm")
-RAWS = ("cr2", "cr3", "nef", "arw", "dng", "raf", "orf", "rw2")
+IMAGES = {"jpg": "jpeg", "jpeg": "jpeg", "jpe": "jpeg", "png": "png", "webp": "webp", "gif": "gif", "heic": "heic", "heif": "heic", "hif": "heic"}
+VIDEOS = ("mp4", "mov", "m4v", "avi", "mkv", "webm", "mpg", "mpeg", "3gp", "wmv")
+RAWS = ("cr2", "cr3", "nef", "arw", "dng", "raf", "orf", "rw2", "pef", "srw")
+#: One schema for every source; content only where it is read.
+RECORD = ("path", "name", "dir", "size", "modified")
 
 
 def from_paths(paths: DataFrame, column: str = "path") -> DataFrame:
@@ -31,22 +33,32 @@ def wanted(path: Column) -> Column:
 def scan(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """path (under the root), name, dir, size, modified and content of the files below a folder.
 
-    Without ``content`` Spark lists the files and reads none. Unreadable files are left out.
+    Without ``content`` Spark lists the files and reads none. With it every listed file has a row: one that
+    cannot be read has no content, and column ``err`` says so. Spark lists no files of no bytes.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     # the root may come back with a scheme; what follows its last segment is the relative path
     tail = root.rstrip("/").split("://")[-1].rstrip("/") + "/"
-    rel = F.substring_index(raw.path, tail, -1)
-    cols = [rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")] + ([F.col("content")] if content else [])
-    return from_paths(raw.select(*cols)).where(wanted(F.col("path")))
+    rel = F.substring_index(F.col("path"), tail, -1)
+    names = from_paths(listed.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))).where(wanted(F.col("path"))).select(*RECORD)
+    if not content:
+        return names
+    lenient = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
+    read = lenient.select(F.regexp_replace(rel, r"^/+", "").alias("path"), "content")
+    return names.join(read, "path", "left").withColumn("err", F.when(F.col("content").isNull(), F.lit("unreadable")))
 
 
 def open_source(spark: SparkSession, source, content: bool = True) -> DataFrame:
-    """One schema from a folder, a list of paths, or a frame with a path column."""
+    """The columns RECORD (and content and err of a folder that is read) from a folder, a list of paths or of (path, size, modified), or a frame with a path column."""
     if isinstance(source, str):
         return scan(spark, source, content)
-    frame = source if isinstance(source, DataFrame) else spark.createDataFrame([(p,) for p in source], "path string")
-    return from_paths(frame).where(wanted(F.col("path")))
+    if not isinstance(source, DataFrame):
+        rows = [(p, None, None) if isinstance(p, str) else tuple(p) for p in source]
+        source = spark.createDataFrame(rows, "path string, size long, modified timestamp")
+    for name, kind in (("size", "long"), ("modified", "timestamp")):
+        if name not in source.columns:
+            source = source.withColumn(name, F.lit(None).cast(kind))
+    return from_paths(source).where(wanted(F.col("path"))).select(*RECORD)
 
 
 def kind_of(name: Column) -> Column:
@@ -86,6 +98,37 @@ def in_scope(rows: DataFrame, ids: DataFrame | None, key: str = "id") -> DataFra
     return rows if ids is None else rows.join(ids.select(key), key, "left_semi")
 
 
+def with_content(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows with the bytes of their originals, found by path: each once, however often the path is scanned."""
+    return rows.join(files.groupBy("path").agg(F.max_by("content", F.struct("modified", "size")).alias("content")), "path", "left")
+
+
+def decoded(rows: DataFrame, decode, schema: str) -> DataFrame:
+    """Rows with what a caller's decoder makes of their bytes. decode(bytes) gives a tuple of ``schema``; what it raises goes to err.
+
+    No decoder of compressed images is at hand here, so this is where one is put in. One row is decoded at a time.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    fields = [c.split()[0] for c in schema.split(", ")]
+    kept = [c for c in rows.columns if c not in ("content", "err")]
+    out = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + f", {schema}, err string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = []
+            for content in b.content:
+                try:
+                    got.append((*decode(None if content is None else bytes(content)), None))
+                except Exception as e:  # one bad row must not end the job
+                    got.append((*[None] * len(fields), str(e)[:200] or type(e).__name__))
+            yield pd.concat([b[kept].reset_index(drop=True), pd.DataFrame(got, columns=[*fields, "err"], dtype=object)], axis=1)
+
+    return rows.mapInPandas(run, out)
+
+
 def reconnect(records: DataFrame, files: DataFrame) -> DataFrame:
     """Records with the file at their path; of two files at one path, the last modified."""
     last = F.row_number().over(Window.partitionBy("path").orderBy(F.col("modified").desc_nulls_last(), F.col("size").desc_nulls_last()))

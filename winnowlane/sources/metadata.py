@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from winnowlane.functions.capture import FIRST_YEAR, LAST_YEAR
+
 # TIFF tags by the names used here, IPTC datasets, XMP properties.
 TAGS = {0x010F: "make", 0x0110: "model", 0x0112: "orientation", 0x0132: "time3", 0x8769: "exif", 0x8825: "gps"}
 EXIF_TAGS = {0x829A: "exposure", 0x829D: "f", 0x8827: "iso", 0x9003: "time1", 0x9004: "time2", 0x9010: "tz3", 0x9011: "tz1", 0x9012: "tz2", 0x920A: "fl", 0xA405: "fl35", 0xA433: "lens_make", 0xA434: "lens"}
@@ -32,16 +34,17 @@ TURNS = {1: (0, False), 2: (0, True), 3: (2, False), 4: (2, True), 5: (3, True),
 
 
 def clean(s: str | None) -> str | None:
-    s = re.sub(r"\s+", " ", re.sub(r"[\x00-\x1f\x7f]+", " ", s or "")).strip()[:MOST_TEXT]
-    return s or None
+    if not isinstance(s, str):  # damaged files give text fields numbers
+        return None
+    return re.sub(r"\s+", " ", re.sub("[\x00-\x1f\x7f\ufffd]", "", s)).strip()[:MOST_TEXT] or None
 
 
 def iso_time(raw: str | None) -> str | None:
-    m = re.match(r"(\d{4})[:\-](\d\d)[:\-](\d\d)[ T](\d\d):(\d\d):(\d\d)", raw or "")
+    m = re.match(r"(\d{4})[:\-](\d\d)[:\-](\d\d)[ T](\d\d):(\d\d):(\d\d)", raw if isinstance(raw, str) else "")
     if not m:
         return None
     y, mo, d, h, mi, s = map(int, m.groups())
-    return "{}-{}-{}T{}:{}:{}".format(*m.groups()) if y and 1 <= mo <= 12 and 1 <= d <= 31 and h <= 23 and mi <= 59 and s <= 60 else None
+    return "{}-{}-{}T{}:{}:{}".format(*m.groups()) if FIRST_YEAR <= y <= LAST_YEAR and 1 <= mo <= 12 and 1 <= d <= 31 and h <= 23 and mi <= 59 and s <= 60 else None
 
 
 class Tiff:
@@ -115,7 +118,7 @@ def read_tiff(data: bytes, out: dict) -> None:
             out.setdefault("taken", when)
             out.setdefault("taken_from", source)
             zone = sub.get({"time1": "tz1", "time2": "tz2", "time3": "tz3"}[key])
-            out.setdefault("tz", clean(zone) if re.match(r"[+-]\d\d:\d\d", zone or "") else None)
+            out.setdefault("tz", clean(zone) if isinstance(zone, str) and re.match(r"[+-]\d\d:\d\d", zone) else None)
             break
     for k, most in (("fl", 10000), ("fl35", 10000), ("f", 256), ("exposure", 86400), ("iso", 10_000_000)):
         x = _first(sub.get(k))
@@ -255,14 +258,16 @@ def _heif(data: bytes):
                 if at >= y:
                     return
                 item = number(take)
-                if version:
-                    number(2)
+                # bytes that lie elsewhere than in the file itself are not looked for
+                own = not version or number(2) & 15 == 0
                 number(2)
                 base, extents = number(widths[2]), number(2)
                 for e in range(min(extents, MOST_ENTRIES)):
                     number(widths[3])
                     place, size = base + number(widths[0]), number(widths[1])
                     body = data[place : place + size]
+                    if not own:
+                        continue
                     if e == 0 and types.get(item) == b"Exif" and len(body) > 8:
                         yield "tiff", body[4 + int.from_bytes(body[:4], "big") :]
                     elif e == 0 and types.get(item) == b"mime":
