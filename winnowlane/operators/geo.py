@@ -55,14 +55,21 @@ def centres(located: DataFrame, by: str) -> DataFrame:
 def nearest_within(points: DataFrame, places: DataFrame, radius_km: float, by: list[str]) -> DataFrame:
     """For each point (``by``, lat, lon) the nearest place (name, lat, lon) within the radius, ties to the first name.
 
-    Points and places meet on cells of the radius' size in latitude, each place in the three cells around
-    it; so it is an equi-join, not a comparison of all with all.
+    Points and places meet on cells of latitude and longitude, each place in the cells that the radius can
+    reach; so it is an equi-join, not a comparison of all with all.
     """
     step = radius_km / (EARTH_KM * np.pi / 180) * 1.0001
     cell = lambda c: F.floor(F.col(c) / step)
-    p = points.withColumn("cell", cell("lat"))
+    # degrees of longitude that the radius can span at a place's latitude and a radius beyond; all of them near a pole
+    lean = F.radians(F.least(F.abs(F.col("plat")) + step, F.lit(90.0)))
+    wide = F.when(F.cos(lean) > 0.01, F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.lit(radius_km / EARTH_KM / 2)) / F.cos(lean)))) * 2 * 1.0001).otherwise(360.0)
+    sky = max(1, int(360 // max(step, 1.0)))  # columns of longitude, none narrower than a degree
+    col = lambda x: F.pmod(F.floor((x + 180.0) / (360.0 / sky)), F.lit(sky))
+    p = points.withColumn("cell", cell("lat")).withColumn("col", col(F.col("lon")))
     q = places.select("name", F.col("lat").alias("plat"), F.col("lon").alias("plon")).withColumn("cell", F.explode(F.array(*[cell("plat") + d for d in (-1, 0, 1)])))
-    met = p.join(q, "cell").withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).where(F.col("km") <= radius_km)
+    first, last = F.floor((F.col("plon") - wide + 180.0) / (360.0 / sky)), F.floor((F.col("plon") + wide + 180.0) / (360.0 / sky))
+    q = q.withColumn("col", F.explode(F.array_distinct(F.transform(F.sequence(first, F.least(last, first + sky - 1)), lambda i: F.pmod(i, F.lit(sky))))))
+    met = p.join(q, ["cell", "col"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))).where(F.col("km") <= radius_km)
     return met.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("km", "name"))).where("_n = 1").select(*by, "name", "km")
 
 

@@ -2,37 +2,104 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnowlane.functions.signature import hamming
+from winnowlane.operators.components import components
+from winnowlane.scratch import materialize
 
 #: What counts for a representative: sharpness and pixels, each against the group's best.
 SHARP_WEIGHT, SIZE_WEIGHT = 0.70, 0.30
 #: Thresholds offered: even numbers in this range.
 LEAST, MOST = 4, 20
+#: Rows of a block that a task compares with another.
+BLOCK = 2048
+#: Rows of a unit up to which it is folded in one task as it is, and pairs of a unit up to which one task joins them up.
+UNIT_ROWS, UNIT_PAIRS = 4096, 5_000_000
 
 
 def clamp_threshold(t: Column) -> Column:
-    """The nearest even threshold offered, halves up."""
-    return F.greatest(F.lit(LEAST), F.least(F.lit(MOST), (F.floor(t / 2.0 + 0.5) * 2).cast("int")))
+    """The threshold as offered: made whole, brought into the range, then to the nearest even step, halves up each time."""
+    whole = F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.floor(F.coalesce(t.cast("double"), F.lit(0.0)) + 0.5)))
+    return (LEAST + F.floor((whole - LEAST) / 2.0 + 0.5) * 2).cast("int")
+
+
+def _ids(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), object) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.to_numpy()
 
 
-def close_pairs(rows: DataFrame, threshold: int, unit: str = "unit", key: str = "id") -> DataFrame:
+def compare_blocks(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], dict], schema: str, unit: str = "unit", key: str = "id", block: int = BLOCK) -> DataFrame:
+    """work(a, b, distance) over all pairs of each unit (a < b), as arrays of some rows of pairs at once; it gives columns of ``schema``.
+
+    A unit is dealt into blocks, and each pair of blocks is a group of its own, so no task holds more than two
+    blocks and no row is made for a pair but what ``work`` puts out. ``schema`` begins with the unit.
+    """
+    base = rows.select(F.col(unit).alias("unit"), F.col(key).alias("id"), "hi", "lo")
+    counts = base.groupBy(F.col("unit").alias("_unit")).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    own = base.join(counts, F.col("unit").eqNullSafe(F.col("_unit"))).drop("_unit").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    met = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def fold(table: pa.Table) -> pa.Table:
+        ids, hi, lo = _ids(table.column("id")), table.column("hi").to_numpy(), table.column("lo").to_numpy()
+        mine = table.column("_own").to_numpy()
+        i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        out = []
+        for at in range(0, len(left), 256):
+            x = left[at : at + 256]
+            d = np.bitwise_count(hi[x][:, None] ^ hi[right][None, :]).astype(np.int32) + np.bitwise_count(lo[x][:, None] ^ lo[right][None, :])
+            p, q = ids[x][:, None], ids[right][None, :]
+            ok = p < q if i == j else np.ones(d.shape, bool)
+            a, b = np.broadcast_to(p, d.shape)[ok], np.broadcast_to(q, d.shape)[ok]
+            swap = a > b
+            out.append(work(np.where(swap, b, a), np.where(swap, a, b), d[ok]))
+        got = {n: np.concatenate([o[n] for o in out]) for n in names[1:]} if out else {n: np.zeros(0, np.int64) for n in names[1:]}
+        n = len(got[names[1]])
+        return pa.table([pa.array([table.column("unit")[0].as_py()] * n, table.schema.field("unit").type), *[pa.array(got[c].tolist() if got[c].dtype == object else got[c]) for c in names[1:]]], names=names)
+
+    return met.groupBy("unit", "_i", "_j").applyInArrow(fold, schema)
+
+
+def distance_counts(rows: DataFrame, same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, unit: str = "unit", key: str = "id", block: int = BLOCK) -> DataFrame:
+    """distance, pos and neg: how many pairs within the units are so far apart, by whether same(a, b) holds (without it all are neg)."""
+
+    def work(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> dict:
+        hit = same(a, b) if same is not None else np.zeros(len(a), bool)
+        pos, neg = np.bincount(d[hit], minlength=65), np.bincount(d[~hit], minlength=65)
+        at = np.flatnonzero(pos + neg)
+        return {"distance": at.astype(np.int32), "pos": pos[at], "neg": neg[at]}
+
+    kind = rows.schema[unit].dataType.simpleString()
+    return compare_blocks(rows, work, f"unit {kind}, distance int, pos long, neg long", unit, key, block).groupBy("distance").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def close_pairs(rows: DataFrame, threshold: int, unit: str = "unit", key: str = "id", block: int = BLOCK) -> DataFrame:
     """unit, a, b (a < b) and distance of all pairs of a unit within the threshold.
 
-    Signatures are cut into threshold + 1 bands or, where bands would be under 6 bits, compared within
-    the unit: two signatures that differ in t bits agree in one of t + 1 bands, so an equi-join on
-    bands finds every pair without comparing all. Pairs that agree in several bands come once.
+    Signatures are cut into threshold + 1 bands: two that differ in t bits agree in one of t + 1 bands, so an
+    equi-join on bands finds every pair without comparing all. Pairs that agree in several bands come once.
+    Where bands would be under 6 bits they part too little, and probing near bands costs as much as comparing:
+    then blocks of the unit are compared, bit counts by arrays, and only pairs within the threshold are put out.
     """
     bands = threshold + 1
+    if 64 // bands < 6:
+        kinds = [rows.schema[c].dataType.simpleString() for c in (unit, key)]
+
+        def work(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> dict:
+            ok = d <= threshold
+            return {"a": x[ok], "b": y[ok], "distance": d[ok].astype(np.int32)}
+
+        return compare_blocks(rows, work, f"unit {kinds[0]}, a {kinds[1]}, b {kinds[1]}, distance int", unit, key, block)
     a = rows.select(F.col(unit).alias("unit"), F.col(key).alias("a"), F.col("hi").alias("hi_a"), F.col("lo").alias("lo_a"))
     b = rows.select(F.col(unit).alias("unit"), F.col(key).alias("b"), F.col("hi").alias("hi_b"), F.col("lo").alias("lo_b"))
     near = hamming(F.col("hi_a"), F.col("lo_a"), F.col("hi_b"), F.col("lo_b"))
-    if 64 // bands < 6:
-        return a.join(b, (a.unit == b.unit) & (a.a < b.b) & (near <= threshold)).select(a.unit, "a", "b", near.alias("distance"))
     edge = [i * 64 // bands for i in range(bands + 1)]
 
     def code(hi: str, lo: str) -> Column:
@@ -50,26 +117,45 @@ def close_pairs(rows: DataFrame, threshold: int, unit: str = "unit", key: str =
     return met.select("unit", "a", "b", near.alias("distance")).distinct()
 
 
-def union_clusters(pairs: DataFrame, rows: DataFrame, unit: str = "unit", key: str = "id", rounds: int = 40) -> DataFrame:
+def union_clusters(pairs: DataFrame, rows: DataFrame, unit: str = "unit", key: str = "id", unit_pairs: int = UNIT_PAIRS) -> DataFrame:
     """unit, id and group_id (least id): connected components of the pairs; rows without a pair stand alone.
 
-    Least labels spread along the pairs, and labels of labels are taken, until none changes. Each round is
-    checkpointed to the shared folder, if the session names one.
+    Pairs of a unit that are few enough for one task are joined up there; if a unit has more, all
+    are joined up by alternating stars over the cluster.
     """
-    lasting = rows.sparkSession.sparkContext.getCheckpointDir() is not None
-    cut = (lambda f: f.checkpoint()) if lasting else (lambda f: f.persist())
-    both = pairs.select("unit", "a", "b").union(pairs.select("unit", F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut(both)
-    label = cut(rows.select(F.col(unit).alias("unit"), F.col(key).alias("id"), F.col(key).alias("group_id")))
-    for _ in range(rounds):
-        around = both.join(label.select("unit", F.col("id").alias("a"), "group_id"), ["unit", "a"]).groupBy("unit", F.col("b").alias("id")).agg(F.min("group_id").alias("seen"))
-        new = label.join(around, ["unit", "id"], "left").select("unit", "id", "group_id", F.least("group_id", F.coalesce("seen", "group_id")).alias("new_id"))
-        lift = new.select("unit", F.col("id").alias("new_id"), F.col("new_id").alias("lifted"))
-        new = cut(new.join(lift, ["unit", "new_id"], "left").select("unit", "id", "group_id", F.least("new_id", F.coalesce("lifted", "new_id")).alias("new_id")))
-        label, changed = new.select("unit", "id", F.col("new_id").alias("group_id")), new.where("group_id != new_id").limit(1).count()
-        if not changed:
+    base = rows.select(F.col(unit).alias("unit"), F.col(key).alias("id"))
+    near = materialize(pairs.select("unit", "a", "b"), "pairs")
+    most = near.groupBy("unit").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
+    if most <= unit_pairs:
+        kinds = [base.schema[c].dataType.simpleString() for c in ("unit", "id")]
+
+        def fold(table: pa.Table) -> pa.Table:
+            a, b = _ids(table.column("a")), _ids(table.column("b"))
+            nodes, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+            label = _joined(number[: len(a)], number[len(a) :], len(nodes))
+            return pa.table([pa.array([table.column("unit")[0].as_py()] * len(nodes), table.schema.field("unit").type), pa.array(nodes.tolist(), table.schema.field("a").type), pa.array(nodes[label].tolist(), table.schema.field("a").type)], names=["unit", "id", "group_id"])
+
+        found = near.groupBy("unit").applyInArrow(fold, f"unit {kinds[0]}, id {kinds[1]}, group_id {kinds[1]}")
+    else:
+        node = lambda c: F.struct("unit", F.col(c).alias("id"))
+        found = components(near.select(node("a").alias("a"), node("b").alias("b"))).select("node.unit", "node.id", F.col("component.id").alias("group_id"))
+    return base.join(found, ["unit", "id"], "left").withColumn("group_id", F.coalesce("group_id", "id"))
+
+
+def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Least number reachable by links a - b, for each of n."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
             return label
-    raise RuntimeError(f"labels still change after {rounds} rounds")
+        label = new
 
 
 def _distances(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
@@ -124,34 +210,152 @@ def correct(label: np.ndarray, apart: set[tuple[int, int]], together: list[tuple
     return split
 
 
-def cluster(rows: DataFrame, threshold: int, mode: str = "strict", links: DataFrame | None = None, unit: str = "unit", key: str = "id") -> DataFrame:
-    """unit, id and group_id (the group's least id), one unit to a task.
+def cluster(rows: DataFrame, threshold: int, mode: str = "strict", links: DataFrame | None = None, unit: str = "unit", key: str = "id", unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """unit, id and group_id (the group's least id).
 
-    Both linkages in the order of ids, then corrections from ``links`` (a, b, sign: 1 together, -1 apart).
-    The order-dependent fold holds one unit's distances in memory; for large units and plain union use
-    close_pairs() and union_clusters().
+    Both linkages in the order of ids, then corrections from ``links`` (a, b, sign: 1 together, -1 apart). The fold
+    needs the distances of all rows it takes at once. Units of up to ``unit_rows`` rows are folded whole; if one is
+    larger, all are first parted by the components of pairs within the threshold and of pairs that must stay
+    together, as no group crosses them, and each part is folded.
     """
     kind = rows.schema[key].dataType.simpleString()
     base = rows.select(F.col(unit).cast("string").alias("unit"), F.col(key).alias("id"), "hi", "lo")
-    packed = F.array_sort(F.collect_list(F.struct("a", "b", "sign"))) if links is not None else None
-    if links is not None:
-        # last edits only, one row for all: bounded by what people corrected by hand
-        base = base.crossJoin(F.broadcast(links.agg(packed.alias("links"))))
+    wide = base.groupBy("unit").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
+    edits = links.select("a", "b", "sign") if links is not None else base.sparkSession.createDataFrame([], f"a {kind}, b {kind}, sign int")
+
+    def within(frame: DataFrame, more: list[str]) -> DataFrame:
+        """Edits whose rows are both in one unit (and part), with it."""
+        x = frame.select("unit", F.col("id").alias("a"), *[F.col(m).alias(f"{m}_a") for m in more])
+        y = frame.select("unit", F.col("id").alias("b"), *[F.col(m).alias(f"{m}_b") for m in more])
+        return edits.join(x, "a").join(y, ["unit", "b"])
+
+    if wide > unit_rows:
+        near = close_pairs(base, threshold).select("unit", "a", "b")
+        glued = within(base, []).where("sign > 0").select("unit", "a", "b")
+        parted = union_clusters(near.unionByName(glued), base).withColumnRenamed("group_id", "part")
+        base = base.join(parted, ["unit", "id"])
     else:
-        base = base.withColumn("links", F.lit(None).cast(f"array<struct<a:{kind},b:{kind},sign:int>>"))
+        base = base.withColumn("part", F.lit(None).cast(kind))
+    own = within(base, ["part"]).where(F.col("part_a").eqNullSafe(F.col("part_b"))).select(F.col("unit").alias("unit"), F.col("part_a").alias("part"), "a", "b", "sign")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(key_: tuple, pdf: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+        if not len(pdf):
+            return pd.DataFrame({"unit": [], "id": [], "group_id": []})
         d = _distances(pdf.hi.to_numpy(np.int64), pdf.lo.to_numpy(np.int64))
         label = strict_labels(d, threshold) if mode == "strict" else union_labels(d <= threshold)
-        edits = pdf.links.iloc[0]
-        if edits is not None and len(edits):
+        if len(said):
             at = {x: i for i, x in enumerate(pdf.id)}
-            known = [(min(at[e["a"]], at[e["b"]]), max(at[e["a"]], at[e["b"]]), e["sign"]) for e in edits if e["a"] in at and e["b"] in at]
+            known = sorted((min(at[a], at[b]), max(at[a], at[b]), s) for a, b, s in zip(said.a, said.b, said.sign))
             label = correct(label, {(a, b) for a, b, s in known if s < 0}, [(a, b) for a, b, s in known if s > 0])
         return pd.DataFrame({"unit": pdf.unit, "id": pdf.id, "group_id": pdf.id.groupby(pd.Series(label)).transform("min")})
 
-    return base.groupBy("unit").applyInPandas(fold, f"unit string, id {kind}, group_id {kind}")
+    return base.groupBy("unit", "part").cogroup(own.groupBy("unit", "part")).applyInPandas(fold, f"unit string, id {kind}, group_id {kind}")
+
+
+def reviewed_groups(rows: DataFrame, threshold: int, mode: str = "strict", links: DataFrame | None = None, removed: DataFrame | None = None, pinned: DataFrame | None = None, confirmed: DataFrame | None = None, **params) -> DataFrame:
+    """unit, group_id, id, rep, manual, confirmed and diameter of the members of groups of two and more.
+
+    Rows pulled out of grouping (removed: id) and rows without a signature are left out; a group is manual if a
+    correction stands between two of its members, confirmed if its least id is listed (confirmed: id). The
+    representative is the pinned member (pinned: id) or the best by sharpness and size (sharp, pixels).
+    """
+    live = rows.where("hi IS NOT NULL AND lo IS NOT NULL").withColumn("unit", F.col("unit").cast("string"))
+    live = live if removed is None else live.join(removed.select("id"), "id", "left_anti")
+    g = materialize(cluster(live, threshold, mode, links, **params), "groups")
+    some = g.join(g.groupBy("unit", "group_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["unit", "group_id"])
+    wide = group_report(g, live).select("unit", "group_id", "diameter")
+    best = representatives(some.join(live.select("unit", "id", "sharp", "pixels"), ["unit", "id"]), ["unit", "group_id"], pinned=pinned).select("unit", "group_id", F.col("id").alias("rep"))
+    out = some.join(wide, ["unit", "group_id"]).join(best, ["unit", "group_id"])
+    if links is None:
+        out = out.withColumn("manual", F.lit(False))
+    else:
+        x, y = some.select("unit", "group_id", F.col("id").alias("a")), some.select("unit", "group_id", F.col("id").alias("b"))
+        touched = links.join(x, "a").join(y, ["unit", "group_id", "b"]).select("unit", "group_id").distinct().withColumn("manual", F.lit(True))
+        out = out.join(touched, ["unit", "group_id"], "left").withColumn("manual", F.coalesce("manual", F.lit(False)))
+    if confirmed is None:
+        out = out.withColumn("confirmed", F.lit(False))
+    else:
+        out = out.join(confirmed.select(F.col("id").alias("group_id"), F.lit(True).alias("confirmed")).distinct(), "group_id", "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
+    return out.select("unit", "group_id", "id", "rep", "manual", "confirmed", "diameter")
+
+
+def _cleared(links: DataFrame, members: DataFrame, seq: int) -> DataFrame:
+    """Edits that take back every correction between two of the members (id)."""
+    ids = members.select("id").distinct()
+    now = links.select("a", "b").join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    return now.select("a", "b", F.lit(0).alias("sign"), F.lit(seq).cast("long").alias("seq"))
+
+
+def _said(pairs: DataFrame, sign: int, seq: int) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(sign).alias("sign"), F.lit(seq).cast("long").alias("seq"))
+
+
+def merge_edits(groups: DataFrame, picked: DataFrame, links: DataFrame, seq: int) -> DataFrame:
+    """Edits (a, b, sign, seq) that make the groups (unit, group_id, id) of the picked rows one.
+
+    Corrections among their members go; one anchor of each (its least picked member) is tied to the first group's.
+    """
+    span = groups.join(groups.join(picked.select("id"), "id", "left_semi").select("unit", "group_id").distinct(), ["unit", "group_id"], "left_semi")
+    anchors = span.join(picked.select("id"), "id", "left_semi").groupBy("unit", "group_id").agg(F.min("id").alias("b"))
+    first = anchors.agg(F.min_by("b", F.struct("unit", "group_id")).alias("a"))
+    # picked by hand: one row beside a few
+    tied = anchors.crossJoin(F.broadcast(first)).where("a != b")
+    return _cleared(links, span, seq).unionByName(_said(tied, 1, seq + 1))
+
+
+def split_edits(groups: DataFrame, picked: DataFrame, links: DataFrame, seq: int) -> DataFrame:
+    """Edits that part the picked members of a group from the rest of it."""
+    own = groups.join(groups.join(picked.select("id"), "id", "left_semi").select("unit", "group_id").distinct(), ["unit", "group_id"], "left_semi")
+    x = own.join(picked.select("id"), "id", "left_semi").select("unit", "group_id", F.col("id").alias("a"))
+    y = own.join(picked.select("id"), "id", "left_anti").select("unit", "group_id", F.col("id").alias("b"))
+    return _cleared(links, own, seq).unionByName(_said(x.join(y, ["unit", "group_id"]), -1, seq + 1))
+
+
+def confirm_edits(groups: DataFrame, unit, group_id, seq: int) -> DataFrame:
+    """Edits that tie every member of a group to its first, so that no threshold takes it apart."""
+    own = groups.where((F.col("unit") == F.lit(unit)) & (F.col("group_id") == F.lit(group_id)))
+    return _said(own.select(F.col("group_id").alias("a"), F.col("id").alias("b")).where("a != b"), 1, seq)
+
+
+def split_all_edits(groups: DataFrame, unit, group_id, links: DataFrame, seq: int) -> DataFrame:
+    """Edits that part all members of a group from each other: a group that somebody looks at."""
+    own = groups.where((F.col("unit") == F.lit(unit)) & (F.col("group_id") == F.lit(group_id)))
+    x, y = own.select("group_id", F.col("id").alias("a")), own.select("group_id", F.col("id").alias("b"))
+    return _cleared(links, own, seq).unionByName(_said(x.join(y, "group_id").where("a < b"), -1, seq + 1))
+
+
+def runoff_groups(reviewed: DataFrame, rows: DataFrame, threshold: int, mode: str = "strict") -> DataFrame:
+    """unit, id, group_id of groups of two and more: those reviewed, and of units without any, those of a fresh clustering."""
+    done = reviewed.select(F.col("unit").cast("string").alias("unit")).distinct()
+    rest = rows.withColumn("unit", F.col("unit").cast("string")).where("hi IS NOT NULL AND lo IS NOT NULL").join(done, "unit", "left_anti")
+    both = reviewed.select(F.col("unit").cast("string").alias("unit"), "id", "group_id").unionByName(cluster(rest, threshold, mode))
+    return both.join(both.groupBy("unit", "group_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["unit", "group_id"], "left_semi")
+
+
+def hash_source(own: Column, fresh: Column, ingest: Column) -> Column:
+    """Struct hash and exact: the stored hash, one computed now, else the coarser one of ingest, which is not exact. Null without any of 16 digits."""
+    ok = lambda h: F.length(h) == 16
+    pick = lambda h, exact: F.struct(h.alias("hash"), F.lit(exact).alias("exact"))
+    return F.when(ok(own), pick(own, True)).when(ok(fresh), pick(fresh, True)).when(ok(ingest), pick(ingest, False))
+
+
+def pair_truth(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """What a labelled pair ought to be: POS_, NEG_ or AMB_ and why, from photo, variant, set, category, scale, scene, chain_step and recomposed of both."""
+    either = lambda *names: a["variant"].isin(*names) | b["variant"].isin(*names)
+    one = F.when(either("blur", "lowres"), "AMB_degraded").when(either("geom_major"), "AMB_geom_major").when(either("geom_minor"), "POS_geom_minor").otherwise("POS_reencode")
+    in_set = a["category"].isin("burst_tight", "burst_loose", "expression") & (a["set"] == b["set"])
+    chain = (a["category"] == "chain") & (b["category"] == "chain")
+    step = F.abs(a["chain_step"] - b["chain_step"])
+    chained = F.when(step == 1, "AMB_chain_adjacent").when(step >= 4, "NEG_chain_far").otherwise("AMB_chain_mid")
+    scene = (a["scene"] == b["scene"]) & (a["category"] != "chain") & (b["category"] != "chain")
+    other = F.when(a["recomposed"] | b["recomposed"], "NEG_recompose").otherwise("NEG_same_subject_diff_scene")
+    return F.when(a["photo"] == b["photo"], one).when(in_set, F.concat(F.lit("POS_"), a["category"], F.lit("/"), a["scale"])).when(chain, chained).when(scene, other).otherwise("NEG_unrelated")
+
+
+def crossover(ratio: Column, sharp: float = SHARP_WEIGHT, size: float = SIZE_WEIGHT) -> Column:
+    """The sharpness, of the group's best, from which a full-size member is preferred to the sharpest one of this share of pixels."""
+    return F.round(1 - (size / sharp) * (1 - ratio), 4)
 
 
 def group_report(groups: DataFrame, rows: DataFrame, unit: str = "unit", key: str = "id") -> DataFrame:
@@ -187,10 +391,10 @@ def last_edits(edits: DataFrame) -> DataFrame:
 def threshold_sweep(pairs: DataFrame, thresholds: range = range(41)) -> DataFrame:
     """Counts and rates for each threshold, of labelled pairs (distance, same).
 
-    Distances are counted once into a histogram; the sweep joins that, not the pairs.
+    Distances are counted once into a histogram; the sweep joins that, not the pairs. ``pairs`` may be one already: distance_counts().
     """
     spark = pairs.sparkSession
-    hist = pairs.groupBy("distance").agg(F.count_if("same").alias("pos"), F.count_if(~F.col("same")).alias("neg"))
+    hist = pairs if "pos" in pairs.columns else pairs.groupBy("distance").agg(F.count_if("same").alias("pos"), F.count_if(~F.col("same")).alias("neg"))
     t = spark.range(thresholds.start, thresholds.stop).select(F.col("id").cast("int").alias("threshold"))
     hit = F.col("distance") <= F.col("threshold")
     c = hist.crossJoin(F.broadcast(t)).groupBy("threshold").agg(*[F.sum(F.when(h, F.col(k)).otherwise(0)).alias(n) for n, h, k in (("tp", hit, "pos"), ("fn", ~hit, "pos"), ("fp", hit, "neg"), ("tn", ~hit, "neg"))])

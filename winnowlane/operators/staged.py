@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from winnowlane.functions.text import number_text
+from winnowlane.operators.order import positions
+
 # The shuffle's linear congruential generator, and seconds for a comparison, a page and each row on it.
 LCG_A, LCG_C, LCG_M = 1664525, 1013904223, 2**32
 SECONDS = {"comparison": 2.75, "page": 4.0, "row": 1.2}
@@ -25,9 +28,20 @@ def quota_text(mode: Column, custom: Column) -> Column:
     return F.when(mode == "one", "Keep 1").when(mode == "custom", F.concat(F.lit("Keep up to "), custom.cast("string"))).when(mode == "unlimited", "Unlimited").otherwise("Keep up to half")
 
 
-def tighter(mode: Column) -> Column:
-    """The next stricter quota."""
-    return F.when(mode == "unlimited", "half").otherwise("one")
+def cap_text(limit: Column) -> Column:
+    return F.when(limit.isNull(), "no limit").otherwise(F.concat(F.lit("keep at most "), limit.cast("string")))
+
+
+def gap_text(hours: Column) -> Column:
+    """A gap in minutes below an hour, else in hours."""
+    return F.when(hours < 1, F.concat(number_text(hours * 60), F.lit(" min"))).otherwise(F.concat(number_text(hours), F.lit(" h")))
+
+
+def tighter(mode: Column, custom: Column, page: Column) -> Column:
+    """The next stricter quota, struct mode and custom: from unlimited to half, to one less than half of the page, one less each time, to one."""
+    pick = lambda m, c: F.struct(F.lit(m).alias("mode"), c.cast("long").alias("custom"))
+    below_half = pick("custom", F.greatest(F.lit(1), F.floor(page / 2) - 1))
+    return F.when(mode == "unlimited", pick("half", custom)).when(mode == "half", below_half).when((mode == "custom") & (custom > 1), pick("custom", custom - 1)).otherwise(pick("one", F.lit(1)))
 
 
 def shuffled(items: list, seed: int) -> list:
@@ -67,28 +81,30 @@ def shuffle_rows(rows: DataFrame, unit: str, key: str, seed: int) -> DataFrame:
 
 def spread(rows: DataFrame, unit: str, key: str, seed: int) -> DataFrame:
     """A random order without the generator's sequence: by hash, for units of any size."""
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(unit).orderBy(F.xxhash64(key, F.lit(seed)), key)) - 1)
+    return positions(rows, unit, [F.xxhash64(key, F.lit(seed)), F.col(key)]).drop("_n")
 
 
 def faces(pool: DataFrame, groups: DataFrame, reps: DataFrame | None = None) -> DataFrame:
     """unit, id, face and pos: rows of a group of which two or more are in the pool stand behind one face.
 
     The face is the representative if it is in the pool, else the first in pool order (ord). ``groups``: unit, id, group_id.
+    Rows without a group meet no other row: they are their own face where they are.
     """
-    p = pool.join(groups.select("unit", "id", "group_id"), ["unit", "id"], "left")
-    w = Window.partitionBy("unit", "group_id")
-    p = p.withColumn("n", F.when(F.col("group_id").isNotNull(), F.count("*").over(w)).otherwise(1))
-    p = p.withColumn("is_rep", F.lit(False)) if reps is None else p.join(reps.select("id", F.lit(True).alias("is_rep")), "id", "left").withColumn("is_rep", F.coalesce("is_rep", F.lit(False)))
-    first = F.first("id").over(w.orderBy(F.col("is_rep").desc(), "ord"))
-    p = p.withColumn("face", F.when(F.col("n") > 1, first).otherwise(F.col("id")))
-    return p.withColumn("pos", F.min("ord").over(Window.partitionBy("unit", "face"))).select("unit", "id", "face", "pos", "ord")
+    p = pool.join(groups.where("group_id IS NOT NULL").select("unit", "id", "group_id"), ["unit", "id"], "left")
+    alone = p.where("group_id IS NULL").select("unit", "id", F.col("id").alias("face"), F.col("ord").alias("pos"), "ord")
+    held = p.where("group_id IS NOT NULL")
+    held = held.withColumn("is_rep", F.lit(False)) if reps is None else held.join(reps.select("id", F.lit(True).alias("is_rep")), "id", "left").withColumn("is_rep", F.coalesce("is_rep", F.lit(False)))
+    best = held.groupBy("unit", "group_id").agg(F.count("*").alias("n"), F.min_by("id", F.struct(~F.col("is_rep"), "ord")).alias("first"), F.min("ord").alias("pos"))
+    held = held.join(best, ["unit", "group_id"])
+    one = F.col("n") > 1
+    return alone.unionByName(held.select("unit", "id", F.when(one, F.col("first")).otherwise(F.col("id")).alias("face"), F.when(one, F.col("pos")).otherwise(F.col("ord")).alias("pos"), "ord"))
 
 
 def pages(rows: DataFrame, unit: str, order: list[Column], size: int) -> DataFrame:
-    """Adds pos, page (from 0), page_rows and pages."""
-    w = Window.partitionBy(unit)
-    out = rows.withColumn("pos", F.row_number().over(w.orderBy(*order)) - 1).withColumn("page", F.floor(F.col("pos") / size))
-    return out.withColumn("page_rows", F.count("*").over(Window.partitionBy(unit, "page"))).withColumn("pages", F.ceil(F.count("*").over(w) / size))
+    """Adds pos, page (from 0), page_rows and pages; a unit of any size is dealt over many tasks (operators.order)."""
+    out = positions(rows, unit, order).withColumn("page", F.floor(F.col("pos") / size))
+    left = F.col("_n") - F.col("page") * size
+    return out.withColumn("page_rows", F.least(F.lit(size).cast("long"), left)).withColumn("pages", F.ceil(F.col("_n") / size)).drop("_n")
 
 
 def keep_per_page(paged: DataFrame, unit: str, score: list[Column], mode: str = "half", custom: int = 1) -> DataFrame:
@@ -105,10 +121,10 @@ def over_quota(paged: DataFrame, chosen: DataFrame, unit: str, key: str, mode: s
 
 
 def finish_pass(dealt: DataFrame, kept_faces: DataFrame, unit: str = "unit") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pool, cut and summary after a pass: rows follow their face. Summary: before, after, cut and cut_pct of each unit."""
+    """Pool, cut and summary after a pass: rows follow their face. Summary: before, after, cut and cut_share (a fraction, not rounded) of each unit."""
     marked = dealt.join(kept_faces.select(unit, "face", F.lit(True).alias("kept")), [unit, "face"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     summary = marked.groupBy(unit).agg(F.count("*").alias("before"), F.count_if("kept").alias("after"), F.count_if(~F.col("kept")).alias("cut"))
-    summary = summary.withColumn("cut_pct", F.floor(100.0 * F.col("cut") / F.col("before") + 0.5).cast("long"))
+    summary = summary.withColumn("cut_share", F.col("cut") / F.col("before"))
     return marked.where("kept").drop("kept"), marked.where("NOT kept").drop("kept"), summary
 
 
@@ -118,15 +134,22 @@ def standing(paged: DataFrame, page: int, kept: DataFrame, key: str = "id") -> D
     return seen_kept.unionByName(paged.where(F.col("page") >= page))
 
 
-def low_cull(cut_pct: Column, floor: Column) -> Column:
-    """Whether a pass cut less than the floor; a floor of 0 is none."""
-    return F.coalesce((floor > 0) & (cut_pct < floor), F.lit(False))
+def low_cull(cut_share: Column, floor: Column) -> Column:
+    """Whether a pass cut a smaller share than the floor; a floor of 0 is none."""
+    return F.coalesce((floor > 0) & (cut_share < floor), F.lit(False))
 
 
 def rescue_limit(mode: Column, value: Column, cut: Column) -> Column:
-    """Rows that may come back: a number, a percentage (at least one, halves up), or no limit (null)."""
-    share = F.greatest(F.lit(1), F.floor(value / 100.0 * cut + 0.5))
-    return F.when(mode == "unlimited", F.lit(None)).when(mode == "pct", F.least(share, cut)).otherwise(F.least(value, cut)).cast("long")
+    """Rows that may come back: a number (whole, not below 0), a percentage (of 0 to 100, at least one of any, halves up), or no limit (null). Without a mode none may."""
+    value = F.coalesce(value.cast("double"), F.lit(0.0))
+    pct = F.greatest(F.lit(0.0), F.least(F.lit(100.0), value))
+    share = F.when(pct == 0, F.lit(0)).otherwise(F.least(cut, F.greatest(F.lit(1), F.floor(cut * pct / 100.0 + 0.5))))
+    return F.when(mode.isNull(), F.lit(0)).when(mode == "unlimited", F.lit(None)).when(mode == "pct", share).otherwise(F.least(cut, F.greatest(F.lit(0), F.floor(value)))).cast("long")
+
+
+def rescue_text(mode: Column, value: Column, cut: Column) -> Column:
+    n = rescue_limit(mode, value, cut).cast("string")
+    return F.when(mode.isNull(), "not set").when(mode == "unlimited", "unlimited").when(mode == "pct", F.concat(number_text(value), F.lit("% of "), cut.cast("string"), F.lit(" = "), n)).otherwise(n)
 
 
 def rescue(pool: DataFrame, cut: DataFrame, saved: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -136,12 +159,19 @@ def rescue(pool: DataFrame, cut: DataFrame, saved: DataFrame, key: str = "id") -
 
 
 def pass_counters(paged: DataFrame, unit: str = "unit") -> DataFrame:
-    """For each page: rows kept so far, rows still to see, the field projected at the present rate, and cut so far."""
+    """For each page that is being shown, its rows marked kept or not: remaining (this page's rows included), screens_left,
+    screens_total, screen_no, field (kept so far and not yet shown) and cut_share of what was shown.
+
+    One row a page is gathered before any window runs."""
     per = paged.groupBy(unit, "page").agg(F.count("*").alias("rows"), F.count_if("kept").alias("kept"))
     w = Window.partitionBy(unit).orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(unit)
-    out = per.withColumn("seen", F.sum("rows").over(w)).withColumn("kept_so_far", F.sum("kept").over(w)).withColumn("remaining", F.sum("rows").over(whole) - F.col("seen"))
-    return out.withColumn("projected", F.floor(F.col("kept_so_far") / F.col("seen") * (F.col("seen") + F.col("remaining")) + 0.5).cast("long")).withColumn("cut_so_far_pct", F.floor(100.0 * (F.col("seen") - F.col("kept_so_far")) / F.col("seen") + 0.5).cast("long"))
+    total, shown, kept = F.sum("rows").over(whole), F.sum("rows").over(w), F.sum("kept").over(w)
+    pages_ = F.count("*").over(whole)
+    return per.select(
+        unit, "page", (total - shown + F.col("rows")).alias("remaining"), (pages_ - F.col("page")).cast("long").alias("screens_left"), pages_.alias("screens_total"), (F.col("page") + 1).cast("long").alias("screen_no"),
+        (kept + total - shown).alias("field"), ((shown - kept) / shown).alias("cut_share"),
+    )
 
 
 def rank_price(n: Column, depth: Column | None = None) -> Column:
@@ -152,6 +182,10 @@ def rank_price(n: Column, depth: Column | None = None) -> Column:
     return F.when(n < 2, 0).otherwise(F.floor(price + 0.5)).cast("long")
 
 
+def rank_seconds(comparisons: Column) -> Column:
+    return comparisons * SECONDS["comparison"]
+
+
 def schedule(n: int, target: int | None, page: int = 9, mode: str = "half", custom: int = 1) -> dict | None:
     """Passes with every page's full quota kept, down to HANDOFF times the target; None without a target."""
     if target is None or n < 2:
@@ -168,7 +202,25 @@ def schedule(n: int, target: int | None, page: int = 9, mode: str = "half", cust
             break
         passes.append((pool, int(after), full + (rest > 0)))
         pool = int(after)
-    return {"passes": passes, "screens": sum(p[2] for p in passes), "field": pool}
+    screens, price = sum(p[2] for p in passes), price_of(pool, min(target, pool))
+    return {"passes": passes, "screens": screens, "field": pool, "comparisons": price, "seconds": screens * (SECONDS["page"] + page * SECONDS["row"]) + price * SECONDS["comparison"]}
+
+
+def price_of(n: int, depth: int) -> int:
+    """rank_price() of one field."""
+    if n < 2:
+        return 0
+    d, lg = max(1, min(depth, n)), math.log2(n)
+    return math.floor(max(n - 1, min((n - 1) + (d - 1) * lg, n * (lg - 1))) + 0.5)
+
+
+def schedule_totals(units: DataFrame, page: int = 9) -> DataFrame:
+    """unit, n_passes, screens, field, comparisons and seconds of each unit's whole schedule under the half quota."""
+    s = schedule_frame(units, page).groupBy("unit").agg(F.count("*").alias("n_passes"), F.sum("screens").alias("screens"), F.min_by("after", -F.col("pass_no")).alias("field"))
+    out = units.where("target IS NOT NULL AND n >= 2").join(s, "unit", "left").withColumn("field", F.coalesce("field", "n")).withColumn("screens", F.coalesce("screens", F.lit(0)))
+    out = out.withColumn("comparisons", rank_price(F.col("field"), F.least("target", "field")))
+    seconds = F.col("screens") * (SECONDS["page"] + page * SECONDS["row"]) + rank_seconds(F.col("comparisons"))
+    return out.select("unit", F.coalesce("n_passes", F.lit(0)).alias("n_passes"), "screens", "field", "comparisons", seconds.alias("seconds"))
 
 
 def schedule_frame(units: DataFrame, page: int = 9) -> DataFrame:
@@ -198,10 +250,67 @@ def toggled(events: DataFrame, key: str = "id") -> DataFrame:
     return events.groupBy(key).agg((F.count("*") % 2 == 1).alias("on")).where("on").select(key)
 
 
+def undone(events: DataFrame, key: str = "id") -> DataFrame:
+    """Toggles that still hold of a log (unit, seq, type: toggle or undo, key): an undo takes back the last toggle not yet taken back.
+
+    Brackets that match: a toggle and the undo that takes it back see the same depth, the one going down as the other went up.
+    """
+    order = Window.partitionBy("unit").orderBy("seq")
+    up = F.when(F.col("type") == "toggle", 1).otherwise(-1)
+    # an undo with nothing left does nothing: depth against the least depth so far
+    raw = events.withColumn("_raw", F.sum(up).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    low = F.least(F.lit(0), F.min("_raw").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    deep = raw.withColumn("_depth", F.col("_raw") - low)
+    # a toggle holds if the depth never falls below it again
+    after = F.min("_depth").over(order.rowsBetween(1, Window.unboundedFollowing))
+    return deep.withColumn("_after", after).where((F.col("type") == "toggle") & (F.col("_after").isNull() | (F.col("_after") >= F.col("_depth")))).select("unit", "seq", key)
+
+
+def selected(events: DataFrame, key: str = "id") -> DataFrame:
+    """unit and key of what is selected after a log of toggles and undos."""
+    return undone(events, key).groupBy("unit", key).agg((F.count("*") % 2 == 1).alias("on")).where("on").select("unit", key)
+
+
+def step_back(paged: DataFrame, kept: DataFrame, page: int, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Kept rows and the selection after a step back to a page: what was kept there is selected again."""
+    here = paged.where(F.col("page") == page)
+    return kept.join(here.select(key), key, "left_anti"), kept.join(here.select(key), key, "left_semi")
+
+
 def rename_face(dealt: DataFrame, old, new, column: str = "face") -> DataFrame:
     return dealt.withColumn(column, F.when(F.col(column) == F.lit(old), F.lit(new)).otherwise(F.col(column)))
 
 
+def pin(reps: DataFrame, groups: DataFrame, face) -> DataFrame:
+    """Pinned representatives (unit, id) after a member is pinned: the others of its group are not any more."""
+    own = groups.where(F.col("id") == F.lit(face)).select("unit", "group_id")
+    members = groups.join(own, ["unit", "group_id"], "left_semi").select("unit", "id")
+    return reps.join(members, ["unit", "id"], "left_anti").unionByName(groups.where(F.col("id") == F.lit(face)).select("unit", "id"))
+
+
+def ranking_of(units: DataFrame) -> DataFrame:
+    """unit, depth (places to decide) and cap (places chosen at first; null without limit) of units (unit, entrants, target, rank_depth)."""
+    wanted = F.when(F.col("rank_depth").isNotNull(), F.greatest(F.lit(1), F.least("rank_depth", "entrants"))).otherwise(F.least(F.coalesce("target", "entrants"), F.col("entrants")))
+    return units.select("unit", wanted.cast("long").alias("depth"), F.when(F.col("target").isNotNull(), F.least("target", "entrants")).cast("long").alias("cap"), F.col("rank_depth").isNotNull().alias("ranks"))
+
+
+def pending(units: DataFrame) -> DataFrame:
+    """Units whose phase is not done."""
+    return units.where("phase != 'done'")
+
+
+def all_done(units: DataFrame) -> DataFrame:
+    """One row, done: whether there are units, and all are done."""
+    return units.agg((F.count("*") > 0).alias("some"), F.coalesce(F.bool_and(F.col("phase") == "done"), F.lit(False)).alias("every")).select((F.col("some") & F.col("every")).alias("done"))
+
+
+def eligible(members: DataFrame, rows: DataFrame, final_unit: str = "final") -> DataFrame:
+    """id and ord of rows that may be grouped: those of all units but the final one, read without an error, each once where it is first."""
+    live = rows.where("err IS NULL").select("id")
+    first = members.where(F.col("unit") != final_unit).groupBy("id").agg(F.min(F.struct("unit", "ord")).alias("at"))
+    return first.join(live, "id", "left_semi").select("id", F.col("at.unit").alias("unit"), F.col("at.ord").alias("ord"))
+
+
 def start_pass(spark: SparkSession, pool: DataFrame, groups: DataFrame, seed: int, page: int, shuffle: bool = True) -> DataFrame:
     """A pass' deal: faces in seeded (or pool) order with their pages. The seed is a parameter, so a replay is the same."""
     f = faces(pool, groups).select("unit", "face", F.col("pos").alias("ord")).distinct()
