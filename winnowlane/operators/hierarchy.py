@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from winnowlane.scratch import materialize
 
 LOOSE = "__loose__"
+#: Folders whose quotas are resolved in one place, and that are broadcast to rows.
+BROADCAST_FOLDERS = 200_000
 
 
 def prefixes(path: Column) -> Column:
@@ -65,8 +67,8 @@ def parse_quota(raw: Column) -> Column:
     Digits: fixed, 0 excluded. Anything else: invalid.
     """
     x = F.trim(F.coalesce(raw, F.lit("")))
-    share = F.nullif(F.regexp_extract(x, r"^(\d+(?:\.\d+)?)\s*%$", 1), F.lit("")).cast("double")
-    count = F.when(x.rlike(r"^\d{1,15}$"), F.nullif(F.regexp_extract(x, r"^(\d{1,15})$", 1), F.lit("")).cast("double"))
+    share = F.nullif(F.regexp_extract(x, r"^([0-9]{0,3}(?:\.[0-9]+)?)\s*%$", 1), F.lit("")).cast("double")
+    count = F.nullif(F.regexp_extract(x, r"^([0-9]+)$", 1), F.lit("")).cast("double")
     mode = (
         F.when(x == "", "pooled").when(x.isin("*", "∞") | (F.lower(x) == "inf"), "uncapped").when(share == 0, "excluded")
         .when(share <= 100, "percent").when(count == 0, "excluded").when(count > 0, "fixed").otherwise("invalid")
@@ -153,8 +155,14 @@ def members(held: DataFrame, resolved: DataFrame, found: DataFrame, key: str = "
     As a pooled folder hands over all its rows, a row may be in two units.
     """
     live = resolved.where("NOT excluded").select(F.col("path").alias("node"))
-    at = held.join(live, "node", "left_semi").select(key, F.explode(prefixes(F.col("node"))).alias("path"))
-    return at.join(unit_paths(resolved, found), "path").select("unit_id", key)
+    # units are matched with folders first, which are few; rows then meet only the folder that holds them
+    owned = live.select("node", F.explode(prefixes(F.col("node"))).alias("path")).join(unit_paths(resolved, found), "path").select("node", "unit_id")
+    return few(held, owned, "node").select("unit_id", key)
+
+
+def few(rows: DataFrame, folders: DataFrame, on: str) -> DataFrame:
+    """Join rows with folders: broadcast up to BROADCAST_FOLDERS of them, shuffled beyond."""
+    return rows.join(F.broadcast(folders) if folders.count() <= BROADCAST_FOLDERS else folders, on)
 
 
 def issues(resolved: DataFrame, found: DataFrame) -> DataFrame:
@@ -241,6 +249,11 @@ def sibling_order(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("ord", F.row_number().over(Window.partitionBy("parent_path").orderBy("synthetic", natural_key(F.col("path")), "path")))
 
 
+def apply_shares(quotas: DataFrame, shares: DataFrame) -> DataFrame:
+    """Quotas (path, raw) with apportioned places (path, places) written in place of what those folders had."""
+    return quotas.join(shares.select("path"), "path", "left_anti").unionByName(shares.select("path", F.col("places").cast("string").alias("raw")))
+
+
 def outside(rows: DataFrame, excluded: DataFrame, folder: str = "dir") -> DataFrame:
     """Rows that lie in no excluded folder nor below one."""
     at = rows.select(F.coalesce(F.col(folder), F.lit("")).alias("_f")).distinct().withColumn("path", F.explode(prefixes(F.col("_f"))))

@@ -253,6 +253,16 @@ def runoff(winners: DataFrame, groups: DataFrame, kept: DataFrame | None = None)
     return rows.withColumn("keep", F.when(some, F.col("pick")).otherwise(F.col("id") == F.col("winner"))).select("unit", "group_id", "id", "keep")
 
 
+def after_runoff(winners: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """unit, id and ord of what stands after a runoff: for each winner (unit, id, ord) what its group keeps, each once, in the order of the winners."""
+    kept = rows.where("keep").select("unit", "group_id", "id")
+    faced = winners.join(groups.select("unit", "group_id", "id"), ["unit", "id"], "left")
+    big = rows.select("unit", "group_id").distinct()
+    own = faced.join(big, ["unit", "group_id"], "left_anti").select("unit", "id", "ord")
+    more = faced.select("unit", "group_id", "ord").join(kept, ["unit", "group_id"]).select("unit", "id", "ord")
+    return own.unionByName(more).groupBy("unit", "id").agg(F.min("ord").alias("ord"))
+
+
 def over_target(n: Column, target: Column) -> Column:
     return F.greatest(F.lit(0), n - target)
 

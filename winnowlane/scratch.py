@@ -13,10 +13,12 @@ _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """The session's spark.checkpoint.dir. Where it is unset, a temporary folder of a session on one machine; on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = f"file://{tempfile.mkdtemp(prefix='winnowlane-')}"

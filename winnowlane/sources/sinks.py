@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 
@@ -45,6 +46,14 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
+def write_manifest(rows: DataFrame, columns: list[str], path: str) -> tuple[str, str]:
+    """A manifest twice under one folder: CSV with a byte order mark in each part file, and JSON lines of the same columns."""
+    out = f"{path.rstrip('/')}/csv", f"{path.rstrip('/')}/json"
+    write_csv(rows, columns, out[0], bom=True)
+    write_json(rows.select(*columns), out[1])
+    return out
+
+
 def write_folders(rows: DataFrame, path: str, by: str = "folder", mode: str = "append") -> str:
     """Rows by folder. Modes: append to what is there, overwrite it, or sibling: a new folder with the time in its name."""
     if mode == "sibling":
@@ -71,6 +80,37 @@ def copy_plan(rows: DataFrame, there: DataFrame) -> DataFrame:
     return unique_names(held.unionByName(marked, allowMissingColumns=True)).where("NOT _there").drop("_there")
 
 
+def write_files(rows: DataFrame, root: str) -> DataFrame:
+    """Write each row's content to root/folder/out_name; folder, out_name, size and err of every row: one that fails harms no other.
+
+    Files are written under another name and renamed, so a task that is run again finds whole files or none, and a
+    file that is there with its size is not written again. The root is a folder that all executors share.
+    """
+    from pyarrow import fs
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            out = []
+            for folder, name, content in zip(b.folder, b.out_name, b.content):
+                try:
+                    if content is None:
+                        raise ValueError("unreadable")
+                    place = "/".join(x for x in (base, folder or "", name) if x)
+                    if (seen := system.get_file_info(place)).type == fs.FileType.NotFound or seen.size != len(content):
+                        system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                        draft = f"{place}.{uuid.uuid4().hex}"
+                        with system.open_output_stream(draft) as stream:
+                            stream.write(bytes(content))
+                        system.move(draft, place)
+                    out.append((folder, name, len(content), None))
+                except Exception as e:  # one bad row must not end the job
+                    out.append((folder, name, None, str(e)[:200] or type(e).__name__))
+            yield pd.DataFrame(out, columns=["folder", "out_name", "size", "err"]).astype({"size": "Int64"})
+
+    return rows.select("folder", "out_name", "content").mapInPandas(run, "folder string, out_name string, size long, err string")
+
+
 def stored_zip(files: Iterable[tuple[str, bytes | None]]) -> bytes:
     """An archive without compression; unreadable files (None) are left out, and one without files is refused."""
     out, n = io.BytesIO(), 0

@@ -19,15 +19,13 @@ class Store:
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._fs = self._hadoop.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, name: str):
-        return self._hadoop.Path(f"{self.root}/{name}/CURRENT")
-
     def version(self, name: str) -> str | None:
-        if not self._fs.exists(self._pointer(name)):
+        found = self._pointers(name)
+        if not found:
             return None
-        stream = self._fs.open(self._pointer(name))
+        stream = self._fs.open(found[0])
         try:
-            return stream.readUTF()
+            return stream.readUTF() or None
         finally:
             stream.close()
 
@@ -46,10 +44,29 @@ class Store:
     def replace(self, name: str, rows: DataFrame) -> str:
         folder = f"{self.root}/{name}/v-{uuid.uuid4().hex}"
         rows.write.parquet(folder)
-        stream = self._fs.create(self._pointer(name), True)
+        self._name(name, folder)
+        return folder
+
+    def _pointers(self, name: str) -> list:
+        """Pointer files of a table, the latest first. Files of a name with a dot are not finished."""
+        where = self._hadoop.Path(f"{self.root}/{name}/current")
+        if not self._fs.exists(where):
+            return []
+        found = [s.getPath() for s in self._fs.listStatus(where) if not s.getPath().getName().startswith(".")]
+        return sorted(found, key=lambda p: p.getName(), reverse=True)
+
+    def _name(self, name: str, folder: str) -> None:
+        """Say which version holds: a numbered file, written whole under another name and renamed. A crash leaves the version before."""
+        before = self._pointers(name)
+        n = int(before[0].getName()) + 1 if before else 1
+        draft = self._hadoop.Path(f"{self.root}/{name}/current/.{uuid.uuid4().hex}")
+        stream = self._fs.create(draft, False)
         stream.writeUTF(folder)
         stream.close()
-        return folder
+        if not self._fs.rename(draft, self._hadoop.Path(f"{self.root}/{name}/current/{n:012d}")):
+            raise RuntimeError(f"another writer of {name} came first")
+        for old in before[1:]:
+            self._fs.delete(old, False)
 
     def put(self, name: str, rows: DataFrame) -> str:
         """Rows take the place of those with their key; of rows that repeat a key one is kept."""
@@ -64,10 +81,9 @@ class Store:
         return None if old is None else self.replace(name, old.join(keys.select(self.key), self.key, "left_anti"))
 
     def clear(self, name: str) -> None:
-        self._fs.delete(self._pointer(name), False)
+        """The table is empty of versions; their folders stay, so restore() can bring one back."""
+        self._name(name, "")
 
     def restore(self, name: str, version: str) -> None:
         """Make an earlier version hold again."""
-        stream = self._fs.create(self._pointer(name), True)
-        stream.writeUTF(version)
-        stream.close()
+        self._name(name, version)

@@ -46,9 +46,10 @@ def live_ranking(ops: DataFrame, pools: dict[str, list[str]], target: int, seed:
     return ops.groupBy("unit").applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.NoTimeout)
 
 
-def snapshots(frame: DataFrame, store, name: str, checkpoint: str, seconds: float = 0.4):
-    """Write each micro-batch of a stream to a keyed store; a batch written twice gives the same table."""
-    return frame.writeStream.foreachBatch(lambda batch, _: store.put(name, batch)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{int(seconds * 1000)} milliseconds").start()
+def snapshots(frame: DataFrame, store, name: str, checkpoint: str, seconds: float | None = 0.4):
+    """Write each micro-batch of a stream to a keyed store; a batch written twice gives the same table. Without ``seconds`` it ends with what is there."""
+    trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{int(seconds * 1000)} milliseconds"}
+    return frame.writeStream.foreachBatch(lambda batch, _: store.put(name, batch)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def action_log(stream_folder: str, spark) -> DataFrame:
