@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnowlane.functions import capture, signature, text
-from winnowlane.operators import geo, hierarchy, organize, ranking, results, similarity, staged, stats, tags
+from winnowlane.operators import geo, hierarchy, order, organize, ranking, results, similarity, staged, stats, tags
 from winnowlane.session import table
 from winnowlane.sources import adapters, files, sinks
 
@@ -45,7 +45,7 @@ PAIRS = SIGS + ", pairs AS (SELECT a.unit, a.id AS a, b.id AS b, CAST(bit_count(
 # ---- grouping and events
 
 
-@query(f"WITH {SHOTS} SELECT strftime(ts, '%Y-%m-%d') || '/' || coalesce(camera, 'No camera') AS group_key, count(*) AS n FROM shots GROUP BY 1")
+@query(f"WITH {SHOTS} SELECT strftime(ts, '%Y-%m-%d') || '/' || coalesce(camera, 'Unknown camera') AS group_key, count(*) AS n FROM shots GROUP BY 1")
 def organize_day_type(spark, d):
     s = adapters.shots(spark, d)
     return organize.group_counts(s, {"day": F.date_format("ts", "yyyy-MM-dd"), "camera": F.col("camera")})
@@ -84,12 +84,11 @@ def session_windows(spark, d):
     return organize.session_sizes(adapters.shots(spark, d), "ts", 6, ["unit"]).select("unit", F.date_format("started", "yyyy-MM-dd HH.mm").alias("label"), "n")
 
 
-@query(f"WITH {SHOTS} SELECT id, row_number() OVER (ORDER BY (NOT regexp_matches(k2, '(^|/)No [a-z]+(/|$)')) DESC, k2, ts, id) AS ord FROM (SELECT *, coalesce(camera, 'No camera') AS k2 FROM shots)")
+@query(f"WITH {SHOTS} SELECT id, row_number() OVER (ORDER BY camera IS NULL, camera, ts, id) AS ord FROM shots")
 def missing_groups_last(spark, d):
-    from pyspark.sql import Window
-
     s = adapters.shots(spark, d).withColumn("g", organize.group_key(None, {"camera": F.col("camera")}))
-    return s.select("id", F.row_number().over(Window.orderBy(*organize.missing_last(F.col("g")), *organize.time_order())).cast("long").alias("ord"))
+    placed = order.positions(s.select("id", "ts", "g"), None, [*organize.missing_last(F.col("g")), *organize.time_order()])
+    return placed.select("id", (F.col("pos") + 1).alias("ord"))
 
 
 # ---- trees and quotas
@@ -167,27 +166,34 @@ def alloc_total(spark, d):
     return hierarchy.projected_total(_quotas(spark, d)[2])
 
 
-RAWS = ["5", "0", "", " * ", "∞", "INF", "5%", "12.5%", "5 %", "100%", "0%", "abc", "-3", "2.5", "101%", "%", "5%%"]
+#: What is typed, and what it means.
+RAWS = [
+    ("5", "fixed", 5), ("0", "excluded", None), ("", "pooled", None), (" * ", "uncapped", None), ("∞", "uncapped", None), ("INF", "uncapped", None), ("5%", "percent", 5), ("12.5%", "percent", 12.5), ("5 %", "percent", 5), ("100%", "percent", 100), ("0%", "excluded", None),
+    ("abc", "invalid", None), ("-3", "invalid", None), ("2.5", "invalid", None), ("101%", "invalid", None), ("%", "invalid", None), ("5%%", "invalid", None), (".5%", "percent", 0.5), ("0005%", "invalid", None), ("005%", "percent", 5), ("007", "fixed", 7), ("5.%", "invalid", None), ("000", "excluded", None), ("1e3", "invalid", None),
+]
 
 
-@query("""WITH r(raw) AS (VALUES {}) SELECT raw, CASE WHEN x = '' THEN 'pooled' WHEN x IN ('*', '∞', 'inf') THEN 'uncapped' WHEN regexp_full_match(x, '[0-9]+(\\.[0-9]+)?\\s*%') THEN CASE WHEN v = 0 THEN 'excluded' WHEN v <= 100 THEN 'percent' ELSE 'invalid' END
- WHEN regexp_full_match(x, '[0-9]+') THEN CASE WHEN v = 0 THEN 'excluded' ELSE 'fixed' END ELSE 'invalid' END AS mode, CASE WHEN regexp_full_match(x, '[0-9]+(\\.[0-9]+)?\\s*%') AND v > 0 AND v <= 100 OR regexp_full_match(x, '[0-9]+') AND v > 0 THEN v END AS value
- FROM (SELECT raw, lower(trim(raw)) AS x, TRY_CAST(trim(replace(trim(raw), '%', '')) AS DOUBLE) AS v FROM r)""".format(", ".join(f"('{r}')" for r in RAWS)))
+@query("SELECT * FROM (VALUES {}) t(raw, mode, value)".format(", ".join(f"('{r}', '{m}', CAST({'NULL' if v is None else v} AS DOUBLE))" for r, m, v in RAWS)))
 def alloc_parse(spark, d):
-    return spark.createDataFrame([(r,) for r in RAWS], "raw string").select("raw", hierarchy.parse_quota(F.col("raw")).alias("q")).select("raw", "q.mode", "q.value")
+    return spark.createDataFrame([(r,) for r, _, _ in RAWS], "raw string").select("raw", hierarchy.parse_quota(F.col("raw")).alias("q")).select("raw", "q.mode", "q.value")
 
 
-@query("SELECT p_partkey AS id, CAST(CASE WHEN p_size > 0 THEN greatest(1, least(p_size, floor((p_partkey % 101) / 100.0 * p_size + 0.5))) ELSE 0 END AS BIGINT) AS n FROM part WHERE p_partkey % 101 > 0")
+@query("SELECT p_partkey AS id, CAST(CASE WHEN p_size > 0 AND p_partkey % 101 > 0 THEN greatest(1, least(p_size, floor((p_partkey % 101) / 100.0 * p_size + 0.5))) ELSE 0 END AS BIGINT) AS n FROM part")
 def percent_count(spark, d):
-    p = table(spark, d, "part").where("p_partkey % 101 > 0")
+    p = table(spark, d, "part")
     return p.select(F.col("p_partkey").alias("id"), hierarchy.percent_count((F.col("p_partkey") % 101).cast("double"), F.col("p_size")).alias("n"))
 
 
-@query()
+@query(f"""WITH {FOLDERS}{PATHS}, n AS (SELECT path, count(*) AS c FROM tops WHERE path <> '' AND dir <> 'ASIA' AND NOT starts_with(dir, 'ASIA/') GROUP BY 1), k AS (SELECT path, c, CASE WHEN path NOT LIKE '%/%' THEN '' ELSE regexp_replace(path, '/[^/]*$', '') END AS up,
+  CAST(coalesce(nullif(regexp_extract(path, '_([0-9]+)$', 1), ''), '0') AS INTEGER) AS num FROM n WHERE len(string_split(path, '/')) < 3),
+x AS (SELECT *, 10 * c / CAST(sum(c) OVER (PARTITION BY up) AS DOUBLE) AS e, row_number() OVER (PARTITION BY up ORDER BY regexp_replace(path, '[0-9]+$', ''), num) AS ord FROM k),
+y AS (SELECT *, floor(e) AS fl, row_number() OVER (PARTITION BY up ORDER BY e - floor(e) DESC, ord) AS nth, 10 - sum(floor(e)) OVER (PARTITION BY up) AS spare FROM x)
+SELECT path, CAST(fl + CASE WHEN nth <= spare THEN 1 ELSE 0 END AS BIGINT) AS places FROM y""")
 def alloc_apportion(spark, d):
+    """Shares of 10 among regions, and among the nations of each."""
     nodes = hierarchy.sibling_order(hierarchy.resolve(hierarchy.tree(adapters.customers_in_folders(spark, d))[0], spark.createDataFrame([("ASIA", "0")], "path string, raw string")))
-    kids = nodes.where("parent_path IS NOT NULL AND NOT excluded").select("parent_path", "path", "ord", "subtree_count")
-    return hierarchy.apportion(kids, 50)
+    kids = nodes.where("parent_path IS NOT NULL AND NOT excluded AND depth < 3").select("parent_path", "path", "ord", "subtree_count")
+    return hierarchy.apportion(kids, 10)
 
 
 # ---- similarity
@@ -198,14 +204,18 @@ def hamming_pairs(spark, d):
     return similarity.close_pairs(adapters.signatures(spark, d), 20)
 
 
-@query(f"WITH {PAIRS} SELECT * FROM pairs WHERE distance <= 8")
+@query(f"""WITH {SIGS}, twice AS (SELECT id, unit, hi, lo FROM sigs UNION ALL SELECT id + 10000000, unit, hi, xor(lo, CAST(1 + id % 7 AS BIGINT)) FROM sigs)
+SELECT a.unit, a.id AS a, b.id AS b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS distance FROM twice a JOIN twice b ON a.unit = b.unit AND a.id < b.id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 8""")
 def hamming_pairs_banded(spark, d):
-    return similarity.close_pairs(adapters.signatures(spark, d), 8)
+    """With a copy of every signature in which some low bits are turned, so that there are pairs."""
+    s = adapters.signatures(spark, d)
+    turned = s.select(F.col("id") + 10000000, "unit", "hi", F.col("lo").bitwiseXOR((F.lit(1) + F.col("id") % 7).cast("long")))
+    return similarity.close_pairs(s.union(turned), 8)
 
 
 @query(f"WITH {PAIRS} SELECT distance, count(*) AS n FROM pairs GROUP BY 1")
 def hamming_hist(spark, d):
-    return similarity.close_pairs(adapters.signatures(spark, d), 64).groupBy("distance").agg(F.count("*").alias("n"))
+    return similarity.distance_counts(adapters.signatures(spark, d)).select("distance", F.col("neg").alias("n"))
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs WHERE distance <= 20 UNION SELECT b, a FROM pairs WHERE distance <= 20), w AS (SELECT id, id AS r FROM sigs UNION SELECT e.b, w.r FROM w JOIN e ON e.a = w.id)
@@ -215,7 +225,14 @@ def union_clusters(spark, d):
     return similarity.union_clusters(similarity.close_pairs(s, 20), s)
 
 
-@query()
+STRICT = f"""{SIGS}, q AS (SELECT unit, id, hi, lo, row_number() OVER (PARTITION BY unit ORDER BY id) AS i FROM sigs),
+s(unit, i, g) AS (SELECT unit, CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, hi BIGINT, lo BIGINT)[][]) FROM q GROUP BY 1 UNION ALL
+ SELECT unit, i, CASE WHEN len(w) > 0 AND list_min(w) <= 20 THEN list_transform(g, lambda v, k: CASE WHEN k = list_position(w, list_min(w)) THEN list_append(v, r) ELSE v END) ELSE list_append(g, [r]) END
+ FROM (SELECT s.unit, q.i, s.g, {{'id': q.id, 'hi': q.hi, 'lo': q.lo}} AS r, list_transform(s.g, lambda v: list_max(list_transform(v, lambda m: bit_count(xor(m.hi, q.hi)) + bit_count(xor(m.lo, q.lo))))) AS w FROM s JOIN q ON q.unit = s.unit AND q.i = s.i + 1)),
+strict AS (SELECT CAST(unit AS VARCHAR) AS unit, m.id AS id, grp[1].id AS group_id FROM (SELECT unit, grp, unnest(grp) AS m FROM (SELECT unit, unnest(g) AS grp FROM s WHERE (unit, i) IN (SELECT unit, max(i) FROM q GROUP BY 1))))"""
+
+
+@query(f"WITH RECURSIVE {STRICT} SELECT * FROM strict")
 def strict_clusters(spark, d):
     return similarity.cluster(adapters.signatures(spark, d), 20)
 
@@ -226,11 +243,21 @@ def union_clusters_folded(spark, d):
     return similarity.cluster(adapters.signatures(spark, d), 20, "union")
 
 
-@query()
+@query(f"""WITH RECURSIVE {STRICT}, n AS (SELECT *, row_number() OVER (PARTITION BY unit, group_id ORDER BY id) AS k, min(id) OVER (PARTITION BY unit) AS lo_id, max(id) OVER (PARTITION BY unit) AS hi_id FROM strict),
+split AS (SELECT unit, id, lo_id, hi_id, CASE WHEN k = 2 THEN id ELSE group_id END AS g FROM n), ends AS (SELECT unit, max(CASE WHEN id = lo_id THEN g END) AS a, max(CASE WHEN id = hi_id THEN g END) AS b FROM split GROUP BY 1)
+SELECT s.unit, s.id, CASE WHEN s.g IN (e.a, e.b) THEN least(e.a, e.b) ELSE s.g END AS group_id FROM split s JOIN ends e ON e.unit = s.unit""")
 def corrected_clusters(spark, d):
-    s = adapters.signatures(spark, d)
-    edits = spark.createDataFrame([(0, 1, 1, 1), (2, 3, -1, 2), (1, 0, -1, 3), (4, 5, 1, 4)], "a long, b long, sign int, seq long")
-    return similarity.cluster(s, 20, "strict", similarity.last_edits(edits))
+    """Strict groups whose two least members are parted, and the first and last row of each unit tied together."""
+    from pyspark.sql import Window
+
+    s = adapters.signatures(spark, d).withColumn("unit", F.col("unit").cast("string"))
+    g = similarity.cluster(s, 20)
+    nth = F.row_number().over(Window.partitionBy("unit", "group_id").orderBy("id"))
+    apart = g.withColumn("n", nth).where("n = 2").select(F.col("group_id").alias("a"), F.col("id").alias("b"), F.lit(-1).alias("sign"), F.lit(2).cast("long").alias("seq"))
+    ends = s.groupBy("unit").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("b", "a", F.lit(1).alias("sign"), F.lit(3).cast("long").alias("seq"))
+    # an earlier edit of the same pairs that later ones take back
+    first = apart.withColumn("sign", F.lit(1)).withColumn("seq", F.lit(1).cast("long"))
+    return similarity.cluster(s, 20, "strict", similarity.last_edits(first.unionByName(apart).unionByName(ends)))
 
 
 @query("""WITH m AS (SELECT p_brand AS g, p_partkey AS id, p_retailprice / max(p_retailprice) OVER (PARTITION BY p_brand) AS s, p_size / CAST(max(p_size) OVER (PARTITION BY p_brand) AS DOUBLE) AS p FROM part)
@@ -242,11 +269,11 @@ def group_representative(spark, d):
 
 @query(f"""WITH {PAIRS}, l AS (SELECT distance, (a + b) % 3 = 0 AS same FROM pairs), s AS (SELECT CAST(unnest(range(0, 41)) AS INTEGER) AS threshold),
 c AS (SELECT threshold, CAST(count_if(distance <= threshold AND same) AS BIGINT) AS tp, CAST(count_if(distance > threshold AND same) AS BIGINT) AS fn, CAST(count_if(distance <= threshold AND NOT same) AS BIGINT) AS fp, CAST(count_if(distance > threshold AND NOT same) AS BIGINT) AS tn FROM l, s GROUP BY 1)
-SELECT *, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 6) AS recall, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS precision FROM c""")
+SELECT *, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 6) AS recall, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN fn / (tp + fn) END, 6) AS fnr, round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) END, 6) AS fpr, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) END, 6) AS f1, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END - CASE WHEN fp + tn > 0 THEN fp / (fp + tn) END, 6) AS youden FROM c""")
 def threshold_sweep(spark, d):
-    p = similarity.close_pairs(adapters.signatures(spark, d), 64).select("distance", ((F.col("a") + F.col("b")) % 3 == 0).alias("same"))
-    s = similarity.threshold_sweep(p)
-    return s.select("threshold", "tp", "fn", "fp", "tn", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+    s = similarity.threshold_sweep(similarity.distance_counts(adapters.signatures(spark, d), lambda a, b: (a + b) % 3 == 0))
+    rates = [F.round(c, 6).alias(c) for c in ("recall", "precision", "fnr", "fpr", "f1", "youden")]
+    return s.select("threshold", "tp", "fn", "fp", "tn", *rates)
 
 
 @query(f"""WITH {PAIRS}, n AS (SELECT unit, a, b FROM pairs WHERE distance <= 20), o AS (SELECT unit, a, b FROM n UNION ALL SELECT unit, b, a FROM n)
@@ -261,9 +288,9 @@ def open_triples(spark, d):
 KM = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians({1} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({1})) * pow(sin(radians({3} - {2}) / 2), 2))))"
 
 
-@query(f"WITH {SHOTS}, c AS (SELECT unit, avg(lat) AS lat, avg(lon) AS lon FROM shots GROUP BY 1 HAVING unit < 40) SELECT a.unit AS a, b.unit AS b, round({KM.format('a.lat', 'b.lat', 'a.lon', 'b.lon')}, 3) AS km FROM c a JOIN c b ON a.unit < b.unit")
+@query(f"WITH {SHOTS}, c AS (SELECT unit, avg(lat) AS lat, avg(lon) AS lon FROM shots GROUP BY 1) SELECT a.unit AS a, b.unit AS b, round({KM.format('a.lat', 'b.lat', 'a.lon', 'b.lon')}, 3) AS km FROM c a JOIN c b ON a.unit < b.unit")
 def haversine_pairs(spark, d):
-    c = adapters.shots(spark, d).where("unit < 40").groupBy("unit").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    c = adapters.shots(spark, d).groupBy("unit").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
     x, y = c.toDF("a", "lat1", "lon1"), c.toDF("b", "lat2", "lon2")
     return x.join(y, F.col("a") < F.col("b")).select("a", "b", F.round(capture.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), 3).alias("km"))
 
@@ -279,7 +306,11 @@ def nearest_place(spark, d):
     return geo.nearest_within(c, p, 2500, ["unit"]).select("unit", "name", F.round("km", 3).alias("km"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SHOTS}, p AS (SELECT unit, lat, lon, row_number() OVER (PARTITION BY unit ORDER BY ts, id) AS i FROM shots WHERE lat IS NOT NULL AND lon IS NOT NULL),
+s(unit, i, c) AS (SELECT unit, CAST(0 AS BIGINT), CAST([] AS STRUCT(lat DOUBLE, lon DOUBLE, n BIGINT)[]) FROM p GROUP BY 1 UNION ALL
+ SELECT unit, i, CASE WHEN len(d) > 0 AND list_min(d) <= 2.0 THEN list_transform(c, lambda v, k: CASE WHEN k = list_position(d, list_min(d)) THEN {{'lat': (v.lat * v.n + lat) / (v.n + 1), 'lon': (v.lon * v.n + lon) / (v.n + 1), 'n': v.n + 1}} ELSE v END) ELSE list_append(c, {{'lat': lat, 'lon': lon, 'n': CAST(1 AS BIGINT)}}) END
+ FROM (SELECT s.unit, p.i, s.c, p.lat, p.lon, list_transform(s.c, lambda v: {KM.format('v.lat', 'p.lat', 'v.lon', 'p.lon')}) AS d FROM s JOIN p ON p.unit = s.unit AND p.i = s.i + 1))
+SELECT unit, CAST(k - 1 AS BIGINT) AS cluster, c[k].n AS n, round(c[k].lat, 6) AS lat, round(c[k].lon, 6) AS lon FROM (SELECT unit, c, generate_subscripts(c, 1) AS k FROM s WHERE (unit, i) IN (SELECT unit, max(i) FROM p GROUP BY 1))""")
 def location_clusters(spark, d):
     s = geo.locations(adapters.shots(spark, d), 2.0, "unit")
     return geo.centres(s, "unit").select("unit", "cluster", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
@@ -315,9 +346,9 @@ def rank_price(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), staged.rank_price(F.col("p_size").cast("long"), F.col("p_partkey") % 20 + 1).alias("price"))
 
 
-@query("""WITH o AS (SELECT o_custkey AS unit, o_orderkey AS id, o_totalprice AS score FROM orders WHERE o_custkey < 300) SELECT unit, id, place FROM (SELECT unit, id, row_number() OVER (PARTITION BY unit ORDER BY score DESC, id) AS place FROM o) WHERE place <= 5""")
+@query("""WITH o AS (SELECT o_custkey AS unit, o_orderkey AS id, o_totalprice AS score FROM orders) SELECT unit, id, place FROM (SELECT unit, id, row_number() OVER (PARTITION BY unit ORDER BY score DESC, id) AS place FROM o) WHERE place <= 5""")
 def bracket_topk(spark, d):
-    o = table(spark, d, "orders").where("o_custkey < 300").select(F.col("o_custkey").alias("unit"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("unit"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
     return ranking.rank_by_score(o, "unit", "id", "score", 5, 7).where("decided").select("unit", "id", "place")
 
 
@@ -326,7 +357,10 @@ def top_k(spark, d):
     return ranking.top_k(_judged(spark, d), "unit", [F.col("score").desc(), F.col("id")], 20).select("unit", "id", "place")
 
 
-@query()
+@query(f"""WITH RECURSIVE {FOLDERS}, u AS (SELECT array_to_string(string_split(dir, '/')[1:2], '/') AS unit, list(id ORDER BY id) AS a FROM folders GROUP BY 1),
+s(unit, a, i, x) AS (SELECT unit, a, CAST(len(a) AS BIGINT), CAST(42 AS BIGINT) FROM u UNION ALL
+ SELECT unit, list_transform(a, lambda v, n: CASE WHEN n = i THEN a[y % i + 1] WHEN n = y % i + 1 THEN a[i] ELSE v END), i - 1, y FROM (SELECT *, (x * 1664525 + 1013904223) % 4294967296 AS y FROM s WHERE i > 1))
+SELECT unit, unnest(a) AS face, CAST(generate_subscripts(a, 1) - 1 AS BIGINT) AS pos FROM s WHERE i <= 1""")
 def seeded_deal(spark, d):
     c = adapters.customers_in_folders(spark, d).select(F.substring_index("dir", "/", 2).alias("unit"), F.col("id").alias("face"), F.col("id").alias("ord"))
     return staged.shuffle_rows(c, "unit", "face", 42)
@@ -361,10 +395,10 @@ def cut_except(spark, d):
     return results.except_ordered(o, table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("id")))
 
 
-@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey AS id, o_custkey AS name FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def new_rows_anti(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return files.new_rows(c, table(spark, d, "orders").select(F.col("o_custkey").alias("id")))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("name"))
+    return files.new_rows(o, table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")))
 
 
 @query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -387,9 +421,9 @@ def median_value(spark, d):
 _AT = "CAST(floor((count(*) - 1) * {} + 0.5) AS BIGINT) + 1"
 
 
-@query("SELECT event_type, count(*) AS n, min(value) AS min, " + ", ".join(f"list_sort(list(value))[{_AT.format(p)}] AS {n}" for n, p in (("p05", 0.05), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95))) + ", max(value) AS max FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS n, min(value) AS min, " + ", ".join(f"list_sort(list(value))[{_AT.format(p)}] AS {n}" for n, p in (("p05", 0.05), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95))) + ", max(value) AS max, floor(avg(value) * 100 + 0.5) / 100 AS mean FROM events GROUP BY 1")
 def nearest_ranks(spark, d):
-    return stats.nearest_ranks(table(spark, d, "events"), ["event_type"], "value").drop("mean")
+    return stats.nearest_ranks(table(spark, d, "events"), ["event_type"], "value")
 
 
 @query("SELECT lang AS tag_id, count(*) AS n FROM documents GROUP BY 1")
@@ -415,31 +449,44 @@ def csv_guard(spark, d):
     return p.select(F.col("page_id").alias("id"), text.csv_field(s).alias("field"))
 
 
-@query("SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_suppkey) AS ord FROM supplier")
+@query("SELECT id, row_number() OVER (ORDER BY n) AS ord FROM (SELECT s_suppkey AS id, CAST(s_suppkey AS BIGINT) * CASE WHEN s_suppkey % 3 = 0 THEN 1626253953123 ELSE 1 END AS n FROM supplier)")
 def natural_sort(spark, d):
-    from pyspark.sql import Window
+    """Names with numbers of one to sixteen digits, some padded with zeros."""
+    number = F.col("s_suppkey").cast("long") * F.when(F.col("s_suppkey") % 3 == 0, F.lit(1626253953123)).otherwise(F.lit(1))
+    padded = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("00"), number.cast("string"))).otherwise(number.cast("string"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("IMG"), padded, F.lit(".jpg")).alias("short"))
+    return order.positions(s, None, [text.natural_key(F.col("short")), F.col("id")]).select("id", (F.col("pos") + 1).alias("ord"))
 
-    s = table(spark, d, "supplier").withColumn("short", F.concat(F.lit("img"), F.col("s_suppkey").cast("string"), F.lit(".jpg")))
-    return s.select(F.col("s_suppkey").alias("id"), F.row_number().over(Window.orderBy(text.natural_key(F.col("short")))).cast("long").alias("ord"))
 
-
-@query("SELECT p_partkey AS id, CASE WHEN x <= 23.5 THEN 'ultra-wide' WHEN x <= 35.5 THEN 'wide' WHEN x <= 70.5 THEN 'normal' WHEN x <= 135.5 THEN 'portrait' WHEN x IS NOT NULL THEN 'telephoto' END AS band, CASE WHEN w = 0 OR h = 0 THEN NULL WHEN abs(w - h) <= 0.02 * greatest(w, h) THEN 'square' WHEN w > h THEN 'landscape' ELSE 'portrait' END AS orientation FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 > 0 THEN p_size * 4.0 END AS x, p_size AS w, p_partkey % 50 AS h FROM part)")
+@query("""SELECT id, CASE WHEN NOT x > 0 OR x IS NULL THEN NULL WHEN x <= 23.5 THEN 'Ultra-wide (under 24mm)' WHEN x <= 35.5 THEN 'Wide (24-35mm)' WHEN x <= 70.5 THEN 'Normal (36-70mm)' WHEN x <= 135.5 THEN 'Short tele (71-135mm)' ELSE 'Tele (over 135mm)' END AS band,
+ CASE WHEN w = 0 OR h = 0 THEN NULL WHEN w > h * 1.02 THEN 'Landscape' WHEN h > w * 1.02 THEN 'Portrait' ELSE 'Square' END AS orientation
+ FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 7 > 0 THEN p_size * 4.0 + CASE WHEN p_size % 2 = 0 THEN 3.5 ELSE 0 END END AS x, CASE WHEN p_partkey % 2 = 0 THEN a ELSE b END AS w, CASE WHEN p_partkey % 2 = 0 THEN b ELSE a END AS h FROM (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE 5095 + p_partkey % 9 END AS a, 5000 AS b FROM part))""")
 def capture_bands(spark, d):
+    """Sides around the edge: 5100 by 5000 is square, 5101 by 5000 is not."""
     p = table(spark, d, "part")
-    fl = F.when(F.col("p_partkey") % 7 > 0, F.col("p_size") * 4.0)
-    return p.select(F.col("p_partkey").alias("id"), capture.focal_band(F.lit(None).cast("double"), fl).alias("band"), capture.orientation(F.col("p_size"), F.col("p_partkey") % 50).alias("orientation"))
+    fl = F.when(F.col("p_partkey") % 7 > 0, F.col("p_size") * 4.0 + F.when(F.col("p_size") % 2 == 0, 3.5).otherwise(0.0))
+    a, b, even = F.when(F.col("p_partkey") % 11 == 0, 0).otherwise(5095 + F.col("p_partkey") % 9), F.lit(5000), F.col("p_partkey") % 2 == 0
+    return p.select(F.col("p_partkey").alias("id"), capture.focal_band(F.lit(None).cast("double"), fl).alias("band"), capture.orientation(F.when(even, a).otherwise(b), F.when(even, b).otherwise(a)).alias("orientation"))
 
 
-@query("SELECT page_id AS id, url AS path, regexp_replace(regexp_replace(url, '[/:?]', '-', 'g'), '[. ]+$', '') AS segment, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')[:48] AS slug FROM pages WHERE length(url) <= 80")
+@query("SELECT page_id AS id, url AS path, regexp_replace(left(regexp_replace(u, '[/:?]', '-', 'g'), 80), '[. ]+$', '') AS segment, regexp_replace(regexp_replace(lower(u), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')[:48] AS slug FROM (SELECT *, url || '?' || repeat('x', CAST(page_id % 50 AS INTEGER)) || '.. ' AS u FROM pages)")
 def safe_names(spark, d):
-    p = table(spark, d, "pages").where("length(url) <= 80")
-    return p.select(F.col("page_id").alias("id"), F.col("url").alias("path"), text.path_segment(F.col("url")).alias("segment"), text.slug(F.col("url")).alias("slug"))
+    """Names of up to and over 80 characters, with a dot and space at the end."""
+    u = F.concat(F.col("url"), F.lit("?"), F.repeat(F.lit("x"), (F.col("page_id") % 50).cast("int")), F.lit(".. "))
+    return table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("path"), text.path_segment(u).alias("segment"), text.slug(u).alias("slug"))
+
 
+#: Extensions as they are written on files, and what they stand for.
+EXTENSIONS = {
+    "image": {"jpeg": "JPG jpeg jpe", "png": "png", "webp": "webp", "gif": "GIF", "heic": "heic HEIF hif"}, "skipped": {"video": "mp4 MOV m4v avi mkv webm mpg mpeg 3gp wmv", "raw": "CR2 cr3 nef arw dng raf orf rw2 pef srw"}, "unknown": {"unknown": "txt avif tar.gz jpg~"},
+}
+_EXT = [(e, k, c) for c, kinds in EXTENSIONS.items() for k, names in kinds.items() for e in names.split()]
 
-@query("SELECT CASE p_partkey % 5 WHEN 0 THEN 'image' WHEN 1 THEN 'image' WHEN 2 THEN 'skipped' WHEN 3 THEN 'skipped' ELSE 'unknown' END AS class, CASE p_partkey % 5 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'heic' WHEN 2 THEN 'video' WHEN 3 THEN 'raw' ELSE 'unknown' END AS kind, count(*) AS n FROM part GROUP BY 1, 2")
+
+@query(f"WITH e(n, class, kind) AS (VALUES {', '.join(f'({i}, {chr(39)}{c}{chr(39)}, {chr(39)}{k}{chr(39)})' for i, (_, k, c) in enumerate(_EXT))}) SELECT class, kind, count(*) AS n FROM part JOIN e ON p_partkey % {len(_EXT)} = e.n GROUP BY 1, 2")
 def triage_kinds(spark, d):
-    ext = F.element_at(F.array(*[F.lit(x) for x in ("JPG", "heif", "mov", "CR2", "txt")]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    f = files.from_paths(table(spark, d, "part").select(F.concat(F.lit("a/b/"), F.col("p_name"), F.lit("."), ext).alias("path")))
+    ext = F.element_at(F.array(*[F.lit(x) for x, _, _ in _EXT]), (F.col("p_partkey") % len(_EXT) + 1).cast("int"))
+    f = files.from_paths(table(spark, d, "part").select(F.concat(F.lit("a/b.jpg/"), F.col("p_name"), F.lit("."), ext).alias("path")))
     return files.triage(f).groupBy("class", "kind").agg(F.count("*").alias("n"))
 
 
@@ -448,31 +495,32 @@ def ranked_ordinals(spark, d):
     return results.ranked(_judged(spark, d).withColumn("ord", F.col("id")), "unit").select("unit", "id", "ordinal")
 
 
-@query("SELECT event_id AS id, 'events/' || event_type AS folder, event_id || '.jpg' AS file, strftime(ts, '%Y-%m-%d %H:%M:%S') AS taken, CASE WHEN event_id % 4 = 0 THEN 'a; b' WHEN event_id % 2 = 0 THEN 'b' END AS tags FROM events")
+@query(f"""WITH r AS (SELECT {adapters.RECORD} FROM part) SELECT id, 'out/' || kind AS folder, name AS file, path AS original_path, CASE WHEN id % 4 = 0 THEN 'a; b' WHEN id % 2 = 0 THEN 'b' END AS tags, replace(taken, 'T', ' ') AS taken, tz AS timezone,
+ CASE id % 5 WHEN 0 THEN 'Canon EOS R6' WHEN 1 THEN 'NIKON Z 6' WHEN 2 THEN 'Apple iPhone 15 Pro' WHEN 3 THEN 'X100' END AS camera, lens, nullif(fl, 0) AS focal_mm, nullif(fl35, 0) AS focal_35mm, nullif(f, 0) AS aperture, exposure AS shutter_s, nullif(iso, 0) AS iso, lat AS latitude, lon AS longitude,
+ CASE WHEN near IS NULL THEN country WHEN country IS NULL OR country = near THEN near ELSE near || ', ' || country END AS place, CAST(nullif(w, 0) AS DOUBLE) AS width, CAST(h AS DOUBLE) AS height, kind AS format, CAST(nullif(size, 0) AS DOUBLE) AS bytes, CASE WHEN id % 3 = 0 THEN 'yes' ELSE 'no' END AS copied
+ FROM (SELECT *, coalesce(nullif(city, ''), nullif(sublocation, ''), nullif(state, '')) AS near FROM r)""")
 def manifest(spark, d):
-    e = table(spark, d, "events")
-    rows = e.select(F.col("event_id").alias("id"), F.concat(F.lit("events/"), "event_type").alias("folder"), F.concat(F.col("event_id").cast("string"), F.lit(".jpg")).alias("file"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("taken"))
-    marks = e.where("event_id % 4 = 0").select(F.col("event_id").alias("id"), F.lit("t1").alias("tag_id")).union(e.where("event_id % 2 = 0").select("event_id", F.lit("t2")))
+    rows = adapters.records(spark, d).withColumn("folder", F.concat(F.lit("out/"), "kind"))
+    marks = rows.where("id % 4 = 0").select("id", F.lit("t1").alias("tag_id")).union(rows.where("id % 2 = 0").select("id", F.lit("t2")))
     names = spark.createDataFrame([("t1", "a", 1), ("t2", "b", 2)], "tag_id string, name string, ord int")
-    return results.manifest(rows, tags.tag_list(marks, names)).select("id", "folder", "file", "taken", "tags")
+    m = results.manifest(rows, tags.tag_list(marks, names), rows.where("id % 3 = 0"))
+    return m.withColumns({c: F.col(c).cast("double") for c in ("width", "height", "bytes")})
 
 
-@query("SELECT doc_id AS id, count(*) AS n FROM documents GROUP BY 1".replace("count(*) AS n", "any_value(n_chars) AS n_chars"))
+@query("SELECT doc_id AS id, any_value(n_chars) AS n_chars FROM documents GROUP BY 1")
 def keyed_upsert(spark, d):
     """Rows of a keyed store after a second write of the same keys."""
-    import tempfile
-
+    from winnowlane.scratch import fresh_path
     from winnowlane.sources.store import Store
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='winnowlane-store-')}"
-    store = Store(spark, f"{folder.rstrip('/')}/winnowlane-store/{spark.sparkContext.applicationId}-{abs(hash(d))}")
+    store = Store(spark, fresh_path(spark, "store"))
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
     store.put("docs", rows.withColumn("n_chars", F.lit(0).cast("long")))
     store.put("docs", rows)
     return store.all("docs")
 
 
-@query()
+@query("SELECT p_partkey AS id, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(p_name, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM part")
 def name_hashes(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), signature.fnv1a32(F.col("p_name")).alias("h"))
 
@@ -483,6 +531,9 @@ def csv_rows(spark, d):
     return sinks.csv_lines(p, ["p_name", "p_size"]).select(F.col("ord").alias("id"), "line")
 
 
+from winnowlane import operator_queries  # noqa: E402,F401  (its queries register themselves)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _FOUND.items()}
 
