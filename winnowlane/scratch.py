@@ -44,6 +44,28 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def only(make, name: str) -> DataFrame:
+    """What make() gives, written; every other table that was written on the way is removed.
+
+    make() must not hand out frames that read those tables. The result reads nothing but its own.
+    """
+    before = len(_MADE)
+    made = make()
+    out = materialize(made, name)
+    own = _MADE.pop()
+    for spark, path in _MADE[before:]:
+        drop_path(spark, path)
+    _MADE[before:] = [own]
+    return out
+
+
+def drop(frame: DataFrame) -> None:
+    """Remove the table that a frame made here reads, if it does; frames that read it are void afterwards."""
+    found = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in frame.inputFiles()[:1]}
+    for at in [i for i, (_, path) in enumerate(_MADE) if path.rsplit("/", 1)[-1] in found][::-1]:
+        drop_path(*_MADE.pop(at))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
