@@ -333,3 +333,46 @@ def test_rollup_survives_a_crash_and_compacts(spark, tmp_path):
     assert {(r.source, r.n_tokens) for r in state.totals().where("tokenizer_version = 'bpe-49k'").collect()} == {("s", 7), (None, 0)}
     with pytest.raises(ValueError):
         state.commit(".x", rollup.counted(bpe))
+
+
+def test_groups_of_several_blocks_without_broadcast(spark, monkeypatch):
+    from winnowlane.llm import _blocks, embedding_dedup, ngram_join
+
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((6, 16))
+    rows = [(i, (base[i % 6] + rng.standard_normal(16) * 0.03).astype(np.float32).tolist(), 1) for i in range(90)] + [(i, rng.standard_normal(16).astype(np.float32).tolist(), 1) for i in range(90, 130)]
+    x = np.array([r[1] for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    f = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    words = [" ".join(f"w{k % 6}x{j if j != k else 'z'}" for j in range(40)) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    want = None
+    for limit, block in ((200_000, 1024), (200_000, 4), (0, 4)):
+        monkeypatch.setattr(_blocks, "BROADCAST_GROUPS", limit)
+        got = {r.vec_id: r.n_links for r in embedding_dedup.link(f, block=block).collect()}
+        assert got == {i: int(near[i].sum()) for i in range(130)} and near.any()
+        links = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.link(docs, block=block).collect()}
+        assert want is None or links == want
+        want = links
+
+
+def test_few_bits_where_tables_would_be_too_many():
+    from winnowlane.llm import embedding_dedup
+
+    bits, tables = embedding_dedup.layout(10**9, 0.98)
+    assert bits == 35 and tables < 255 and (1 - (1 - math.acos(0.98) / math.pi) ** bits) ** tables <= 1e-6
+    bits, tables = embedding_dedup.layout(10**9, 0.5)
+    assert tables <= 255 and (1 - (1 - math.acos(0.5) / math.pi) ** bits) ** tables <= 1e-6
+
+
+def test_stages_leave_their_result_only(spark):
+    from winnowlane import scratch
+
+    n = len(scratch._MADE)
+    first = scratch.only(lambda: scratch.materialize(spark.range(3), "inner").where("id > 0"), "outer")
+    assert len(scratch._MADE) == n + 1 and sorted(r.id for r in first.collect()) == [1, 2]
+    second = scratch.only(lambda: first.where("id > 1"), "next")
+    scratch.drop(first)
+    assert len(scratch._MADE) == n + 1 and [r.id for r in second.collect()] == [2]

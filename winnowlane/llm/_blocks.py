@@ -14,15 +14,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnowlane.llm._scratch import parts
+from winnowlane.llm._scratch import materialize, parts
 
+#: Groups of several blocks that are broadcast, and shares of the rows of one beyond that.
+BROADCAST_GROUPS, SALT = 200_000, 16
 OUT = "a long, b long, links long"
 
 
-def paired(members: DataFrame, group: str, member: str, size: int) -> DataFrame:
-    """Members with block numbers: each row once for each pair of blocks (i <= j) that its block is in."""
-    counts = members.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
-    rows = members.join(counts, group)
+def paired(rows: DataFrame, group: str, member: str, size: int, counted: DataFrame | None = None) -> DataFrame:
+    """Members with block numbers: each row once for each pair of blocks (i <= j) that its block is in.
+
+    ``counted``: a narrower frame with the same groups and members, from which groups are counted. Only groups of several
+    blocks are joined back: broadcast up to BROADCAST_GROUPS of them, and beyond it joined with the rows of one
+    group shared among SALT tasks.
+    """
+    counts = (counted if counted is not None else rows).groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    large = materialize(counts.where("blocks > 1"), "large-groups")
+    if large.count() <= BROADCAST_GROUPS:
+        rows = rows.join(F.broadcast(large), group, "left")
+    else:
+        copies = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64(member), F.lit(SALT)).cast("int")).join(copies, [group, "salt"], "left").drop("salt")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("own", own).withColumn("other", other)

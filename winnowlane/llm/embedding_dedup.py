@@ -1,9 +1,11 @@
 """Embedding near-dedup: random hyperplanes, exact cosines, connected components.
 
 Signs of projections on random hyperplanes give each vector a bucket in each of several tables.
-Bits and tables follow from the number of vectors and the wanted recall at the threshold. Vectors
-that share a bucket are compared by their cosine in double precision; a pair that shares several
-is compared in the first. Equal vectors are compared once and counted as often as they occur.
+Bits follow from the number of vectors, so that unrelated vectors seldom share a bucket; tables follow from
+the wanted recall at the threshold. Buckets are dealt as (bucket, node) alone; those of several nodes
+become units, and units of the same nodes in several tables are one. Vectors are sent once for each unit that is
+left, and compared by their cosine in double precision; a pair that shares several units is
+compared in that of the first table. Equal vectors are compared once and counted as often as they occur.
 """
 
 from __future__ import annotations
@@ -17,22 +19,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnowlane.llm import _blocks
+from winnowlane.llm import _bytes as B
 from winnowlane.llm._components import components
-from winnowlane.llm._scratch import materialize
+from winnowlane.llm._scratch import materialize, parts
 
 COSINE = 0.98
 #: Share of pairs at the threshold itself that may be missed; pairs above it are missed less often.
 MISS = 1e-6
-#: Vectors wanted in a bucket, and in a block of a large bucket.
-OCCUPANCY, BLOCK = 4, 1024
+#: Bits beyond those that number the vectors: one of 2**SPARE buckets is shared by chance. Vectors in a block of a large unit.
+SPARE, BLOCK = 5, 1024
+#: The low bits of a bucket's key are its table; there are at most so many.
+MOST_TABLES = 255
 SEED = 20240
 
 
 def layout(vectors: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
-    """Bits and tables: buckets of about OCCUPANCY unrelated vectors; tables enough for the recall."""
-    bits = min(40, max(8, math.ceil(math.log2(max(vectors, 2) / OCCUPANCY))))
-    same = (1 - math.acos(min(1.0, cosine)) / math.pi) ** bits
-    return bits, math.ceil(math.log(miss) / math.log(1 - same)) if same < 1 else 1
+    """Bits and tables: buckets that few unrelated vectors share; tables enough for the recall."""
+    bits = min(60, max(8, math.ceil(math.log2(max(vectors, 2))) + SPARE))
+    near = 1 - math.acos(min(1.0, cosine)) / math.pi
+    while True:  # at lower thresholds fewer bits, or tables would be without end
+        same = near**bits
+        tables = math.ceil(math.log(miss) / math.log(1 - same)) if same < 1 else 1
+        if tables <= MOST_TABLES or bits <= 1:
+            return bits, min(tables, MOST_TABLES)
+        bits -= 1
 
 
 def planes(dim: int, n: int) -> np.ndarray:
@@ -50,7 +60,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS, block:
     Vectors are linked if their labels are equal and not null, their lengths are equal, and their
     cosine is at least ``cosine``. Null, empty and zero vectors and those with null or non-finite
     components link with nothing, and neither do rows without an id. Rows that repeat an id are
-    counted as vectors of their own and are one node of a component. Other columns are ignored.
+    vectors of their own. Other columns are ignored; an empty table gives no rows.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("v"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0.0), F.lit(False))
@@ -58,36 +68,83 @@ def link(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS, block:
     keyed = rows.withColumn("sound", sound)
     good = keyed.where("sound").select("vec_id", "label", "v", *key)
     classes = good.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min(F.struct("label", "v")).alias("x"))
-    classes = classes.select("k1", "k2", "rep", "n", F.xxhash64("x.label", F.size("x.v")).alias("kind"), "x.v")
+    classes = classes.select("k1", "k2", "rep", "n", F.xxhash64("x.label", F.size("x.v")).alias("kind"), "x.v").withColumn("node", F.monotonically_increasing_id())
     bits, tables = layout(good.count(), cosine, miss)
+    # components that are single precision are sent as such; all is worked out in double
+    single = "float" in vectors.schema["embedding"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = (1 << np.arange(bits, dtype=np.uint64)).astype(np.uint64)
         for batch in batches:
             lens = np.array([len(v) for v in batch.column("v")], np.int64)
-            codes: list = [b""] * batch.num_rows
+            sides, packed = np.empty(batch.num_rows, object), np.empty(batch.num_rows, object)
             for dim in np.unique(lens):
                 at = np.flatnonzero(lens == dim)
                 flat = np.array(batch.column("v").take(pa.array(at)).flatten(), np.float64).reshape(len(at), dim)
-                side = (_unit(flat) @ planes(int(dim), bits * tables) >= 0).reshape(len(at), tables, bits)
-                for i, c in zip(at, (side * weight).sum(axis=2, dtype=np.uint64)):
-                    codes[i] = c.tobytes()
-            flat = [np.frombuffer(c, np.int64) for c in codes]
-            yield pa.RecordBatch.from_pydict({
-                **{c: batch.column(c) for c in ("k1", "k2", "rep", "n", "kind")}, "codes": pa.array([f.tolist() for f in flat], pa.list_(pa.int64())),
-                "v": pa.array([np.array(v.as_py(), np.float64).tobytes() for v in batch.column("v")], pa.binary()),
-            })
-
-    signed = materialize(classes.mapInArrow(sign, "k1 long, k2 long, rep long, n long, kind long, codes array<long>, v binary"), "signed")
-    held = signed.select("rep", "k1", F.posexplode("codes").alias("table", "code"), "kind").select("rep", "k1", "table", F.xxhash64("table", "code", "kind").alias("bucket"))
-    shared = held.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    members = held.join(shared, "bucket").join(signed.select("rep", "k1", "n", "kind", "codes", "v"), ["rep", "k1"])
+                side = np.packbits(_unit(flat) @ planes(int(dim), bits * tables) >= 0, axis=1)
+                raw = flat.astype(np.float32 if single else np.float64)
+                for k, i in enumerate(at):
+                    sides[i], packed[i] = side[k].tobytes(), raw[k].tobytes()
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("node", "k1", "k2", "rep", "n", "kind")}, "sides": pa.array(sides.tolist(), pa.binary()), "v": pa.array(packed.tolist(), pa.binary())})
+
+    signed = materialize(classes.mapInArrow(sign, "node long, k1 long, k2 long, rep long, n long, kind long, sides binary, v binary"), "signed")
+
+    def codes_of(column) -> np.ndarray:
+        """The bucket's code in each table (rows, tables) from packed signs."""
+        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+        side = np.unpackbits(raw, axis=1, count=bits * tables).reshape(len(column), tables, bits)
+        return side @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+
+    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes, kind = codes_of(batch.column("sides")).astype(np.uint64), batch.column("kind").to_numpy().view(np.uint64)
+                number = np.arange(tables, dtype=np.uint64)
+                key = (B.mix(codes + B.mix(kind[:, None] + number)) & ~np.uint64(255)) | number
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(key.ravel().view(np.int64)), "node": pa.array(np.repeat(batch.column("node").to_numpy(), tables))})
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Units of sorted (bucket, node) rows: buckets of several nodes. A unit of up to ``block`` nodes is named by them, a larger one by its bucket."""
+        held: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+        large = None  # the bucket that is being passed on, as it is larger than a block
+
+        def out(rows: np.ndarray, whole: bool) -> pa.RecordBatch:
+            nonlocal large
+            start = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]]) if rows.shape[1] else np.zeros(0, np.int64)
+            size = np.diff(np.r_[start, rows.shape[1]])
+            h = B.mix(rows[1].view(np.uint64))
+            u1, u2 = (np.add.reduceat(x, start) if len(start) else np.zeros(0, np.uint64) for x in (h, B.mix(h ^ np.uint64(0x5DEECE66D))))
+            bucket = rows[0, start]
+            big = (size > block) | (bucket == large if large is not None else False)
+            u1, u2 = np.where(big, bucket.view(np.uint64), u1).view(np.int64), np.where(big, np.uint64(0), u2 | np.uint64(1)).view(np.int64)
+            keep = np.repeat((size > 1) | big, size)
+            if not whole and len(bucket) and big[-1]:
+                large = bucket[-1]
+            pick = lambda x: pa.array(np.repeat(x, size)[keep])
+            return pa.RecordBatch.from_pydict({"u1": pick(u1), "u2": pick(u2), "number": pick((bucket & 255).astype(np.int32)), "node": pa.array(rows[1][keep])})
+
+        for batch in batches:
+            rows = np.concatenate([*held, np.stack([batch.column("bucket").to_numpy(), batch.column("node").to_numpy()])], axis=1)
+            if not rows.shape[1]:
+                continue
+            last = int(np.searchsorted(rows[0], rows[0, -1]))
+            if rows.shape[1] - last > block:
+                yield out(rows, False)
+                held = [np.zeros((2, 0), np.int64)]
+            else:
+                # the last bucket may go on in the next batch
+                yield out(rows[:, :last], True)
+                held = [rows[:, last:]]
+        yield out(held[0], True)
+
+    dealt = signed.select("node", "kind", "sides").mapInArrow(bucketed, "bucket long, node long").repartition(parts(vectors.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
+    units = materialize(dealt.mapInArrow(shared, "u1 long, u2 long, number int, node long").groupBy("u1", "u2", "node").agg(F.min("number").alias("number")), "units")
+    members = units.join(signed.select("node", "n", "kind", "sides", "v"), "node")
 
     def work(table: pa.Table, bounds: np.ndarray) -> pa.Table:
-        ids, n = table.column("rep").to_numpy(), table.column("n").to_numpy().astype(np.float64)
-        own, i, j, number, kind = (table.column(c).to_numpy() for c in ("own", "i", "j", "table", "kind"))
-        codes = np.array(table.column("codes").combine_chunks().flatten(), np.int64).reshape(-1, tables)
-        unit = [np.frombuffer(v, np.float64) for v in table.column("v").to_pylist()]
+        ids, n = table.column("node").to_numpy(), table.column("n").to_numpy().astype(np.float64)
+        own, i, j, number, kind, u2 = (table.column(c).to_numpy() for c in ("own", "i", "j", "number", "kind", "u2"))
+        codes = codes_of(table.column("sides"))
+        unit = [np.frombuffer(v, np.float32 if single else np.float64).astype(np.float64) for v in table.column("v").to_pylist()]
         dim = np.fromiter(map(len, unit), np.int64, len(unit))
         width = int(dim.max())
         flat = np.zeros((len(unit), width))
@@ -95,21 +152,22 @@ def link(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS, block:
             flat[r, : len(v)] = v
         flat = _unit(flat)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for a, b in _blocks.pairs_within(bounds, own, i, j, 200_000):
-            # codes equal in this table and in none before; a chance equality of bucket hashes falls out too
+        for a, b in _blocks.pairs_within(bounds, own, i, j, 100_000):
+            # codes equal in this table and in none before; a chance equality of hashes falls out too
             same = codes[a] == codes[b]
-            first = (same.argmax(axis=1) == number[a]) & same[np.arange(len(a)), number[a]] & (kind[a] == kind[b]) & (dim[a] == dim[b])
+            first = (same.argmax(axis=1) == number[a]) & same[np.arange(len(a)), number[a]] & (number[a] == number[b]) & (u2[a] == u2[b]) & (kind[a] == kind[b]) & (dim[a] == dim[b])
             a, b = a[first], b[first]
             near = np.einsum("ij,ij->i", flat[a], flat[b]) >= cosine
             found.append((a[near], b[near]))
         a, b = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, np.int64) for s in (0, 1))
         return _blocks.rows(ids, n, a, b)
 
-    checked = materialize(_blocks.compare(_blocks.paired(members, "bucket", "rep", block), "bucket", work), "links")
+    checked = materialize(_blocks.compare(_blocks.paired(members, "u1", "node", block, units), "u1", work), "links")
     linked = checked.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     grouped = components(checked.where("b IS NOT NULL").select("a", "b"))
-    of_class = signed.select("k1", "k2", "rep", "n").join(linked.withColumnRenamed("a", "rep"), "rep", "left").join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    joined = signed.select("k1", "k2", "node", "rep", "n").join(linked.withColumnRenamed("a", "node"), "node", "left").join(grouped, "node", "left")
+    joined = joined.select("k1", "k2", F.coalesce("component", "node").alias("node"), "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    of_class = joined.drop("rep").join(joined.groupBy("node").agg(F.min("rep").alias("component_id")), "node").drop("node")
     out = keyed.select("vec_id", *[F.when(F.col("sound"), k).alias(c) for k, c in zip(key, ("k1", "k2"))]).join(of_class, ["k1", "k2"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

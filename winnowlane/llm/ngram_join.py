@@ -98,7 +98,7 @@ def _classed(docs: DataFrame, jaccard: float = JACCARD, width: int = WORDS, miss
     hubs = held.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("band", "hub")
     met = held.join(hubs, "band").where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     near = components(met)
-    members = near.join(classes.select("node", F.col("rep").alias("doc_id"), "n", "k1", "k2"), "node")
+    members = materialize(near.join(classes.select("node", F.col("rep").alias("doc_id"), "n", "k1", "k2"), "node"), "members")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text"):
@@ -127,7 +127,7 @@ def _classed(docs: DataFrame, jaccard: float = JACCARD, width: int = WORDS, miss
         a, b = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, np.int64) for s in (0, 1))
         return _blocks.rows(ids, n, a, b)
 
-    checked = materialize(_blocks.compare(_blocks.paired(texts, "component", "node", block), "component", work), "links")
+    checked = materialize(_blocks.compare(_blocks.paired(texts, "component", "node", block, members), "component", work), "links")
     linked = checked.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     grouped = components(checked.where("b IS NOT NULL").select("a", "b"))
     joined = classes.select("k1", "k2", "node", "rep", "n").join(linked.withColumnRenamed("a", "node"), "node", "left").join(grouped, "node", "left")
