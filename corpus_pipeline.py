@@ -9,10 +9,12 @@ n_tokens and decoded.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from winnowlane.llm import bpe, disclosure, mixing, ngram_join, toxicity
-from winnowlane.llm._scratch import materialize
+from winnowlane.llm._scratch import drop, only
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. A stage's intermediate tables go once its result is written, and its input, if a stage made it, with them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    for number, (name, stage) in enumerate(STAGES):
+        before, docs = docs, only(partial(stage, spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if number:
+            drop(before)
     return docs
 
 
