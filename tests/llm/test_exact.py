@@ -346,16 +346,17 @@ def test_groups_of_several_blocks_without_broadcast(spark, monkeypatch):
     near = x @ x.T >= 0.98
     np.fill_diagonal(near, False)
     f = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    words = [" ".join(f"w{k % 6}x{j if j != k else 'z'}" for j in range(40)) for k in range(60)]
+    words = [" ".join(f"w{k % 6}x{j if j not in (k, k // 2) else 'z'}" for j in range(90)) for k in range(60)]
     docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
     want = None
     for limit, block in ((200_000, 1024), (200_000, 4), (0, 4)):
         monkeypatch.setattr(_blocks, "BROADCAST_GROUPS", limit)
         got = {r.vec_id: r.n_links for r in embedding_dedup.link(f, block=block).collect()}
         assert got == {i: int(near[i].sum()) for i in range(130)} and near.any()
-        links = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.link(docs, block=block).collect()}
-        assert want is None or links == want
-        want = links
+        for whole in (7000, 1):
+            links = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.link(docs, block=block, whole=whole).collect()}
+            assert want is None or links == want
+            want = links
 
 
 def test_few_bits_where_tables_would_be_too_many():

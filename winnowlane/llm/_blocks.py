@@ -14,13 +14,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnowlane.llm._bytes import mix
 from winnowlane.llm._scratch import materialize, parts
 
 #: Groups of several blocks that are broadcast, and shares of the rows of one beyond that.
 BROADCAST_GROUPS, SALT = 200_000, 16
+#: The low bits of a bucket's key are the number of its table or band.
+NUMBERS = 255
 OUT = "a long, b long, links long"
 
 
+def units(rows: DataFrame, block: int) -> DataFrame:
+    """u1, u2, number, node: nodes that share a bucket, of rows (bucket, node) whose bucket's low bits are its number.
+
+    Each row is sent once. Buckets of one node fall out. A bucket of up to ``block`` nodes becomes a unit named by
+    them, so that the same nodes in several buckets are one unit, of the least number; a larger one is named by itself and is
+    passed on as it is read, so no bucket is held whole.
+    """
+    dealt = rows.repartition(parts(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros((2, 0), np.int64)
+        held, large = none, None  # rows that may go on in the next batch; the bucket that is being passed on
+
+        def out(rows: np.ndarray) -> pa.RecordBatch:
+            start = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]]) if rows.shape[1] else np.zeros(0, np.int64)
+            size = np.diff(np.r_[start, rows.shape[1]])
+            h = mix(rows[1].view(np.uint64))
+            u1, u2 = (np.add.reduceat(x, start) if len(start) else np.zeros(0, np.uint64) for x in (h, mix(h ^ np.uint64(0x5DEECE66D))))
+            bucket = rows[0, start]
+            big = (size > block) | ((bucket == large) if large is not None else False)
+            u1, u2 = np.where(big, bucket.view(np.uint64), u1).view(np.int64), np.where(big, np.uint64(0), u2 | np.uint64(1)).view(np.int64)
+            keep = np.repeat((size > 1) | big, size)
+            pick = lambda x: pa.array(np.repeat(x, size)[keep])
+            return pa.RecordBatch.from_pydict({"u1": pick(u1), "u2": pick(u2), "number": pick((bucket & NUMBERS).astype(np.int32)), "node": pa.array(rows[1][keep])})
+
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([batch.column("bucket").to_numpy(), batch.column("node").to_numpy()])], axis=1)
+            if not rows.shape[1]:
+                continue
+            last = int(np.searchsorted(rows[0], rows[0, -1]))
+            goes_on = rows.shape[1] - last > block or rows[0, -1] == large
+            yield out(rows if goes_on else rows[:, :last])
+            large, held = (rows[0, -1], none) if goes_on else (None, rows[:, last:])
+        yield out(held)
+
+    return dealt.mapInArrow(shared, "u1 long, u2 long, number int, node long").groupBy("u1", "u2", "node").agg(F.min("number").alias("number"))
+
+
+def first_shared(same: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Of pairs with equal codes here and there (pairs, tables), those for which a unit's number is the first."""
+    return (same.argmax(axis=1) == number) & same[np.arange(len(number)), number]
+
+
 def paired(rows: DataFrame, group: str, member: str, size: int, counted: DataFrame | None = None) -> DataFrame:
     """Members with block numbers: each row once for each pair of blocks (i <= j) that its block is in.
 

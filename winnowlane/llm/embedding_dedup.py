@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 from winnowlane.llm import _blocks
 from winnowlane.llm import _bytes as B
 from winnowlane.llm._components import components
-from winnowlane.llm._scratch import materialize, parts
+from winnowlane.llm._scratch import materialize
 
 COSINE = 0.98
 #: Share of pairs at the threshold itself that may be missed; pairs above it are missed less often.
 MISS = 1e-6
 #: Bits beyond those that number the vectors: one of 2**SPARE buckets is shared by chance. Vectors in a block of a large unit.
 SPARE, BLOCK = 5, 1024
-#: The low bits of a bucket's key are its table; there are at most so many.
-MOST_TABLES = 255
+#: At most so many: the low bits of a bucket's key are its table.
+MOST_TABLES = _blocks.NUMBERS
 SEED = 20240
 
 
@@ -99,45 +99,10 @@ def link(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS, block:
             if batch.num_rows:
                 codes, kind = codes_of(batch.column("sides")).astype(np.uint64), batch.column("kind").to_numpy().view(np.uint64)
                 number = np.arange(tables, dtype=np.uint64)
-                key = (B.mix(codes + B.mix(kind[:, None] + number)) & ~np.uint64(255)) | number
+                key = (B.mix(codes + B.mix(kind[:, None] + number)) & ~np.uint64(_blocks.NUMBERS)) | number
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(key.ravel().view(np.int64)), "node": pa.array(np.repeat(batch.column("node").to_numpy(), tables))})
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Units of sorted (bucket, node) rows: buckets of several nodes. A unit of up to ``block`` nodes is named by them, a larger one by its bucket."""
-        held: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
-        large = None  # the bucket that is being passed on, as it is larger than a block
-
-        def out(rows: np.ndarray, whole: bool) -> pa.RecordBatch:
-            nonlocal large
-            start = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]]) if rows.shape[1] else np.zeros(0, np.int64)
-            size = np.diff(np.r_[start, rows.shape[1]])
-            h = B.mix(rows[1].view(np.uint64))
-            u1, u2 = (np.add.reduceat(x, start) if len(start) else np.zeros(0, np.uint64) for x in (h, B.mix(h ^ np.uint64(0x5DEECE66D))))
-            bucket = rows[0, start]
-            big = (size > block) | (bucket == large if large is not None else False)
-            u1, u2 = np.where(big, bucket.view(np.uint64), u1).view(np.int64), np.where(big, np.uint64(0), u2 | np.uint64(1)).view(np.int64)
-            keep = np.repeat((size > 1) | big, size)
-            if not whole and len(bucket) and big[-1]:
-                large = bucket[-1]
-            pick = lambda x: pa.array(np.repeat(x, size)[keep])
-            return pa.RecordBatch.from_pydict({"u1": pick(u1), "u2": pick(u2), "number": pick((bucket & 255).astype(np.int32)), "node": pa.array(rows[1][keep])})
-
-        for batch in batches:
-            rows = np.concatenate([*held, np.stack([batch.column("bucket").to_numpy(), batch.column("node").to_numpy()])], axis=1)
-            if not rows.shape[1]:
-                continue
-            last = int(np.searchsorted(rows[0], rows[0, -1]))
-            if rows.shape[1] - last > block:
-                yield out(rows, False)
-                held = [np.zeros((2, 0), np.int64)]
-            else:
-                # the last bucket may go on in the next batch
-                yield out(rows[:, :last], True)
-                held = [rows[:, last:]]
-        yield out(held[0], True)
-
-    dealt = signed.select("node", "kind", "sides").mapInArrow(bucketed, "bucket long, node long").repartition(parts(vectors.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
-    units = materialize(dealt.mapInArrow(shared, "u1 long, u2 long, number int, node long").groupBy("u1", "u2", "node").agg(F.min("number").alias("number")), "units")
+    units = materialize(_blocks.units(signed.select("node", "kind", "sides").mapInArrow(bucketed, "bucket long, node long"), block), "units")
     members = units.join(signed.select("node", "n", "kind", "sides", "v"), "node")
 
     def work(table: pa.Table, bounds: np.ndarray) -> pa.Table:
@@ -155,7 +120,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS, block:
         for a, b in _blocks.pairs_within(bounds, own, i, j, 100_000):
             # codes equal in this table and in none before; a chance equality of hashes falls out too
             same = codes[a] == codes[b]
-            first = (same.argmax(axis=1) == number[a]) & same[np.arange(len(a)), number[a]] & (number[a] == number[b]) & (u2[a] == u2[b]) & (kind[a] == kind[b]) & (dim[a] == dim[b])
+            first = _blocks.first_shared(same, number[a]) & (number[a] == number[b]) & (u2[a] == u2[b]) & (kind[a] == kind[b]) & (dim[a] == dim[b])
             a, b = a[first], b[first]
             near = np.einsum("ij,ij->i", flat[a], flat[b]) >= cosine
             found.append((a[near], b[near]))

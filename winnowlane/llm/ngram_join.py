@@ -1,8 +1,10 @@
 """N-gram Jaccard join with MinHash banding.
 
 Five-word shingles; bands and rows for the wanted recall at the threshold; bands meet by their
-hashes; documents that meet, directly or through others, are compared on their full sets of
-shingles. Documents with equal sets are compared once and counted as often as they occur.
+hashes, and documents that met are compared on their full sets of shingles. Those that meet directly or through
+others are gathered, as that sends each set once; where chance has chained more than WHOLE of them, only those
+that share a band are compared, in the first band they share. Documents with equal sets are
+compared once and counted as often as they occur.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ WORDS, JACCARD = 5, 0.8
 #: Rows of a band, and the share of pairs at the threshold itself that may be missed.
 ROWS, MISS = 5, 1e-5
 BLOCK = 512
+#: Documents gathered through others that are compared with each other; from there on bands send fewer copies of a set than blocks.
+WHOLE = 7_000
 #: Shingles compared at once, as columns of a 0-1 matrix.
 SLAB = 8192
 U = np.uint64
@@ -73,7 +77,7 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int = ROWS) -> np.ndarr
     return out
 
 
-def _classed(docs: DataFrame, jaccard: float = JACCARD, width: int = WORDS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+def _classed(docs: DataFrame, jaccard: float = JACCARD, width: int = WORDS, miss: float = MISS, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
     """doc_id, print (a hash of the text), node (of the row's class), class_id and n_links of each row."""
     bands = bands_for(jaccard, ROWS, miss)
 
@@ -98,7 +102,18 @@ def _classed(docs: DataFrame, jaccard: float = JACCARD, width: int = WORDS, miss
     hubs = held.groupBy("band").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("band", "hub")
     met = held.join(hubs, "band").where("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     near = components(met)
-    members = materialize(near.join(classes.select("node", F.col("rep").alias("doc_id"), "n", "k1", "k2"), "node"), "members")
+    near = materialize(near, "met")
+    chained = materialize(near.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > whole).select("component"), "chained")
+    n_chained = chained.count()
+    chained = F.broadcast(chained) if n_chained <= _blocks.BROADCAST_GROUPS else chained
+    apart = near.join(chained, "component", "left_anti") if n_chained else near
+    grouped_as = apart.select("node", F.col("component").alias("unit"), F.lit(0).cast("long").alias("u2"), F.lit(-1).alias("number"))
+    if n_chained:
+        rows = near.join(chained, "component", "left_semi").join(classes.select("node", "codes"), "node").select("node", F.posexplode("codes").alias("band", "code"))
+        keys = rows.select(F.col("code").bitwiseAND(F.lit(~_blocks.NUMBERS)).bitwiseOR(F.col("band")).alias("bucket"), "node")
+        grouped_as = grouped_as.unionByName(_blocks.units(keys, block).withColumnRenamed("u1", "unit"))
+    codes = F.when(F.col("number") >= 0, F.col("codes")).alias("codes")
+    members = materialize(grouped_as.join(classes.select("node", F.col("rep").alias("doc_id"), "n", "k1", "k2", "codes"), "node").select("node", "unit", "u2", "number", "doc_id", "n", "k1", "k2", codes), "members")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text"):
@@ -106,28 +121,37 @@ def _classed(docs: DataFrame, jaccard: float = JACCARD, width: int = WORDS, miss
             k1, k2 = _set_keys(sets)
             # of rows that repeat an id, the one whose set is meant
             right = np.flatnonzero((k1 == batch.column("k1").to_numpy()) & (k2 == batch.column("k2").to_numpy()))
-            keep = batch.select(["node", "component", "n"]).take(pa.array(right))
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array([sets[i].tobytes() for i in right], pa.binary())], ["node", "component", "n", "shingles"])
+            keep = batch.select(["node", "unit", "u2", "number", "n", "codes"]).take(pa.array(right))
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array([sets[i].tobytes() for i in right], pa.binary())], [*keep.schema.names, "shingles"])
 
-    texts = plain.join(members, "doc_id").mapInArrow(gather, "node long, component long, n long, shingles binary")
+    texts = plain.join(members, "doc_id").mapInArrow(gather, "node long, unit long, u2 long, number int, n long, codes array<long>, shingles binary")
 
     def work(table: pa.Table, bounds: np.ndarray) -> pa.Table:
         ids, n = table.column("node").to_numpy(), table.column("n").to_numpy().astype(np.float64)
-        own, i, j = (table.column(c).to_numpy() for c in ("own", "i", "j"))
+        own, i, j, number, u2 = (table.column(c).to_numpy() for c in ("own", "i", "j", "number", "u2"))
+        codes = table.column("codes").combine_chunks()
         packed = table.column("shingles").to_pylist()
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for x, y in zip(bounds[:-1], bounds[1:]):
             # rows that repeat an id and a text appear once
-            _, here = np.unique(ids[x:y], return_index=True)
+            _, here = np.unique(np.stack([ids[x:y], u2[x:y], number[x:y]]), axis=1, return_index=True)
             here = np.sort(here) + x
             a, b = _similar([np.frombuffer(packed[r], U) for r in here], jaccard)
             a, b = here[a], here[b]
-            across = (i[a] == j[a]) | (own[a] != own[b])
-            found.append((a[across], b[across]))
+            ok = ((i[a] == j[a]) | (own[a] != own[b])) & (number[a] == number[b]) & (u2[a] == u2[b])
+            a, b = a[ok], b[ok]
+            if len(a) and number[x] >= 0:
+                # of pairs that share several bands, those whose first one this is
+                at = {r: k for k, r in enumerate(np.unique(np.r_[a, b]).tolist())}
+                code = np.array([codes[r].as_py() for r in at], np.int64)
+                p, q = (np.array([at[r] for r in z.tolist()]) for z in (a, b))
+                first = _blocks.first_shared((code[p] & ~_blocks.NUMBERS) == (code[q] & ~_blocks.NUMBERS), number[a])
+                a, b = a[first], b[first]
+            found.append((a, b))
         a, b = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, np.int64) for s in (0, 1))
         return _blocks.rows(ids, n, a, b)
 
-    checked = materialize(_blocks.compare(_blocks.paired(texts, "component", "node", block, members), "component", work), "links")
+    checked = materialize(_blocks.compare(_blocks.paired(texts, "unit", "node", block, members), "unit", work), "links")
     linked = checked.where("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     grouped = components(checked.where("b IS NOT NULL").select("a", "b"))
     joined = classes.select("k1", "k2", "node", "rep", "n").join(linked.withColumnRenamed("a", "node"), "node", "left").join(grouped, "node", "left")
@@ -138,7 +162,7 @@ def _classed(docs: DataFrame, jaccard: float = JACCARD, width: int = WORDS, miss
 
 
 def link(docs: DataFrame, **params) -> DataFrame:
-    """doc_id, class_id, n_links and kept of each row; parameters: jaccard, width, miss, block.
+    """doc_id, class_id, n_links and kept of each row; parameters: jaccard, width, miss, block, whole.
 
     Documents whose sets of shingles have a Jaccard similarity of at least ``jaccard`` are linked;
     n_links counts the other documents linked directly, class_id is the smallest doc_id reachable by
