@@ -221,3 +221,28 @@ def test_ranking_of_one_and_of_none(spark):
     f = spark.createDataFrame([("u", 1, 2.0)], "unit string, id long, score double")
     assert [(r.id, r.place) for r in ranking.rank_by_score(f, "unit", "id", "score", 3, 1).collect()] == [(1, 1)]
     assert ranking.final_unit(spark.createDataFrame([(1, 0)], "id long, ord long"), 5).count() == 0
+
+
+def test_folds_over_units_in_batches(spark):
+    rows = [(None if i % 5 == 0 else f"u{i % 7}", i, i * 10) for i in range(300)]
+    f = spark.createDataFrame(rows, "unit string, id long, v long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        out = order.fold_units(f, "unit", ["id"], lambda u, c: {"unit": [u], "first": [c["id"][0]], "n": [len(c["id"])]}, "unit string, first long, n long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {u: (min(r[1] for r in rows if r[0] == u), sum(r[0] == u for r in rows)) for u in {r[0] for r in rows}}
+    assert {r.unit: (r.first, r.n) for r in out} == want and len(out) == len(want)
+    assert order.fold_units(f.limit(0), "unit", ["id"], lambda u, c: {"unit": [], "first": [], "n": []}, "unit string, first long, n long").count() == 0
+
+
+def test_quotas_on_both_sides_of_their_switch(spark):
+    from winnowlane.operators import hierarchy as h
+
+    rows = spark.createDataFrame([(f"{d}/{i}", d) for d, n in {"T": 3, "T/A": 5, "T/B/C": 7, "": 2, "S": 4}.items() for i in range(n)], "id string, dir string")
+    nodes, held = h.tree(rows)
+    assert {(r.path, r.own_count, r.synthetic) for r in nodes.collect()} == {("", 0, False), ("__loose__", 2, True), ("T", 0, False), ("T/__loose__", 3, True), ("T/A", 5, False), ("T/B", 0, False), ("T/B/C", 7, False), ("S", 4, False)}
+    assert {r.node: r["count"] for r in held.groupBy("node").count().collect()} == {"__loose__": 2, "T/__loose__": 3, "T/A": 5, "T/B/C": 7, "S": 4}
+    quotas = spark.createDataFrame([("", "9"), ("T", "50%"), ("T/A", "2"), ("S", "0")], "path string, raw string")
+    got = [sorted(map(str, h.resolve(nodes, quotas, few).collect())) for few in (200_000, 0)]
+    assert got[0] == got[1] and len(got[0]) == 8

@@ -36,21 +36,26 @@ def tree(rows: DataFrame, folder: str = "dir") -> tuple[DataFrame, DataFrame]:
     """Nodes of the tree, and rows with the node that holds each (column ``node``).
 
     Every ancestor is a node. Rows directly in a folder that has folders below move to a synthetic
-    child. A null folder is the root. Nodes: path, parent_path, depth, own_count, synthetic.
+    child. A null folder is the root. Nodes: path, parent_path, depth, own_count, synthetic. Rows are counted by folder
+    once; all else is about folders.
     """
-    placed = rows.withColumn("node", F.array_join(F.filter(F.split(F.coalesce(F.col(folder), F.lit("")), "/"), lambda p: p != ""), "/"))
-    direct = placed.groupBy("node").agg(F.count("*").alias("n"))
-    every = direct.select(F.explode(prefixes(F.col("node"))).alias("path")).distinct().union(rows.sparkSession.createDataFrame([("",)], "path string")).distinct()
-    inner = every.select(parent_of(F.col("path")).alias("path")).where("path IS NOT NULL").distinct()
-    loose = direct.join(inner.withColumnRenamed("path", "node"), "node", "left_semi").select(F.col("node").alias("path"))
-    below = F.when(F.col("path") == "", F.lit(LOOSE)).otherwise(F.concat("path", F.lit(f"/{LOOSE}")))
-    synthetic = loose.select(below.alias("path"))
-    moved = placed.join(loose.select(F.col("path").alias("node"), F.lit(True).alias("_moves")), "node", "left")
-    target = F.when(F.col("_moves"), F.when(F.col("node") == "", F.lit(LOOSE)).otherwise(F.concat("node", F.lit(f"/{LOOSE}")))).otherwise(F.col("node"))
-    held = moved.withColumn("node", target).drop("_moves")
-    counts = held.groupBy(F.col("node").alias("path")).agg(F.count("*").alias("own_count"))
-    paths = every.withColumn("synthetic", F.lit(False)).unionByName(synthetic.withColumn("synthetic", F.lit(True)))
-    nodes = paths.join(counts, "path", "left").select("path", parent_of(F.col("path")).alias("parent_path"), depth_of(F.col("path")).alias("depth"), F.coalesce("own_count", F.lit(0)).alias("own_count"), "synthetic")
+    clean = F.array_join(F.filter(F.split(F.coalesce(F.col(folder), F.lit("")), "/"), lambda p: p != ""), "/")
+    direct = materialize(rows.groupBy(clean.alias("path")).agg(F.count("*").alias("n")), "folders")
+    root = rows.sparkSession.range(1).select(F.lit("").alias("path"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("below"))
+    # each folder with how far below it rows lie: of a prefix, some; of the folder itself, none
+    steps = direct.select("path", "n", F.posexplode(F.reverse(prefixes(F.col("path")))).alias("up", "at"))
+    seen = steps.select(F.col("at").alias("path"), F.when(F.col("up") == 0, F.col("n")).otherwise(0).cast("long").alias("n"), F.when(F.col("up") > 0, 1).otherwise(0).alias("below")).unionByName(root)
+    every = seen.groupBy("path").agg(F.sum("n").alias("own_count"), (F.max("below") == 1).alias("inner"))
+    child = F.when(F.col("path") == "", F.lit(LOOSE)).otherwise(F.concat("path", F.lit(f"/{LOOSE}")))
+    loose = F.col("inner") & (F.col("own_count") > 0)
+    own = F.struct(F.col("path").alias("path"), F.when(loose, F.lit(0).cast("long")).otherwise(F.col("own_count")).alias("own_count"), F.lit(False).alias("synthetic"))
+    both = F.when(loose, F.array(own, F.struct(child.alias("path"), F.col("own_count").alias("own_count"), F.lit(True).alias("synthetic")))).otherwise(F.array(own))
+    every = materialize(every.select("path", loose.alias("_moves"), F.explode(both).alias("x")), "tree")
+    nodes = every.select("x.path", parent_of(F.col("x.path")).alias("parent_path"), depth_of(F.col("x.path")).alias("depth"), "x.own_count", "x.synthetic")
+    moves = every.where("_moves AND x.synthetic").select(F.col("path").alias("node"), F.col("x.path").alias("_to"))
+    placed = rows.withColumn("node", clean)
+    few_moves = F.broadcast(moves) if moves.count() <= BROADCAST_FOLDERS else moves
+    held = placed.join(few_moves, "node", "left").withColumn("node", F.coalesce("_to", "node")).drop("_to")
     return nodes, held
 
 
@@ -93,27 +98,29 @@ def shortest_percent(count: Column, n: Column, digits: int = 6) -> Column:
     return F.when((n > 0) & (count > 0), F.get(F.filter(tries, lambda p: percent_count(p, n) == count), F.lit(0)))
 
 
-def resolve(nodes: DataFrame, quotas: DataFrame) -> DataFrame:
+def resolve(nodes: DataFrame, quotas: DataFrame, few_folders: int = BROADCAST_FOLDERS) -> DataFrame:
     """Nodes with their quota: mode, value, excluded, subtree_count, eff_mode, eff_value, is_leaf, target, kids' sums.
 
     ``quotas``: path and raw text; nodes without one are pooled. Subtree counts leave excluded folders
     out; percentages are of the folder's own subtree.
     """
     asked = quotas.select("path", parse_quota(F.col("raw")).alias("q")).select("path", "q.*")
-    # folders are few beside rows, and each step below asks about them several times: so they are stored in between,
-    # which also keeps plans from growing with every step
+    # folders are few beside rows, and each step below asks about them several times: so they are stored in between
     n = materialize(nodes.join(asked, "path", "left").withColumn("mode", F.coalesce("mode", F.lit("pooled"))), "nodes")
+    # up to BROADCAST_FOLDERS of them one task works them out, so that no step shuffles; beyond, each step is dealt and written
+    one = n.count() <= few_folders
+    n, keep = (n.coalesce(1), lambda f: f) if one else (n, lambda f: materialize(f, "nodes"))
     up = n.select("path", "own_count", F.explode(prefixes(F.col("path"))).alias("above"))
     shut = n.where("mode = 'excluded'").select(F.col("path").alias("above"), F.lit(True).alias("shut"))
     closed = up.join(shut, "above").select("path").distinct().withColumn("excluded", F.lit(True))
-    n = materialize(n.join(closed, "path", "left").withColumn("excluded", F.coalesce("excluded", F.lit(False))), "nodes")
+    n = keep(n.join(closed, "path", "left").withColumn("excluded", F.coalesce("excluded", F.lit(False))))
     live = n.where("NOT excluded").select("path", "own_count", F.explode(prefixes(F.col("path"))).alias("above"))
     totals = live.groupBy(F.col("above").alias("path")).agg(F.sum("own_count").alias("subtree_count"))
     n = n.join(totals, "path", "left").withColumn("subtree_count", F.when(F.col("excluded"), 0).otherwise(F.coalesce("subtree_count", F.lit(0))))
     is_percent = F.col("mode") == "percent"
     n = n.withColumn("eff_mode", F.when(is_percent, "fixed").otherwise(F.col("mode"))).withColumn("eff_value", F.when(is_percent, percent_count(F.col("value"), F.col("subtree_count"))).otherwise(F.col("value")).cast("long"))
     kids = n.where("NOT excluded AND parent_path IS NOT NULL").groupBy(F.col("parent_path").alias("path")).agg(F.count("*").alias("kids"))
-    n = materialize(n.join(kids, "path", "left").withColumn("is_leaf", F.col("kids").isNull()), "nodes")
+    n = keep(n.join(kids, "path", "left").withColumn("is_leaf", F.col("kids").isNull()))
     fixed = F.col("eff_mode") == "fixed"
     target = F.when(F.col("excluded"), F.lit(0)).when(fixed & F.col("is_leaf"), F.least("eff_value", "subtree_count")).when(fixed, F.col("eff_value")).cast("long")
     n = n.withColumn("target", target)

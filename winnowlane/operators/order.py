@@ -8,8 +8,13 @@ the rows; they decide only where a row is worked on, never its position.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from winnowlane.scratch import materialize, parts
 
@@ -43,3 +48,38 @@ def positions(rows: DataFrame, unit: str | None, order: list[Column]) -> DataFra
     """Adds pos (from 0, in the order, within the unit or over all rows) and _n (rows of the unit)."""
     out = running(rows.withColumn("_one", F.lit(1).cast("long")), [unit] if unit else [], order, "_one")
     return out.withColumn("pos", F.col("upto") - 1).withColumnRenamed("n", "_n").drop("upto", "_one")
+
+
+def fold_units(rows: DataFrame, unit: str, order: list[str], work: Callable[[object, dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+    """work(unit, columns as lists in the order) of every unit, one after another in its task; it gives columns of ``schema``.
+
+    For folds over very many small units: nothing is set up anew for each. A task holds one unit at a time, and what
+    a batch of them gives. Null units are one unit.
+    """
+    dealt = rows.repartition(parts(rows.sparkSession), unit).sortWithinPartitions(unit, *order)
+    names = [c.split()[0] for c in schema.split(", ")]
+    columns = rows.columns
+    kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {c: [] for c in columns}
+
+        def give(found: list[dict[str, list]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({n: [x for f in found for x in f[n]] for n in names}, schema=kinds)
+
+        for batch in batches:
+            got, known = batch.to_pydict(), len(held[unit])  # what is held is one unit
+            for c in columns:
+                held[c] += got[c]
+            u, at, found = held[unit], 0, []
+            for i in range(max(1, known), len(u)):
+                if u[i] != u[at]:
+                    found.append(work(u[at], {c: held[c][at:i] for c in columns}))
+                    at = i
+            held = {c: held[c][at:] for c in columns}
+            if found:
+                yield give(found)
+        if held[unit]:
+            yield give([work(held[unit][0], held)])
+
+    return dealt.mapInArrow(run, schema)

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winnowlane.operators.order import fold_units
 from winnowlane.operators.staged import shuffled
 
 #: Multiplier that varies the draw from place to place.
@@ -185,13 +186,14 @@ def rank_by_score(rows: DataFrame, unit: str, key: str, score: str, target: int,
     """unit, key, place, decided, comparisons, reused: each unit's field ranked by matches; ties to the smaller key."""
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (unit, key)}
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        strength = {k: (s, -i) for i, (k, s) in enumerate(pdf.sort_values(key)[[key, score]].itertuples(index=False))}
-        r, _ = judge(sorted(pdf[key].tolist()), target, seed, lambda a, b: a if strength[a] > strength[b] else b)
+    def fold(u, columns: dict[str, list]) -> dict[str, list]:
+        strength = {k: (s, -i) for i, (k, s) in enumerate(zip(columns[key], columns[score]))}
+        r, _ = judge(columns[key], target, seed, lambda a, b: a if strength[a] > strength[b] else b)
         out = r.ranking()
-        return pd.DataFrame({unit: pdf[unit].iloc[0], key: out, "place": range(1, len(out) + 1), "decided": [i < len(r.places) for i in range(len(out))], "comparisons": r.asked, "reused": r.reused})
+        n = len(out)
+        return {unit: [u] * n, key: out, "place": list(range(1, n + 1)), "decided": [i < len(r.places) for i in range(n)], "comparisons": [r.asked] * n, "reused": [r.reused] * n}
 
-    return rows.select(unit, key, score).groupBy(unit).applyInPandas(fold, f"{unit} {kinds[unit]}, {key} {kinds[key]}, {RANKED}")
+    return fold_units(rows.select(unit, key, score), unit, [key], fold, f"{unit} {kinds[unit]}, {key} {kinds[key]}, {RANKED}")
 
 
 def rank_from_log(pool: DataFrame, ops: DataFrame, target: int, seed: int) -> DataFrame:
