@@ -6,7 +6,7 @@ characters is encoded by tree concatenation: leaves first, then pairs of neighbo
 re-encoding a growing window around the join until its first and last token are those that both
 sides already had. A sequence in which every neighbouring pair of tokens re-encodes to itself is
 the BPE encoding, and pairs outside the window have not changed; so the join is exact. Leaves and
-windows of one level go to a thread pool, of one thread unless Codec is given more.
+windows of one level go to a pool of THREADS threads.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from winnowlane.llm import _bytes as B
 
 #: Characters of a pre-token up to which it is encoded at once.
 LEAF = 256
+#: Threads that encode the parts of one long pre-token.
+THREADS = 4
 #: Bytes of text handled at once.
 BATCH_BYTES = 1_500_000
 #: Words and pre-tokens whose ids a worker keeps; beyond it, it starts anew.
@@ -44,7 +46,7 @@ BYTE_CHARS = [chr(b) if b in _PRINTED else chr(0x100 + [x for x in range(256) if
 class Codec:
     """A tokenizers BPE file, with tree concatenation for long pre-tokens."""
 
-    def __init__(self, path: str, leaf: int = LEAF, threads: int = 1):
+    def __init__(self, path: str, leaf: int = LEAF, threads: int = THREADS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -270,7 +272,9 @@ def encode_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def encode(docs: DataFrame, path: str, text_col: str = "text", leaf: int = LEAF) -> DataFrame:
     """All columns of docs, and token_ids (array of int), n_tokens and decoded.
 
-    A null text has no ids and decodes to an empty string. The new names must be free.
+    A null or empty text has no ids and decodes to an empty string; a text is encoded whole however long it is. Rows that
+    repeat an id or a text stay apart. An empty table gives no rows. The new names must be free: where they are not, an
+    error is raised before any row is read.
     """
     from pyspark.sql import types as T
 
