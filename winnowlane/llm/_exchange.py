@@ -20,6 +20,8 @@ from winnowlane.llm._scratch import input_bytes, parts
 
 #: Bytes of stored documents for each chunk. A larger value means fewer and larger messages.
 CHUNK_BYTES = 2_500_000
+#: Bytes of stored documents whose keys one bucket may hold.
+BUCKET_BYTES = 100_000_000
 ASK = "chunk int, bucket int, keys binary, extra binary"
 REPLY = "chunk int, bucket int, bits binary"
 
@@ -61,7 +63,8 @@ def unpack(table: pa.Table) -> pa.Table:
 
 
 def buckets(frame: DataFrame) -> int:
-    return 4 * parts(frame.sparkSession)
+    """Buckets follow the shuffle's width, and the input's size where that asks for more: a bucket's keys are held at once."""
+    return max(4 * parts(frame.sparkSession), -(-input_bytes(frame) // BUCKET_BYTES))
 
 
 def exchange(dealt: DataFrame, ask: Callable, answer: Callable, finish: Callable, schema: str, reply: str = REPLY, asked: str = ASK) -> DataFrame:
