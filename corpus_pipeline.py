@@ -5,6 +5,13 @@ Toxic documents go; one document of each group of near copies stays; personal da
 discloses it is replaced; sources are mixed to their targets, so a document may be taken twice or not
 at all; and what is left is encoded. The last stage returns its input's columns, token_ids,
 n_tokens and decoded.
+
+Every stage takes whole texts of any length, and other columns as they are; the names token_ids, n_tokens, decoded,
+_base, _all, _row, _salt, _terms and those of the kinds of personal data with an underscore must be free, or an error is
+raised. A null or empty text is not toxic, has no copies and nothing to replace, counts no words, so that the mix takes it once for
+every whole time that its source is taken, and has no tokens. Rows that repeat an id are documents of their own: of alike ones
+one stays, unlike ones all do, and the mix takes them together. Ties go by the smallest id, then by a hash of the
+text. Empty tables give an empty result with all columns.
 """
 
 from __future__ import annotations
