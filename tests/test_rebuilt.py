@@ -246,3 +246,26 @@ def test_quotas_on_both_sides_of_their_switch(spark):
     quotas = spark.createDataFrame([("", "9"), ("T", "50%"), ("T/A", "2"), ("S", "0")], "path string, raw string")
     got = [sorted(map(str, h.resolve(nodes, quotas, few).collect())) for few in (200_000, 0)]
     assert got[0] == got[1] and len(got[0]) == 8
+
+
+def test_subscribers_of_streams(spark, tmp_path):
+    import time
+
+    from winnowlane.streaming import live
+
+    spark.range(7).write.parquet(str(tmp_path / "in"))
+    watch, heard = live.Watch(), []
+    watch.subscribe(lambda *a: 1 / 0)
+    leave = watch.subscribe(lambda event, name, rows: heard.append((event, rows)))
+    spark.streams.addListener(watch)
+    try:
+        q = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.format("noop").trigger(availableNow=True).queryName("q").start()
+        q.awaitTermination()
+        for _ in range(100):
+            if any(e == "ended" for e, _ in heard):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(watch)
+    leave()
+    assert sum(n for e, n in heard if e == "progress") == 7 and heard[0][0] == "started" and len(watch.subscribers) == 1

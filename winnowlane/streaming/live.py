@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -55,3 +56,34 @@ def snapshots(frame: DataFrame, store, name: str, checkpoint: str, seconds: floa
 def action_log(stream_folder: str, spark) -> DataFrame:
     """A stream of named actions (t in milliseconds, a) appended as Parquet files."""
     return spark.readStream.schema("t long, a string").parquet(stream_folder)
+
+
+class Watch(StreamingQueryListener):
+    """Calls subscribers with (event, name, rows) as streams start, go on and end; one that fails harms neither streams nor the others."""
+
+    def __init__(self):
+        self.subscribers: list = []
+
+    def subscribe(self, call):
+        """Adds a subscriber; what is returned takes it away again."""
+        self.subscribers.append(call)
+        return lambda: self.subscribers.remove(call) if call in self.subscribers else None
+
+    def _tell(self, event: str, name, rows: int) -> None:
+        for call in list(self.subscribers):
+            try:
+                call(event, name, rows)
+            except Exception:  # a subscriber's own fault
+                continue
+
+    def onQueryStarted(self, event) -> None:
+        self._tell("started", event.name, 0)
+
+    def onQueryProgress(self, event) -> None:
+        self._tell("progress", event.progress.name, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        self._tell("idle", None, 0)
+
+    def onQueryTerminated(self, event) -> None:
+        self._tell("ended", None, 0)
