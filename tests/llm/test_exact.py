@@ -379,10 +379,12 @@ def test_stages_leave_their_result_only(spark):
     assert len(scratch._MADE) == n + 1 and [r.id for r in second.collect()] == [2]
 
 
-def test_exchange_with_buckets_by_size(crafted, monkeypatch):
+def test_exchange_with_buckets_by_size(spark, crafted, monkeypatch, tmp_path):
     from winnowlane.llm import _exchange, anchors, suffix
 
-    want = [sorted(map(tuple, f(crafted[0]).collect())) for f in (anchors.remove_repeats, suffix.remove_repeats)]
+    crafted[0].write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    want = [sorted(map(tuple, f(docs).collect())) for f in (anchors.remove_repeats, suffix.remove_repeats)]
     monkeypatch.setattr(_exchange, "BUCKET_BYTES", 7)
-    assert _exchange.buckets(crafted[0]) > 100
-    assert [sorted(map(tuple, f(crafted[0]).collect())) for f in (anchors.remove_repeats, suffix.remove_repeats)] == want
+    assert _exchange.buckets(docs) > 100
+    assert [sorted(map(tuple, f(docs).collect())) for f in (anchors.remove_repeats, suffix.remove_repeats)] == want
