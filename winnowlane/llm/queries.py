@@ -72,7 +72,7 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after all documents came, words were counted anew, and documents without words went."""
+    """Totals after all documents came, words were counted anew, what there was became one, and documents without words went."""
     from pyspark.sql import functions as F
 
     from winnowlane.llm import rollup
@@ -84,6 +84,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     state.commit("1-arrivals", rollup.inserts(docs, {"words-1": old, "bytes-1": size}))
     for _ in range(2):  # the second is a retry and changes nothing
         state.commit("2-recount", rollup.revisions(docs, {"words-1": old}, {"words-2": new}))
+    state.compact()
     empty = docs.where(old == 0)
     state.commit("3-empty", rollup.deletes(empty, {"words-2": new, "bytes-1": size}))
     return state.totals()
