@@ -205,6 +205,7 @@ def test_disclosure_terms_with_repeated_rows(spark, elsewhere, broadcast):
     pointing = {w for e, w in tells if elsewhere is not None and given[e, w] >= elsewhere}
     f = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit("x"))
     out = Counter((r.doc_id, r.spans) for r in disclosure.report(f, elsewhere=elsewhere, broadcast=broadcast).collect())
+    assert out == Counter((r.doc_id, r.spans) for r in disclosure.report(f, elsewhere=elsewhere, broadcast=broadcast, broadcast_rows=0).collect())
     want = Counter()
     for (i, t), b, e, w in zip(rows, bases, ents, words):
         marks = {x for x in w if any((k, x) in tells for k in e)} | (w & pointing)
@@ -388,3 +389,22 @@ def test_exchange_with_buckets_by_size(spark, crafted, monkeypatch, tmp_path):
     monkeypatch.setattr(_exchange, "BUCKET_BYTES", 7)
     assert _exchange.buckets(docs) > 100
     assert [sorted(map(tuple, f(docs).collect())) for f in (anchors.remove_repeats, suffix.remove_repeats)] == want
+
+
+def test_vectors_of_mixed_lengths(spark):
+    from winnowlane.llm import embedding_dedup
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for dim in (1, 3, 64, 5000):
+        v = rng.standard_normal(dim)
+        rows += [(len(rows) + k, (v * (k + 1)).tolist(), "x") for k in range(3)]  # the same direction at three scales
+    rows += [(50, [1e-300, 1e-300, 0.0], "x"), (51, [1e300, 1e300, 0.0], "x"), (52, rows[3][1] + [0.0], "x"), (7, rows[7][1], "x")]
+    near = {}
+    for a, (i, x, _) in enumerate(rows):
+        for b, (j, y, _) in enumerate(rows):
+            if a != b and len(x) == len(y):
+                p, q = (np.array(z) / np.abs(z).max() for z in (x, y))
+                near[a] = near.get(a, 0) + int(p @ q / np.linalg.norm(p) / np.linalg.norm(q) >= 0.98)
+    out = sorted((r.vec_id, r.n_links) for r in embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect())
+    assert out == sorted((r[0], near.get(k, 0)) for k, r in enumerate(rows))

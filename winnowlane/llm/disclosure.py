@@ -67,6 +67,8 @@ RUN = 128
 SALT = 16
 #: Terms marked in documents without the entity are broadcast up to so many; beyond it they are joined salted.
 BROADCAST_TERMS = 200_000
+#: Hashes of documents with terms to mark, broadcast up to so many (16 MB); beyond it all documents are dealt to meet their terms.
+BROADCAST_ROWS = 1_000_000
 
 
 def _let(value: Column, use) -> Column:
@@ -168,7 +170,7 @@ def _pointing(docs: DataFrame, pairs: DataFrame, elsewhere: float, broadcast: in
     return held.join(F.broadcast(telling), "term") if telling.count() <= broadcast else _salted(held, "row", telling, ["term"])
 
 
-def find(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE, elsewhere: float | None = None, broadcast: int = BROADCAST_TERMS) -> DataFrame:
+def find(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE, elsewhere: float | None = None, broadcast: int = BROADCAST_TERMS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """All columns of docs, and ``_base`` and ``_all``: arrays of (kind, start, stop), in order of kind and start.
 
     Disclosing terms are marked in the documents that hold the entity; with ``elsewhere`` those whose
@@ -194,16 +196,23 @@ def find(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE,
     mine = mine.groupBy("row").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
     mine = materialize(mine, "terms").withColumnRenamed("row", "_row")
     base = F.concat(*[_kinded(F.col(f"_{k}"), k) for k in PATTERNS])
-    out = detect(docs).withColumn("_row", F.xxhash64("doc_id", "text")).withColumn("_base", base)
-    plain = out.drop(*[f"_{k}" for k in PATTERNS])
-    quiet = plain.where(F.size("_base") == 0).withColumn("_all", F.col("_base")).drop("_row") if elsewhere is None else None
-    loud = (plain if elsewhere is not None else plain.where(F.size("_base") > 0)).join(mine, "_row", "left")
+    rows = docs.withColumn("_row", row)
+    if mine.count() <= broadcast_rows:
+        # only documents with a term to mark are dealt; which they are is told by their row's hash
+        ids = F.broadcast(mine.select("_row"))
+        halves = [(rows.join(ids, "_row", "left_anti"), False), (rows.join(ids, "_row", "left_semi").join(mine, "_row"), True)]
+    else:
+        halves = [(rows.join(mine, "_row", "left"), True)]
     # whole words only; the pattern of a text lists its own terms
     words = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.col("_terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     marked = _kinded(_positions(F.col("text"), words), "term")
     free = F.filter(marked, lambda t: ~F.exists(F.col("_base"), lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    loud = loud.withColumn("_all", F.when(F.col("_terms").isNull(), F.col("_base")).otherwise(F.concat("_base", free))).drop("_row", "_terms")
-    return loud if quiet is None else quiet.unionByName(loud)
+    out = []
+    for frame, with_terms in halves:
+        found = detect(frame).withColumn("_base", base)
+        every = F.when(F.col("_terms").isNull(), F.col("_base")).otherwise(F.concat("_base", free)) if with_terms else F.col("_base")
+        out.append(found.withColumn("_all", every).select(*docs.columns, "_base", "_all"))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def _joined(spans: Column) -> Column:
