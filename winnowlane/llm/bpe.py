@@ -34,7 +34,7 @@ THREADS = 4
 #: Bytes of text handled at once.
 BATCH_BYTES = 1_500_000
 #: Words and pre-tokens whose ids a worker keeps; beyond it, it starts anew.
-KNOWN = 120_000
+KNOWN = 60_000
 #: Precomposed Latin text, which NFC leaves alone and whose lower case is of one character each.
 PLAIN = re.compile("[\\x21-\\x7e\u00a1-\u012f\u0131-\u017f]+")
 #: The printable character that stands for each byte in a byte-level vocabulary: printable Latin-1

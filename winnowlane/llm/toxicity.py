@@ -41,7 +41,7 @@ SUPPORT, LEAST = 3, 3.0
 LETTERS = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]|[,:\"\u201c\u201d\u00ab\u00bb]")
 #: Words whose symbols a worker remembers.
-MEMO = 150_000
+MEMO = 80_000
 #: How many words a negation reaches, and the least that a matched clause adds.
 REACH, FLOOR = 3, 0.05
 #: Log-odds of the grammar's own insults and threats of which the labels say nothing, and the rows that these count for.
