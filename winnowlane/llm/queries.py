@@ -101,8 +101,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws 5 % of the documents of 20 words and more towards the benchmark's n-grams; every document's weight, score and rank."""
+    from winnowlane.llm import importance
+
+    return importance.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_embedding_dedup, op2_imatch, op3_anchors, op4_mixing, op5_ngram_join, op6_disclosure, op7_suffix, op8_token_counts, op9_bpe, op10_toxicity)
+    found = (op1_embedding_dedup, op2_imatch, op3_anchors, op4_mixing, op5_ngram_join, op6_disclosure, op7_suffix, op8_token_counts, op9_bpe, op10_toxicity, op11_importance)
     return {f.__name__: f for f in found}
 
 
