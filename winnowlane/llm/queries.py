@@ -108,8 +108,15 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items of the benchmark's windows in every whole document."""
+    from winnowlane.llm import decontaminate
+
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_embedding_dedup, op2_imatch, op3_anchors, op4_mixing, op5_ngram_join, op6_disclosure, op7_suffix, op8_token_counts, op9_bpe, op10_toxicity, op11_importance)
+    found = (op1_embedding_dedup, op2_imatch, op3_anchors, op4_mixing, op5_ngram_join, op6_disclosure, op7_suffix, op8_token_counts, op9_bpe, op10_toxicity, op11_importance, op12_decontaminate)
     return {f.__name__: f for f in found}
 
 
@@ -125,5 +132,24 @@ SELECT source, lang, 'bytes-1', count(*), CAST(sum(bytes) AS BIGINT) FROM counte
 """
 
 
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hit AS (SELECT DISTINCT r, i, dw.n, dw.win FROM dw JOIN (SELECT DISTINCT win FROM bw) USING (win)),
+word AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+item AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit JOIN bw USING (win)) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN word USING (r) LEFT JOIN item USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_token_counts": OP8}
+    return {"op8_token_counts": OP8, "op12_decontaminate": OP12}
