@@ -115,8 +115,18 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector against all vectors; every 7th vector is labelled anew."""
+    from pyspark.sql import functions as F
+
+    from winnowlane.llm import hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_embedding_dedup, op2_imatch, op3_anchors, op4_mixing, op5_ngram_join, op6_disclosure, op7_suffix, op8_token_counts, op9_bpe, op10_toxicity, op11_importance, op12_decontaminate)
+    found = (op1_embedding_dedup, op2_imatch, op3_anchors, op4_mixing, op5_ngram_join, op6_disclosure, op7_suffix, op8_token_counts, op9_bpe, op10_toxicity, op11_importance, op12_decontaminate, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
@@ -151,5 +161,20 @@ FROM d LEFT JOIN word USING (r) LEFT JOIN item USING (r)
 """
 
 
+OP13 = """
+WITH q AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+positive AS (SELECT a, anchor_id, id, score FROM pair WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN pair n ON n.a = p.a AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_token_counts": OP8, "op12_decontaminate": OP12}
+    return {"op8_token_counts": OP8, "op12_decontaminate": OP12, "op13_hard_negatives": OP13}
