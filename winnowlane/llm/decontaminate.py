@@ -141,7 +141,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = True, width: int
     if not spans:
         return docs.join(hits, on, "left_anti")
     gaps = F.split("text", WORD, -1)
-    pieces = _let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda found: F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, F.concat))
+    pieces = _let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda found: F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, w: F.concat(g, w)))
 
     def step(at: Column, s: Column) -> Column:
         # what is kept between the spans before and this one

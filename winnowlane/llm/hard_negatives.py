@@ -51,6 +51,8 @@ class _Space:
     def __init__(self, dim: int, most: float, sample: np.ndarray, pivots: int):
         self.dim, self.most = dim, most
         self.exact = most < EXACT
+        # no component is longer than the longest vector
+        self.kind = "<i2" if most < 2.0**30 else "<i4" if self.exact else "<i8"
         x = self.longer(sample.astype(np.float64))
         rng = np.random.default_rng(SEED)
         x = np.unique(x, axis=0)
@@ -79,7 +81,7 @@ class _Space:
         return 1.0 + 1e-9 * 4 * max(self.most, 1.0)
 
     def vectors(self, raw: bytes, n: int) -> np.ndarray:
-        return np.frombuffer(raw, "<i4" if self.exact else "<i8").reshape(n, self.dim).astype(np.int64)
+        return np.frombuffer(raw, self.kind).reshape(n, self.dim).astype(np.int64)
 
     def scores(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if self.exact:
@@ -101,13 +103,13 @@ def _one(column) -> pa.Array:
     return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
 
 
-def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
+def _packed(rows: DataFrame, size: int, name: str, across: bool = False, tasks: int | None = None) -> DataFrame:
     """Rows of (pivot, dist, vec_id, row, label, raw), sorted by key and packed: block, pivot, lo, hi, n, least_id, rows, ids, labels, raw.
 
-    ``raw`` holds one row's whole numbers. A block never crosses a pivot or a range of keys.
+    ``raw`` holds one row's whole numbers. A block never crosses a range of keys, nor, unless ``across``, a pivot.
     """
     keys = ["pivot", "dist", "vec_id", "row"]
-    ranged = rows.repartitionByRange(parts(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+    ranged = rows.repartitionByRange(tasks or parts(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -132,7 +134,7 @@ def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
             pivot = table.column("pivot").to_numpy()
             at = 0
             while at < len(pivot):
-                stop = min(at + size, int(np.searchsorted(pivot, pivot[at], "right")))
+                stop = min(at + size, len(pivot) if across else int(np.searchsorted(pivot, pivot[at], "right")))
                 if stop == len(pivot) and stop - at < size:
                     break  # may go on in the next batch
                 yield out(table.slice(at, stop - at))
@@ -164,12 +166,13 @@ class _Index:
                 x = _matrix(_one(batch.column("q")), space.dim)
                 d = space.distances(x)
                 near = d.argmin(axis=1)
-                raw = x.astype("<i8" if not space.exact else "<i4")
+                raw = x.astype(space.kind)
                 yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("vec_id", "label", "anchor", "row")}, "pivot": pa.array(near, pa.int32()), "dist": pa.array(d[np.arange(len(x)), near]), "raw": pa.array([r.tobytes() for r in raw], pa.binary())})
 
         keyed = materialize(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(key, "vec_id long, label long, anchor boolean, row long, pivot int, dist double, raw binary"), "keyed")
         self.blocks = _packed(keyed.drop("anchor"), max(block, -(-self.n // DIRECTORY)), "distance-blocks")
-        self.chunks = _packed(keyed.where("anchor").drop("anchor"), chunk, "anchors")
+        anchors = keyed.where("anchor").drop("anchor")
+        self.chunks = _packed(anchors, chunk, "anchors", True, min(parts(rows.sparkSession), -(-anchors.count() // chunk) or 1))
         listed = self.blocks.select("block", "pivot", "lo", "hi", "least_id").orderBy("block").toArrow()  # DIRECTORY blocks, and one more for each pivot and range of keys
         self.block, self.pivot, self.lo, self.hi, self.least = (listed.column(c).to_numpy() for c in listed.column_names)
 
