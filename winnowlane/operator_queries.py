@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnowlane.functions import capture, signature, text
-from winnowlane.operators import geo, hierarchy, organize, ranking, results, similarity, staged, stats, tags
+from winnowlane.operators import geo, hierarchy, order, organize, ranking, results, similarity, staged, stats, tags
 from winnowlane.queries import FOLDERS, PAIRS, PATHS, QUOTAS, RANKED, RESOLVED, SHOTS, SIGS, STRICT, VALUES, _judged, _quotas, query
 from winnowlane.scratch import fresh_path
 from winnowlane.session import table
@@ -648,13 +648,16 @@ def replayed_rankings(spark, d):
     import pandas as pd
 
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("unit"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score"))
+    schema = "unit long, seq long, type string, mid string, winner long"
 
     def log(pdf: pd.DataFrame) -> pd.DataFrame:
         s = {k: (v, -i) for i, (k, v) in enumerate(pdf.sort_values("id")[["id", "score"]].itertuples(index=False))}
         _, ops = ranking.judge(sorted(pdf.id.tolist()), 3, 11, lambda a, b: a if s[a] > s[b] else b)
+        if not ops:  # a single order is ranked without a comparison
+            return order.none(schema)
         return pd.DataFrame({"unit": pdf.unit.iloc[0], "seq": range(len(ops)), "type": "pick", "mid": [x["m"] for x in ops], "winner": [x["w"] for x in ops]})
 
-    ops = o.groupBy("unit").applyInPandas(log, "unit long, seq long, type string, mid string, winner long")
+    ops = o.groupBy("unit").applyInPandas(log, schema)
     return ranking.rank_from_log(o, ops, 3, 11).where("decided").select("unit", "id", "place")
 
 

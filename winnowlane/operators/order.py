@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,12 @@ def positions(rows: DataFrame, unit: str | None, order: list[Column]) -> DataFra
     return out.withColumn("pos", F.col("upto") - 1).withColumnRenamed("n", "_n").drop("upto", "_one")
 
 
+def none(schema: str) -> pd.DataFrame:
+    """No rows of a schema of plain types, typed as Spark expects: an empty column without a type counts as one of floats."""
+    kinds = {"long": "int64", "bigint": "int64", "int": "int32", "double": "float64", "boolean": "bool"}
+    return pd.DataFrame({n: pd.Series([], dtype=kinds.get(k, "object")) for n, k in (f.split(" ", 1) for f in schema.split(", "))})
+
+
 def fold_units(rows: DataFrame, unit: str, order: list[str], work: Callable[[object, dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """work(unit, columns as lists in the order) of every unit, one after another in its task; it gives columns of ``schema``.
 

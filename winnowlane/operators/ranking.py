@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnowlane.operators.order import fold_units
+from winnowlane.operators.order import fold_units, none
 from winnowlane.operators.staged import shuffled
 
 #: Multiplier that varies the draw from place to place.
@@ -198,16 +198,17 @@ def rank_by_score(rows: DataFrame, unit: str, key: str, score: str, target: int,
 
 def rank_from_log(pool: DataFrame, ops: DataFrame, target: int, seed: int) -> DataFrame:
     """unit, id, place, decided, broke: rankings rebuilt from op logs (unit, seq, type, mid, winner)."""
-    kind = pool.schema["id"].dataType.simpleString()
+    schema = f"unit {pool.schema['unit'].dataType.simpleString()}, id {pool.schema['id'].dataType.simpleString()}, place long, decided boolean, broke string"
 
     def fold(key, members: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
         steps = [{"t": x.type, "m": x.mid, "w": x.winner} for x in log.sort_values("seq").itertuples()]
         r = replay(sorted(members.id.tolist()), target, seed, steps)
         out = r.ranking()
+        if not out:  # a log without a pool
+            return none(schema)
         return pd.DataFrame({"unit": key[0], "id": out, "place": range(1, len(out) + 1), "decided": [i < len(r.places) for i in range(len(out))], "broke": r.broke})
 
-    unit = pool.schema["unit"].dataType.simpleString()
-    return pool.groupBy("unit").cogroup(ops.groupBy("unit")).applyInPandas(fold, f"unit {unit}, id {kind}, place long, decided boolean, broke string")
+    return pool.groupBy("unit").cogroup(ops.groupBy("unit")).applyInPandas(fold, schema)
 
 
 def undo(ops: DataFrame, unit: str = "unit") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from winnowlane.functions.signature import hamming
 from winnowlane.operators.components import components
+from winnowlane.operators.order import none
 from winnowlane.scratch import materialize
 
 #: What counts for a representative: sharpness and pixels, each against the group's best.
@@ -22,6 +23,8 @@ LEAST, MOST = 4, 20
 BLOCK = 2048
 #: Rows of a unit up to which it is folded in one task as it is, and pairs of a unit up to which one task joins them up.
 UNIT_ROWS, UNIT_PAIRS = 4096, 5_000_000
+#: Names of larger units that are broadcast, and shares of the pairs of one tree, joined apart.
+BROADCAST_UNITS, SALT = 100_000, 8
 
 
 def clamp_threshold(t: Column) -> Column:
@@ -120,26 +123,103 @@ def close_pairs(rows: DataFrame, threshold: int, unit: str = "unit", key: str =
 def union_clusters(pairs: DataFrame, rows: DataFrame, unit: str = "unit", key: str = "id", unit_pairs: int = UNIT_PAIRS) -> DataFrame:
     """unit, id and group_id (least id): connected components of the pairs; rows without a pair stand alone.
 
-    Pairs of a unit that are few enough for one task are joined up there; if a unit has more, all
+    Pairs of a unit that are few enough for one task are joined up there; those of a unit that has more
     are joined up by alternating stars over the cluster.
     """
     base = rows.select(F.col(unit).alias("unit"), F.col(key).alias("id"))
     near = materialize(pairs.select("unit", "a", "b"), "pairs")
-    most = near.groupBy("unit").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
-    if most <= unit_pairs:
-        kinds = [base.schema[c].dataType.simpleString() for c in ("unit", "id")]
+    kinds = [base.schema[c].dataType.simpleString() for c in ("unit", "id")]
 
-        def fold(table: pa.Table) -> pa.Table:
-            a, b = _ids(table.column("a")), _ids(table.column("b"))
-            nodes, number = np.unique(np.concatenate([a, b]), return_inverse=True)
-            label = _joined(number[: len(a)], number[len(a) :], len(nodes))
-            return pa.table([pa.array([table.column("unit")[0].as_py()] * len(nodes), table.schema.field("unit").type), pa.array(nodes.tolist(), table.schema.field("a").type), pa.array(nodes[label].tolist(), table.schema.field("a").type)], names=["unit", "id", "group_id"])
+    def fold(table: pa.Table) -> pa.Table:
+        a, b = _ids(table.column("a")), _ids(table.column("b"))
+        nodes, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = _joined(number[: len(a)], number[len(a) :], len(nodes))
+        return pa.table([pa.array([table.column("unit")[0].as_py()] * len(nodes), table.schema.field("unit").type), pa.array(nodes.tolist(), table.schema.field("a").type), pa.array(nodes[label].tolist(), table.schema.field("a").type)], names=["unit", "id", "group_id"])
+
+    node = lambda c: F.struct("unit", F.col(c).alias("id"))
+    few, many = _by_size(near, unit_pairs)
+    found = few.groupBy("unit").applyInArrow(fold, f"unit {kinds[0]}, id {kinds[1]}, group_id {kinds[1]}")
+    if many is not None:
+        found = found.unionByName(components(many.select(node("a").alias("a"), node("b").alias("b"))).select("node.unit", "node.id", F.col("component.id").alias("group_id")))
+    return base.join(found, ["unit", "id"], "left").withColumn("group_id", F.coalesce("group_id", "id"))
 
-        found = near.groupBy("unit").applyInArrow(fold, f"unit {kinds[0]}, id {kinds[1]}, group_id {kinds[1]}")
-    else:
+
+def _by_size(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of units that have at most so many, and those of larger ones; None if there are none. A large unit changes nothing for the small."""
+    large = materialize(rows.groupBy("unit").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(F.col("unit").alias("_unit")), "large-units")
+    n = large.count()
+    if not n:
+        return rows, None
+    large = F.broadcast(large) if n <= BROADCAST_UNITS else large
+    same = F.col("unit").eqNullSafe(F.col("_unit"))
+    return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
+
+
+def spanning_forest(pairs: DataFrame, unit_pairs: int = UNIT_PAIRS, rounds: int = 60) -> DataFrame:
+    """unit, a, b and distance of the pairs that make up each unit's minimum spanning forest, written once.
+
+    The groups of union linkage at any threshold are the components of the forest's pairs up to it, so regrouping
+    computes no distance and reads a pair less than rows. Ties go by a, then b, which makes the forest unique.
+    A unit of up to ``unit_pairs`` pairs is one task's; larger ones grow by Boruvka's rounds over the cluster: each tree takes the
+    least pair that leaves it, trees that meet become one, and of the pairs between two trees the least goes on.
+    Every round at least halves the trees.
+    """
+    near = materialize(pairs.select("unit", "a", "b", "distance"), "near")
+    kinds = {f.name: f.dataType.simpleString() for f in near.schema.fields}
+
+    def fold(table: pa.Table) -> pa.Table:
+        return table.take(pa.array(forest_edges(*(_ids(table.column(c)) for c in ("a", "b", "distance")))))
+
+    few, many = _by_size(near, unit_pairs)
+    out = [few.groupBy("unit").applyInArrow(fold, ", ".join(f"{n} {k}" for n, k in kinds.items()))]
+    pair = F.struct("distance", "a", "b")
+    now = many and many.select("unit", pair.alias("e"), F.col("a").alias("x"), F.col("b").alias("y"))
+    for _ in range(rounds if now is not None else 0):
+        now = materialize(now.where("x != y").groupBy("unit", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("e").alias("e")), "trees")
+        if not now.limit(1).count():
+            break
+        ends = now.select("unit", "x", F.struct("e", "x", "y").alias("way")).unionByName(now.select("unit", F.col("y").alias("x"), F.struct("e", "x", "y").alias("way")))
+        taken = materialize(ends.groupBy("unit", "x").agg(F.min("way").alias("way")).select("unit", "way.*").distinct(), "taken")
+        out.append(taken.select("unit", "e.a", "e.b", "e.distance"))
         node = lambda c: F.struct("unit", F.col(c).alias("id"))
-        found = components(near.select(node("a").alias("a"), node("b").alias("b"))).select("node.unit", "node.id", F.col("component.id").alias("group_id"))
-    return base.join(found, ["unit", "id"], "left").withColumn("group_id", F.coalesce("group_id", "id"))
+        tree = components(taken.select(node("x").alias("a"), node("y").alias("b"))).select(F.col("node.unit").alias("unit"), F.col("node.id").alias("id"), F.col("component.id").alias("tree"))
+        tree = materialize(tree.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), "tree")
+        for c in ("x", "y"):  # a tree may have very many pairs: they are shared among tasks
+            own = tree.select("unit", F.col("id").alias(c), F.col("tree").alias(f"to_{c}"), "salt")
+            now = now.withColumn("salt", F.pmod(F.xxhash64("e"), F.lit(SALT)).cast("int")).join(own, ["unit", c, "salt"]).drop("salt")
+        now = now.select("unit", "e", F.col("to_x").alias("x"), F.col("to_y").alias("y"))
+    else:
+        if now is not None:
+            raise RuntimeError(f"trees left after {rounds} rounds")
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return materialize(found, "forest")
+
+
+def forest_edges(a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs in the minimum spanning forest; ties by a, then b."""
+    nodes, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = number[: len(a)], number[len(a) :]
+    order = np.lexsort((y, x, distance.astype(np.int64)))
+    x, y = x[order], y[order]
+    rank, tree, taken = np.arange(len(x)), np.arange(len(nodes)), []
+    while len(rank):
+        best = np.full(len(nodes), len(order))
+        np.minimum.at(best, tree[x], rank)
+        np.minimum.at(best, tree[y], rank)
+        pick = np.unique(best[best < len(order)])
+        taken.append(pick)
+        at = np.searchsorted(rank, pick)
+        tree = _joined(tree[x[at]], tree[y[at]], len(nodes))[tree]
+        apart = tree[x] != tree[y]
+        x, y, rank = x[apart], y[apart], rank[apart]
+    return order[np.sort(np.concatenate(taken))] if taken else order
+
+
+def groups_at(forest: DataFrame, rows: DataFrame, threshold: int, unit: str = "unit", key: str = "id", unit_pairs: int = UNIT_PAIRS) -> DataFrame:
+    """unit, id and group_id of union linkage at a threshold, from a spanning forest of pairs up to it or beyond."""
+    return union_clusters(forest.where(F.col("distance") <= threshold), rows, unit, key, unit_pairs)
 
 
 def _joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -177,6 +257,34 @@ def strict_labels(distance: np.ndarray, threshold: int) -> np.ndarray:
     return label
 
 
+def sparse_strict_labels(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """strict_labels() of n items from the pairs a < b within the threshold alone; memory is linear in them.
+
+    A group can take an item only if all members are its neighbours, so members are counted among the item's
+    earlier neighbours; no distance beyond the threshold is ever asked for.
+    """
+    order = np.lexsort((a, b))
+    a, b, distance = a[order], b[order], distance[order]
+    edge = np.searchsorted(b, np.arange(n + 1))
+    label, size, groups = np.full(n, -1), np.zeros(n, np.int64), 0
+    for i in range(n):
+        x, y = edge[i], edge[i + 1]
+        best = -1
+        if x < y:
+            met, at = np.unique(label[a[x:y]], return_inverse=True)
+            whole = np.bincount(at) == size[met]
+            if whole.any():
+                worst = np.zeros(len(met), np.int64)
+                np.maximum.at(worst, at, distance[x:y])
+                met, worst = met[whole], worst[whole]
+                best = int(met[worst.argmin()])  # the older of equals: met is in order
+        if best < 0:
+            best, groups = groups, groups + 1
+        label[i] = best
+        size[best] += 1
+    return label
+
+
 def union_labels(linked: np.ndarray) -> np.ndarray:
     """Least index reachable by links, for each item of a boolean matrix."""
     label = np.arange(len(linked))
@@ -213,14 +321,14 @@ def correct(label: np.ndarray, apart: set[tuple[int, int]], together: list[tuple
 def cluster(rows: DataFrame, threshold: int, mode: str = "strict", links: DataFrame | None = None, unit: str = "unit", key: str = "id", unit_rows: int = UNIT_ROWS) -> DataFrame:
     """unit, id and group_id (the group's least id).
 
-    Both linkages in the order of ids, then corrections from ``links`` (a, b, sign: 1 together, -1 apart). The fold
-    needs the distances of all rows it takes at once. Units of up to ``unit_rows`` rows are folded whole; if one is
-    larger, all are first parted by the components of pairs within the threshold and of pairs that must stay
-    together, as no group crosses them, and each part is folded.
+    Both linkages in the order of ids, then corrections from ``links`` (a, b, sign: 1 together, -1 apart). Units of up
+    to ``unit_rows`` rows are folded whole, from the distances of all their rows. Larger ones are parted by the components
+    of pairs within the threshold and of pairs that must stay together, as no group crosses them, and each part is
+    folded over its pairs within the threshold: a task holds those of one part.
     """
     kind = rows.schema[key].dataType.simpleString()
+    schema = f"unit string, id {kind}, group_id {kind}"
     base = rows.select(F.col(unit).cast("string").alias("unit"), F.col(key).alias("id"), "hi", "lo")
-    wide = base.groupBy("unit").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
     edits = links.select("a", "b", "sign") if links is not None else base.sparkSession.createDataFrame([], f"a {kind}, b {kind}, sign int")
 
     def within(frame: DataFrame, more: list[str]) -> DataFrame:
@@ -229,28 +337,43 @@ def cluster(rows: DataFrame, threshold: int, mode: str = "strict", links: DataFr
         y = frame.select("unit", F.col("id").alias("b"), *[F.col(m).alias(f"{m}_b") for m in more])
         return edits.join(x, "a").join(y, ["unit", "b"])
 
-    if wide > unit_rows:
-        near = close_pairs(base, threshold).select("unit", "a", "b")
-        glued = within(base, []).where("sign > 0").select("unit", "a", "b")
-        parted = union_clusters(near.unionByName(glued), base).withColumnRenamed("group_id", "part")
-        base = base.join(parted, ["unit", "id"])
-    else:
-        base = base.withColumn("part", F.lit(None).cast(kind))
-    own = within(base, ["part"]).where(F.col("part_a").eqNullSafe(F.col("part_b"))).select(F.col("unit").alias("unit"), F.col("part_a").alias("part"), "a", "b", "sign")
-
-    def fold(key_: tuple, pdf: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-        if not len(pdf):
-            return pd.DataFrame({"unit": [], "id": [], "group_id": []})
-        d = _distances(pdf.hi.to_numpy(np.int64), pdf.lo.to_numpy(np.int64))
-        label = strict_labels(d, threshold) if mode == "strict" else union_labels(d <= threshold)
+    def corrected(pdf: pd.DataFrame, label: np.ndarray, said: pd.DataFrame) -> pd.DataFrame:
         if len(said):
             at = {x: i for i, x in enumerate(pdf.id)}
             known = sorted((min(at[a], at[b]), max(at[a], at[b]), s) for a, b, s in zip(said.a, said.b, said.sign))
             label = correct(label, {(a, b) for a, b, s in known if s < 0}, [(a, b) for a, b, s in known if s > 0])
         return pd.DataFrame({"unit": pdf.unit, "id": pdf.id, "group_id": pdf.id.groupby(pd.Series(label)).transform("min")})
 
-    return base.groupBy("unit", "part").cogroup(own.groupBy("unit", "part")).applyInPandas(fold, f"unit string, id {kind}, group_id {kind}")
+    def dense(key_: tuple, pdf: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return none(schema)
+        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+        d = _distances(pdf.hi.to_numpy(np.int64), pdf.lo.to_numpy(np.int64))
+        return corrected(pdf, strict_labels(d, threshold) if mode == "strict" else union_labels(d <= threshold), said)
+
+    def sparse(key_: tuple, pdf: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return none(schema)
+        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+        near, said = met[met.sign.isna()], met[met.sign.notna()]
+        at = pd.Index(pdf.id)
+        a, b = at.get_indexer(near.a), at.get_indexer(near.b)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        label = sparse_strict_labels(len(pdf), a, b, near.distance.to_numpy(np.int64)) if mode == "strict" else _joined(a, b, len(pdf))
+        return corrected(pdf, label, said)
+
+    few, many = _by_size(base, unit_rows)
+    out = few.groupBy("unit").cogroup(within(few, []).select(F.col("unit").alias("_unit"), "a", "b", "sign").groupBy("_unit")).applyInPandas(dense, schema)
+    if many is None:
+        return out
+    near = materialize(close_pairs(many, threshold), "near")
+    glued = within(many, []).where("sign > 0").select("unit", "a", "b")
+    parted = materialize(union_clusters(near.select("unit", "a", "b").unionByName(glued), many).withColumnRenamed("group_id", "part"), "parts")
+    own = within(parted, ["part"]).where(F.col("part_a") == F.col("part_b")).select("unit", F.col("part_a").alias("part"), "a", "b", F.lit(None).cast("int").alias("distance"), "sign")
+    met = near.join(parted.withColumnRenamed("id", "a"), ["unit", "a"]).select("unit", "part", "a", "b", "distance", F.lit(None).cast("int").alias("sign")).unionByName(own)
+    met = met.withColumnsRenamed({"unit": "_unit", "part": "_part"})
+    parts_ = parted.groupBy("unit", "part").cogroup(met.groupBy("_unit", "_part")).applyInPandas(sparse, schema)
+    return out.unionByName(parts_)
 
 
 def reviewed_groups(rows: DataFrame, threshold: int, mode: str = "strict", links: DataFrame | None = None, removed: DataFrame | None = None, pinned: DataFrame | None = None, confirmed: DataFrame | None = None, **params) -> DataFrame:
