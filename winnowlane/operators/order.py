@@ -57,6 +57,11 @@ def none(schema: str) -> pd.DataFrame:
     return pd.DataFrame({n: pd.Series([], dtype=kinds.get(k, "object")) for n, k in (f.split(" ", 1) for f in schema.split(", "))})
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    """A schema's Arrow types, for batches that may be empty. To be called on the driver."""
+    return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema).fields])
+
+
 def fold_units(rows: DataFrame, unit: str, order: list[str], work: Callable[[object, dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """work(unit, columns as lists in the order) of every unit, one after another in its task; it gives columns of ``schema``.
 
@@ -66,7 +71,7 @@ def fold_units(rows: DataFrame, unit: str, order: list[str], work: Callable[[obj
     dealt = rows.repartition(parts(rows.sparkSession), unit).sortWithinPartitions(unit, *order)
     names = [c.split()[0] for c in schema.split(", ")]
     columns = rows.columns
-    kinds = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema).fields])
+    kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {c: [] for c in columns}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from winnowlane.functions.signature import hamming
 from winnowlane.operators.components import components
-from winnowlane.operators.order import none
+from winnowlane.operators.order import arrow_schema, none
 from winnowlane.scratch import materialize
 
 #: What counts for a representative: sharpness and pixels, each against the group's best.
@@ -25,6 +25,8 @@ BLOCK = 2048
 UNIT_ROWS, UNIT_PAIRS = 4096, 5_000_000
 #: Names of larger units that are broadcast, and shares of the pairs of one tree, joined apart.
 BROADCAST_UNITS, SALT = 100_000, 8
+#: Most pivots of a cell, deals of a cell one after another, and cells whose pivots (16 bytes each) are broadcast.
+PIVOTS, LEVELS, BROADCAST_CELLS = 128, 6, 4_000
 
 
 def clamp_threshold(t: Column) -> Column:
@@ -43,15 +45,21 @@ def compare_blocks(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.n
     A unit is dealt into blocks, and each pair of blocks is a group of its own, so no task holds more than two
     blocks and no row is made for a pair but what ``work`` puts out. ``schema`` begins with the unit.
     """
-    base = rows.select(F.col(unit).alias("unit"), F.col(key).alias("id"), "hi", "lo")
-    counts = base.groupBy(F.col("unit").alias("_unit")).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    own = base.join(counts, F.col("unit").eqNullSafe(F.col("_unit"))).drop("_unit").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    base = rows.select(F.col(unit).alias("unit"), F.col(key).alias("id"), "hi", "lo", F.lit("").alias("_cell"), F.lit(True).alias("_home"))
+    return _compare_cells(base, work, schema, block)
+
+
+def _compare_cells(base: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], dict], schema: str, block: int) -> DataFrame:
+    """compare_blocks() within each cell (_cell) of a unit; pairs of two guests (not _home) are left to another cell."""
+    counts = base.groupBy(F.col("unit").alias("_unit"), F.col("_cell").alias("_of")).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    own = base.join(counts, F.col("unit").eqNullSafe(F.col("_unit")) & (F.col("_cell") == F.col("_of"))).drop("_unit", "_of").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     met = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
-    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = arrow_schema(schema)
+    names = kinds.names
 
     def fold(table: pa.Table) -> pa.Table:
         ids, hi, lo = _ids(table.column("id")), table.column("hi").to_numpy(), table.column("lo").to_numpy()
-        mine = table.column("_own").to_numpy()
+        mine, home = table.column("_own").to_numpy(), table.column("_home").to_numpy()
         i, j = table.column("_i")[0].as_py(), table.column("_j")[0].as_py()
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         out = []
@@ -59,15 +67,67 @@ def compare_blocks(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.n
             x = left[at : at + 256]
             d = np.bitwise_count(hi[x][:, None] ^ hi[right][None, :]).astype(np.int32) + np.bitwise_count(lo[x][:, None] ^ lo[right][None, :])
             p, q = ids[x][:, None], ids[right][None, :]
-            ok = p < q if i == j else np.ones(d.shape, bool)
+            ok = (p < q if i == j else np.ones(d.shape, bool)) & (home[x][:, None] | home[right][None, :])
             a, b = np.broadcast_to(p, d.shape)[ok], np.broadcast_to(q, d.shape)[ok]
             swap = a > b
             out.append(work(np.where(swap, b, a), np.where(swap, a, b), d[ok]))
         got = {n: np.concatenate([o[n] for o in out]) for n in names[1:]} if out else {n: np.zeros(0, np.int64) for n in names[1:]}
         n = len(got[names[1]])
-        return pa.table([pa.array([table.column("unit")[0].as_py()] * n, table.schema.field("unit").type), *[pa.array(got[c].tolist() if got[c].dtype == object else got[c]) for c in names[1:]]], names=names)
+        return pa.table([pa.array([table.column("unit")[0].as_py()] * n, kinds.field(0).type), *[pa.array(got[c].tolist() if got[c].dtype == object else got[c], kinds.field(c).type) for c in names[1:]]], schema=kinds)
+
+    return met.groupBy("unit", "_cell", "_i", "_j").applyInArrow(fold, schema)
+
 
-    return met.groupBy("unit", "_i", "_j").applyInArrow(fold, schema)
+def pivot_cells(rows: DataFrame, threshold: int, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
+    """Rows (unit, id, hi, lo) dealt to cells, _cell and _home, so that every pair of a unit within the threshold is in one cell, not as two guests.
+
+    A cell of more than ``block`` rows is dealt to pivots of its own: the home of a row is its nearest pivot, if that is within the
+    threshold, else the rest. By the triangle inequality a row can have a partner at home with a pivot only
+    if its distance to the pivot is at most the threshold and the radius of those at home there together; of two homes the
+    first pivot's takes the guest. Cells that are still large are dealt to further pivots. A deal that doesn't halve the
+    pairs to be compared is taken back, so rows at random are compared in blocks as they are.
+    """
+    on = lambda x, y: x["unit"].eqNullSafe(y["_unit"]) & (x["_cell"] == y["_of"])
+    now = rows.select("unit", "id", "hi", "lo", F.lit("0").alias("_cell"), F.lit(True).alias("_home"), F.lit(False).alias("_final"))
+    kept = ["unit", "id", "hi", "lo", "_cell", "_home", "_final"]
+    for _ in range(levels):
+        homes, guests = F.sum(F.col("_home").cast("long")), F.sum((~F.col("_home")).cast("long"))
+        size = now.where("NOT _final").groupBy(F.col("unit").alias("_unit"), F.col("_cell").alias("_of")).agg(homes.alias("h"), guests.alias("g")).where(F.col("h") + F.col("g") > block)
+        size = materialize(size, "cells")
+        n = size.count()
+        if not n:
+            break
+        few = (lambda f: F.broadcast(f)) if n <= BROADCAST_CELLS else (lambda f: f)
+        wanted = F.least(F.lit(PIVOTS), F.greatest(F.lit(8), F.ceil(F.sqrt("h"))))
+        nth = F.row_number().over(Window.partitionBy("_unit", "_of").orderBy(F.xxhash64("id"), "id"))
+        large = now.where("NOT _final")
+        drawn = large.where("_home").join(few(size), on(large, size)).withColumn("nth", nth).where((F.col("nth") <= PIVOTS) & (F.col("nth") <= wanted))
+        pivots = materialize(drawn.groupBy("_unit", "_of").agg(F.array_sort(F.collect_list(F.struct("nth", "hi", "lo"))).alias("pivots")), "pivots")
+        met = large.join(few(pivots), on(large, pivots))
+        away = F.transform("pivots", lambda p: hamming(F.col("hi"), F.col("lo"), p["hi"], p["lo"]))
+        met = met.withColumn("away", away).withColumn("near", F.array_min("away"))
+        rest = F.size("pivots") + 1
+        met = met.withColumn("own", F.when(~F.col("_home"), rest + 1).when(F.col("near") <= threshold, F.array_position("away", F.col("near"))).otherwise(rest).cast("int"))
+        met = materialize(met.drop("pivots").withColumn("rest", F.size("away") + 1), "away")
+        wide = met.where("_home").groupBy("_unit", "_of", "own").agg(F.max(F.when(F.col("own") == F.col("rest"), 64).otherwise(F.col("near"))).alias("radius"))
+        wide = materialize(wide.groupBy(F.col("_unit").alias("_u"), F.col("_of").alias("_o")).agg(F.collect_list(F.struct("own", "radius")).alias("wide")), "radii")
+        met = met.join(few(wide), met["_unit"].eqNullSafe(wide["_u"]) & (met["_of"] == wide["_o"]))
+        d = lambda w: F.when(w["own"] == F.col("rest"), 0).otherwise(F.get("away", w["own"] - 1))
+        visits = F.filter("wide", lambda w: (w["own"] < F.col("own")) & (d(w) <= w["radius"] + threshold))
+        visits = F.transform(visits, lambda w: F.struct(w["own"].alias("sub"), F.lit(False).alias("home")))
+        at_home = F.when(F.col("_home"), F.array(F.struct(F.col("own").alias("sub"), F.lit(True).alias("home")))).otherwise(F.array().cast("array<struct<sub:int,home:boolean>>"))
+        met = materialize(met.withColumn("stops", F.concat(at_home, visits)).select(*kept, "stops"), "stops")
+        each = met.select("unit", "_cell", F.explode("stops").alias("s")).groupBy("unit", "_cell", "s.sub").agg(F.sum(F.col("s.home").cast("double")).alias("h"), F.sum((~F.col("s.home")).cast("double")).alias("g"))
+        after = each.groupBy(F.col("unit").alias("_u"), F.col("_cell").alias("_o")).agg(F.sum(F.col("h") * (F.col("h") / 2 + F.col("g"))).alias("after"))
+        before = F.col("h") * (F.col("h") / 2 + F.col("g"))
+        good = size.join(after, size["_unit"].eqNullSafe(after["_u"]) & (size["_of"] == after["_o"])).where(F.col("after") <= before / 2).select("_unit", "_of")
+        good = materialize(good, "parted")
+        parted = met.join(few(good), on(met, good), "left_semi").select("unit", "id", "hi", "lo", F.col("_cell").alias("_up"), F.explode("stops").alias("s"))
+        parted = parted.select("unit", "id", "hi", "lo", F.concat_ws("/", "_up", F.col("s.sub").cast("string")).alias("_cell"), F.col("s.home").alias("_home"), F.lit(False).alias("_final"))
+        whole = met.join(few(good), on(met, good), "left_anti").select(*kept[:-1], F.lit(True).alias("_final"))
+        small = now.join(few(size), on(now, size) & ~now["_final"], "left_anti")
+        now = materialize(small.unionByName(whole).unionByName(parted), "dealt")
+    return now.drop("_final")
 
 
 def distance_counts(rows: DataFrame, same: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, unit: str = "unit", key: str = "id", block: int = BLOCK) -> DataFrame:
@@ -89,7 +149,8 @@ def close_pairs(rows: DataFrame, threshold: int, unit: str = "unit", key: str =
     Signatures are cut into threshold + 1 bands: two that differ in t bits agree in one of t + 1 bands, so an
     equi-join on bands finds every pair without comparing all. Pairs that agree in several bands come once.
     Where bands would be under 6 bits they part too little, and probing near bands costs as much as comparing:
-    then blocks of the unit are compared, bit counts by arrays, and only pairs within the threshold are put out.
+    then units of more than a block are dealt to cells around pivots, and blocks of each cell are compared, bit counts
+    by arrays; only pairs within the threshold are put out.
     """
     bands = threshold + 1
     if 64 // bands < 6:
@@ -99,7 +160,8 @@ def close_pairs(rows: DataFrame, threshold: int, unit: str = "unit", key: str =
             ok = d <= threshold
             return {"a": x[ok], "b": y[ok], "distance": d[ok].astype(np.int32)}
 
-        return compare_blocks(rows, work, f"unit {kinds[0]}, a {kinds[1]}, b {kinds[1]}, distance int", unit, key, block)
+        cells = pivot_cells(rows.select(F.col(unit).alias("unit"), F.col(key).alias("id"), "hi", "lo"), threshold, block)
+        return _compare_cells(cells, work, f"unit {kinds[0]}, a {kinds[1]}, b {kinds[1]}, distance int", block)
     a = rows.select(F.col(unit).alias("unit"), F.col(key).alias("a"), F.col("hi").alias("hi_a"), F.col("lo").alias("lo_a"))
     b = rows.select(F.col(unit).alias("unit"), F.col(key).alias("b"), F.col("hi").alias("hi_b"), F.col("lo").alias("lo_b"))
     near = hamming(F.col("hi_a"), F.col("lo_a"), F.col("hi_b"), F.col("lo_b"))

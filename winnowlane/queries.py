@@ -283,6 +283,44 @@ def open_triples(spark, d):
     return similarity.open_triples(similarity.close_pairs(s, 20), s, 20)
 
 
+TWICE = SIGS + ", twice AS (SELECT id, unit, hi, lo FROM sigs UNION ALL SELECT id + 10000000, unit, hi, xor(lo, CAST(1 + id % 7 AS BIGINT)) FROM sigs UNION ALL SELECT id + 20000000, unit, xor(hi, CAST(id % 4096 AS BIGINT)), lo FROM sigs)"
+
+
+def _thrice(spark, d):
+    """Every signature, and two more in which some bits are turned, so that there are groups at every threshold."""
+    s = adapters.signatures(spark, d)
+    low = s.select((F.col("id") + 10000000).alias("id"), "unit", "hi", F.col("lo").bitwiseXOR((F.lit(1) + F.col("id") % 7).cast("long")).alias("lo"))
+    high = s.select((F.col("id") + 20000000).alias("id"), "unit", F.col("hi").bitwiseXOR((F.col("id") % 4096).cast("long")).alias("hi"), "lo")
+    return s.select("id", "unit", "hi", "lo").unionByName(low).unionByName(high)
+
+
+@query(f"""WITH RECURSIVE {TWICE}, near AS (SELECT a.id AS a, b.id AS b, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS distance FROM twice a JOIN twice b ON a.unit = b.unit AND a.id < b.id),
+e AS (SELECT a, b, t FROM near JOIN (SELECT unnest(range(4, 21, 2)) AS t) ON distance <= t), o AS (SELECT a, b, t FROM e UNION ALL SELECT b, a, t FROM e),
+w AS (SELECT id, t, id AS r FROM twice, (SELECT unnest(range(4, 21, 2)) AS t) UNION SELECT o.b, w.t, w.r FROM w JOIN o ON o.a = w.id AND o.t = w.t)
+SELECT CAST(t AS INTEGER) AS threshold, unit, id, min(r) AS group_id FROM w JOIN twice USING (id) GROUP BY ALL""")
+def groups_at_stops(spark, d):
+    """Groups at all nine thresholds offered, from one spanning forest: no pair is computed again."""
+    s = _thrice(spark, d)
+    forest = similarity.spanning_forest(similarity.close_pairs(s, similarity.MOST))
+    out = [similarity.groups_at(forest, s, t).withColumn("threshold", F.lit(t)) for t in range(similarity.LEAST, similarity.MOST + 1, 2)]
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found.select("threshold", "unit", "id", "group_id")
+
+
+@query(f"""WITH {TWICE} SELECT a.unit, a.id AS a, b.id AS b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS distance FROM twice a JOIN twice b ON a.unit = b.unit AND a.id < b.id WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 12""")
+def hamming_pairs_pivots(spark, d):
+    """Pairs within 12 bits, found in small cells around pivots."""
+    return similarity.close_pairs(_thrice(spark, d), 12, block=32)
+
+
+@query(f"WITH RECURSIVE {STRICT} SELECT * FROM strict")
+def strict_clusters_parted(spark, d):
+    """Strict groups folded over neighbour lists of connected parts, as units of more than a few thousand rows are."""
+    return similarity.cluster(adapters.signatures(spark, d), 20, unit_rows=8)
+
+
 # ---- places
 
 KM = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians({1} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({1})) * pow(sin(radians({3} - {2}) / 2), 2))))"
