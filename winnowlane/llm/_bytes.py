@@ -1,8 +1,8 @@
 """Vectorised text handling over Arrow string buffers.
 
 A word is a maximal run of ``[^\\x20\\x09-\\x0D]`` and never crosses a document. Words of up to 16
-bytes are two blocks that a permutation of 128 bits mixes, so different words never agree in both
-families; longer ones take 128 bits of BLAKE2b. Windows of words or bytes are sums of their items
+bytes that don't end in NUL are told by their bytes, filled with zeros, alone; a permutation of 128 bits mixes these, so
+different ones never agree in both families. Longer ones and those that end in NUL take 128 bits of BLAKE2b. Windows of words or bytes are sums of their items
 times powers of an odd multiplier modulo 2**64, mixed at the end, so that every window hash of a block
 of documents costs a constant number of array passes; they are for windows of up to 64 items.
 """
@@ -116,12 +116,12 @@ class Family:
 FIRST, SECOND = Family(0x5EED1, 0), Family(0x5EED2, 1)
 
 #: Keys of the rounds of the permutation, and of the digest of longer words.
-ROUNDS, LONG = stream(0xF0E1D2C3, 6), b"words of more than 16 bytes"
+ROUNDS, LONG = stream(0xF0E1D2C3, 6), b"words of more than 16 bytes, or that end in NUL"
 TAILS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], dtype=np.uint64)
 
 
 def word_pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each byte range. Ranges of up to 16 bytes that differ never have equal pairs, but for ones that end in NUL."""
+    """128 bits for each byte range. Ranges of up to 16 bytes that differ and don't end in NUL never have equal pairs."""
     n = len(starts)
     if not n:
         return np.zeros(0, U), np.zeros(0, U)
@@ -131,10 +131,10 @@ def word_pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     left = block[starts] & TAILS[np.minimum(size, 8)]
     more = np.clip(size - 8, 0, 8)
     right = np.where(more > 0, block[np.minimum(starts + 8, len(data))] & TAILS[more], U(0))
-    left ^= np.minimum(size, 17).astype(np.uint64) * U(0xD6E8FEB86659FD93)
     for key in ROUNDS:
         left, right = right, left ^ mix(right + key)
-    long_ = np.flatnonzero(size > 16)
+    # filled with zeros, words that end in NUL would look like shorter ones
+    long_ = np.flatnonzero((size > 16) | ((size > 0) & (padded[np.maximum(ends, 1) - 1] == 0)))
     if len(long_):
         raw = memoryview(np.ascontiguousarray(data))
         digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=16, key=LONG).digest() for a, b in zip(starts[long_].tolist(), ends[long_].tolist())])

@@ -1,10 +1,10 @@
 """N-gram Jaccard join with MinHash banding.
 
 Five-word shingles; bands and rows for the wanted recall at the threshold; bands meet by their
-hashes, and documents that met are compared on their full sets of shingles. Those that meet directly or through
-others are gathered, as that sends each set once; where chance has chained more than WHOLE of them, only those
-that share a band are compared, in the first band they share. Documents with equal sets are
-compared once and counted as often as they occur.
+hashes, and pairs that share a band are verified on their full sets of shingles. Documents that meet directly or through
+others are gathered, as that sends each set once; where chance has chained more than WHOLE of them, sets are sent by
+band, and a pair is verified in the first band it shares. Either way the same pairs are linked: those that share a band and are
+alike. Documents with equal sets are compared once and counted as often as they occur.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ WORDS, JACCARD = 5, 0.8
 #: Rows of a band, and the share of pairs at the threshold itself that may be missed.
 ROWS, MISS = 5, 1e-5
 BLOCK = 512
-#: Documents gathered through others that are compared with each other; from there on bands send fewer copies of a set than blocks.
+#: Documents gathered through others that are sent together; from there on bands send fewer copies of a set than blocks.
 WHOLE = 7_000
-#: Shingles compared at once, as columns of a 0-1 matrix.
-SLAB = 8192
+#: Shingles compared at once, as columns of a 0-1 matrix, and pairs whose bands are compared at once.
+SLAB, PAIRS = 8192, 32_768
 U = np.uint64
 
 
@@ -112,8 +112,7 @@ def _classed(docs: DataFrame, jaccard: float = JACCARD, width: int = WORDS, miss
         rows = near.join(chained, "component", "left_semi").join(classes.select("node", "codes"), "node").select("node", F.posexplode("codes").alias("band", "code"))
         keys = rows.select(F.col("code").bitwiseAND(F.lit(~_blocks.NUMBERS)).bitwiseOR(F.col("band")).alias("bucket"), "node")
         grouped_as = grouped_as.unionByName(_blocks.units(keys, block).withColumnRenamed("u1", "unit"))
-    codes = F.when(F.col("number") >= 0, F.col("codes")).alias("codes")
-    members = materialize(grouped_as.join(classes.select("node", F.col("rep").alias("doc_id"), "n", "k1", "k2", "codes"), "node").select("node", "unit", "u2", "number", "doc_id", "n", "k1", "k2", codes), "members")
+    members = materialize(grouped_as.join(classes.select("node", F.col("rep").alias("doc_id"), "n", "k1", "k2", "codes"), "node").select("node", "unit", "u2", "number", "doc_id", "n", "k1", "k2", "codes"), "members")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, "text"):
@@ -140,13 +139,16 @@ def _classed(docs: DataFrame, jaccard: float = JACCARD, width: int = WORDS, miss
             a, b = here[a], here[b]
             ok = ((i[a] == j[a]) | (own[a] != own[b])) & (number[a] == number[b]) & (u2[a] == u2[b])
             a, b = a[ok], b[ok]
-            if len(a) and number[x] >= 0:
-                # of pairs that share several bands, those whose first one this is
-                at = {r: k for k, r in enumerate(np.unique(np.r_[a, b]).tolist())}
-                code = np.array([codes[r].as_py() for r in at], np.int64)
-                p, q = (np.array([at[r] for r in z.tolist()]) for z in (a, b))
-                first = _blocks.first_shared((code[p] & ~_blocks.NUMBERS) == (code[q] & ~_blocks.NUMBERS), number[a])
-                a, b = a[first], b[first]
+            if len(a):
+                some, at = np.unique(np.r_[a, b], return_inverse=True)
+                code = codes.take(pa.array(some)).flatten().to_numpy().reshape(len(some), bands) & ~_blocks.NUMBERS
+                keep = np.zeros(len(a), bool)
+                for low in range(0, len(a), PAIRS):
+                    here = slice(low, low + PAIRS)
+                    same = code[at[: len(a)][here]] == code[at[len(a) :][here]]
+                    # pairs that met; in a unit of one band, of those that share several the ones whose first band it is
+                    keep[here] = _blocks.first_shared(same, number[a[here]]) if number[x] >= 0 else same.any(axis=1)
+                a, b = a[keep], b[keep]
             found.append((a, b))
         a, b = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, np.int64) for s in (0, 1))
         return _blocks.rows(ids, n, a, b)
