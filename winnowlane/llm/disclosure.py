@@ -137,24 +137,61 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
-def disclosing(held: DataFrame, docs: DataFrame, total: int, support: int = SUPPORT, threshold: float = DISCLOSURE) -> DataFrame:
-    """entity and term for each term that reveals an entity.
+_ENTITY, _TERM = ["n_entity", "e1", "e2"], ["n_term", "t1", "t2"]
 
-    ``held``: text and entities of documents that have any. With N documents, n(e) of them with the
+
+def _set_of(rows: str, names: tuple[str, str]) -> list[Column]:
+    """128 bits that tell the set of distinct rows of a group."""
+    return [F.bit_xor(F.xxhash64(rows, F.lit(k))).alias(n) for k, n in zip((1, 2), names)]
+
+
+class Disclosing:
+    """Which terms reveal which entities, by classes: entities, and terms, that stand in the same documents are one.
+
+    ``held``: row, text and entities of documents that have any. With N documents, n(e) of them with the
     entity, n(t) with the term and n(e,t) with both, p(e) is n(e) / N and p(e|t) is smoothed:
     (n(e,t) + a p(e)) / (n(t) + a) for a = PRIOR_DOCS. A term reveals log(p(e|t) / p(e)) of the
     -log p(e) of an entity. Entities in fewer than ``support`` documents are not protected. Each row counts
-    once, also where rows repeat. Column ``given`` is p(e|t).
+    once, also where rows repeat.
+
+    As n(e,t) is at most n(e), a term in too many documents reveals nothing: such terms go before they meet an entity.
+    What is left meets by classes, so a document of very many entities and very many terms that
+    stand nowhere else is one pair.
     """
-    seen = held.select(F.explode(F.array_distinct("entities")).alias("entity"), "text")
-    protected = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
-    both = seen.select("entity", F.explode(_terms(F.col("text"))).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    every = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    told = both.join(protected, "entity").join(every, "term")
-    rate = F.col("n_entity") / F.lit(float(total))
-    given = (F.col("n_both") + PRIOR_DOCS * rate) / (F.col("n_term") + PRIOR_DOCS)
-    content = -F.log(rate)
-    return told.where((content > 0) & (F.log(given / rate) >= threshold * content)).select("entity", "term", given.alias("given"))
+
+    def __init__(self, held: DataFrame, docs: DataFrame, total: int, support: int = SUPPORT, threshold: float = DISCLOSURE):
+        every = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+        seen = held.select("row", F.explode(F.array_distinct("entities")).alias("entity")).groupBy("row", "entity").agg(F.count("*").alias("m"))
+        named = seen.groupBy("entity").agg(F.sum("m").alias("n_entity"), *_set_of("row", ("e1", "e2"))).where(F.col("n_entity") >= support)
+        rate = F.col("n_entity") / F.lit(float(total))
+        self.entities = materialize(seen.join(named, "entity").groupBy("row", *_ENTITY).agg(F.max("m").alias("m")), "entity-classes")
+        # the most documents that a term may stand in and yet reveal an entity of so many; rounding is left room
+        most = (F.col("n_entity") + PRIOR_DOCS * rate) / F.pow(rate, F.lit(1 - threshold)) - PRIOR_DOCS
+        limits = self.entities.groupBy("row").agg(F.max(most * (1 + 1e-9)).alias("most"))
+        held_terms = held.select("row", F.explode(_terms(F.col("text"))).alias("term")).groupBy("row", "term").agg(F.count("*").alias("m"))
+        rare = held_terms.join(limits, "row").join(every, "term").where(F.col("n_term") <= F.col("most")).select("row", "term", "m", "n_term")
+        rare = materialize(rare, "rare-terms")
+        known = rare.groupBy("term").agg(F.first("n_term").alias("n_term"), *_set_of("row", ("t1", "t2")))
+        self.rare = materialize(rare.drop("n_term").join(known, "term"), "term-classes")
+        self.terms = self.rare.select("row", *_TERM).distinct()
+        both = self.met().groupBy(*_ENTITY, *_TERM).agg(F.sum("m").alias("n_both"))
+        given = (F.col("n_both") + PRIOR_DOCS * rate) / (F.col("n_term") + PRIOR_DOCS)
+        content = -F.log(rate)
+        told = both.where((content > 0) & (F.log(given / rate) >= threshold * content))
+        self.told = materialize(told.select(*_ENTITY, *_TERM, given.alias("given")), "disclosing")
+
+    def met(self) -> DataFrame:
+        return self.entities.join(self.terms, "row")
+
+    def marks(self) -> DataFrame:
+        """row and term: terms that reveal an entity of their own document."""
+        # the classes of a document: bounded by its own words and entities, however many documents an entity has
+        own = _salted(self.met(), "row", self.told.drop("given"), [*_ENTITY, *_TERM]).select("row", *_TERM).distinct()
+        return self.rare.join(own, ["row", *_TERM]).select("row", "term")
+
+    def pointing(self, least: float) -> DataFrame:
+        """Terms whose documents have one of their entities with at least that probability."""
+        return self.rare.join(self.told.where(F.col("given") >= least).select(*_TERM).distinct(), _TERM).select("term").distinct()
 
 
 def _salted(rows: DataFrame, by: str, few: DataFrame, on: list[str]) -> DataFrame:
@@ -163,13 +200,32 @@ def _salted(rows: DataFrame, by: str, few: DataFrame, on: list[str]) -> DataFram
     return rows.withColumn("_salt", F.pmod(F.col(by), F.lit(SALT)).cast("int")).join(few, [*on, "_salt"]).drop("_salt")
 
 
-def _pointing(docs: DataFrame, pairs: DataFrame, elsewhere: float, broadcast: int = BROADCAST_TERMS) -> DataFrame:
-    """row and term of each document that holds a term whose documents have its entity with probability ``elsewhere`` or more."""
-    telling = pairs.where(F.col("given") >= elsewhere).select("term").distinct()
+def _pointing(docs: DataFrame, telling: DataFrame, broadcast: int = BROADCAST_TERMS) -> DataFrame:
+    """row and term of each document that holds one of the terms."""
+    telling = materialize(telling, "telling")
     held = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.explode(_terms(F.col("text"))).alias("term"))
     return held.join(F.broadcast(telling), "term") if telling.count() <= broadcast else _salted(held, "row", telling, ["term"])
 
 
+def _apart(marked: Column, base: Column) -> Column:
+    """Sorted spans of terms that overlap no base span: one fold from the left, against what began before, and one from the right."""
+    every = F.array_sort(F.concat(F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("is_term"), b["stop"].alias("stop"))), F.transform(marked, lambda t: F.struct(t["start"].alias("start"), F.lit(1).alias("is_term"), t["stop"].alias("stop")))))
+    kind = "struct<start:bigint,stop:bigint,is_term:int,ok:boolean>"
+
+    def out(x: Column, ok: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["is_term"].alias("is_term"), ok.alias("ok")).cast(kind).alias("out")
+
+    def right(reach: Column, x: Column) -> Column:
+        return F.struct(F.when(x["is_term"] == 0, F.greatest(reach, x["stop"])).otherwise(reach).cast("bigint").alias("state"), out(x, x["start"] >= reach))
+
+    def left(begin: Column, x: Column) -> Column:
+        return F.struct(F.when(x["is_term"] == 0, x["start"]).otherwise(begin).cast("bigint").alias("state"), out(x, x["ok"] & (x["stop"] <= begin)))
+
+    once = F.reverse(_folded(every, F.lit(0).cast("bigint"), kind, right))
+    twice = F.reverse(_folded(once, F.lit(2**62).cast("bigint"), kind, left))
+    return _kinded(F.filter(twice, lambda x: (x["is_term"] == 1) & x["ok"]), "term")
+
+
 def find(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE, elsewhere: float | None = None, broadcast: int = BROADCAST_TERMS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """All columns of docs, and ``_base`` and ``_all``: arrays of (kind, start, stop), in order of kind and start.
 
@@ -187,12 +243,10 @@ def find(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE,
     any_ = " + ".join(f"size(_{k})" for k in PATTERNS) + " > 0"
     entities = F.concat(*map(_entities, PATTERNS))
     held = materialize(found.where(any_).select(row.alias("row"), "text", entities.alias("entities")), "entities")
-    pairs = materialize(disclosing(held, docs, docs.count(), support, threshold), "disclosing")
-    # the terms of each document with an entity: bounded by its own words, however many an entity has elsewhere
-    mine = held.select("row", "text", F.explode(F.array_distinct("entities")).alias("entity")).select("row", "entity", F.explode(_terms(F.col("text"))).alias("term"))
-    mine = _salted(mine, "row", pairs.select("entity", "term"), ["entity", "term"]).select("row", "term")
+    found_terms = Disclosing(held, docs, docs.count(), support, threshold)
+    mine = found_terms.marks()
     if elsewhere is not None:
-        mine = mine.unionByName(_pointing(docs, pairs, elsewhere, broadcast).select("row", "term"))
+        mine = mine.unionByName(_pointing(docs, found_terms.pointing(elsewhere), broadcast).select("row", "term"))
     mine = mine.groupBy("row").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
     mine = materialize(mine, "terms").withColumnRenamed("row", "_row")
     base = F.concat(*[_kinded(F.col(f"_{k}"), k) for k in PATTERNS])
@@ -206,7 +260,7 @@ def find(docs: DataFrame, support: int = SUPPORT, threshold: float = DISCLOSURE,
     # whole words only; the pattern of a text lists its own terms
     words = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.col("_terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     marked = _kinded(_positions(F.col("text"), words), "term")
-    free = F.filter(marked, lambda t: ~F.exists(F.col("_base"), lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    free = _apart(marked, F.col("_base"))
     out = []
     for frame, with_terms in halves:
         found = detect(frame).withColumn("_base", base)
