@@ -11,6 +11,7 @@ from winnowlane.queries import FOLDERS, PAIRS, PATHS, QUOTAS, RANKED, RESOLVED,
 from winnowlane.scratch import fresh_path
 from winnowlane.session import table
 from winnowlane.sources import adapters, files, fixtures, metadata, sinks
+from winnowlane.sources.delta import DeltaTable
 from winnowlane.sources.store import Store
 
 REC = f"rec AS (SELECT {adapters.RECORD} FROM part)"
@@ -953,6 +954,38 @@ def stream_snapshots(spark, d):
     return store.all("docs")
 
 
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 100 = 7 THEN 'again' ELSE o_orderstatus END AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 100 <> 13""")
+def delta_upserts(spark, d):
+    """Orders put as deltas, some anew, some deleted; batches come twice, and once after the table was compacted."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    t = DeltaTable(spark, fresh_path(spark, "deltas"))
+    for turn in range(4):
+        t.put(o.where(F.col("id") % 4 == turn).withColumn("status", F.lit("first")), "load", turn)
+    for _ in range(2):
+        t.put(o, "load", 4)
+    t.compact()
+    t.put(o.where(F.col("id") % 4 == 3).withColumn("status", F.lit("stale")), "load", 3)
+    for _ in range(2):
+        t.put(o.where(F.col("id") % 100 == 7).withColumn("status", F.lit("again")), "edits", 0)
+        t.delete(o.where(F.col("id") % 100 == 13), "edits", 1)
+    return t.read()
+
+
+@query("SELECT doc_id AS id, n_chars FROM documents")
+def stream_upserts(spark, d):
+    """Micro-batches of a stream as deltas, each sent once more as if its acknowledgement had been lost."""
+    from winnowlane.streaming import live
+
+    src = fresh_path(spark, "docs")
+    table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars").repartition(3).write.parquet(src)
+    t = DeltaTable(spark, fresh_path(spark, "deltas"))
+    stream = spark.readStream.schema("id long, n_chars long").option("maxFilesPerTrigger", 1).parquet(src)
+    live.upserts(stream, t, "stream", f"{src}-log", None).awaitTermination()
+    # a second run without the first one's checkpoint delivers every batch again
+    live.upserts(stream.withColumn("n_chars", F.lit(-1).cast("long")), t, "stream", f"{src}-log2", None).awaitTermination()
+    return t.read()
+
+
 @query("SELECT o_orderstatus AS a, count(*) AS n FROM orders GROUP BY 1")
 def stream_actions(spark, d):
     """An action log read as a stream, counted by name."""

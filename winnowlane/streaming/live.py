@@ -53,6 +53,12 @@ def snapshots(frame: DataFrame, store, name: str, checkpoint: str, seconds: floa
     return frame.writeStream.foreachBatch(lambda batch, _: store.put(name, batch)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def upserts(frame: DataFrame, table, writer: str, checkpoint: str, seconds: float | None = 0.4):
+    """Put each micro-batch of a stream into a DeltaTable under its own number, so one that is delivered twice counts once. A new checkpoint asks for a new writer."""
+    trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{int(seconds * 1000)} milliseconds"}
+    return frame.writeStream.foreachBatch(lambda batch, number: table.put(batch, writer, number) and None).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def action_log(stream_folder: str, spark) -> DataFrame:
     """A stream of named actions (t in milliseconds, a) appended as Parquet files."""
     return spark.readStream.schema("t long, a string").parquet(stream_folder)
