@@ -114,16 +114,17 @@ def text_scalars(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").alias("id"), s.alias("s")).select("id", text.file_safe(F.col("s")).alias("safe"), text.tag_name(F.col("s")).alias("tag"), text.clean_text(F.col("s")).alias("clean"), text.output_name(F.col("s"), F.lit("01"), F.col("s")).alias("output"))
 
 
-SIZES = [(0, "0 B"), (None, "0 B"), (1, "1 B"), (1023, "1023 B"), (1024, "1.0 KB"), (1536, "1.5 KB"), (10239, "10.0 KB"), (10240, "10 KB"), (1048576, "1.0 MB"), (52428800, "50 MB"), (5368709120, "5.0 GB"), (1099511627776, "1.0 TB"), (2251799813685248, "2048 TB")]
-TIMES = [(0, "0s"), (499, "0s"), (500, "1s"), (59499, "59s"), (59500, "1m 0s"), (125000, "2m 5s"), (7325000, "122m 5s")]
-SHARES = [(1, 3, "33%"), (1, 2, "50%"), (1, 8, "13%"), (0, 0, "0%"), (5, 5, "100%")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join([f"('{o}')" for _, o in SIZES] + [f"('{o}')" for _, o in TIMES] + [f"('{o}')" for *_, o in SHARES]) + ") t(shown)")
+@query("""WITH x AS (SELECT l_orderkey AS id, l_linenumber AS line, CAST(floor(l_extendedprice * pow(37, l_linenumber - 1)) AS BIGINT) * (l_partkey % 50 > 0)::INT AS n, CAST(floor(l_extendedprice * 13) AS BIGINT) AS ms, CAST(l_quantity AS BIGINT) AS a, l_suppkey % 60 AS b FROM lineitem),
+y AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 ELSE 4 END AS k, CAST(floor(ms / 1000.0 + 0.5) AS BIGINT) AS sec FROM x), z AS (SELECT *, n / pow(1024.0, k) AS v FROM y)
+SELECT id, line, CASE WHEN k = 0 THEN n || ' B' ELSE CASE WHEN v < 10 THEN printf('%.1f', floor(v * 10 + 0.5) / 10) ELSE printf('%.0f', floor(v + 0.5)) END || ' ' || (['KB', 'MB', 'GB', 'TB'])[k] END AS size, CASE WHEN sec < 60 THEN sec || 's' ELSE sec // 60 || 'm ' || sec % 60 || 's' END AS took,
+  CASE WHEN b > 0 THEN CAST(floor(100.0 * a / b + 0.5) AS BIGINT) ELSE 0 END || '%' AS share FROM z""")
 def number_texts(spark, d):
-    a = _rows(spark, [(n,) for n, _ in SIZES], "n long").select(text.bytes_text(F.col("n")).alias("shown"))
-    b = _rows(spark, [(n,) for n, _ in TIMES], "n long").select(text.duration_text(F.col("n")).alias("shown"))
-    return a.union(b).union(_rows(spark, [(x, y) for x, y, _ in SHARES], "a long, b long").select(text.percent_text(F.col("a"), F.col("b")).alias("shown")))
+    """Sizes from bytes to terabytes, durations and shares."""
+    n = F.floor(F.col("l_extendedprice") * F.pow(F.lit(37), F.col("l_linenumber") - 1)) * F.when(F.col("l_partkey") % 50 > 0, 1).otherwise(0)
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), text.bytes_text(n.cast("long")).alias("size"),
+        text.duration_text(F.floor(F.col("l_extendedprice") * 13)).alias("took"), text.percent_text(F.col("l_quantity").cast("long"), F.col("l_suppkey") % 60).alias("share"),
+    )
 
 
 RAW_TIME = "CASE o_orderkey % 9 WHEN 0 THEN '1904:01:01 00:00:00' WHEN 1 THEN '2201-01-01T00:00:00' WHEN 2 THEN '0000:00:00 00:00:00' WHEN 3 THEN '2024:02:31 10:00:00' WHEN 4 THEN '2024:02:03 10:00:61' WHEN 5 THEN '2024:06:30 23:59:60' WHEN 6 THEN 'x2024:02:03 10:00:00' ELSE {} || ' trailing' END"
@@ -137,22 +138,25 @@ def iso_times(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), capture.iso_time(raw).alias("iso")).select("id", "iso", F.date_format(capture.try_when(i), "yyyy-MM-dd HH:mm:ss").alias("at"), capture.year_of(i).alias("year"), capture.month_of(i).alias("month"), capture.day_of(i).alias("day"))
 
 
-TURNED = ", ".join(f"({r1}, {f1}, {r2}, {f2}, {(r2 - r1 if f2 else r2 + r1) % 4}, {f1 != f2})" for r1 in range(4) for f1 in (False, True) for r2 in range(4) for f2 in (False, True))
-
-
-@query(f"SELECT * FROM (VALUES {TURNED}) t(r1, f1, r2, f2, r, f)")
+@query("SELECT l_orderkey AS id, l_linenumber AS line, CAST((CASE WHEN l_linenumber % 2 = 1 THEN r2 - r1 + 4 ELSE r2 + r1 END) % 4 AS INTEGER) AS r, (l_suppkey % 2 = 1) <> (l_linenumber % 2 = 1) AS f FROM (SELECT *, l_orderkey % 4 AS r1, l_partkey % 4 AS r2 FROM lineitem)")
 def composed_turns(spark, d):
-    x = spark.range(64).select((F.col("id") % 4).cast("int").alias("r1"), (F.floor(F.col("id") / 4) % 2 == 1).alias("f1"), (F.floor(F.col("id") / 8) % 4).cast("int").alias("r2"), (F.floor(F.col("id") / 32) == 1).alias("f2"))
-    return x.select("*", capture.compose_turns(F.col("r1"), F.col("f1"), F.col("r2"), F.col("f2")).alias("x")).select("r1", "f1", "r2", "f2", "x.r", "x.f")
+    """A turn and a mirroring after another: all 64 of them occur."""
+    x = capture.compose_turns((F.col("l_orderkey") % 4).cast("int"), F.col("l_suppkey") % 2 == 1, (F.col("l_partkey") % 4).cast("int"), F.col("l_linenumber") % 2 == 1)
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), x.alias("x")).select("id", "line", F.col("x.r").cast("int").alias("r"), "x.f")
 
 
-@query("""SELECT * FROM (VALUES ('Keep 1', 'no limit', '30 min', 'not set', 'half', 4), ('Keep up to 3', 'keep at most 3', '2 h', 'unlimited', 'custom', 2), ('Keep up to half', 'keep at most 4', '24 h', '10% of 37 = 4', 'custom', 3), ('Unlimited', 'no limit', '1.5 h', '20', 'half', 4), ('Keep up to 1', 'keep at most 1', '1 h', '0', 'one', 1), ('Keep 1', 'no limit', '1 h', '37', 'one', 1)) t(quota, cap, gap, rescue, mode, custom)""")
+@query(f"""WITH x AS (SELECT p_partkey AS id, p_partkey % 4 AS m, p_partkey % 9 + 1 AS custom, CASE WHEN p_size % 3 > 0 THEN p_size END AS cap, (p_size % 9 + 1) / 4.0 AS gap, p_partkey % 5 AS rm, p_size * 2.5 - 10 AS rv FROM part),
+y AS (SELECT *, CASE rm WHEN 2 THEN CASE WHEN rv <= 0 THEN 0 ELSE least(37, greatest(1, floor(37 * least(100.0, rv) / 100 + 0.5))) END ELSE least(37, greatest(0, floor(rv))) END AS n FROM x)
+SELECT id, CASE m WHEN 0 THEN 'Keep 1' WHEN 1 THEN 'Keep up to ' || custom WHEN 2 THEN 'Unlimited' ELSE 'Keep up to half' END AS quota, CASE WHEN cap IS NULL THEN 'no limit' ELSE 'keep at most ' || cap END AS cap,
+  CASE WHEN gap < 1 THEN {NUM.format('CAST(gap * 60 AS DOUBLE)')} || ' min' ELSE {NUM.format('CAST(gap AS DOUBLE)')} || ' h' END AS gap, CASE rm WHEN 0 THEN 'not set' WHEN 1 THEN 'unlimited' WHEN 2 THEN {NUM.format('CAST(rv AS DOUBLE)')} || '% of 37 = ' || CAST(n AS BIGINT) ELSE CAST(CAST(n AS BIGINT) AS VARCHAR) END AS rescue FROM y""")
 def shown_labels(spark, d):
-    data = [("one", 9, None, 0.5, None, None, "unlimited", 4), ("custom", 3, 3, 2.0, "unlimited", None, "custom", 3), ("half", 9, 4, 24.0, "pct", 10.0, "half", 9), ("unlimited", 9, None, 1.5, "fixed", 20.7, "unlimited", 4), ("custom", 1, 1, 1.0, "fixed", -3.0, "custom", 1), ("one", 9, None, 1.0, "fixed", 90.0, "one", 5)]
-    x = _rows(spark, data, "mode string, custom long, cap long, gap double, rm string, rv double, tm string, tc long")
-    c = F.col
-    t = staged.tighter(c("tm"), c("tc"), F.lit(9))
-    return x.select(staged.quota_text(c("mode"), c("custom")).alias("quota"), staged.cap_text(c("cap")).alias("cap"), staged.gap_text(c("gap")).alias("gap"), staged.rescue_text(c("rm"), c("rv"), F.lit(37)).alias("rescue"), t["mode"].alias("mode"), t["custom"].alias("custom"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    mode = F.when(k % 4 == 0, "one").when(k % 4 == 1, "custom").when(k % 4 == 2, "unlimited").otherwise("half")
+    rescue = F.when(k % 5 == 1, "unlimited").when(k % 5 == 2, "pct").when(k % 5 > 2, "fixed")
+    return table(spark, d, "part").select(
+        k.alias("id"), staged.quota_text(mode, k % 9 + 1).alias("quota"), staged.cap_text(F.when(size % 3 > 0, size)).alias("cap"), staged.gap_text((size % 9 + 1) / 4.0).alias("gap"),
+        staged.rescue_text(rescue, size * 2.5 - 10, F.lit(37)).alias("rescue"),
+    )
 
 
 # ---- files and stores
@@ -213,10 +217,12 @@ def originals_by_path(spark, d):
     return files.with_content(r.select("id", "path"), stored.union(stored)).select("id", F.sha2("content", 256).alias("digest"))
 
 
-@query("SELECT session_id FROM (SELECT o_orderkey AS session_id, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1) WHERE o_orderstatus <> 'P'")
+@query(" UNION ALL ".join(f"SELECT '{x}' AS finished, session_id FROM (SELECT o_orderkey AS session_id, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1) WHERE o_orderstatus <> '{x}'" for x in "FOP"))
 def latest_session(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "P", "finished").otherwise("cull").alias("stage"))
-    return files.latest_resumable(o).select("session_id")
+    """The newest session by three readings of which are finished: at least two of them may go on."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("created_at"), "o_orderstatus")
+    found = {x: files.latest_resumable(o.withColumn("stage", F.when(F.col("o_orderstatus") == x, "finished").otherwise("cull"))).select("session_id") for x in "FOP"}
+    return results.union_all(found).select(F.col("set").alias("finished"), "session_id")
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'cached' ELSE 'computed' END AS how FROM part")
@@ -373,14 +379,13 @@ def set_folders(spark, d):
     return results.set_folders(u).select("unit", "folder", results.set_title(id_, kind, label, True).alias("title"), results.output_folder(id_, kind, label, True).alias("organized"))
 
 
-@query("SELECT * FROM (VALUES ('a', '_finalists_x'), ('b', '_finalists_X_2'), ('c', '_finalists_x_3'), ('final', '_finalists_overall'), ('d', '_finalists_y.z'), ('e', '_tagged_Best_of')) t(unit, folder)")
+@query("""WITH x AS (SELECT s_suppkey AS unit, CASE WHEN s_suppkey % 2 = 0 THEN 'lot' ELSE 'LOT' END || s_nationkey AS leaf FROM supplier), y AS (SELECT *, row_number() OVER (PARTITION BY lower(leaf) ORDER BY unit) AS k FROM x)
+SELECT unit, '_finalists_' || leaf || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS folder FROM y""")
 def numbered_folders(spark, d):
-    """What still clashes when case is left aside is numbered, the suffix at the end."""
-    u = _rows(spark, [("a", "fixed", "p/x", 1), ("b", "fixed", "q/X", 2), ("c", "fixed", "r/x.", 3), ("final", "x", "All", 4), ("d", "fixed", "y.z", 5)], "unit string, kind string, label string, ord int")
-    u = u.withColumn("unit", F.when(F.col("unit") == "final", F.col("unit")).otherwise(F.concat(F.lit("fixed:"), F.col("unit"))))
-    base = u.withColumn("name", results.output_folder(F.col("unit"), F.col("kind"), F.col("label"))).withColumn("all", F.lit(0))
-    named = results.unique_names(base, "all", "name", "ord", plain=True).select(F.regexp_replace("unit", "^fixed:", "").alias("unit"), F.col("out_name").alias("folder"))
-    return named.union(_rows(spark, [("e", "Best of")], "unit string, name string").select("unit", results.tag_folder(F.col("name"))))
+    """Folders of sets that clash when case is left aside are numbered in order."""
+    u = table(spark, d, "supplier").select(F.col("s_suppkey").alias("unit"), F.concat(F.lit("p/"), F.when(F.col("s_suppkey") % 2 == 0, "lot").otherwise("LOT"), F.col("s_nationkey").cast("string")).alias("label"))
+    base = u.withColumn("name", results.output_folder(F.concat(F.lit("fixed:"), F.col("unit").cast("string")), F.lit("fixed"), F.col("label"))).withColumn("all", F.lit(0))
+    return results.unique_names(base, "all", "name", "unit", plain=True).select("unit", F.col("out_name").alias("folder"))
 
 
 # ---- selections
@@ -582,15 +587,21 @@ def rescued_rows(spark, d):
     return pool.select("id", F.lit("pool").alias("place")).union(cut.select("id", F.lit("cut")))
 
 
-@query("""WITH RECURSIVE l(n, mode, custom) AS (SELECT 0, 'unlimited', CAST(7 AS BIGINT) UNION ALL SELECT n + 1, CASE WHEN mode = 'unlimited' THEN 'half' WHEN mode = 'half' OR mode = 'custom' AND custom > 1 THEN 'custom' ELSE 'one' END, CASE WHEN mode = 'unlimited' THEN custom WHEN mode = 'half' THEN 3 WHEN mode = 'custom' AND custom > 1 THEN custom - 1 ELSE 1 END FROM l WHERE n < 6) SELECT CAST(n AS INTEGER) AS n, mode, custom FROM l""")
+STEP = "SELECT id, page, k + 1 AS k, CASE WHEN mode = 'unlimited' THEN 'half' WHEN mode = 'half' OR mode = 'custom' AND custom > 1 THEN 'custom' ELSE 'one' END AS mode, CASE WHEN mode = 'unlimited' THEN custom WHEN mode = 'half' THEN greatest(1, page // 2 - 1) WHEN mode = 'custom' AND custom > 1 THEN custom - 1 ELSE 1 END AS custom FROM {}"
+
+
+@query(f"""WITH l0 AS (SELECT p_partkey AS id, CAST(p_size % 14 + 1 AS BIGINT) AS page, 0 AS k, (['unlimited', 'half', 'custom', 'one'])[p_partkey % 4 + 1] AS mode, CAST(p_partkey % 6 + 1 AS BIGINT) AS custom FROM part), l1 AS ({STEP.format('l0')}), l2 AS ({STEP.format('l1')}), l3 AS ({STEP.format('l2')})
+SELECT id, k, mode, custom FROM l0 UNION ALL SELECT id, k, mode, custom FROM l1 UNION ALL SELECT id, k, mode, custom FROM l2 UNION ALL SELECT id, k, mode, custom FROM l3""")
 def quota_ladder(spark, d):
-    """From unlimited down: half, one less than half of nine, one less each time, one."""
-    at, out = _rows(spark, [(0, "unlimited", 7)], "n int, mode string, custom long"), None
-    for k in range(7):
+    """Three steps down from each quota: half, one less than half of the page, one less each time, one."""
+    k = F.col("p_partkey")
+    modes = F.array(*map(F.lit, ("unlimited", "half", "custom", "one")))
+    at, out = table(spark, d, "part").select(k.alias("id"), (F.col("p_size") % 14 + 1).cast("long").alias("page"), F.lit(0).alias("k"), F.get(modes, (k % 4).cast("int")).alias("mode"), (k % 6 + 1).cast("long").alias("custom")), None
+    for n in range(4):
         out = at if out is None else out.union(at)
-        t = staged.tighter(F.col("mode"), F.col("custom"), F.lit(9))
-        at = at.select(F.lit(k + 1).alias("n"), t["mode"].alias("mode"), t["custom"].alias("custom"))
-    return out
+        t = staged.tighter(F.col("mode"), F.col("custom"), F.col("page"))
+        at = at.select("id", "page", F.lit(n + 1).alias("k"), t["mode"].alias("mode"), t["custom"].alias("custom"))
+    return out.drop("page")
 
 
 @query("WITH l AS (SELECT o_custkey AS unit, list(CASE WHEN o_orderkey % 3 = 0 THEN [CAST(-1 AS BIGINT)] ELSE [o_orderkey % 5] END ORDER BY o_orderkey) AS ops FROM orders GROUP BY 1), e AS (SELECT unit, unnest(list_reduce(list_prepend(CAST([] AS BIGINT[]), ops), lambda held, op: CASE WHEN op[1] = -1 THEN held[1:len(held) - 1] ELSE list_concat(held, op) END)) AS id FROM l) SELECT unit, id FROM e GROUP BY 1, 2 HAVING count(*) % 2 = 1")
@@ -688,12 +699,11 @@ def renamed_logs(spark, d):
     return ranking.rename(_ops(spark, d), 5, -5).select("unit", "seq", "winner")
 
 
-LEFT = [(16, 3, 1, 8, 0, 16), (0, 0, 0, 8, 8, 16), (4, 1, 1, 5, 2, 64), (1, 0, 0, 1, 0, 1), (2, 5, 0, 2, 1, 2)]
-
-
-@query("SELECT * FROM (VALUES (11 + 7 * 3), (0), (1 + 2 * 5), (0), (0)) t(n)")
+@query("""WITH x AS (SELECT o_orderkey AS id, o_orderkey % 17 AS entrants, o_custkey % 5 AS decided, o_orderkey % 3 AS reused, o_custkey % 9 AS target, o_orderkey % 4 AS placed, o_custkey % 70 AS field FROM orders)
+SELECT id, CAST(greatest(0, CASE WHEN entrants > 0 THEN entrants - 1 - decided - reused ELSE 0 END + greatest(0, target - placed - CASE WHEN entrants > 0 THEN 1 ELSE 0 END) * greatest(1, ceil(log2(greatest(2, field))) - 1)) AS BIGINT) AS n FROM x""")
 def comparisons_left(spark, d):
-    return _rows(spark, [(ranking.left_to_ask(*x),) for x in LEFT], "n int")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, d, "orders").select(k.alias("id"), ranking.left_to_ask_expr(k % 17, c % 5, k % 3, c % 9, k % 4, c % 70).alias("n"))
 
 
 @query("""SELECT id, n FROM (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN greatest(1, least(p_size % 7, e)) ELSE least(coalesce(t, e), e) END AS n, e, t FROM (SELECT *, p_partkey % 30 + 1 AS e, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 11 + 1 END AS t FROM part))""")
@@ -756,11 +766,13 @@ def chosen_winners(spark, d):
 # ---- quotas
 
 
-@query("SELECT * FROM (VALUES ('5', '5'), ('0', '0'), ('', ''), ('*', '*'), ('12.5%', '12.5%'), ('100%', '100%'), ('nonsense', ''), ('∞', '*'), ('007', '7')) t(raw, again)")
+@query("""SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN '0' WHEN 2 THEN '' WHEN 3 THEN '*' WHEN 4 THEN p_size || '.5%' WHEN 5 THEN p_size || '%' WHEN 6 THEN '' WHEN 7 THEN '*' ELSE CAST(p_size AS VARCHAR) END AS again FROM part""")
 def quota_texts(spark, d):
-    raws = ["5", "0", "", "*", "12.5%", "100%", "nonsense", "∞", "007"]
-    q = _rows(spark, [(r,) for r in raws], "raw string").withColumn("q", hierarchy.parse_quota(F.col("raw")))
-    return q.select("raw", hierarchy.quota_text(F.col("q.mode"), F.col("q.value")).alias("again"))
+    """Quotas as typed, read and written again."""
+    k, n = F.col("p_partkey") % 9, F.col("p_size").cast("string")
+    raw = F.when(k == 0, n).when(k == 1, "0").when(k == 2, "").when(k == 3, " * ").when(k == 4, F.concat(n, F.lit(".5%"))).when(k == 5, F.concat(n, F.lit(" %"))).when(k == 6, F.col("p_name")).when(k == 7, "∞").otherwise(F.concat(F.lit("00"), n))
+    q = table(spark, d, "part").select(F.col("p_partkey").alias("id"), hierarchy.parse_quota(raw).alias("q"))
+    return q.select("id", hierarchy.quota_text(F.col("q.mode"), F.col("q.value")).alias("again"))
 
 
 @query(f"WITH {RESOLVED} SELECT path, '10%' AS raw FROM nodes WHERE own_count > 0")
@@ -801,12 +813,11 @@ def applied_shares(spark, d):
     return hierarchy.apply_shares(_rows(spark, QUOTAS, "path string, raw string"), hierarchy.apportion(kids, 50))
 
 
-@query("SELECT * FROM (VALUES ('error', 'b', 1), ('error', 'a', 2), ('warn', 'a', 3), ('note', 'z', 4)) t(level, path, ord)")
+@query("SELECT p_partkey AS id, CAST(row_number() OVER (ORDER BY CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, p_partkey DESC) AS BIGINT) AS ord FROM part")
 def issue_order(spark, d):
-    from winnowlane.operators.order import positions
-
-    i = _rows(spark, [("note", "z", 0), ("error", "b", 1), ("warn", "a", 2), ("error", "a", 3)], "level string, path string, n int")
-    return positions(i, None, [hierarchy.severity(F.col("level")), F.col("n")]).select("level", "path", (F.col("pos") + 1).cast("int").alias("ord"))
+    """Issues by severity, then as they came."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 3 == 0, "error").when(F.col("p_size") % 3 == 1, "warn").otherwise("note").alias("level"), (-F.col("p_partkey")).alias("n"))
+    return order.positions(p, None, [hierarchy.severity(F.col("level")), F.col("n")]).select("id", (F.col("pos") + 1).alias("ord"))
 
 
 # ---- signatures, groups and corrections
@@ -849,9 +860,9 @@ def hex_signatures(spark, d):
     return s.select("id", "hash", signature.hamming(F.col("hi"), F.col("lo"), zero, zero).alias("weight"), ((F.col("back.hi") == F.col("hi")) & (F.col("back.lo") == F.col("lo"))).alias("same"))
 
 
-@query("SELECT * FROM (VALUES (-3.0, 4), (4.4, 4), (4.5, 6), (5.0, 6), (6.49, 6), (6.5, 8), (13.0, 14), (14.0, 14), (19.2, 20), (99.0, 20)) t(t, threshold)")
+@query("SELECT l_orderkey AS id, l_linenumber AS line, CAST(4 + floor((whole - 4) / 2.0 + 0.5) * 2 AS INTEGER) AS threshold FROM (SELECT *, greatest(4, least(20, floor(CAST(l_quantity AS DOUBLE) / 2 - 2.5 + 0.5))) AS whole FROM lineitem)")
 def clamped_thresholds(spark, d):
-    return _rows(spark, [(x,) for x in (-3.0, 4.4, 4.5, 5.0, 6.49, 6.5, 13.0, 14.0, 19.2, 99.0)], "t double").select("t", similarity.clamp_threshold(F.col("t")).alias("threshold"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), similarity.clamp_threshold(F.col("l_quantity").cast("double") / 2 - 2.5).alias("threshold"))
 
 
 @query(f"""WITH RECURSIVE {STRICT}, n AS (SELECT unit, group_id, count(*) AS n FROM strict GROUP BY 1, 2 HAVING count(*) > 1), m AS (SELECT s.unit, s.group_id, s.id, CAST(s.id % 17 AS DOUBLE) / max(s.id % 17) OVER w AS a, CAST(s.id % 5 AS DOUBLE) / nullif(max(s.id % 5) OVER w, 0) AS b FROM strict s JOIN n ON n.unit = s.unit AND n.group_id = s.group_id WINDOW w AS (PARTITION BY s.unit, s.group_id)),
@@ -893,23 +904,22 @@ def hash_sources(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), h.alias("h")).select("id", "h.hash", "h.exact")
 
 
-TRUTH = [
-    (("p", "blur", "s", "x", "1", "t", 0, False), ("p", "", "s", "x", "1", "t", 0, False), "AMB_degraded"), (("p", "geom_major", "s", "x", "1", "t", 0, False), ("p", "geom_minor", "s", "x", "1", "t", 0, False), "AMB_geom_major"),
-    (("p", "", "s", "x", "1", "t", 0, False), ("p", "geom_minor", "s", "x", "1", "t", 0, False), "POS_geom_minor"), (("p", "", "s", "x", "1", "t", 0, False), ("p", "q80", "s", "x", "1", "t", 0, False), "POS_reencode"),
-    (("p", "", "s", "burst_tight", "small", "t", 0, False), ("q", "", "s", "burst_tight", "small", "t", 0, False), "POS_burst_tight/small"), (("p", "", "s", "expression", "big", "t", 0, False), ("q", "", "s", "expression", "big", "t", 0, False), "POS_expression/big"),
-    (("p", "", "s", "chain", "1", "t", 1, False), ("q", "", "z", "chain", "1", "t", 2, False), "AMB_chain_adjacent"), (("p", "", "s", "chain", "1", "t", 7, False), ("q", "", "z", "chain", "1", "t", 2, False), "NEG_chain_far"), (("p", "", "s", "chain", "1", "t", 0, False), ("q", "", "z", "chain", "1", "t", 2, False), "AMB_chain_mid"),
-    (("p", "", "s", "base", "1", "t", 0, True), ("q", "", "z", "base", "1", "t", 0, False), "NEG_recompose"), (("p", "", "s", "base", "1", "t", 0, False), ("q", "", "z", "burst_loose", "1", "t", 0, False), "NEG_same_subject_diff_scene"), (("p", "", "s", "chain", "1", "t", 0, False), ("q", "", "s", "base", "1", "t", 0, False), "NEG_unrelated"),
-]
+SIDE = """{0}_partkey % 5 AS photo{1}, (['', 'q80', 'blur', 'lowres', 'geom_major', 'geom_minor'])[{0}_orderkey % 6 + 1] AS variant{1}, {0}_suppkey % 3 AS set{1}, (['base', 'chain', 'burst_tight', 'burst_loose', 'expression'])[({0}_partkey + {0}_linenumber) % 5 + 1] AS category{1}, 's' || {0}_linenumber AS scale{1}, {0}_suppkey % 2 AS scene{1}, {0}_suppkey % 7 AS step{1}, {0}_suppkey % 11 = 0 AS recomposed{1}"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', '{t[:3]}')" for i, (*_, t) in enumerate(TRUTH)) + ") t(n, truth, kind)")
+@query(f"""WITH x AS (SELECT l_orderkey AS id, l_linenumber AS line, {SIDE.format('l', 1)}, o_custkey % 5 AS photo2, (['', 'q80', 'blur', 'lowres', 'geom_major', 'geom_minor'])[o_custkey % 6 + 1] AS variant2, o_custkey % 3 AS set2, (['base', 'chain', 'burst_tight', 'burst_loose', 'expression'])[o_custkey % 5 + 1] AS category2, o_custkey % 2 AS scene2, o_custkey % 7 AS step2, o_custkey % 13 = 0 AS recomposed2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT id, line, CASE WHEN photo1 = photo2 THEN CASE WHEN variant1 IN ('blur', 'lowres') OR variant2 IN ('blur', 'lowres') THEN 'AMB_degraded' WHEN 'geom_major' IN (variant1, variant2) THEN 'AMB_geom_major' WHEN 'geom_minor' IN (variant1, variant2) THEN 'POS_geom_minor' ELSE 'POS_reencode' END
+  WHEN set1 = set2 AND (category1 LIKE 'burst%' OR category1 = 'expression') THEN 'POS_' || category1 || '/' || scale1 WHEN category1 = 'chain' AND category2 = 'chain' THEN CASE WHEN abs(step1 - step2) = 1 THEN 'AMB_chain_adjacent' WHEN abs(step1 - step2) > 3 THEN 'NEG_chain_far' ELSE 'AMB_chain_mid' END
+  WHEN scene1 = scene2 AND 'chain' NOT IN (category1, category2) THEN CASE WHEN recomposed1 OR recomposed2 THEN 'NEG_recompose' ELSE 'NEG_same_subject_diff_scene' END ELSE 'NEG_unrelated' END AS truth FROM x""")
 def pair_truths(spark, d):
-    names = ("photo", "variant", "set", "category", "scale", "scene", "chain_step", "recomposed")
-    kinds = ("string",) * 6 + ("int", "boolean")
-    schema = "n int, " + ", ".join(f"{s}_{n} {k}" for s in "ab" for n, k in zip(names, kinds))
-    x = _rows(spark, [(i, *a, *b) for i, (a, b, _) in enumerate(TRUTH)], schema)
-    t = similarity.pair_truth(*({n: F.col(f"{s}_{n}") for n in names} for s in "ab"))
-    return x.select("n", t.alias("truth"), F.left(t, F.lit(3)).alias("kind"))
+    """What pairs of labelled items ought to be."""
+    x = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    of = lambda values, k: F.get(F.array(*map(F.lit, values)), k.cast("int"))
+    variants, categories = ("", "q80", "blur", "lowres", "geom_major", "geom_minor"), ("base", "chain", "burst_tight", "burst_loose", "expression")
+    part, supp, line, cust = (F.col(c) for c in ("l_partkey", "l_suppkey", "l_linenumber", "o_custkey"))
+    a = {"photo": part % 5, "variant": of(variants, F.col("l_orderkey") % 6), "set": supp % 3, "category": of(categories, (part + line) % 5), "scale": F.concat(F.lit("s"), line.cast("string")), "scene": supp % 2, "chain_step": supp % 7, "recomposed": supp % 11 == 0}
+    b = {"photo": cust % 5, "variant": of(variants, cust % 6), "set": cust % 3, "category": of(categories, cust % 5), "scale": F.lit("t"), "scene": cust % 2, "chain_step": cust % 7, "recomposed": cust % 13 == 0}
+    return x.select(F.col("l_orderkey").alias("id"), line.alias("line"), similarity.pair_truth(a, b).alias("truth"))
 
 
 @query("SELECT p_partkey AS id, round(1 - (0.3 / 0.7) * (1 - CAST(p_size AS DOUBLE) / 50), 4) AS sharpness FROM part")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from winnowlane.operators.order import none
 from winnowlane.scratch import materialize
 
 LOOSE = "__loose__"
@@ -220,20 +221,23 @@ def start_units(existing: DataFrame, found: DataFrame) -> DataFrame:
     return existing.unionByName(found.join(existing.select("unit_id"), "unit_id", "left_anti"), allowMissingColumns=True)
 
 
-def apportion(kids: DataFrame, total: int, even: bool = False) -> DataFrame:
-    """path and places: a total shared among folders by largest remainders, none above its rows.
+def apportion(kids: DataFrame, total: int | str, even: bool = False) -> DataFrame:
+    """path and places: a total (or the column that has each parent's) shared among folders by largest remainders, none above its rows.
 
     What a full folder can't take goes to the others one by one in order. ``kids``: parent_path, path, ord, subtree_count.
     Folders of one parent are handled together; there are as many as a folder has children.
     """
 
     def share(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf.subtree_count > 0].sort_values("ord", kind="stable")
+        pdf = pdf[pdf.subtree_count > 0].sort_values("ord", kind="stable").reset_index(drop=True)
+        if not len(pdf):
+            return none(schema)
+        places = int(pdf[total].iloc[0]) if isinstance(total, str) else total
         caps = pdf.subtree_count.to_numpy()
         weight = caps * 0 + 1 if even else caps
-        exact = total * weight / max(weight.sum(), 1)
+        exact = places * weight / max(weight.sum(), 1)
         got = exact.astype("int64")
-        order = pd.Series(exact - got).sort_values(ascending=False, kind="stable").index[: max(0, total - int(got.sum()))]
+        order = pd.Series(exact - got).sort_values(ascending=False, kind="stable").index[: max(0, places - int(got.sum()))]
         got[order] += 1
         spare = int((got - caps).clip(min=0).sum())
         got = got.clip(max=caps)
@@ -246,7 +250,8 @@ def apportion(kids: DataFrame, total: int, even: bool = False) -> DataFrame:
             spare -= len(chosen) * max(rounds, 1)
         return pd.DataFrame({"path": pdf.path, "places": got})
 
-    return kids.groupBy("parent_path").applyInPandas(share, "path string, places long")
+    schema = "path string, places long"
+    return kids.groupBy("parent_path").applyInPandas(share, schema)
 
 
 def sibling_order(nodes: DataFrame) -> DataFrame:

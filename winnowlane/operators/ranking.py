@@ -241,6 +241,15 @@ def left_to_ask(entrants: int, decided: int, reused: int, target: int, placed: i
     return max(0, (entrants - 1 - decided - reused if entrants else 0) + max(0, later) * path)
 
 
+def left_to_ask_expr(entrants: Column, decided: Column, reused: Column, target: Column, placed: Column, field_size: Column) -> Column:
+    """The same of columns of whole numbers."""
+    running = entrants > 0
+    later = target - placed - F.when(running, 1).otherwise(0)
+    # the binary digits of n - 1 are the rounds of n: no logarithm that may round
+    path = F.greatest(F.lit(1), F.length(F.bin(F.greatest(F.lit(2), field_size) - 1)) - 1)
+    return F.greatest(F.lit(0), F.when(running, entrants - 1 - decided - reused).otherwise(0) + F.greatest(F.lit(0), later) * path).cast("long")
+
+
 def runoff(winners: DataFrame, groups: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """Winners' groups of two and more, to choose from: unit, group_id, id, keep.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from winnowlane.functions import capture, signature, text
@@ -166,16 +167,14 @@ def alloc_total(spark, d):
     return hierarchy.projected_total(_quotas(spark, d)[2])
 
 
-#: What is typed, and what it means.
-RAWS = [
-    ("5", "fixed", 5), ("0", "excluded", None), ("", "pooled", None), (" * ", "uncapped", None), ("∞", "uncapped", None), ("INF", "uncapped", None), ("5%", "percent", 5), ("12.5%", "percent", 12.5), ("5 %", "percent", 5), ("100%", "percent", 100), ("0%", "excluded", None),
-    ("abc", "invalid", None), ("-3", "invalid", None), ("2.5", "invalid", None), ("101%", "invalid", None), ("%", "invalid", None), ("5%%", "invalid", None), (".5%", "percent", 0.5), ("0005%", "invalid", None), ("005%", "percent", 5), ("007", "fixed", 7), ("5.%", "invalid", None), ("000", "excluded", None), ("1e3", "invalid", None),
-]
-
-
-@query("SELECT * FROM (VALUES {}) t(raw, mode, value)".format(", ".join(f"('{r}', '{m}', CAST({'NULL' if v is None else v} AS DOUBLE))" for r, m, v in RAWS)))
+@query("""WITH x AS (SELECT *, p_partkey % 13 AS k FROM part) SELECT p_partkey AS id, CASE WHEN k IN (0, 1) THEN 'fixed' WHEN k = 2 THEN 'excluded' WHEN k = 3 THEN 'pooled' WHEN k IN (4, 5) THEN 'uncapped' WHEN k IN (6, 7) THEN 'percent' WHEN k = 8 AND p_size <= 30 THEN 'percent' WHEN k = 9 THEN 'excluded' ELSE 'invalid' END AS mode,
+CASE WHEN k IN (0, 1, 6) THEN CAST(p_size AS DOUBLE) WHEN k = 7 THEN p_size + 0.5 WHEN k = 8 AND p_size <= 30 THEN p_size + 70.0 END AS value FROM x""")
 def alloc_parse(spark, d):
-    return spark.createDataFrame([(r,) for r, _, _ in RAWS], "raw string").select("raw", hierarchy.parse_quota(F.col("raw")).alias("q")).select("raw", "q.mode", "q.value")
+    """Quotas in all the ways that they are typed, right and wrong."""
+    k, n = F.col("p_partkey") % 13, F.col("p_size").cast("string")
+    raw = F.when(k == 0, n).when(k == 1, F.concat(F.lit(" 00"), n)).when(k == 2, "000").when(k == 3, F.when(F.col("p_size") % 2 == 0, " ")).when(k == 4, " * ").when(k == 5, "INF").when(k == 6, F.concat(n, F.lit(" %"))).when(k == 7, F.concat(n, F.lit(".5%")))
+    raw = raw.when(k == 8, F.concat((F.col("p_size") + 70).cast("string"), F.lit("%"))).when(k == 9, "0%").when(k == 10, F.concat(F.lit("-"), n)).when(k == 11, F.concat(n, F.lit("%%"))).when(k == 12, F.concat(n, F.lit(".5")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), hierarchy.parse_quota(raw).alias("q")).select("id", "q.mode", "q.value")
 
 
 @query("SELECT p_partkey AS id, CAST(CASE WHEN p_size > 0 AND p_partkey % 101 > 0 THEN greatest(1, least(p_size, floor((p_partkey % 101) / 100.0 * p_size + 0.5))) ELSE 0 END AS BIGINT) AS n FROM part")
@@ -196,6 +195,19 @@ def alloc_apportion(spark, d):
     return hierarchy.apportion(kids, 10)
 
 
+@query(f"""WITH RECURSIVE {FOLDERS}, k AS (SELECT string_split(dir, '/')[1] AS up, string_split(dir, '/')[2] AS name, count(*) AS c FROM folders GROUP BY 1, 2), n AS (SELECT up, name, c, CAST(coalesce(nullif(regexp_extract(name, '_([0-9]+)$', 1), ''), '0') AS INTEGER) AS num FROM k WHERE name IS NOT NULL),
+l AS (SELECT up, list(name ORDER BY num) AS names, list(c ORDER BY num) AS caps, CAST(floor(0.9 * sum(c)) AS BIGINT) AS total FROM n GROUP BY 1),
+s(up, names, caps, got, spare) AS (SELECT up, names, caps, list_transform(caps, lambda c, i: least(c, total // len(caps) + CASE WHEN i <= total % len(caps) THEN 1 ELSE 0 END)), total - list_sum(list_transform(caps, lambda c, i: least(c, total // len(caps) + CASE WHEN i <= total % len(caps) THEN 1 ELSE 0 END))) FROM l
+ UNION ALL SELECT up, names, caps, now, CAST(spare - (list_sum(now) - list_sum(got)) AS HUGEINT) FROM (SELECT *, list_transform(got, lambda g, i: g + CASE WHEN g < caps[i] AND len(list_filter(range(1, i + 1), lambda j: got[j] < caps[j])) <= spare THEN 1 ELSE 0 END) AS now FROM s WHERE spare > 0))
+SELECT up || '/' || unnest(names) AS path, CAST(unnest(got) AS BIGINT) AS places FROM s WHERE spare = 0""")
+def alloc_apportion_even(spark, d):
+    """Nine tenths of each region's rows in equal shares: what small nations can't take goes to the others."""
+    nodes = hierarchy.sibling_order(hierarchy.resolve(hierarchy.tree(adapters.customers_in_folders(spark, d))[0], spark.createDataFrame([], "path string, raw string")))
+    kids = nodes.where("depth = 2 AND NOT synthetic").select("parent_path", "path", "ord", "subtree_count")
+    total = F.floor(0.9 * F.sum("subtree_count").over(Window.partitionBy("parent_path"))).cast("long")
+    return hierarchy.apportion(kids.withColumn("total", total), "total", even=True)
+
+
 # ---- similarity
 
 
@@ -404,9 +416,11 @@ def seeded_deal(spark, d):
     return staged.shuffle_rows(c, "unit", "face", 42)
 
 
-@query("SELECT * FROM (VALUES (0, [1]), (1, [1, 2]), (2, [1, 4, 2, 3]), (3, [1, 8, 4, 5, 2, 7, 3, 6])) t(rounds, slots)".replace("SELECT *", "SELECT CAST(rounds AS BIGINT) AS rounds, array_to_string(slots, ',') AS slots"))
+@query("""WITH RECURSIVE s(rounds, slots) AS (SELECT CAST(0 AS BIGINT), [1] UNION ALL SELECT rounds + 1, flatten(list_transform(slots, lambda x: [x, 2 * len(slots) + 1 - x])) FROM s WHERE rounds < 7)
+SELECT c_custkey AS id, array_to_string(slots, ',') AS slots FROM customer JOIN s ON rounds = c_custkey % 8""")
 def seed_slots(spark, d):
-    return spark.range(4).select(F.col("id").alias("rounds"), F.array_join(ranking.seed_slots_expr(F.col("id").cast("int")).cast("array<string>"), ",").alias("slots"))
+    """Seeds in bracket order, for brackets of 1 to 128."""
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array_join(ranking.seed_slots_expr((F.col("c_custkey") % 8).cast("int")).cast("array<string>"), ",").alias("slots"))
 
 
 # ---- sets, tags, rates
