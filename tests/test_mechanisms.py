@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from winnowlane.operators import order, ranking, similarity
+from winnowlane.scratch import fresh_path
 
 
 def signatures(rng, units, n, clusters, spread):
@@ -103,3 +104,16 @@ def test_folds_of_units_without_rows(spark):
     links = spark.createDataFrame([("x", "y", 1)], "a string, b string, sign int")
     none = spark.createDataFrame([], KIND)
     assert similarity.cluster(none, 4, links=links).collect() == [] and similarity.spanning_forest(similarity.close_pairs(none, 20)).count() == 0
+
+
+def test_running_sums_of_few_and_many_rows_are_equal(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "a", "b", None]), i, rng.randint(0, 5)) for i in range(500)]
+    path = fresh_path(spark, "few")
+    spark.createDataFrame(rows, "unit string, id long, n long").write.parquet(path)
+    frame = spark.read.parquet(path)
+    for by in ([], ["unit"]):
+        few, many = (order.running(frame, by, [F.col("id").desc()], "n", few_bytes=b) for b in (None, 0))
+        assert few.columns == many.columns and few.dtypes == many.dtypes
+        key = lambda r: r[1]
+        assert sorted(map(tuple, few.collect()), key=key) == sorted(map(tuple, many.collect()), key=key)

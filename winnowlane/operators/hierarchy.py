@@ -6,11 +6,14 @@ or descendants are equi-joins on exploded prefixes.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnowlane.operators.order import none
+from winnowlane.operators.order import arrow_schema, none
 from winnowlane.scratch import materialize
 
 LOOSE = "__loose__"
@@ -41,7 +44,7 @@ def tree(rows: DataFrame, folder: str = "dir") -> tuple[DataFrame, DataFrame]:
     once; all else is about folders.
     """
     clean = F.array_join(F.filter(F.split(F.coalesce(F.col(folder), F.lit("")), "/"), lambda p: p != ""), "/")
-    direct = materialize(rows.groupBy(clean.alias("path")).agg(F.count("*").alias("n")), "folders")
+    direct = rows.groupBy(clean.alias("path")).agg(F.count("*").alias("n"))
     root = rows.sparkSession.range(1).select(F.lit("").alias("path"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("below"))
     # each folder with how far below it rows lie: of a prefix, some; of the folder itself, none
     steps = direct.select("path", "n", F.posexplode(F.reverse(prefixes(F.col("path")))).alias("up", "at"))
@@ -106,11 +109,12 @@ def resolve(nodes: DataFrame, quotas: DataFrame, few_folders: int = BROADCAST_FO
     out; percentages are of the folder's own subtree.
     """
     asked = quotas.select("path", parse_quota(F.col("raw")).alias("q")).select("path", "q.*")
-    # folders are few beside rows, and each step below asks about them several times: so they are stored in between
-    n = materialize(nodes.join(asked, "path", "left").withColumn("mode", F.coalesce("mode", F.lit("pooled"))), "nodes")
-    # up to BROADCAST_FOLDERS of them one task works them out, so that no step shuffles; beyond, each step is dealt and written
-    one = n.count() <= few_folders
-    n, keep = (n.coalesce(1), lambda f: f) if one else (n, lambda f: materialize(f, "nodes"))
+    n = nodes.select("path", "parent_path", "depth", "own_count", "synthetic").join(asked, "path", "left").withColumn("mode", F.coalesce("mode", F.lit("pooled")))
+    # up to BROADCAST_FOLDERS of them one task works them out in one pass up and one down; beyond, each step is a join, dealt and written
+    if nodes.count() <= few_folders:
+        return materialize(n.coalesce(1).mapInArrow(_resolved_at_once(arrow_schema(_RESOLVED)), _RESOLVED), "nodes")
+    keep = lambda f: materialize(f, "nodes")
+    n = keep(n)
     up = n.select("path", "own_count", F.explode(prefixes(F.col("path"))).alias("above"))
     shut = n.where("mode = 'excluded'").select(F.col("path").alias("above"), F.lit(True).alias("shut"))
     closed = up.join(shut, "above").select("path").distinct().withColumn("excluded", F.lit(True))
@@ -139,6 +143,49 @@ def resolve(nodes: DataFrame, quotas: DataFrame, few_folders: int = BROADCAST_FO
     return materialize(out, "nodes")
 
 
+_RESOLVED = "path string, parent_path string, depth int, own_count long, synthetic boolean, mode string, value double, excluded boolean, subtree_count long, eff_mode string, eff_value long, kids long, is_leaf boolean, target long, has_quota_below boolean, fixed_sum long, uncapped_kids long, pooled_kids long, pool_count long, remainder long, share long"
+
+
+def _resolved_at_once(kinds: pa.Schema):
+    """resolve() of all folders of one partition."""
+
+    def run(batches):
+        rows = [r for b in batches for r in b.to_pylist()]
+        rows.sort(key=lambda r: r["depth"])
+        at = {r["path"]: r for r in rows}
+        for r in rows:  # downward
+            above = at.get(r["parent_path"]) if r["parent_path"] is not None else None
+            r |= {"above": above, "excluded": r["mode"] == "excluded" or bool(above and above["excluded"]), "subtree_count": 0, "kids": None, "has_quota_below": False, "fixed_sum": None, "uncapped_kids": None, "pooled_kids": None, "pool_count": None}
+        for r in reversed(rows):  # upward: what is below a folder is known before it
+            above, n = r["above"], r["subtree_count"] + r["own_count"]
+            n = r["subtree_count"] = 0 if r["excluded"] else n
+            percent = r["mode"] == "percent"
+            r["eff_mode"] = mode = "fixed" if percent else r["mode"]
+            share = max(1, min(n, math.floor(r["value"] / 100.0 * n + 0.5))) if percent and n > 0 and r["value"] > 0 else 0
+            r["eff_value"] = share if percent else None if r["value"] is None else int(r["value"])
+            r["is_leaf"] = r["kids"] is None
+            fixed = mode == "fixed"
+            r["target"] = 0 if r["excluded"] else None if not fixed else min(r["eff_value"], n) if r["is_leaf"] else r["eff_value"]
+            splits = not r["excluded"] and not r["is_leaf"] and fixed and r["fixed_sum"] <= r["eff_value"]
+            r["remainder"] = r["eff_value"] - r["fixed_sum"] if splits else None
+            r["share"] = min(r["remainder"], r["pool_count"]) if splits else None
+            if above and not r["excluded"]:
+                above["subtree_count"] += n
+                above["has_quota_below"] |= r["has_quota_below"] or mode in ("fixed", "uncapped")
+                for c in ("kids", "fixed_sum", "uncapped_kids", "pooled_kids", "pool_count"):
+                    above[c] = above[c] or 0
+                above["kids"] += 1
+                above["fixed_sum"] += (r["target"] or 0) if fixed else 0
+                above["uncapped_kids"] += mode == "uncapped"
+                above["pooled_kids"] += mode == "pooled"
+                above["pool_count"] += n if mode == "pooled" else 0
+        for r in rows:
+            r.pop("above")
+        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    return run
+
+
 def units(resolved: DataFrame) -> DataFrame:
     """unit_id, kind, owner_path and target (null: no limit) of each set of rows that competes for places."""
     leaf = resolved.where("NOT excluded AND is_leaf AND subtree_count > 0")

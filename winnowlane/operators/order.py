@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from winnowlane.scratch import materialize, parts
+from winnowlane.scratch import input_bytes, materialize, parts
+
+#: Estimated bytes up to which groups are not shared among tasks; a sixteenth of it where all rows are one group.
+FEW_BYTES = 1 << 24
 
 
 def ranges(rows: DataFrame, order: list[Column]) -> DataFrame:
@@ -25,11 +28,16 @@ def ranges(rows: DataFrame, order: list[Column]) -> DataFrame:
     return rows.repartitionByRange(parts(rows.sparkSession), *order).withColumn("_part", F.spark_partition_id())
 
 
-def running(rows: DataFrame, by: list[str], order: list[Column], amount: str) -> DataFrame:
+def running(rows: DataFrame, by: list[str], order: list[Column], amount: str, few_bytes: int | None = None) -> DataFrame:
     """Adds upto (the sum of ``amount`` over rows of the group up to this one in the order) and n (the group's sum).
 
-    ``order`` must tell the rows of a group apart. Null groups are a group.
+    ``order`` must tell the rows of a group apart. Null groups are a group. Rows that are few, by Catalyst's estimate, are
+    summed by a window; the result is the same.
     """
+    if 0 < input_bytes(rows) <= (few_bytes if few_bytes is not None else FEW_BYTES if by else FEW_BYTES // 16):
+        line = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
+        whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        return rows.select(*[F.col(f"`{c}`") for c in rows.columns], F.sum(amount).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum(amount).over(whole).alias("n"))
     dealt = materialize(ranges(rows, [*map(F.col, by), *order]), "ranges")
     own = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     # one row for each range and group: as many as partitions and groups together, as ranges follow the order
