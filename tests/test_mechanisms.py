@@ -2,12 +2,13 @@
 
 import random
 import resource
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from winnowlane.operators import order, ranking, similarity
+from winnowlane.operators import geo, order, ranking, similarity
 from winnowlane.scratch import fresh_path
 
 
@@ -117,3 +118,35 @@ def test_running_sums_of_few_and_many_rows_are_equal(spark):
         assert few.columns == many.columns and few.dtypes == many.dtypes
         key = lambda r: r[1]
         assert sorted(map(tuple, few.collect()), key=key) == sorted(map(tuple, many.collect()), key=key)
+
+
+def test_open_triples_around_hubs(spark):
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(200)} | {(0, k) for k in range(1, 40)}
+    near = {(u, a, b) for u in ("u", "v") for a, b in pairs if u == "u" or (a + b) % 3}
+    want = sum(1 for u in ("u", "v") for b in range(40) for a in range(40) for c in range(a + 1, 40) if len({a, b, c}) == 3 and (u, *sorted((a, b))) in near and (u, *sorted((b, c))) in near and (u, a, c) not in near)
+    frame = spark.createDataFrame(sorted(near), "unit string, a long, b long")
+    assert similarity.open_triples(frame, frame, 20).first()[0] == want
+    assert similarity.open_triples(frame.limit(0), frame, 20).first()[0] == 0
+    # five thousand million triples around one row are never rows
+    hub = spark.range(1, 100_001).select(F.lit("u").alias("unit"), F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    assert similarity.open_triples(hub, hub, 20).first()[0] == 100_000 * 99_999 // 2
+
+
+@pytest.mark.parametrize("radius", [0.0, 0.5, 30.0, 900.0, 30_000.0])
+def test_leaders_on_a_grid_equal_leaders_among_all(radius):
+    rng = np.random.default_rng(3)
+    spots = np.concatenate([rng.uniform([-90, -180], [90, 180], (60, 2)), [[89.99, 0], [89.99, 179], [0, 179.99], [0, -179.99], [-89.9, 20], [45, 7]]])
+    at = np.concatenate([spots[rng.integers(len(spots), size=900)] + rng.normal(0, 0.05, (900, 2)), rng.uniform([-90, -180], [90, 180], (300, 2))])
+    lat, lon = np.clip(at[:, 0], -90, 90), at[:, 1]
+    assert geo.leaders(lat, lon, radius, few=3).tolist() == geo.leaders(lat, lon, radius, few=10**9).tolist()
+
+
+def test_leaders_take_time_linear_in_rows():
+    rng = np.random.default_rng(4)
+    lat, lon = rng.uniform(-60, 60, 30_000), rng.uniform(-180, 180, 30_000)
+    began = time.perf_counter()
+    label = geo.leaders(lat, lon, 5.0)
+    assert label.max() > 20_000 and time.perf_counter() - began < 30
+    lat[7] = np.nan
+    assert len(geo.leaders(lat[:200], lon[:200], 5.0)) == 200

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,21 +17,63 @@ def _km(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarra
     return 2 * EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(a)))
 
 
-def leaders(lat: np.ndarray, lon: np.ndarray, radius: float) -> np.ndarray:
-    """Cluster of each point, in order: the nearest centre within the radius, else a new one; centres are running means."""
+#: Centres up to which each point is compared with all.
+FEW_CENTRES = 64
+
+
+class _Grid:
+    """Centres filed by cells of space of the radius' chord, so that all within the radius of a point lie in its cell or the 26 around."""
+
+    def __init__(self, radius: float):
+        self.size = 2 * np.sin(min(radius / (2 * EARTH_KM), np.pi / 2)) * (1 + 1e-9) + 1e-9
+        self.cells: dict[tuple, list[int]] = {}
+        self.filed: list[tuple] = []
+
+    def cell(self, lat: float, lon: float) -> tuple:
+        lat, lon = math.radians(lat), math.radians(lon)
+        across = math.cos(lat)
+        return tuple(math.floor(x / self.size) for x in (across * math.cos(lon), across * math.sin(lon), math.sin(lat)))
+
+    def file(self, k: int, lat: float, lon: float) -> None:
+        """File a new centre, or one whose mean has moved."""
+        cell = self.cell(lat, lon)
+        if k == len(self.filed):
+            self.filed.append(cell)
+        elif self.filed[k] == cell:
+            return
+        else:
+            self.cells[self.filed[k]].remove(k)
+            self.filed[k] = cell
+        self.cells.setdefault(cell, []).append(k)
+
+    def around(self, lat: float, lon: float) -> np.ndarray:
+        x, y, z = self.cell(lat, lon)
+        return np.array(sorted(k for i in (x - 1, x, x + 1) for j in (y - 1, y, y + 1) for m in (z - 1, z, z + 1) for k in self.cells.get((i, j, m), ())), np.int64)
+
+
+def leaders(lat: np.ndarray, lon: np.ndarray, radius: float, few: int = FEW_CENTRES) -> np.ndarray:
+    """Cluster of each point, in order: the nearest centre within the radius, else a new one; centres are running means.
+
+    Beyond ``few`` centres a point looks at those in the cells around it only, so time follows the points, not points times centres.
+    """
     out = np.empty(len(lat), np.int64)
     sums = np.zeros((len(lat), 3))
+    # a position that is no number has no cell
+    grid = _Grid(radius) if len(lat) > few and np.isfinite(lat).all() and np.isfinite(lon).all() else None
     n = 0
     for i in range(len(lat)):
         k = -1
-        if n:
-            d = _km(lat[i], lon[i], sums[:n, 0] / sums[:n, 2], sums[:n, 1] / sums[:n, 2])
-            k = int(d.argmin())
-            k = k if d[k] <= radius else -1
+        at = np.arange(n) if grid is None or n <= few else grid.around(lat[i], lon[i])
+        if len(at):
+            d = _km(lat[i], lon[i], sums[at, 0] / sums[at, 2], sums[at, 1] / sums[at, 2])
+            j = int(d.argmin())
+            k = int(at[j]) if d[j] <= radius else -1
         if k < 0:
             k, n = n, n + 1
         sums[k] += lat[i], lon[i], 1
         out[i] = k
+        if grid is not None:
+            grid.file(k, sums[k, 0] / sums[k, 2], sums[k, 1] / sums[k, 2])
     return out
 
 

@@ -597,11 +597,25 @@ def clustering_score(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def open_triples(pairs: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
-    """Number of triples a-b-c with both steps within the threshold and the ends farther apart."""
-    both = pairs.select("unit", "a", "b").union(pairs.select("unit", F.col("b").alias("a"), F.col("a").alias("b")))
-    other = both.select("unit", "a", F.col("b").alias("c"))
-    closed = pairs.select("unit", F.col("a").alias("b"), F.col("b").alias("c"))
-    return both.join(other, ["unit", "a"]).where("b < c").join(closed, ["unit", "b", "c"], "left_anti").agg(F.count("*").alias("open_triples"))
+    """Number of triples a-b-c with both steps within the threshold and the ends farther apart.
+
+    All triples around b are counted from its number of neighbours; each triangle closes three of them. Pairs
+    point from the end with fewer neighbours to the one with more, so that triangles are looked for among few followers: a hub of any
+    size has at most as many as the square root of twice the pairs.
+    """
+    near = materialize(pairs.select("unit", "a", "b").distinct(), "near")
+    ends = near.select("unit", F.col("a").alias("x")).unionByName(near.select("unit", F.col("b").alias("x")))
+    degree = materialize(ends.groupBy("unit", "x").agg(F.count("*").alias("d")), "degrees")
+    around = degree.agg(F.coalesce(F.sum(F.col("d") * (F.col("d") - 1) / 2), F.lit(0)).cast("long").alias("around"))
+    known = near
+    for c in ("a", "b"):  # a hub has very many pairs: they are shared among tasks
+        own = degree.select("unit", F.col("x").alias(c), F.col("d").alias(f"d_{c}"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        known = known.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALT)).cast("int")).join(own, ["unit", c, "salt"]).drop("salt")
+    first = (F.col("d_a") < F.col("d_b")) | ((F.col("d_a") == F.col("d_b")) & (F.col("a") < F.col("b")))
+    way = materialize(known.select("unit", F.when(first, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("high")), "oriented")
+    met = way.join(way.select("unit", "low", F.col("high").alias("next")), ["unit", "low"]).where("high < next")
+    closed = met.join(near.select("unit", F.col("a").alias("high"), F.col("b").alias("next")), ["unit", "high", "next"]).agg(F.count("*").alias("closed"))
+    return around.crossJoin(closed).select((F.col("around") - 3 * F.col("closed")).alias("open_triples"))  # one row and one row
 
 
 def has_candidates(rows: DataFrame, threshold: int) -> bool:

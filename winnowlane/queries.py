@@ -155,6 +155,13 @@ def alloc_issues(spark, d):
     return hierarchy.issues(resolved, found)
 
 
+@query("SELECT '' AS path, 'note' AS level, 'root-unallocated' AS code FROM customer HAVING count(*) > 0")
+def alloc_issues_bare(spark, d):
+    """A tree without any quota: its root is told that no place is given out."""
+    resolved = hierarchy.resolve(hierarchy.tree(adapters.customers_in_folders(spark, d))[0], spark.createDataFrame([], "path string, raw string"))
+    return hierarchy.issues(resolved, hierarchy.units(resolved))
+
+
 @query(f"""WITH {RESOLVED}, up AS (SELECT kind || ':' || CASE WHEN path = '' THEN 'root' ELSE path END AS unit_id, path FROM u WHERE kind <> 'pooled' UNION ALL SELECT 'pooled:' || CASE WHEN u.path = '' THEN 'root' ELSE u.path END, c.path FROM u JOIN r c ON c.parent_path = u.path AND NOT c.excluded AND c.em = 'pooled' WHERE u.kind = 'pooled')
 SELECT unit_id, count(*) AS n FROM up JOIN r n ON NOT n.excluded AND (n.path = up.path OR starts_with(n.path, up.path || '/')) JOIN moved m ON m.node = n.path GROUP BY 1""")
 def alloc_members(spark, d):
