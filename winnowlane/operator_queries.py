@@ -10,7 +10,7 @@ from winnowlane.operators import geo, hierarchy, order, organize, ranking, resul
 from winnowlane.queries import FOLDERS, PAIRS, PATHS, QUOTAS, RANKED, RESOLVED, SHOTS, SIGS, STRICT, VALUES, _judged, _quotas, query
 from winnowlane.scratch import fresh_path
 from winnowlane.session import table
-from winnowlane.sources import adapters, files, fixtures, metadata, sinks
+from winnowlane.sources import adapters, archive, files, fixtures, metadata, sinks
 from winnowlane.sources.delta import DeltaTable
 from winnowlane.sources.store import Store
 
@@ -355,6 +355,16 @@ def zip_names(spark, d):
         return _rows(spark, [(i.filename, i.file_size) for i in z.infolist()], "name string, size long")
 
 
+@query("SELECT CAST(page_id AS VARCHAR) || '.html' AS name, CAST(strlen(html) AS BIGINT) AS size, sha256(html) AS digest FROM pages WHERE html IS NOT NULL")
+def archived_pages(spark, d):
+    """All pages in one archive that many tasks write, and what is read back from it."""
+    p = table(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.col("html").cast("binary").alias("content"))
+    root = fresh_path(spark, "archive")
+    out = archive.write_archive(p, root, stretch=1 << 20)
+    back = archive.read_archive(spark, root).select("name", F.sha2("content", 256).alias("digest"))
+    return out.select("name", "size").join(back, "name")
+
+
 @query(f"WITH o AS ({RANKED}), {SETS} SELECT id, (ord - 1) // 5 AS sheet_row, (ord - 1) % 5 AS sheet_col FROM sets")
 def contact_sheet(spark, d):
     return results.sheet_layout(_sets(spark, d)).select("id", F.col("sheet_row").cast("long").alias("sheet_row"), F.col("sheet_col").cast("long").alias("sheet_col"))
