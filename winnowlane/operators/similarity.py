@@ -93,10 +93,10 @@ def pivot_cells(rows: DataFrame, threshold: int, block: int = BLOCK, levels: int
     for _ in range(levels):
         homes, guests = F.sum(F.col("_home").cast("long")), F.sum((~F.col("_home")).cast("long"))
         size = now.where("NOT _final").groupBy(F.col("unit").alias("_unit"), F.col("_cell").alias("_of")).agg(homes.alias("h"), guests.alias("g")).where(F.col("h") + F.col("g") > block)
+        if not size.limit(1).count():
+            break
         size = materialize(size, "cells")
         n = size.count()
-        if not n:
-            break
         few = (lambda f: F.broadcast(f)) if n <= BROADCAST_CELLS else (lambda f: f)
         wanted = F.least(F.lit(PIVOTS), F.greatest(F.lit(8), F.ceil(F.sqrt("h"))))
         nth = F.row_number().over(Window.partitionBy("_unit", "_of").orderBy(F.xxhash64("id"), "id"))
@@ -208,10 +208,11 @@ def union_clusters(pairs: DataFrame, rows: DataFrame, unit: str = "unit", key: s
 
 def _by_size(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows of units that have at most so many, and those of larger ones; None if there are none. A large unit changes nothing for the small."""
-    large = materialize(rows.groupBy("unit").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(F.col("unit").alias("_unit")), "large-units")
-    n = large.count()
-    if not n:
+    large = rows.groupBy("unit").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(F.col("unit").alias("_unit"))
+    if not large.limit(1).count():
         return rows, None
+    large = materialize(large, "large-units")
+    n = large.count()
     large = F.broadcast(large) if n <= BROADCAST_UNITS else large
     same = F.col("unit").eqNullSafe(F.col("_unit"))
     return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
