@@ -70,3 +70,15 @@ def test_apportioning_with_caps(spark, even):
     frame = spark.createDataFrame(kids, "parent_path string, path string, ord int, subtree_count long")
     got = {r.path: r.places for r in hierarchy.apportion(frame, 40, even).collect()}
     assert got == ({"p/0": 18, "p/1": 1, "p/2": 3, "p/4": 18} if even else {"p/0": 27, "p/1": 0, "p/2": 2, "p/4": 11}) | {"q/0": 4, "q/1": 4}
+
+
+def test_correction_edits(spark):
+    """Merge, split, confirm and split all, as edits; what stood between the rows before goes."""
+    g = spark.createDataFrame([("u", 1, 1), ("u", 1, 2), ("u", 1, 3), ("u", 4, 4), ("u", 4, 5), ("v", 6, 6), ("v", 6, 7)], "unit string, group_id long, id long")
+    links = spark.createDataFrame([(1, 3, 1), (4, 5, -1), (6, 7, 1)], "a long, b long, sign int")
+    pick = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    rows = lambda f: sorted((r.a, r.b, r.sign) for r in f.collect())
+    assert rows(similarity.merge_edits(g, pick(2, 3, 4), links.where("a != 1"), 1)) == [(2, 4, 1), (4, 5, 0)]
+    assert rows(similarity.split_edits(g, pick(2), links, 1)) == [(1, 2, -1), (1, 3, 0), (2, 3, -1)]
+    assert rows(similarity.confirm_edits(g, "u", 1, 1)) == [(1, 2, 1), (1, 3, 1)]
+    assert rows(similarity.split_all_edits(g, "u", 1, links, 1)) == [(1, 2, -1), (1, 3, -1), (1, 3, 0), (2, 3, -1)]

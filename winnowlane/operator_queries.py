@@ -885,14 +885,22 @@ def reviewed_groups(spark, d):
     return similarity.reviewed_groups(s, 20, pinned=s.where("id % 10 = 0").select("id"), confirmed=s.where("id % 3 = 0").select("id"))
 
 
-@query("""SELECT * FROM (VALUES ('merge', 2, 4, 1), ('merge', 4, 5, 0), ('split', 1, 2, -1), ('split', 2, 3, -1), ('split', 1, 3, 0), ('confirm', 1, 2, 1), ('confirm', 1, 3, 1), ('split_all', 1, 2, -1), ('split_all', 1, 3, -1), ('split_all', 2, 3, -1), ('split_all', 1, 3, 0)) t(edit, a, b, sign)""")
+@query("""WITH g AS (SELECT CAST(s_nationkey AS VARCHAR) AS unit, min(s_suppkey) OVER (PARTITION BY s_nationkey, s_suppkey % 2) AS group_id, s_suppkey AS id FROM supplier), l AS (SELECT group_id AS a, id AS b FROM g WHERE id > group_id),
+span AS (SELECT * FROM g WHERE group_id IN (SELECT group_id FROM g WHERE id % 3 = 0)), gone AS (SELECT a, b, 0 AS sign FROM l WHERE a IN (SELECT id FROM span) AND b IN (SELECT id FROM span)),
+anchor AS (SELECT unit, group_id, min(id) AS b FROM span WHERE id % 3 = 0 GROUP BY 1, 2), head AS (SELECT b AS a FROM anchor ORDER BY unit, group_id LIMIT 1), one AS (SELECT * FROM g WHERE group_id = (SELECT group_id FROM g ORDER BY unit, group_id LIMIT 1))
+SELECT 'merge' AS edit, * FROM gone UNION ALL SELECT 'merge', least(a, b), greatest(a, b), 1 FROM anchor, head WHERE a <> b
+UNION ALL SELECT 'split', * FROM gone UNION ALL SELECT 'split', least(x.id, y.id), greatest(x.id, y.id), -1 FROM span x JOIN span y ON x.group_id = y.group_id AND x.id % 3 = 0 AND y.id % 3 > 0
+UNION ALL SELECT 'confirm', group_id, id, 1 FROM one WHERE id > group_id UNION ALL SELECT 'split_all', x.id, y.id, -1 FROM one x JOIN one y ON x.id < y.id UNION ALL SELECT 'split_all', a, b, 0 FROM l WHERE a IN (SELECT id FROM one) AND b IN (SELECT id FROM one)""")
 def correction_edits(spark, d):
     """Merge, split, confirm and split all, as edits; what stood between the rows before goes."""
-    g = _rows(spark, [("u", 1, 1), ("u", 1, 2), ("u", 1, 3), ("u", 4, 4), ("u", 4, 5), ("v", 6, 6), ("v", 6, 7)], "unit string, group_id long, id long")
-    links = _rows(spark, [(1, 3, 1), (4, 5, -1), (6, 7, 1)], "a long, b long, sign int")
-    pick = lambda *ids: _rows(spark, [(i,) for i in ids], "id long")
+    from pyspark.sql import Window
+
+    g = table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("unit"), F.min("s_suppkey").over(Window.partitionBy("s_nationkey", F.col("s_suppkey") % 2)).alias("group_id"), F.col("s_suppkey").alias("id"))
+    links = g.where("id > group_id").select(F.col("group_id").alias("a"), F.col("id").alias("b"), F.lit(1).alias("sign"))
+    picked = g.where("id % 3 = 0").select("id")
+    one = g.orderBy("unit", "group_id").first()  # the group that somebody looks at
     made = {
-        "merge": similarity.merge_edits(g, pick(2, 3, 4), links.where("a != 1"), 1), "split": similarity.split_edits(g, pick(2), links, 1), "confirm": similarity.confirm_edits(g, "u", 1, 1), "split_all": similarity.split_all_edits(g, "u", 1, links, 1),
+        "merge": similarity.merge_edits(g, picked, links, 1), "split": similarity.split_edits(g, picked, links, 1), "confirm": similarity.confirm_edits(g, one.unit, one.group_id, 1), "split_all": similarity.split_all_edits(g, one.unit, one.group_id, links, 1),
     }
     return results.union_all({k: v.drop("seq") for k, v in made.items()}).select(F.col("set").alias("edit"), "a", "b", "sign")
 
