@@ -150,3 +150,22 @@ def test_leaders_take_time_linear_in_rows():
     assert label.max() > 20_000 and time.perf_counter() - began < 30
     lat[7] = np.nan
     assert len(geo.leaders(lat[:200], lon[:200], 5.0)) == 200
+
+
+def test_centres_equally_far_are_told_apart_as_by_sql(spark):
+    """Running means and the C library's sines, step by step: users whose rows lay between two centres went to the other one (0.1 GB of events)."""
+    import duckdb
+
+    import __spark_entry__ as e
+
+    path = fresh_path(spark, "tied").removeprefix("file://")
+    # the users of the copies that differed, rebuilt from the small table with shifted keys
+    db = duckdb.connect()
+    src = "/root/testdata/sf0.1/events.parquet"
+    db.sql(f"CREATE TABLE events AS SELECT * REPLACE (event_id + 100000 * k AS event_id, user_id + 1500 * k AS user_id) FROM '{src}', (VALUES (2, 183), (2, 350), (4, 719)) v(k, u) WHERE user_id = u")
+    import pathlib
+
+    pathlib.Path(path).mkdir(parents=True)
+    db.sql(f"COPY events TO '{path}/events.parquet'")
+    got, want = e.queries()["location_clusters"](spark, f"file://{path}").collect(), db.sql(e.oracle_sql()["location_clusters"]).fetchall()
+    assert sorted(tuple(r[c] for c in ("unit", "cluster", "n", "lat", "lon")) for r in got) == sorted(want)

@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnowlane.functions.capture import EARTH_KM, haversine_km, position_label
+from winnowlane.operators.order import fold_units
 
 
 def _km(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
@@ -17,6 +17,13 @@ def _km(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarra
     return 2 * EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(a)))
 
 
+def _km_one(lat: float, lon: float, lat2: float, lon2: float) -> float:
+    """The same by the C library's functions, as databases take them: numpy's may differ in the last bit, which decides between centres equally far."""
+    one = math.pi / 180
+    x, y = math.sin((lat - lat2) * one / 2), math.sin((lon - lon2) * one / 2)
+    return 2 * EARTH_KM * math.asin(min(1.0, math.sqrt(x * x + math.cos(lat2 * one) * math.cos(lat * one) * (y * y))))
+
+
 #: Centres up to which each point is compared with all.
 FEW_CENTRES = 64
 
@@ -46,50 +53,75 @@ class _Grid:
             self.filed[k] = cell
         self.cells.setdefault(cell, []).append(k)
 
-    def around(self, lat: float, lon: float) -> np.ndarray:
+    def around(self, lat: float, lon: float) -> list[int]:
         x, y, z = self.cell(lat, lon)
-        return np.array(sorted(k for i in (x - 1, x, x + 1) for j in (y - 1, y, y + 1) for m in (z - 1, z, z + 1) for k in self.cells.get((i, j, m), ())), np.int64)
+        return sorted(k for i in (x - 1, x, x + 1) for j in (y - 1, y, y + 1) for m in (z - 1, z, z + 1) for k in self.cells.get((i, j, m), ()))
 
 
 def leaders(lat: np.ndarray, lon: np.ndarray, radius: float, few: int = FEW_CENTRES) -> np.ndarray:
-    """Cluster of each point, in order: the nearest centre within the radius, else a new one; centres are running means.
+    """Cluster of each point, in order: the nearest centre within the radius, else a new one; centres are running means."""
+    return np.array(_leaders(np.asarray(lat, float).tolist(), np.asarray(lon, float).tolist(), radius, few)[0], np.int64)
+
 
-    Beyond ``few`` centres a point looks at those in the cells around it only, so time follows the points, not points times centres.
+def _leaders(lat: list[float], lon: list[float], radius: float, few: int = FEW_CENTRES) -> tuple[list[int], list[list]]:
+    """leaders(), and latitude, longitude and points of each centre.
+
+    Means move as (mean * n + x) / (n + 1) from point to point, and the older of equally near centres holds. Beyond
+    ``few`` centres a point looks at those in the cells around it only, so time follows the points, not points times centres.
     """
-    out = np.empty(len(lat), np.int64)
-    sums = np.zeros((len(lat), 3))
+    out, mid = [], []
     # a position that is no number has no cell
-    grid = _Grid(radius) if len(lat) > few and np.isfinite(lat).all() and np.isfinite(lon).all() else None
-    n = 0
-    for i in range(len(lat)):
-        k = -1
-        at = np.arange(n) if grid is None or n <= few else grid.around(lat[i], lon[i])
-        if len(at):
-            d = _km(lat[i], lon[i], sums[at, 0] / sums[at, 2], sums[at, 1] / sums[at, 2])
-            j = int(d.argmin())
-            k = int(at[j]) if d[j] <= radius else -1
-        if k < 0:
-            k, n = n, n + 1
-        sums[k] += lat[i], lon[i], 1
-        out[i] = k
+    grid = _Grid(radius) if len(lat) > few and all(map(math.isfinite, lat)) and all(map(math.isfinite, lon)) else None
+    for y, x in zip(lat, lon):
+        at = range(len(mid)) if grid is None or len(mid) <= few else grid.around(y, x)
+        if len(at) > FEW_CENTRES:  # the nearest by arrays, what the last bits decide one by one
+            there = np.array([mid[k][:2] for k in at])
+            d = _km(y, x, there[:, 0], there[:, 1])
+            at = [at[i] for i in np.flatnonzero(d <= np.nanmin(d, initial=np.inf) + 1e-6).tolist()]
+        best, near = -1, math.inf
+        for k in at:
+            d = _km_one(y, x, mid[k][0], mid[k][1]) if math.isfinite(y + x + mid[k][0] + mid[k][1]) else math.nan
+            if d < near:
+                best, near = k, d
+        if near <= radius:
+            c = mid[best]
+            c[0], c[1], c[2] = (c[0] * c[2] + y) / (c[2] + 1), (c[1] * c[2] + x) / (c[2] + 1), c[2] + 1
+        else:
+            best = len(mid)
+            mid.append([y, x, 1])
+        out.append(int(best))
         if grid is not None:
-            grid.file(k, sums[k, 0] / sums[k, 2], sums[k, 1] / sums[k, 2])
-    return out
+            grid.file(int(best), mid[best][0], mid[best][1])
+    return out, mid
+
+
+def _placed(rows: DataFrame, by: str, when: str, key: str, work, schema: str) -> DataFrame:
+    """work(unit, columns) over each ``by``'s rows with a position, in the order of time (missing last) and key."""
+    here = rows.where("lat IS NOT NULL AND lon IS NOT NULL").select(by, key, when, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    return fold_units(here, by, [F.col(when).asc_nulls_last(), F.col(key).asc_nulls_last()], work, schema, [by, key, "lat", "lon"])
 
 
 def locations(rows: DataFrame, radius_km: float, by: str, when: str = "ts", key: str = "id") -> DataFrame:
-    """by, id, cluster, lat, lon of every row with a position: an order-dependent fold, one ``by`` to a task.
+    """by, id, cluster, lat, lon of every row with a position: an order-dependent fold, one ``by`` after another in a task.
 
     Rows are taken in the order of time (missing last) and key. Rows without a position have no cluster.
     """
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (by, key)}
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([when, key], na_position="last", kind="stable")
-        return pd.DataFrame({by: pdf[by], key: pdf[key], "cluster": leaders(pdf.lat.to_numpy(float), pdf.lon.to_numpy(float), radius_km), "lat": pdf.lat.astype(float), "lon": pdf.lon.astype(float)})
+    def fold(u, c: dict[str, list]) -> dict[str, list]:
+        return {by: c[by], key: c[key], "cluster": _leaders(c["lat"], c["lon"], radius_km)[0], "lat": c["lat"], "lon": c["lon"]}
+
+    return _placed(rows, by, when, key, fold, f"{by} {kinds[by]}, {key} {kinds[key]}, cluster long, lat double, lon double")
+
+
+def leader_centres(rows: DataFrame, radius_km: float, by: str, when: str = "ts", key: str = "id") -> DataFrame:
+    """by, cluster, n, lat, lon of the clusters of locations(), with the running means that rows were held against."""
+
+    def fold(u, c: dict[str, list]) -> dict[str, list]:
+        mid = _leaders(c["lat"], c["lon"], radius_km)[1]
+        return {by: [u] * len(mid), "cluster": list(range(len(mid))), "n": [m[2] for m in mid], "lat": [m[0] for m in mid], "lon": [m[1] for m in mid]}
 
-    here = rows.where("lat IS NOT NULL AND lon IS NOT NULL").select(by, key, when, "lat", "lon")
-    return here.groupBy(by).applyInPandas(fold, f"{by} {kinds[by]}, {key} {kinds[key]}, cluster long, lat double, lon double")
+    return _placed(rows, by, when, key, fold, f"{by} {rows.schema[by].dataType.simpleString()}, cluster long, n long, lat double, lon double")
 
 
 def centres(located: DataFrame, by: str) -> DataFrame:

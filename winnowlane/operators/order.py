@@ -70,15 +70,15 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema).fields])
 
 
-def fold_units(rows: DataFrame, unit: str, order: list[str], work: Callable[[object, dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
+def fold_units(rows: DataFrame, unit: str, order: list[str | Column], work: Callable[[object, dict[str, list]], dict[str, list]], schema: str, columns: list[str] | None = None) -> DataFrame:
     """work(unit, columns as lists in the order) of every unit, one after another in its task; it gives columns of ``schema``.
 
     For folds over very many small units: nothing is set up anew for each. A task holds one unit at a time, and what
-    a batch of them gives. Null units are one unit.
+    a batch of them gives. Null units are one unit. ``columns`` are those that work() sees, all if not given.
     """
-    dealt = rows.repartition(parts(rows.sparkSession), unit).sortWithinPartitions(unit, *order)
+    columns = columns or rows.columns
+    dealt = rows.repartition(parts(rows.sparkSession), unit).sortWithinPartitions(unit, *order).select(*columns)
     names = [c.split()[0] for c in schema.split(", ")]
-    columns = rows.columns
     kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

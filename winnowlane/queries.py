@@ -369,8 +369,10 @@ s(unit, i, c) AS (SELECT unit, CAST(0 AS BIGINT), CAST([] AS STRUCT(lat DOUBLE,
  FROM (SELECT s.unit, p.i, s.c, p.lat, p.lon, list_transform(s.c, lambda v: {KM.format('v.lat', 'p.lat', 'v.lon', 'p.lon')}) AS d FROM s JOIN p ON p.unit = s.unit AND p.i = s.i + 1))
 SELECT unit, CAST(k - 1 AS BIGINT) AS cluster, c[k].n AS n, round(c[k].lat, 6) AS lat, round(c[k].lon, 6) AS lon FROM (SELECT unit, c, generate_subscripts(c, 1) AS k FROM s WHERE (unit, i) IN (SELECT unit, max(i) FROM p GROUP BY 1))""")
 def location_clusters(spark, d):
-    s = geo.locations(adapters.shots(spark, d), 2.0, "unit")
-    return geo.centres(s, "unit").select("unit", "cluster", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    c = geo.leader_centres(adapters.shots(spark, d), 2.0, "unit")
+    # rounded in binary, as SQL does: round() of a column goes by the decimal digits
+    six = lambda x: (F.round(F.col(x) * 1e6) / 1e6).alias(x)
+    return c.select("unit", "cluster", "n", six("lat"), six("lon"))
 
 
 # ---- passes and ranking
