@@ -196,3 +196,42 @@ def test_small_cells_are_no_small_blocks(spark):
     began = time.perf_counter()
     assert sorted(map(tuple, similarity.close_pairs(frame, 20, block=2).collect())) == brute(rows, 20)
     assert time.perf_counter() - began < 60
+
+
+def test_folds_from_signatures_equal_folds_from_distances():
+    rng = random.Random(8)
+    rows = signatures(rng, ["u"], 300, 12, 6)
+    hi, lo = (np.array([r[k] for r in rows], np.int64) for k in (2, 3))
+    sig = similarity._packed(hi, lo)
+    d = np.bitwise_count(sig[:, None] ^ sig[None, :])
+    for t in (0, 4, 9, 20):
+        assert similarity.strict_labels_of(sig, t).tolist() == similarity.strict_labels(d, t).tolist()
+        assert similarity.union_labels_of(sig, t).tolist() == similarity.union_labels(d <= t).tolist()
+
+
+def test_folds_and_corrections_hold_rows_not_their_square():
+    """All distances of 12,000 rows, or links of 12,000 groups with each other, would take hundreds of MB."""
+    import tracemalloc
+
+    n = 12_000
+    sig = np.random.default_rng(1).integers(0, 2**63, n).astype(np.uint64)
+    tracemalloc.start()
+    label = similarity.strict_labels_of(sig, 10)
+    got = similarity.correct(label, {(0, 1)}, [(0, n - 1), (5, 6)])
+    assert tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+    assert got[0] == got[n - 1] and got[5] == got[6]
+
+
+def test_forest_of_blocks_is_the_forest_of_all_pairs(spark, grouped):
+    want = sorted(similarity.spanning_forest(similarity.close_pairs(grouped, 20)).collect())
+    assert sorted(similarity.near_forest(grouped, 20, block=50).collect()) == want
+    assert sorted(similarity.spanning_forest(similarity.close_pairs(grouped, 20), unit_pairs=700).collect()) == want
+
+
+def test_score_of_all_pairs_makes_no_rows_of_pairs(spark, grouped):
+    rows = grouped.withColumn("group_id", F.length("id") + F.substring("id", -1, 1).cast("int") % 3)
+    same = lambda a, b: np.array([int(x[1:]) + int(y[1:]) for x, y in zip(a, b)], np.int64) % 2 == 0
+    pairs = similarity.close_pairs(rows, 64).withColumn("same", (F.substring("a", 2, 9).cast("int") + F.substring("b", 2, 9).cast("int")) % 2 == 0)
+    assert similarity.all_pairs_score(rows, same, block=40).collect() == similarity.clustering_score(pairs, rows).collect()
+    assert similarity.all_pairs_score(rows.limit(0), same).first() == (0, 0, 0, 0)

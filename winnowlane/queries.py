@@ -320,7 +320,7 @@ SELECT CAST(t AS INTEGER) AS threshold, unit, id, min(r) AS group_id FROM w JOIN
 def groups_at_stops(spark, d):
     """Groups at all nine thresholds offered, from one spanning forest: no pair is computed again."""
     s = _thrice(spark, d)
-    forest = similarity.spanning_forest(similarity.close_pairs(s, similarity.MOST))
+    forest = similarity.near_forest(s, similarity.MOST)
     out = [similarity.groups_at(forest, s, t).withColumn("threshold", F.lit(t)) for t in range(similarity.LEAST, similarity.MOST + 1, 2)]
     found = out[0]
     for more in out[1:]:
