@@ -235,3 +235,31 @@ def test_score_of_all_pairs_makes_no_rows_of_pairs(spark, grouped):
     pairs = similarity.close_pairs(rows, 64).withColumn("same", (F.substring("a", 2, 9).cast("int") + F.substring("b", 2, 9).cast("int")) % 2 == 0)
     assert similarity.all_pairs_score(rows, same, block=40).collect() == similarity.clustering_score(pairs, rows).collect()
     assert similarity.all_pairs_score(rows.limit(0), same).first() == (0, 0, 0, 0)
+
+
+def test_replays_and_image_work_are_dealt_to_tasks(spark, monkeypatch):
+    """No group of its own for each small unit; a small file of records is more than one task's."""
+    import __spark_entry__ as e
+
+    plan = lambda q: e.queries()[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan("replayed_rankings")
+    for q in ("image_hashes", "capture_roundtrip", "sniffed_kinds"):
+        assert "Repartition" in plan(q)
+
+
+def test_stacked_images_equal_single_ones():
+    import pandas as pd
+
+    from winnowlane.functions import signature
+
+    rng = np.random.default_rng(2)
+    sides = [(20, 30), (20, 30), (9, 8), (2, 5), (300, 400)] * 3
+    grey = [rng.integers(0, 256, h * w).astype(np.float32) for h, w in sides] + [np.ones(1, np.float32), None]
+    sides += [(20, 30)] * 2
+    args = [pd.Series(x) for x in (pd.Series(grey, dtype=object), [w for _, w in sides], [h for h, _ in sides])]
+    turns = [pd.Series([i % 4 for i in range(len(grey))]), pd.Series([i % 2 == 0 for i in range(len(grey))])]
+    for work, given in ((signature.image_features, args), (signature.derivatives, args + turns)):
+        whole = work.func(*given)
+        single = pd.concat([work.func(*(a.iloc[i : i + 1] for a in given)) for i in range(len(grey))], ignore_index=True)
+        assert whole.map(repr).equals(single.map(repr)) and whole.err.notna().sum() == 2
+    assert signature._stacked(*args, [()] * len(grey), lambda g: [signature.gradient_hash(x) for x in g])[0] == signature.gradient_hash(grey[0].reshape(20, 30))

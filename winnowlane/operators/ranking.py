@@ -11,11 +11,10 @@ import math
 from collections.abc import Callable, Generator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnowlane.operators.order import fold_units, none
+from winnowlane.operators.order import fold_units
 from winnowlane.operators.staged import shuffled
 
 #: Multiplier that varies the draw from place to place.
@@ -200,15 +199,17 @@ def rank_from_log(pool: DataFrame, ops: DataFrame, target: int, seed: int) -> Da
     """unit, id, place, decided, broke: rankings rebuilt from op logs (unit, seq, type, mid, winner)."""
     schema = f"unit {pool.schema['unit'].dataType.simpleString()}, id {pool.schema['id'].dataType.simpleString()}, place long, decided boolean, broke string"
 
-    def fold(key, members: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        steps = [{"t": x.type, "m": x.mid, "w": x.winner} for x in log.sort_values("seq").itertuples()]
-        r = replay(sorted(members.id.tolist()), target, seed, steps)
-        out = r.ranking()
-        if not out:  # a log without a pool
-            return none(schema)
-        return pd.DataFrame({"unit": key[0], "id": out, "place": range(1, len(out) + 1), "decided": [i < len(r.places) for i in range(len(out))], "broke": r.broke})
+    def fold(u, c: dict[str, list]) -> dict[str, list]:
+        members = [x for x, own in zip(c["id"], c["member"]) if own]
+        steps = [{"t": t, "m": m, "w": w} for t, m, w, own in zip(c["type"], c["mid"], c["winner"], c["member"]) if not own]
+        r = replay(sorted(members), target, seed, steps)
+        out = r.ranking()  # empty: a log without a pool
+        n = len(out)
+        return {"unit": [u] * n, "id": out, "place": list(range(1, n + 1)), "decided": [i < len(r.places) for i in range(n)], "broke": [r.broke] * n}
 
-    return pool.groupBy("unit").cogroup(ops.groupBy("unit")).applyInPandas(fold, schema)
+    # a pool and its log come as rows of one unit, the log in its order
+    both = pool.select("unit", "id", F.lit(True).alias("member")).unionByName(ops.select("unit", "seq", "type", "mid", "winner", F.lit(False).alias("member")), allowMissingColumns=True)
+    return fold_units(both, "unit", [F.col("seq").asc_nulls_last()], fold, schema, ["unit", "id", "member", "type", "mid", "winner"])
 
 
 def undo(ops: DataFrame, unit: str = "unit") -> DataFrame:
