@@ -74,32 +74,39 @@ def luma(r, g, b) -> np.ndarray:
 
 
 def shrink(grey: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Box means; nearest pixels where the target is larger."""
-    h, w = grey.shape
+    """Box means; nearest pixels where the target is larger. Here and below one image, or a stack of equal sides."""
+    h, w = grey.shape[-2:]
     if height > h or width > w:
-        return grey[np.minimum(h - 1, np.arange(height) * h // height)][:, np.minimum(w - 1, np.arange(width) * w // width)].astype(float)
+        return grey[..., np.minimum(h - 1, np.arange(height) * h // height), :][..., np.minimum(w - 1, np.arange(width) * w // width)].astype(float)
     rows, cols = np.arange(h) * height // h, np.arange(w) * width // w
     at_row, at_col = np.searchsorted(rows, np.arange(height)), np.searchsorted(cols, np.arange(width))
-    total = np.add.reduceat(np.add.reduceat(grey.astype(float), at_row, axis=0), at_col, axis=1)
+    total = np.add.reduceat(np.add.reduceat(grey.astype(float), at_row, axis=-2), at_col, axis=-1)
     return total / np.outer(np.bincount(rows, minlength=height), np.bincount(cols, minlength=width))
 
 
-def _hex(bits: np.ndarray) -> str:
-    return np.packbits(bits.ravel()).tobytes().hex()
+def _hex(bits: np.ndarray):
+    """16 digits of 64 bits; a list of them for a stack."""
+    if bits.ndim == 2:
+        return np.packbits(bits.ravel()).tobytes().hex()
+    return [x.tobytes().hex() for x in np.packbits(bits.reshape(len(bits), -1), axis=1)]
 
 
-def gradient_hash(grey: np.ndarray) -> str:
+def _variance(x: np.ndarray):
+    return x.var() if x.ndim == 2 else x.reshape(len(x), -1).var(axis=1)
+
+
+def gradient_hash(grey: np.ndarray):
     """Signs of horizontal steps on a grid of 8 rows and 9 columns; set where it darkens to the right."""
     g = shrink(grey, 8, 9)
-    return _hex(g[:, :-1] > g[:, 1:])
+    return _hex(g[..., :-1] > g[..., 1:])
 
 
-def ingest_hash(grey: np.ndarray) -> str:
+def ingest_hash(grey: np.ndarray):
     """Signs of horizontal steps of a grid of 8 rows and 9 columns sampled between pixels; set where it brightens to the right.
 
     A family of its own: neither its sampling nor its sense is gradient_hash()'s.
     """
-    h, w = grey.shape
+    h, w = grey.shape[-2:]
     g = grey.astype(float)
 
     def sample(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,19 +116,20 @@ def ingest_hash(grey: np.ndarray) -> str:
 
     y0, y1, ty = sample(8, h)
     x0, x1, tx = sample(9, w)
-    upper = g[np.ix_(y0, x0)] * (1 - tx) + g[np.ix_(y0, x1)] * tx
-    lower = g[np.ix_(y1, x0)] * (1 - tx) + g[np.ix_(y1, x1)] * tx
+    at = lambda y, x: g[..., y[:, None], x[None, :]]
+    upper = at(y0, x0) * (1 - tx) + at(y0, x1) * tx
+    lower = at(y1, x0) * (1 - tx) + at(y1, x1) * tx
     small = upper * (1 - ty)[:, None] + lower * ty[:, None]
-    return _hex(small[:, :-1] < small[:, 1:])
+    return _hex(small[..., :-1] < small[..., 1:])
 
 
-def raw_sharpness(grey: np.ndarray) -> float:
+def raw_sharpness(grey: np.ndarray):
     """Variance of the Laplacian as it is, to two decimals; 0 of images under three pixels."""
-    if min(grey.shape) < 3:
-        return 0.0
+    if min(grey.shape[-2:]) < 3:
+        return 0.0 if grey.ndim == 2 else [0.0] * len(grey)
     g = grey.astype(float)
-    lap = g[1:-1, :-2] + g[1:-1, 2:] + g[:-2, 1:-1] + g[2:, 1:-1] - 4 * g[1:-1, 1:-1]
-    return float(np.floor(lap.var() * 100 + 0.5) / 100)
+    lap = g[..., 1:-1, :-2] + g[..., 1:-1, 2:] + g[..., :-2, 1:-1] + g[..., 2:, 1:-1] - 4 * g[..., 1:-1, 1:-1]
+    return (np.floor(_variance(lap) * 100 + 0.5) / 100).tolist()
 
 
 def fitted(w: int, h: int, longest: int) -> tuple[int, int]:
@@ -132,7 +140,7 @@ def fitted(w: int, h: int, longest: int) -> tuple[int, int]:
 
 def turned(grey: np.ndarray, quarter_turns: int, mirrored: bool) -> np.ndarray:
     """An image mirrored left to right, if it is to be, and then turned clockwise."""
-    return np.rot90(grey[:, ::-1] if mirrored else grey, -quarter_turns)
+    return np.rot90(grey[..., ::-1] if mirrored else grey, -quarter_turns, axes=(-2, -1))
 
 
 @lru_cache(maxsize=1)
@@ -141,24 +149,55 @@ def _cosines() -> np.ndarray:
     return np.cos((2 * n[None, :] + 1) * n[:, None] * np.pi / (2 * GRID))
 
 
-def frequency_hash(grey: np.ndarray) -> str:
+def frequency_hash(grey: np.ndarray):
     """Low frequencies of a cosine transform against their median; the constant part's bit stays 0."""
-    low = (_cosines() @ shrink(grey, GRID, GRID) @ _cosines().T)[:CORNER, :CORNER]
-    bits = low > np.median(low.ravel()[1:])
-    bits[0, 0] = False
+    low = (_cosines() @ shrink(grey, GRID, GRID) @ _cosines().T)[..., :CORNER, :CORNER]
+    bits = low > np.median(low.reshape(*low.shape[:-2], -1)[..., 1:], axis=-1)[..., None, None]
+    bits[..., 0, 0] = False
     return _hex(bits)
 
 
-def sharpness(grey: np.ndarray) -> float:
+def sharpness(grey: np.ndarray):
     """Variance of the Laplacian against the image's own, at no more than SHARP_EDGE pixels an edge."""
-    h, w = grey.shape
+    h, w = grey.shape[-2:]
     top = min(SHARP_EDGE, max(h, w))
     sh, sw = (max(1, int(np.floor(h / w * top + 0.5))), top) if w >= h else (top, max(1, int(np.floor(w / h * top + 0.5))))
     g = shrink(grey, sh, sw) if (sh, sw) != (h, w) else grey.astype(float)
     if min(sh, sw) < 3:
-        return 0.0
-    lap = 4 * g[1:-1, 1:-1] - g[1:-1, :-2] - g[1:-1, 2:] - g[:-2, 1:-1] - g[2:, 1:-1]
-    return max(0.0, float(lap.var() / max(g.var(), 1e-6)))
+        return 0.0 if grey.ndim == 2 else [0.0] * len(grey)
+    lap = 4 * g[..., 1:-1, 1:-1] - g[..., 1:-1, :-2] - g[..., 1:-1, 2:] - g[..., :-2, 1:-1] - g[..., 2:, 1:-1]
+    return np.maximum(0.0, _variance(lap) / np.maximum(_variance(g), 1e-6)).tolist()
+
+
+#: Numbers of pixels stacked at once.
+STACK = 1 << 20
+
+
+def _stacked(grey: pd.Series, w: pd.Series, h: pd.Series, more: list[tuple], work) -> list[tuple]:
+    """work(images, *more) of each image, images of equal sides (and equal ``more``) as one stack; it gives a list of results and may fail.
+
+    A stack that fails is done image by image, so one bad row ends nothing: its result is the error.
+    """
+    out: list = [None] * len(grey)
+    alike: dict[tuple, list[int]] = {}
+    for i, (pixels, width, height, m) in enumerate(zip(grey, w, h, more)):
+        alike.setdefault((width, height, None if pixels is None else len(pixels), m), []).append(i)
+    for (width, height, n, m), own in alike.items():
+        step = max(1, STACK // max(1, n or 1))
+        for at in range(0, len(own), step):
+            some = own[at : at + step]
+            try:
+                found = work(np.stack([np.asarray(grey.iloc[i], float) for i in some]).reshape(len(some), int(height), int(width)), *m)
+            except Exception:  # one bad row must not end the job
+                found = []
+                for i in some:
+                    try:
+                        found.append(work(np.asarray(grey.iloc[i], float).reshape(int(height), int(width))[None], *m)[0])
+                    except Exception as e:
+                        found.append(e)
+            for i, f in zip(some, found):
+                out[i] = f
+    return out
 
 
 #: Longest edges of the images derived from each.
@@ -168,17 +207,17 @@ PREVIEW, THUMB = 1600, 320
 @pandas_udf(T.StructType([T.StructField("w", T.IntegerType()), T.StructField("h", T.IntegerType()), T.StructField("preview_w", T.IntegerType()), T.StructField("preview_h", T.IntegerType()), T.StructField("thumb_w", T.IntegerType()), T.StructField("thumb_h", T.IntegerType()), T.StructField("thumb", T.BinaryType()), T.StructField("hash", T.StringType()), T.StructField("sharp", T.DoubleType()), T.StructField("err", T.StringType())]))
 def derivatives(grey: pd.Series, w: pd.Series, h: pd.Series, turns: pd.Series, mirrored: pd.Series) -> pd.DataFrame:
     """From decoded grey images in one pass: upright sides, sides of the preview, the thumbnail's grey bytes, its hash of ingest and sharpness; failures go to err."""
-    out = []
-    for pixels, width, height, r, f in zip(grey, w, h, turns, mirrored):
-        try:
-            g = turned(np.asarray(pixels, float).reshape(int(height), int(width)), int(r), bool(f))
-            uh, uw = g.shape
-            (pw, ph), (tw, th) = fitted(uw, uh, PREVIEW), fitted(uw, uh, THUMB)
-            small = shrink(g, th, tw) if (tw, th) != (uw, uh) else g
-            out.append((uw, uh, pw, ph, tw, th, np.clip(np.floor(small + 0.5), 0, 255).astype(np.uint8).tobytes(), ingest_hash(small), raw_sharpness(small), None))
-        except Exception as e:  # one bad row must not end the job
-            out.append((*[None] * 9, str(e)[:200]))
-    return pd.DataFrame(out, columns=["w", "h", "preview_w", "preview_h", "thumb_w", "thumb_h", "thumb", "hash", "sharp", "err"])
+
+    def work(stack: np.ndarray, r, f) -> list[tuple]:
+        g = turned(stack, int(r), bool(f))
+        uh, uw = g.shape[-2:]
+        (pw, ph), (tw, th) = fitted(uw, uh, PREVIEW), fitted(uw, uh, THUMB)
+        small = shrink(g, th, tw) if (tw, th) != (uw, uh) else g
+        thumb = np.clip(np.floor(small + 0.5), 0, 255).astype(np.uint8)
+        return [(uw, uh, pw, ph, tw, th, t.tobytes(), x, s, None) for t, x, s in zip(thumb, ingest_hash(small), raw_sharpness(small))]
+
+    found = _stacked(grey, w, h, list(zip(turns, mirrored)), work)
+    return pd.DataFrame([(*[None] * 9, str(x)[:200]) if isinstance(x, Exception) else x for x in found], columns=["w", "h", "preview_w", "preview_h", "thumb_w", "thumb_h", "thumb", "hash", "sharp", "err"])
 
 
 @pandas_udf(T.StructType([T.StructField("dhash", T.StringType()), T.StructField("phash", T.StringType()), T.StructField("sharp", T.DoubleType()), T.StructField("err", T.StringType())]))
@@ -187,11 +226,6 @@ def image_features(grey: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
 
     A decoder for compressed images is left to the caller: none is at hand here.
     """
-    out = []
-    for pixels, width, height in zip(grey, w, h):
-        try:
-            g = np.asarray(pixels, float).reshape(int(height), int(width))
-            out.append((gradient_hash(g), frequency_hash(g), sharpness(g), None))
-        except Exception as e:  # one bad row must not end the job
-            out.append((None, None, None, str(e)[:200]))
-    return pd.DataFrame(out, columns=["dhash", "phash", "sharp", "err"])
+    work = lambda g: [(*x, None) for x in zip(gradient_hash(g), frequency_hash(g), sharpness(g))]
+    found = _stacked(grey, w, h, [()] * len(grey), work)
+    return pd.DataFrame([(None, None, None, str(x)[:200]) if isinstance(x, Exception) else x for x in found], columns=["dhash", "phash", "sharp", "err"])
