@@ -264,3 +264,15 @@ def test_stacked_images_equal_single_ones():
         flat = lambda f: [[None if x is None or x != x else float(x) if isinstance(x, (int, float, np.number)) else x for x in r] for r in f.itertuples(index=False, name=None)]
         assert flat(whole) == flat(single) and whole.err.notna().sum() == 2
     assert signature._stacked(*args, [()] * len(grey), lambda g: [signature.gradient_hash(x) for x in g])[0] == signature.gradient_hash(grey[0].reshape(20, 30))
+
+
+def test_suffixes_ranked_by_several_symbols_at_once():
+    from winnowlane.llm import suffix
+
+    rng = np.random.default_rng(5)
+    for n in range(40):
+        base = [rng.integers(0, (2, 5, 256)[n % 3], rng.integers(1, 70)) for _ in range(4)]
+        t = np.concatenate([x for i in range(1 + n) for x in (base[rng.integers(4)][rng.integers(2) :], [256 + i])]).astype(np.int64)
+        assert suffix.first_ranks(t, 256) is not None
+        assert suffix.suffix_rows(t, 256).tolist() == suffix.suffix_rows(t).tolist()
+    assert suffix.first_ranks(np.array([1, 257, 1, 256]), 256) is None

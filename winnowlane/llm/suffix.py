@@ -33,11 +33,37 @@ U = np.uint64
 HEAD = np.dtype([("size", "<u2"), ("at", "<u2"), ("least", "<i8")])
 
 
-def suffix_rows(symbols: np.ndarray) -> np.ndarray:
-    """The suffix array of an integer text, by prefix doubling."""
+#: Symbols that are ranked at once to begin with, of nine bits each; 28 bits are left for a position.
+FIRST = 4
+
+
+def first_ranks(symbols: np.ndarray, unique_from: int) -> np.ndarray | None:
+    """Ranks of suffixes by their first symbols, up to the end of their piece; None if ends of pieces don't rise, or symbols are too many.
+
+    Equal beginnings that hold an end are told apart by it, and so by their position.
+    """
+    ends = np.flatnonzero(symbols >= unique_from)
+    if not 0 < unique_from < 512 or len(symbols) >> 28 or not len(ends) or ends[-1] != len(symbols) - 1 or (np.diff(symbols[ends]) <= 0).any():
+        return None
+    n = len(symbols)
+    left = np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(n)  # symbols up to the piece's end
+    code = np.minimum(symbols, unique_from).astype(np.uint64)
+    key = code.copy()
+    for k in range(1, FIRST):
+        key <<= U(9)
+        key[: n - k] |= np.where(left[: n - k] >= k, code[k:], U(0))
+    key = (key << U(28)) | np.where(left < FIRST, np.arange(n), 0).astype(np.uint64)
+    return np.unique(key, return_inverse=True)[1]
+
+
+def suffix_rows(symbols: np.ndarray, unique_from: int | None = None) -> np.ndarray:
+    """The suffix array of an integer text, by prefix doubling. Symbols of ``unique_from`` or more, if given, occur once each."""
     n = len(symbols)
-    _, rank = np.unique(symbols, return_inverse=True)
-    step, distinct = 1, int(rank.max()) + 1 if n else 0
+    rank, step = first_ranks(symbols, unique_from) if n and unique_from is not None else None, FIRST
+    if rank is None:
+        _, rank = np.unique(symbols, return_inverse=True)
+        step = 1
+    distinct = int(rank.max()) + 1 if n else 0
     while distinct < n:
         key = (rank.astype(np.uint64) + U(1)) << U(32)
         key[:-step] |= rank[step:].astype(np.uint64) + U(1)
@@ -53,11 +79,14 @@ def expand(symbols: np.ndarray, unique_from: int, length: int) -> tuple[np.ndarr
 
     Symbols of ``unique_from`` or more occur once each (they end pieces), so nothing matches across them.
     """
-    rows = suffix_rows(symbols)
+    rows = suffix_rows(symbols, unique_from)
     n = len(rows)
-    transform = symbols[rows - 1]  # the symbol before each suffix; the text is cyclic, its last symbol unique
-    back = np.argsort(transform, kind="stable")  # row of the suffix one symbol shorter
-    first = transform[back]
+    # the symbol before each suffix is the transform; the text is cyclic, its last symbol unique. The transform sorted, rows
+    # of equal symbols in order, is the first symbols of the rows; each comes from the row of the suffix one symbol shorter
+    rank = np.empty(n, np.int64)
+    rank[rows] = np.arange(n)
+    back = rank[np.where(rows + 1 < n, rows + 1, 0)]
+    first = symbols[rows]
     bound = np.ones(n, dtype=bool)
     bound[1:] = (first[1:] != first[:-1]) | (first[1:] >= unique_from)
     open_ = np.flatnonzero(~bound)
