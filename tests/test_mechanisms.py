@@ -276,3 +276,36 @@ def test_suffixes_ranked_by_several_symbols_at_once():
         assert suffix.first_ranks(t, 256) is not None
         assert suffix.suffix_rows(t, 256).tolist() == suffix.suffix_rows(t).tolist()
     assert suffix.first_ranks(np.array([1, 257, 1, 256]), 256) is None
+
+
+def test_pieces_are_ranked_in_shares_of_whole_grams_and_to_the_length_that_counts():
+    from winnowlane.llm import suffix
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(97, 100, 90)
+    t = np.concatenate([np.r_[base[a : a + rng.integers(50, 73)], 256 + k] for k, a in enumerate(rng.integers(0, 20, 60))]).astype(np.int64)
+    rows, bound = suffix.expand(t, 256, 50)
+    cut = lambda i: tuple(t[i : i + 50]) if i + 50 <= len(t) and not (t[i : i + 50] >= 256).any() else (i,)
+    assert sorted(rows.tolist()) == list(range(len(t)))
+    assert all(new == (cut(a) != cut(b)) for a, b, new in zip(rows[:-1], rows[1:], bound[1:]))
+    rank, order, n = suffix.dense(np.array([5, 3, 5, 3], np.uint64), 3, np.array([False, False, True, True]))
+    assert (rank.tolist(), order.tolist(), n) == ([2, 0, 3, 1], [1, 3, 0, 2], 4)
+    kind = np.sort(rng.integers(0, 400, 9000))
+    size = rng.integers(51, 74, 9000)
+    size[kind == 7] = 5000
+    got = list(suffix.shares(np.arange(9000), kind, size))
+    assert np.concatenate(got).tolist() == list(range(9000)) and len(got) > 5
+    assert all(kind[a[-1]] != kind[b[0]] for a, b in zip(got, got[1:]))
+    assert all(size[x].sum() <= suffix.SYMBOLS or len(set(kind[x].tolist())) == 1 for x in got)
+
+
+def test_least_grams_are_the_same_in_every_share():
+    from winnowlane.llm import suffix
+    from winnowlane.llm import _bytes as B
+
+    data = np.tile(np.random.default_rng(9).integers(97, 123, 40_000).astype(np.uint8), 3)
+    grams, at = suffix.least_grams(data, 28, 23)
+    assert grams.tolist() == B.FIRST.bytes_windows(data, 28).tolist()
+    runs = np.lib.stride_tricks.sliding_window_view(grams >> np.uint64(16), 23)
+    assert at.tolist() == (runs.argmin(axis=1) + np.arange(len(at))).tolist()
+    assert [len(x) for x in suffix.least_grams(data[:50], 28, 23)] == [23, 1]

@@ -33,17 +33,40 @@ U = np.uint64
 HEAD = np.dtype([("size", "<u2"), ("at", "<u2"), ("least", "<i8")])
 
 
-#: Symbols that are ranked at once to begin with, of nine bits each; 28 bits are left for a position.
+#: Symbols that are ranked at once to begin with, of nine bits each.
 FIRST = 4
+#: Symbols of pieces that are sorted together, and grams compared together: what fits a core's cache.
+SYMBOLS, GRAMS = 1 << 16, 1 << 15
+
+
+def dense(key: np.ndarray, bits: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Dense ranks of keys of so many bits, positions in order of key (and position, if few or some are ``apart``), and the number of ranks. Positions ``apart`` share no rank."""
+    n = len(key)
+    low = max(1, (n - 1).bit_length())
+    if bits + low <= 64:  # key and position are one number
+        key = np.sort((key << U(low)) | np.arange(n, dtype=np.uint64))
+        order = (key & U((1 << low) - 1)).astype(np.int64)
+        key >>= U(low)
+    else:
+        order = np.argsort(key, kind=None if apart is None else "stable")
+        key = key[order]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    if apart is not None:
+        new |= apart[order]
+    number = np.cumsum(new) - 1
+    rank = np.empty(n, np.int64)
+    rank[order] = number
+    return rank, order, int(number[-1]) + 1
 
 
-def first_ranks(symbols: np.ndarray, unique_from: int) -> np.ndarray | None:
+def first_ranks(symbols: np.ndarray, unique_from: int) -> tuple[np.ndarray, np.ndarray, int] | None:
     """Ranks of suffixes by their first symbols, up to the end of their piece; None if ends of pieces don't rise, or symbols are too many.
 
     Equal beginnings that hold an end are told apart by it, and so by their position.
     """
     ends = np.flatnonzero(symbols >= unique_from)
-    if not 0 < unique_from < 512 or len(symbols) >> 28 or not len(ends) or ends[-1] != len(symbols) - 1 or (np.diff(symbols[ends]) <= 0).any():
+    if not 0 < unique_from < 512 or not len(ends) or ends[-1] != len(symbols) - 1 or (np.diff(symbols[ends]) <= 0).any():
         return None
     n = len(symbols)
     left = np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(n)  # symbols up to the piece's end
@@ -52,34 +75,34 @@ def first_ranks(symbols: np.ndarray, unique_from: int) -> np.ndarray | None:
     for k in range(1, FIRST):
         key <<= U(9)
         key[: n - k] |= np.where(left[: n - k] >= k, code[k:], U(0))
-    key = (key << U(28)) | np.where(left < FIRST, np.arange(n), 0).astype(np.uint64)
-    return np.unique(key, return_inverse=True)[1]
+    return dense(key, 9 * FIRST, left < FIRST)
 
 
-def suffix_rows(symbols: np.ndarray, unique_from: int | None = None) -> np.ndarray:
-    """The suffix array of an integer text, by prefix doubling. Symbols of ``unique_from`` or more, if given, occur once each."""
+def suffix_rows(symbols: np.ndarray, unique_from: int | None = None, depth: int | None = None) -> np.ndarray:
+    """The suffix array of an integer text, by prefix doubling, as far as the first ``depth`` symbols order it (by position then). Symbols of ``unique_from`` or more, if given, occur once each."""
     n = len(symbols)
-    rank, step = first_ranks(symbols, unique_from) if n and unique_from is not None else None, FIRST
-    if rank is None:
-        _, rank = np.unique(symbols, return_inverse=True)
-        step = 1
-    distinct = int(rank.max()) + 1 if n else 0
-    while distinct < n:
-        key = (rank.astype(np.uint64) + U(1)) << U(32)
+    if not n:
+        return np.zeros(0, np.int64)
+    found, step = first_ranks(symbols, unique_from) if unique_from is not None else None, FIRST
+    if found is None:
+        found, step = dense(symbols.astype(np.uint64), 64), 1
+    rank, rows, distinct = found
+    while distinct < n and (depth is None or step < depth):
+        wide = distinct.bit_length()
+        key = rank.astype(np.uint64) << U(wide)
         key[:-step] |= rank[step:].astype(np.uint64) + U(1)
-        _, rank = np.unique(key, return_inverse=True)
-        distinct, step = int(rank.max()) + 1, 2 * step
-    rows = np.empty(n, np.int64)
-    rows[rank] = np.arange(n)
+        rank, rows, distinct = dense(key, 2 * wide)
+        step *= 2
     return rows
 
 
 def expand(symbols: np.ndarray, unique_from: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of a text, and for each of its rows whether it shares fewer than ``length`` symbols with the row above.
+    """Suffix array of a text (as far as ``length`` symbols order it), and for each of its rows whether it shares fewer than ``length`` symbols with the row above.
 
-    Symbols of ``unique_from`` or more occur once each (they end pieces), so nothing matches across them.
+    Symbols of ``unique_from`` or more occur once each (they end pieces), so nothing matches across them. Rows that share
+    ``length`` symbols may stand in any order: none of the boundaries looked for is between them, nor between their suffixes one symbol shorter.
     """
-    rows = suffix_rows(symbols, unique_from)
+    rows = suffix_rows(symbols, unique_from, length)
     n = len(rows)
     # the symbol before each suffix is the transform; the text is cyclic, its last symbol unique. The transform sorted, rows
     # of equal symbols in order, is the first symbols of the rows; each comes from the row of the suffix one symbol shorter
@@ -90,25 +113,48 @@ def expand(symbols: np.ndarray, unique_from: int, length: int) -> tuple[np.ndarr
     bound = np.ones(n, dtype=bool)
     bound[1:] = (first[1:] != first[:-1]) | (first[1:] >= unique_from)
     open_ = np.flatnonzero(~bound)
+    here, above = back[open_], back[open_ - 1]
     for _ in range(1, length):
         if not len(open_):
             break
         upto = np.cumsum(bound, dtype=np.int32)
-        new = upto[back[open_]] != upto[back[open_ - 1]]
+        new = upto.take(here) != upto.take(above)
         bound[open_[new]] = True
-        open_ = open_[~new]
+        open_, here, above = open_[~new], here[~new], above[~new]
     return rows, bound
 
 
-def minima(grams: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` grams, the position of the leftmost least."""
-    value, at, have = grams, np.arange(len(grams), dtype=np.int32), 1
-    while have < width:
-        step = min(have, width - have)
-        later = value[step:] < value[: len(value) - step]
-        value, at = np.where(later, value[step:], value[: len(value) - step]), np.where(later, at[step:], at[: len(at) - step])
-        have += step
-    return at
+def shares(items: np.ndarray, kind: np.ndarray, size: np.ndarray):
+    """Items, in order of kind, parted where the kind changes: of at most SYMBOLS in all, if one kind has not more."""
+    done, edge = np.cumsum(size), np.r_[np.flatnonzero(np.diff(kind)) + 1, len(items)]
+    x = 0
+    while x < len(items):
+        most = np.searchsorted(done, (done[x - 1] if x else 0) + SYMBOLS, "right")
+        k = np.searchsorted(edge, most, "right") - 1
+        y = int(edge[k]) if k >= 0 and edge[k] > x else int(edge[np.searchsorted(edge, x, "right")])
+        yield items[x:y]
+        x = y
+
+
+def least_grams(data: np.ndarray, gram: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams, and for each run of ``width`` of them the position of the leftmost least.
+
+    Least is judged by the upper 48 bits of a hash; the lower 16 hold the place in a share of the data meanwhile.
+    """
+    n = len(data) - gram + 1
+    grams, at = np.empty(n, U), np.empty(n - width + 1, np.int64)
+    place = np.arange(GRAMS + width, dtype=np.uint64)
+    for x in range(0, len(at), GRAMS):
+        y = min(x + GRAMS, len(at)) + width - 1
+        own = B.FIRST.bytes_windows(data[x : y + gram - 1], gram)
+        grams[x:y] = own
+        value, have = (own & ~U(0xFFFF)) | place[: y - x], 1
+        while have < width:
+            step = min(have, width - have)
+            value = np.minimum(value[step:], value[: len(value) - step])
+            have += step
+        at[x : x + len(value)] = (value & U(0xFFFF)).astype(np.int64) + x
+    return grams, at
 
 
 class _Bytes:
@@ -124,8 +170,7 @@ class _Bytes:
             self.key = np.zeros(0, U)
             return
         gram = min(GRAM, length)
-        grams = B.FIRST.bytes_windows(self.data, gram)
-        at = minima(grams, length - gram + 1)
+        grams, at = least_grams(self.data, gram, length - gram + 1)
         ok = self.doc[: len(at)] == self.doc[length - 1 :]
         new = np.ones(len(at), dtype=bool)
         new[1:] = (at[1:] != at[:-1]) | ~ok[:-1] | (self.doc[1 : len(at)] != self.doc[: len(at) - 1])
@@ -280,23 +325,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         windows = size[one] - length + 1
         begin = np.cumsum(windows) - windows
         found = np.repeat(least, windows)
-        if len(mixed):
-            span = size[one[mixed]] + 1
+        # gram after gram, in shares of some thousand pieces: windows that are equal have one gram
+        mixed = mixed[np.argsort(kind[mixed], kind="stable")]
+        for own in shares(mixed, kind[mixed], size[one[mixed]] + 1):
+            span = size[one[own]] + 1
             end = np.cumsum(span) - 1
             symbols = np.empty(int(span.sum()), np.int64)
             inner = np.ones(len(symbols), bool)
             inner[end] = False
-            symbols[inner] = data[B.ragged(start[one[mixed]], span - 1)]
-            symbols[end] = 256 + np.arange(len(mixed))
+            symbols[inner] = data[B.ragged(start[one[own]], span - 1)]
+            symbols[end] = 256 + np.arange(len(own))
             sa, bound = expand(symbols, 256, length)
-            piece = np.repeat(np.arange(len(mixed)), span)
+            piece = np.repeat(np.arange(len(own)), span)
             within = np.arange(len(symbols)) - (end - span + 1)[piece]
             valid = within <= (span - 1 - length)[piece]
-            value = np.where(valid, least[mixed][piece], NO_ID)[sa]
+            value = np.where(valid, least[own][piece], NO_ID)[sa]
             top = np.flatnonzero(bound)
             best = np.minimum.reduceat(value, top)[np.cumsum(bound) - 1]
             ok = valid[sa]
-            found[(begin[mixed][piece] + within)[sa[ok]]] = best[ok]
+            found[(begin[own][piece] + within)[sa[ok]]] = best[ok]
         # back to the pieces as they were asked for
         ask_windows = windows[number]
         bits = found[B.ragged(begin[number], ask_windows)] < np.repeat(head["least"], ask_windows)
