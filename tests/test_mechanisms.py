@@ -309,3 +309,11 @@ def test_least_grams_are_the_same_in_every_share():
     runs = np.lib.stride_tricks.sliding_window_view(grams >> np.uint64(16), 23)
     assert at.tolist() == (runs.argmin(axis=1) + np.arange(len(at))).tolist()
     assert [len(x) for x in suffix.least_grams(data[:50], 28, 23)] == [23, 1]
+
+
+def test_pairs_of_places_are_made_by_many_tasks(spark):
+    from winnowlane import queries
+
+    made = queries.haversine_pairs(spark, "/root/testdata/sf0.01").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    n = sum(r["count"] for r in made)
+    assert len(made) >= 4 and n == 150 * 149 // 2 and max(r["count"] for r in made) < n / 2
