@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from winnowlane.functions.capture import EARTH_KM, haversine_km, position_label
 from winnowlane.operators.order import fold_units
+from winnowlane.scratch import parts
 
 
 def _km(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
@@ -149,6 +150,26 @@ def nearest_within(points: DataFrame, places: DataFrame, radius_km: float, by: l
     return met.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("km", "name"))).where("_n = 1").select(*by, "name", "km")
 
 
+#: Places of a block of pair_distances(), and the least number of blocks, so that their pairs are work for many tasks.
+PAIR_BLOCK, PAIR_BLOCKS = 512, 16
+
+
+def pair_distances(places: DataFrame, by: str = "unit") -> DataFrame:
+    """a, b and km of every two places (``by``, lat, lon), a < b.
+
+    Places are dealt to blocks, and each pair of blocks is a key of an equi-join, put out as one run of rows. So ids of b come
+    again after a block at most: Parquet gives up the dictionary of a column whose first page (20,000 rows) holds hardly
+    an id twice, as it did with all places in a row.
+    """
+    places = places.where(F.col(by).isNotNull())
+    blocks = places.agg(F.greatest(F.ceil(F.count("*") / PAIR_BLOCK), F.lit(PAIR_BLOCKS)).cast("int").alias("_blocks"))
+    dealt = places.crossJoin(F.broadcast(blocks)).withColumn("_own", F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    n = 4 * parts(places.sparkSession)
+    x = dealt.select(F.col("_own").alias("_i"), F.col("_other").alias("_j"), F.col(by).alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).repartition(n, "_i", "_j")
+    y = dealt.select(F.col("_other").alias("_i"), F.col("_own").alias("_j"), F.col(by).alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")).repartition(n, "_i", "_j")
+    return x.join(y.hint("merge"), ["_i", "_j"]).where("a < b").select("a", "b", haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("km"))
+
+
 def place_names(located: DataFrame, written: DataFrame, given: DataFrame, radius_km: float, by: str, key: str = "id") -> DataFrame:
     """by, id and place of each located row.
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from winnowlane.functions import capture, signature, text
 from winnowlane.operators import geo, hierarchy, order, organize, ranking, results, similarity, staged, stats, tags
-from winnowlane.scratch import parts
 from winnowlane.session import table
 from winnowlane.sources import adapters, files, sinks
 
@@ -349,9 +348,7 @@ KM = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians({1} - {0}) / 2), 2) +
 @query(f"WITH {SHOTS}, c AS (SELECT unit, avg(lat) AS lat, avg(lon) AS lon FROM shots GROUP BY 1) SELECT a.unit AS a, b.unit AS b, round({KM.format('a.lat', 'b.lat', 'a.lon', 'b.lon')}, 3) AS km FROM c a JOIN c b ON a.unit < b.unit")
 def haversine_pairs(spark, d):
     c = adapters.shots(spark, d).groupBy("unit").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    # a row for each unit is so little that Spark would make one task of it, and all pairs there
-    x, y = c.toDF("a", "lat1", "lon1").repartition(4 * parts(spark), "a"), c.toDF("b", "lat2", "lon2")
-    return x.join(y, F.col("a") < F.col("b")).select("a", "b", F.round(capture.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")), 3).alias("km"))
+    return geo.pair_distances(c).select("a", "b", F.round("km", 3).alias("km"))
 
 
 PLACES = [("north", 10.0, -40.0), ("south", -35.0, 20.0), ("east", -20.0, 100.0), ("west", 30.0, -100.0), ("middle", 0.0, 0.0)]
